@@ -59,3 +59,12 @@ def partitions(spark: SparkSession) -> int:
 def text_key() -> Column:
     """With doc_id it tells rows apart: rows that share both are copies of one document."""
     return F.xxhash64(F.col("text"))
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (of a few numbers each); else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")

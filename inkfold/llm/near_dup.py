@@ -31,9 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_key
+from .common import partitions, small, stored, text_key
 from .kernels import Words, blocks, grams, mix
 
 SHINGLE = 5
@@ -290,3 +291,19 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     out = marked.select("doc_id", "th", "n_shingles", "f1").join(by_class, "f1", "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "th", "n_shingles", own_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without all but one row of each component; rows without doc_id stay."""
+    judged = near_duplicates(docs)
+    stays = judged.where(F.col("doc_id").isNotNull() & F.col("kept")).groupBy(F.col("doc_id").alias("s_id")).agg(F.min("th").alias("s_th"), F.count("*").alias("n"))
+    gone = judged.where(F.col("doc_id").isNotNull()).select("doc_id", "th").distinct()
+    gone = stored(gone.join(stays, (F.col("doc_id") == F.col("s_id")) & F.col("th").eqNullSafe(F.col("s_th")), "left_anti").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")))
+    left = docs.join(gone, (docs["doc_id"].cast("long") == F.col("g_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("g_th")), "left_anti")
+    again = small(stored(stays.where("n > 1").select("s_id")))
+    if again.isEmpty():
+        return left
+    # repeated rows of a document that stays: the first is enough
+    repeats = left.join(again, left["doc_id"].cast("long") == F.col("s_id"), "left_semi")
+    first = repeats.withColumn("near rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col("near rank") == 1).drop("near rank")
+    return left.join(again, left["doc_id"].cast("long").eqNullSafe(F.col("s_id")), "left_anti").unionByName(first)
