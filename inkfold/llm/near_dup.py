@@ -13,8 +13,10 @@ reaches the shuffle as a few rows per batch. After the shuffle the same happens
 Confirmation. Each class is first compared with its best candidate, then only those pairs whose ends are still in
 different components: a component needs a spanning tree, not all its links. Every link is confirmed on full sets.
 
-Cut rows. Where a crowded key leaves several components, more rounds with other leaders follow, over the rows of
-such keys alone, until a round adds no link (``settle``).
+The rest. If every row of a crowded key ends in one component with its leader, the pairs not proposed there could
+add nothing. The others (``rest_nodes``) are compared once more, crowd by crowd in pairs of blocks (``rest_links``).
+Leaders save work but lose no pair; only a crowd of many documents that are nearly but not quite alike costs the
+square of its size, in comparisons that never leave a task.
 
 Components. Minimum labels with pointer jumping; each round writes a table to the shared folder.
 
@@ -39,7 +41,8 @@ from .kernels import Words, blocks, grams, mix
 
 SHINGLE = 5
 COLLECTIONS, WIDTH = 16, 2
-LEADERS = 8
+LEADERS = 4
+BLOCK_ITEMS = 400_000
 #: A pair goes on to confirmation if so many of the 32 minhashes agree; at 0.75, 24 do on average.
 LEAST_AGREEING = 12
 
@@ -49,6 +52,7 @@ _B = _rng.integers(0, 2**63, COLLECTIONS * WIDTH, dtype=np.uint64)
 _I, _J = np.triu_indices(COLLECTIONS, 1)
 _TABLE = _rng.integers(0, 2**63, len(_I), dtype=np.uint64)
 
+
 SIGNED = "doc_id long, th long, n_shingles long, f1 long, f2 long, sig binary"
 PAIRS = "a long, b long"
 
@@ -94,8 +98,8 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text").mapInArrow(rows, SIGNED)
 
 
-def _led(keys: np.ndarray, nodes: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that share a key -> pairs of rows (left, right), and which rows to pass on.
+def _led(keys: np.ndarray, nodes: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that share a key -> pairs of rows (left, right), which of them come from crowded keys, and which rows to pass on.
 
     Keys with up to ``most`` + 1 rows give all their pairs; others pair each row with the ``most`` first ones by
     (score, node) and pass only these on. Rows are positions in the arrays.
@@ -107,20 +111,26 @@ def _led(keys: np.ndarray, nodes: np.ndarray, score: np.ndarray, most: int) -> t
     group = np.cumsum(new) - 1
     rank = np.arange(len(k)) - start[group] if len(k) else np.empty(0, int)
     size = np.diff(np.concatenate((start, [len(k)])))
-    left, right = [], []
+    left, right, crowd = [], [], []
     for step in range(most):  # each row with the step-th of its key
         at = np.flatnonzero(rank > step)
         left.append(order[at])
         right.append(order[start[group[at]] + step])
+        crowd.append(size[group[at]] > most + 1)
     keep = np.zeros(len(k), dtype=bool)
     keep[order[(rank < most) | (size[group] <= most + 1)]] = True
-    return np.concatenate(left), np.concatenate(right), keep
+    return np.concatenate(left), np.concatenate(right), np.concatenate(crowd), keep
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(a: np.ndarray, b: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and whether any of their equals comes from a crowded key."""
     lo, hi = np.minimum(a, b), np.maximum(a, b)
-    pairs = np.unique(np.stack((lo, hi), axis=1)[lo != hi], axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    order = np.lexsort((~crowd, hi, lo))
+    lo, hi, crowd = lo[order], hi[order], crowd[order]
+    first = np.ones(len(lo), dtype=bool)
+    first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    first &= lo != hi
+    return lo[first], hi[first], crowd[first]
 
 
 def _agreement(sigs: np.ndarray, keys: np.ndarray, row: np.ndarray, most: int) -> np.ndarray:
@@ -154,7 +164,7 @@ def table_keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def candidates(classes: DataFrame, buckets: int, most: int = LEADERS) -> DataFrame:
-    """Pairs of classes (by f1) that share the key of a table; crowded keys pair their rows with leaders."""
+    """(a, b, crowd): pairs of classes (by f1) that share the key of a table; crowded keys pair their rows with leaders."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -165,9 +175,9 @@ def candidates(classes: DataFrame, buckets: int, most: int = LEADERS) -> DataFra
                 keys = table_keys(sigs).ravel()
                 row = np.repeat(np.arange(len(nodes), dtype=np.int32), len(_I))
                 score = _agreement(sigs, keys, row, most)
-                left, right, keep = _led(keys, nodes[row], score, most)
-                crowd = score[left] > 0  # the others meet again after the shuffle
-                a, b = _distinct(row[left[crowd]], row[right[crowd]])
+                left, right, crowd, keep = _led(keys, nodes[row], score, most)
+                # the pairs of other keys meet again after the shuffle
+                a, b, _ = _distinct(row[left[crowd]], row[right[crowd]], crowd[crowd])
                 bucket = (keys[keep] >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 at = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -186,27 +196,39 @@ def candidates(classes: DataFrame, buckets: int, most: int = LEADERS) -> DataFra
     def meet(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
         keys, nodes, score = read("keys", np.uint32), read("nodes", np.int64), read("scores", np.uint8)
-        left, right, _ = _led(keys, nodes, score, most)
-        a, b = _distinct(np.concatenate((nodes[left], read("a", np.int64))), np.concatenate((nodes[right], read("b", np.int64))))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        left, right, crowd, _ = _led(keys, nodes, score, most)
+        a, b = read("a", np.int64), read("b", np.int64)
+        a, b, crowd = _distinct(np.concatenate((nodes[left], a)), np.concatenate((nodes[right], b)), np.concatenate((crowd, np.ones(len(a), bool))))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(crowd, pa.bool_())], names=["a", "b", "crowd"])
 
     rows = classes.select("f1", "sig").mapInArrow(spread, "bucket int, keys binary, nodes binary, scores binary, a binary, b binary")
-    return rows.groupBy("bucket").applyInArrow(meet, PAIRS)
+    return rows.groupBy("bucket").applyInArrow(meet, "a long, b long, crowd boolean")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose minhashes agree often enough, with that number."""
+    """Pairs with the number of minhashes that agree, or -1 if their sizes rule the similarity out."""
     a = classes.select(F.col("f1").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
     b = classes.select(F.col("f1").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
-            agree = (read("sig_a") == read("sig_b")).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int32())], names=["a", "b", "agree"])
+            agree = (_sigs(batch, "sig_a") == _sigs(batch, "sig_b")).sum(axis=1)
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            agree[100 * np.minimum(n_a, n_b) < 75 * np.maximum(n_a, n_b)] = -1
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("crowd"), pa.array(agree, pa.int32())], names=["a", "b", "crowd", "agree"])
+
+    once = pairs.groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    return once.join(a, "a").join(b, "b").mapInArrow(counted, "a long, b long, crowd boolean, agree int")
 
-    fitting = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b"))
-    return fitting.select("a", "b", "sig_a", "sig_b").mapInArrow(counted, "a long, b long, agree int").where(F.col("agree") >= LEAST_AGREEING)
+
+def _sigs(batch, name: str = "sig") -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, len(_A))
+
+
+def _with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("l_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("l_b"))
+    return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).drop("l_a", "l_b")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -224,6 +246,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(sets, "f1 long, items binary").dropDuplicates(["f1"])
 
 
+def _similar(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two sorted sets have 100 * intersection >= 75 * union."""
+    at = np.searchsorted(u, v)
+    at[at == len(u)] = 0
+    both = int((u[at] == v).sum())
+    return 100 * both >= 75 * (len(u) + len(v) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 75 * union, on full sets."""
 
@@ -231,15 +261,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(u) + len(v) - both))
+                keep.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("f1").alias("a"), F.col("items").alias("x")), sets.select(F.col("f1").alias("b"), F.col("items").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(alike, PAIRS)
 
 
+def rest_nodes(proposed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(f1, label, crowd) of the classes that crowded keys may have kept from a partner in another component.
+
+    The rows of a crowded key hang together by its pairs with leaders; what hangs together by such pairs is a crowd.
+    Two rows of a key lie in different components only if a pair between them is broken, and then both components
+    have a broken pair; crowds without one need no second look.
+    """
+    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("l_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("l_b"))
+    named = stored(proposed.where("crowd").join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("l_a", "a").alias("l_a"), F.coalesce("l_b", "b").alias("l_b")))
+    broken = named.where("l_a <> l_b")
+    open_labels = stored(broken.select(F.col("l_a").alias("label")).union(broken.select("l_b")).distinct())
+    a, b = open_labels.select(F.col("label").alias("l_a")), open_labels.select(F.col("label").alias("l_b"))
+    inside = stored(named.join(a, "l_a", "left_semi").join(b, "l_b", "left_semi").select("a", "b", "l_a", "l_b"))
+    if inside.isEmpty():
+        return inside.select(F.col("a").alias("f1"), F.col("l_a").alias("label"), F.col("b").alias("crowd"))
+    crowds = components(inside.select("a", "b")).withColumnRenamed("label", "crowd").withColumnRenamed("node", "f1")
+    ends = inside.select(F.col("a").alias("f1"), F.col("l_a").alias("label")).union(inside.select("b", "l_b")).distinct()
+    return ends.join(crowds, "f1").select("f1", "label", "crowd")
+
+
+def rest_links(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every link between different components of a crowd, on full sets.
+
+    A crowd is cut into blocks of about BLOCK_ITEMS shingles and each pair of blocks is compared in one task: first
+    sizes and minhashes, then the sets. Only links leave the task.
+    """
+
+    def compared(table: pa.Table) -> pa.Table:
+        read = lambda c: table.column(c).to_numpy()
+        nodes, n, label, block = read("f1"), read("n_shingles"), read("label"), read("block")
+        sigs, items = _sigs(table), table.column("items").to_pylist()
+        first = np.flatnonzero(block == block.min())
+        second = np.flatnonzero(block == block.max())
+        a, b = [], []
+        for lo in range(0, len(first), 256):
+            i = first[lo : lo + 256]
+            agree = np.zeros((len(i), len(second)), dtype=np.uint8)
+            for c in range(sigs.shape[1]):
+                agree += sigs[i, c][:, None] == sigs[None, second, c]
+            apart = label[i][:, None] != label[second][None, :]
+            fit = 100 * np.minimum(n[i][:, None], n[second][None, :]) >= 75 * np.maximum(n[i][:, None], n[second][None, :])
+            ordered = nodes[i][:, None] < nodes[second][None, :] if len(first) == len(table) else True
+            for x, y in zip(*np.nonzero(apart & fit & ordered & (agree >= LEAST_AGREEING))):
+                x, y = i[x], second[y]
+                if _similar(np.frombuffer(items[x], np.uint64), np.frombuffer(items[y], np.uint64)):
+                    a.append(min(nodes[x], nodes[y])), b.append(max(nodes[x], nodes[y]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = rest.join(classes.select("f1", "n_shingles", "sig"), "f1")
+    # a crowd within one component, or of a single class, has nothing to add
+    cut = rows.groupBy("crowd").agg(F.ceil(F.sum("n_shingles") / BLOCK_ITEMS).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    rows = rows.join(cut, "crowd").withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f1", "label", "n_shingles", "sig").join(sets, "f1")
+    return rows.groupBy("crowd", "i", "j").applyInArrow(compared, PAIRS)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node with a link; the label is the smallest node of its component.
 
@@ -267,23 +352,28 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     nodes = marked.where(F.col("doc_id").isNotNull() & F.col("f1").isNotNull())
     classes = stored(nodes.groupBy("f1").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     proposed = stored(_agreeing(candidates(classes, buckets), classes))
-    ends = proposed.select(F.col("a").alias("f1")).union(proposed.select("b")).distinct()
+    alike = proposed.where(F.col("agree") >= LEAST_AGREEING)
+    ends = alike.select(F.col("a").alias("f1")).union(alike.select("b")).distinct()
     sets = stored(full_sets(docs, classes.join(ends, "f1").select("f1", "rep")))
 
     # first, each class with the candidate that agrees best
-    either = proposed.select(F.col("a").alias("node"), "agree", "a", "b").union(proposed.select(F.col("b"), "agree", "a", "b"))
+    either = alike.select(F.col("a").alias("node"), "agree", "a", "b").union(alike.select(F.col("b"), "agree", "a", "b"))
     best = either.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     links = stored(confirmed(best, sets))
     labels = components(links)
-
     # then all pairs whose ends are not together yet
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("l_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("l_b"))
-    apart = proposed.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b"))
-    more = stored(confirmed(apart, sets).unionByName(links))
+    links = stored(confirmed(_with_labels(alike, labels), sets).unionByName(links))
+    labels = components(links)
+    # then what the leaders of crowded keys left out
+    rest = stored(rest_nodes(proposed, labels))
+    if not rest.isEmpty():
+        ends = rest.select("f1").join(sets, "f1", "left_anti")
+        sets = sets.unionByName(stored(full_sets(docs, classes.join(ends, "f1").select("f1", "rep"))))
+        links = stored(rest_links(rest, classes, sets).unionByName(links))
     # one more kind of link: the texts of one doc_id
     own = nodes.select("doc_id", "f1").groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).where("a < b")
     shared = nodes.select("doc_id", "f1").join(own.select("doc_id", "a"), "doc_id").select("a", F.col("f1").alias("b")).where("a < b")
-    labels = components(more.unionByName(shared.distinct()))
+    labels = components(links.unionByName(shared.distinct()))
 
     lowest = labels.join(classes.select(F.col("f1").alias("node"), F.col("rep.doc_id").alias("rep_id")), "node").groupBy("label").agg(F.min("rep_id").alias("component_id"))
     linked = labels.join(lowest, "label").select(F.col("node").alias("f1"), "component_id")
