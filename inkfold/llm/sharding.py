@@ -35,7 +35,7 @@ def key_hash(key: Column) -> Column:
 
 def jump(key: Column, shards: int) -> Column:
     """The shard of a 64-bit key (a decimal from 0 to 2^64 - 1) among ``shards``."""
-    number = lambda x: F.lit(x).cast("decimal(20,0)")
+    number = lambda x: F.lit(str(x)).cast("decimal(20,0)")
 
     def step(state: Column, _: Column) -> Column:
         drawn = ((state["key"] * F.lit(MULTIPLIER).cast("decimal(19,0)") + number(1)) % number(_WRAP)).cast("decimal(20,0)")
