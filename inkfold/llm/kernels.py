@@ -50,22 +50,24 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Words:
     """The words of some texts: 64-bit hashes, byte ranges in ``data`` and the first word of each text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, breaks: np.ndarray = SPACE):
         self.buffer = b"\n".join(texts) + b"\n"
         data = np.frombuffer(self.buffer, dtype=np.uint8)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.text_starts = np.concatenate(([0], np.cumsum(lengths + 1)))
-        space = SPACE[data]
+        space = breaks[data]
         turn = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(data) and not space[0]:
             turn = np.concatenate(([0], turn))
         self.starts, self.ends = turn[0::2], turn[1::2]
         self.data = data
         self.first = np.searchsorted(self.starts, self.text_starts)
-        self.hashes = self._hash(_CODES_LOWER if lower else _CODES)
+        self.codes = _CODES_LOWER if lower else _CODES
+        self.hashes = self.prefixes()
 
-    def _hash(self, codes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.starts), dtype=np.uint64)
+    def prefixes(self, most: int | None = None) -> np.ndarray:
+        """Hashes of the words, or of their first ``most`` bytes; equal bytes have equal hashes."""
+        codes, out = self.codes, np.empty(len(self.starts), dtype=np.uint64)
         i = 0
         while i < len(out):
             lo = self.starts[i]
@@ -74,6 +76,8 @@ class Words:
             total = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(codes[self.data[lo : lo + n]] * _powers(_BASE, n), out=total[1:])
             at, to = self.starts[i:j] - lo, self.ends[i:j] - lo
+            if most is not None:
+                to = np.minimum(to, at + most)
             out[i:j] = mix((total[to] - total[at]) * _powers(_INVERSE, n)[at] + (to - at).astype(np.uint64))
             i = j
         return out

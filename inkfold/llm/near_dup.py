@@ -18,7 +18,8 @@ add nothing. The others (``rest_nodes``) are compared once more, crowd by crowd
 Leaders save work but lose no pair; only a crowd of many documents that are nearly but not quite alike costs the
 square of its size, in comparisons that never leave a task.
 
-Components. Minimum labels with pointer jumping; each round writes a table to the shared folder.
+Components. Links are contracted to the smallest label around until none is left; each round writes a table to the
+shared folder.
 
 Cases: null texts, empty texts and texts without words have an empty set, no link, and are components of their
 own; a null doc_id is no node: its component is null and it is kept; rows that repeat a doc_id with the same text
@@ -328,21 +329,22 @@ def rest_links(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node with a link; the label is the smallest node of its component.
 
-    Each round gives a node the smallest label around it, then the label of its label; labels only fall, so the
-    rounds end when their sum stays.
+    Each round every node takes the smallest node around it, and that one's, as its label, and links move to the
+    labels of their ends. Links within a label vanish, so each round has fewer; none are left when the labels are
+    the components.
     """
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
-    before = None
+    edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = None
     while True:
-        state = labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        near = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near"))
+        far = near.select(F.col("a").alias("near"), F.col("near").alias("far"))
+        hop = stored(near.join(far, "near").select(F.col("a").alias("node"), "far"))
+        step = hop.select(F.col("node").alias("label"), "far")
+        labels = stored(hop.withColumnRenamed("far", "label") if labels is None else labels.join(step, "label", "left").select("node", F.coalesce("far", "label").alias("label")))
+        at, to = hop.select(F.col("node").alias("a"), F.col("far").alias("x")), hop.select(F.col("node").alias("b"), F.col("far").alias("y"))
+        edges = stored(edges.join(at, "a").join(to, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        if edges.isEmpty():
             return labels
-        before = state
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = stored(hooked.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")))
 
 
 def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
