@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, mixing, near_dup, sharding, substring_dedup, toxicity
+from . import decontamination, host_rules, mixing, near_dup, pii_surrogates, sharding, substring_dedup, toxicity, url_filter
 from .common import read, stored
 
 
@@ -20,6 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_surrogates.replace_entities(docs, key="a key of the deployment's own")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontamination.contaminated(docs.select("doc_id", "text"), benchmark)
@@ -48,14 +53,30 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_mixing": op2_mixing,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_decontamination": op4_decontamination,
     "op6_sharding": op6_sharding,
     "op7_host_rules": op7_host_rules,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 SQL: dict[str, str] = {
