@@ -34,21 +34,21 @@ _NAME, _UNIT = "", ""
 
 
 def _tokens(text: Column) -> Column:
-    """Words and numbers in order; names and units carry a mark in front."""
+    """Words and numbers in order, in lower case; names and units carry a mark in front."""
     units = "|".join(sorted((u for u in UNITS if u.isalpha()), key=len, reverse=True))
-    marked = F.regexp_replace(text, f"[{_NAME}{_UNIT}]", "")
+    marked = F.translate(text, _NAME + _UNIT, "")
     marked = F.regexp_replace(marked, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", _NAME)
-    marked = F.regexp_replace(marked, rf"(?<=\p{{N}}) ?(?=(?i:{units})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
-    return F.regexp_extract_all(marked, F.lit(rf"[{_NAME}{_UNIT}]?[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*"), F.lit(0))
+    marked = F.regexp_replace(marked, rf"(?<=[0-9]) ?(?=(?i:{units})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_NAME}{_UNIT}]?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
 
 def _slotted(token: Column) -> Column:
-    return token.rlike(rf"^[{_NAME}{_UNIT}\p{{N}}]")
+    # of all tokens only numbers start below the colon
+    return (token < ":") | token.startswith(_NAME) | token.startswith(_UNIT)
 
 
 def _shape(token: Column) -> Column:
-    kind = F.when(token.startswith(_NAME), F.lit("<name>")).when(token.startswith(_UNIT), F.lit("<unit>")).otherwise(F.lit("<number>"))
-    return F.when(_slotted(token), kind).otherwise(F.lower(token))
+    return F.when(token < ":", F.lit("<number>")).when(token.startswith(_NAME), F.lit("<name>")).when(token.startswith(_UNIT), F.lit("<unit>")).otherwise(token)
 
 
 def windows(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
