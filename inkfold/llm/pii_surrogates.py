@@ -87,6 +87,11 @@ def _shift(c: Column, by: Column) -> Column:
     return out
 
 
+def _shift_hex(c: Column, by: Column) -> Column:
+    letters = F.lit("0123456789abcdef")
+    return F.substring(letters, F.pmod(F.instr(letters, c) - 1 + by, F.lit(16)) + 1, F.lit(1))
+
+
 def _shift_octet(c: Column, by: Column) -> Column:
     n = c.cast("int")
     wide = F.when(n >= 100, F.pmod(n - 100 + by, F.lit(156)) + 100).when(n >= 10, F.pmod(n - 10 + by, F.lit(90)) + 10)
@@ -149,11 +154,14 @@ def _name(e: Column, tweak: Column, key: str) -> Column:
 def surrogate(e: Column, kind: Column, tweak: Column, key: str) -> Column:
     """The surrogate of an entity: a function of the key, the tweak and what equal entities share."""
     octets = F.array_join(_walk(F.split(e, r"\."), tweak, key, _shift_octet), ".")
-    plain = lambda x: _dressed(x, _walk(F.filter(F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), ""), lambda c: c != ""), tweak, key, _shift))
+
+    def plain(x: Column, shift=_shift) -> Column:
+        return _dressed(x, _walk(F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), ""), tweak, key, shift))
+
     # what stays: the top-level domain, the country code
     email = F.concat(plain(F.regexp_extract(e, r"^(.*)\.[A-Za-z]+$", 1)), F.regexp_extract(e, r"\.[A-Za-z]+$", 0))
     phone = F.concat(F.regexp_extract(e, r"^\+\d{1,3}(?=[ .\-(])", 0), plain(F.regexp_replace(e, r"^\+\d{1,3}(?=[ .\-(])", "")))
-    return F.when(kind == "ip", octets).when(kind == "email", email).when(kind == "phone", phone).when(kind == "name", _name(e, tweak, key)).otherwise(plain(e))
+    return F.when(kind == "ip", octets).when(kind == "email", email).when(kind == "phone", phone).when(kind == "name", _name(e, tweak, key)).when(kind == "secret", plain(e, _shift_hex)).otherwise(plain(e))
 
 
 def _rebuilt(text: Column, new: Column) -> Column:
