@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, mixing, near_dup, pii_surrogates, sharding, substring_dedup, toxicity, url_filter
+from . import decontamination, host_rules, kneser_ney, mixing, near_dup, pii_surrogates, sharding, substring_dedup, toxicity, url_filter
 from .common import read, stored
 
 
@@ -30,6 +30,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs.select("doc_id", "text"), benchmark)
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return kneser_ney.judge(docs, read(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op4_decontamination": op4_decontamination,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_sharding": op6_sharding,
     "op7_host_rules": op7_host_rules,
     "op8_toxicity": op8_toxicity,
