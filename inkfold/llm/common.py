@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,13 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds few texts at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows (of a few numbers each); else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -4,7 +4,8 @@
 2. Failures are counted by host. Partial sums before the shuffle make a hot host as cheap as any other.
 3. The rate of a host is shrunk by a beta prior fitted to all hosts by moments, so that a host with two bad
    documents of two is not judged like one with 900 of 1,000.
-4. The table of hosts, one row each, is joined back; Spark broadcasts it only below its threshold.
+4. The table of hosts, one row each, is joined back: by broadcast up to a checked number of hosts, so that texts
+   aren't shuffled by host, else by a shuffle.
 
 Cases: a null text counts as empty and fails; an empty table gives an empty result; a null host belongs to no
 host and never fails by host; repeated rows count as often as they occur and are judged alike; result columns
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried
+from .common import carried, sliced, small, stored
 from .kernels import Words, blocks, covered, gram_mask, grams, sums
 
 SYMBOLS = b"#*$%&|<>"
@@ -71,7 +72,7 @@ def with_counts(docs: DataFrame, text_out: bool = True) -> DataFrame:
     back = [f for f in kept.schema.fields if text_out or f.name != "text"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = text_counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in back), *(pa.array(got[c], pa.int64()) for c in COUNTS)], names=[*(f.name for f in back), *COUNTS])
 
@@ -102,7 +103,7 @@ NEW = [*COUNTS, "base_failed", "host_docs", "host_failed", "host_rate", "kept"]
 
 def join_hosts(counted: DataFrame, rates: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The verdicts of hosts, joined back to their documents."""
-    rates = rates.withColumnRenamed("host", "host of rate")
+    rates = small(stored(rates.withColumnRenamed("host", "host of rate")))
     hosted = counted.join(rates, counted[host] == rates["host of rate"], "left").drop("host of rate")
     return hosted.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_rate))
 

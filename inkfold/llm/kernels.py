@@ -132,7 +132,7 @@ def covered(marks: np.ndarray, n: int, words: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def blocks(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a column of texts (None reads as empty) into lists of about ``most`` bytes, each with its first row."""
     at, out, size = 0, [], 0
     for i, text in enumerate(texts):

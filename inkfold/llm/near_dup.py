@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, small, stored, text_key
+from .common import partitions, sliced, small, stored, text_key
 from .kernels import Words, blocks, grams, mix
 
 SHINGLE = 5
@@ -84,7 +84,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """Size, fingerprint and minhashes of each document's set; nulls where the set is empty."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, f1, f2, sig = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 n.append(len(s))
@@ -239,7 +239,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     found = texts.join(want.hint("shuffle_hash"), (texts["doc_id"] == want["w_id"]) & (texts["th"] == want["w_th"])).select("f1", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("f1"), pa.array(got, pa.binary())], names=["f1", "items"])
 
@@ -259,7 +259,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 75 * union, on full sets."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 keep.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))

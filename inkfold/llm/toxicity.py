@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .kernels import SPACE, Words, blocks, mix
 
 FEATURE_BITS = 20
@@ -150,7 +151,7 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> M
     texts = docs.join(picked, docs["doc_id"] == F.col("l_id")).select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [s.tobytes() for s in word_sets(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.binary())], names=["toxic", "words"])
 
@@ -168,7 +169,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
