@@ -1,10 +1,655 @@
-"""Every query of the engine by name, with its SQL where SQL can say the same."""
+"""Every query of the engine by name, over the driver's tables, with its SQL where SQL can say the same.
+
+The tables stand in for the engine's own: parts for icons (brand = category, type = pack), embeddings with their
+labels for vectors with their classes, events for strokes and logs, labels for decisions, pages for addresses.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import raster, strokes, text, vectors
+from ..operators import clustering, curation, dataset, dedup, encoder, lexical, metrics, retrieval
+from ..streaming import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+COMMIT = "0123456789abcdef0123456789abcdef01234567"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _icons(spark: SparkSession, sf: str) -> DataFrame:
+    part = _read(spark, sf, "part")
+    name = F.concat_ws("-", F.col("p_partkey").cast("string"), F.replace("p_name", F.lit(" "), F.lit("-")))
+    return part.select(F.col("p_partkey").alias("icon_id"), F.col("p_brand").alias("category"), F.col("p_type").alias("pack"), F.col("p_name").alias("filename"), F.concat(text.join_path(F.col("p_brand"), F.col("p_type"), name), F.lit(".svg")).alias("path"), text.tokenize(F.col("p_name")).alias("tokens"))
+
+
+_ICONS = """icons AS (SELECT p_partkey AS icon_id, p_brand AS category, p_type AS pack, p_name AS filename,
+  p_brand || '/' || p_type || '/' || p_partkey || '-' || replace(p_name, ' ', '-') || '.svg' AS path,
+  list_filter(regexp_split_to_array(lower(p_name), '[^a-z]+'), lambda t: t <> '') AS tokens FROM part)"""
+_DOT = "list_dot_product(%s::DOUBLE[], %s::DOUBLE[])"
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "embeddings").select(F.col("vec_id").alias("icon_id"), "embedding", "label")
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 50."""
+    return _read(spark, sf, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), "embedding", "label")
+
+
+# --- vectors and retrieval
+
+
+@query(f"""SELECT qid, icon_id, round(score, 6) AS score, rank FROM (
+  SELECT q.vec_id AS qid, v.vec_id AS icon_id, {_DOT % ('v.embedding', 'q.embedding')} AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT % ('v.embedding', 'q.embedding')} DESC, v.vec_id) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= 12""")
+def vector_topk_exhaustive(spark, sf):
+    out = retrieval.exhaustive(_queries(spark, sf), _vectors(spark, sf))
+    return out.select("qid", "icon_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _index(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """An index by label: the shard's centroid is its first vector, the icon's path that of the part with its number."""
+    icons = _icons(spark, sf).select("icon_id", "path")
+    rows = _vectors(spark, sf).join(icons, "icon_id", "left").select(F.col("label").alias("shard"), "icon_id", F.coalesce("path", F.lit("Other/none/0-none.svg")).alias("path"), F.lit(1).alias("duplicates"), F.col("label").alias("aux_class"), vectors.quantize(F.col("embedding")).alias("q"), "embedding")
+    centers = rows.groupBy("shard").agg(F.min_by("embedding", "icon_id").alias("e"), F.count("*").alias("count")).withColumn("q", vectors.quantize(F.col("e")))
+    return rows.select("shard", "icon_id", "path", "duplicates", "aux_class", "q.codes", "q.scale"), centers.select("shard", "q.codes", "q.scale", "count")
+
+
+_Q = """qz AS (SELECT vec_id, label, embedding, (list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE / 127.0::DOUBLE)::FLOAT AS scale FROM embeddings),
+  coded AS (SELECT vec_id, label, embedding, scale, list_transform(embedding, lambda x: greatest(least(round_even((x::DOUBLE / scale::DOUBLE)::FLOAT::DOUBLE, 0), 127), -127)::TINYINT) AS codes FROM qz),
+  centers AS (SELECT label AS shard, arg_min(codes, vec_id) AS codes, arg_min(scale, vec_id) AS scale, count(*) AS count FROM coded GROUP BY label),
+  probes AS (SELECT * FROM (SELECT q.vec_id AS qid, q.embedding, c.shard, list_dot_product(c.codes::DOUBLE[], q.embedding::DOUBLE[]) * c.scale::DOUBLE AS probe_score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(c.codes::DOUBLE[], q.embedding::DOUBLE[]) * c.scale::DOUBLE DESC, c.shard) AS rn
+    FROM embeddings q, centers c WHERE q.vec_id % 50 = 0) WHERE rn <= 3)"""
+
+
+@query(f"WITH {_Q} SELECT qid, shard, round(probe_score, 6) AS probe_score FROM probes")
+def ivf_probe(spark, sf):
+    out = retrieval.probe(_queries(spark, sf), _index(spark, sf)[1], 3)
+    return out.select("qid", "shard", F.round("probe_score", 6).alias("probe_score"))
+
+
+@query(f"""WITH {_Q} SELECT qid, icon_id, round(score, 6) AS score, rank FROM (
+  SELECT p.qid, v.vec_id AS icon_id, list_dot_product(v.codes::DOUBLE[], p.embedding::DOUBLE[]) * v.scale::DOUBLE AS score,
+    row_number() OVER (PARTITION BY p.qid ORDER BY list_dot_product(v.codes::DOUBLE[], p.embedding::DOUBLE[]) * v.scale::DOUBLE DESC, v.vec_id) AS rank
+  FROM probes p JOIN coded v ON v.label = p.shard) WHERE rank <= 12""")
+def ivf_retrieve(spark, sf):
+    stored, centers = _index(spark, sf)
+    out = retrieval.retrieve(_queries(spark, sf).select("qid", "embedding"), stored, centers, probes=3, lexical_weight=0.0)
+    return out.select("qid", "icon_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _predicted(spark, sf) -> DataFrame:
+    """Queries with two predictions: their own label, and one whose label is a word of part names."""
+    own = F.struct(F.col("label").alias("class_index"), F.lit("none").alias("label"), F.lit(0.6).alias("probability"))
+    other = F.struct((F.col("label") + 100).alias("class_index"), F.lit("red ring").alias("label"), F.lit(0.9).alias("probability"))
+    return _queries(spark, sf).select("qid", "embedding", F.array(own, other).alias("predictions"))
+
+
+@query(f"""WITH {_Q}, {_ICONS}, scored AS (
+  SELECT q.vec_id AS qid, v.vec_id AS icon_id, list_dot_product(v.codes::DOUBLE[], q.embedding::DOUBLE[]) * v.scale::DOUBLE AS cosine,
+    CASE WHEN list_contains(i.tokens, 'red') AND list_contains(i.tokens, 'ring') THEN 0.9::DOUBLE WHEN v.label = q.label OR (i.icon_id IS NULL) THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS prior
+  FROM embeddings q CROSS JOIN coded v LEFT JOIN icons i ON i.icon_id = v.vec_id WHERE q.vec_id % 50 = 0)
+  SELECT qid, icon_id, round(cosine, 6) AS cosine, prior, round(0.75::DOUBLE * cosine + 0.25::DOUBLE * prior, 6) AS score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY 0.75::DOUBLE * cosine + 0.25::DOUBLE * prior DESC, icon_id) AS rank FROM scored) WHERE rank <= 12""")
+def vector_topk_hybrid(spark, sf):
+    out = retrieval.retrieve(_predicted(spark, sf), _index(spark, sf)[0], probes=None)
+    return out.select("qid", "icon_id", F.round("cosine", 6).alias("cosine"), "prior", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_Q}, used AS (SELECT DISTINCT shard FROM probes)
+  SELECT count(*) AS shards, count(u.shard) AS resident_shards, sum(c.count)::BIGINT AS vectors, coalesce(sum(CASE WHEN u.shard IS NOT NULL THEN c.count END), 0)::BIGINT AS resident_vectors
+  FROM centers c LEFT JOIN used u USING (shard)""")
+def ivf_coverage(spark, sf):
+    centers = _index(spark, sf)[1]
+    return retrieval.coverage(centers, retrieval.probe(_queries(spark, sf), centers, 3))
+
+
+@query("SELECT NULL::VARCHAR AS problem, 0::BIGINT AS rows WHERE false")
+def index_problems(spark, sf):
+    return retrieval.validate_index(_index(spark, sf)[0], 64, 10)
+
+
+@query(f"""WITH {_Q}, {_ICONS} SELECT icon_id, category, pack, name, label, aux_label, url FROM (
+  SELECT i.icon_id, i.category, i.pack, i.icon_id || '-' || replace(i.filename, ' ', '-') AS name, replace(i.filename, '-', ' ') AS label, 'class ' || v.label AS aux_label,
+    'https://cdn.jsdelivr.net/gh/owner/icons@{COMMIT}/' || replace(i.path, '#', '%23') AS url,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(v.codes::DOUBLE[], q.embedding::DOUBLE[]) * v.scale::DOUBLE DESC, v.vec_id) AS rank, q.vec_id AS qid
+  FROM embeddings q, coded v JOIN icons i ON i.icon_id = v.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 12""")
+def retrieval_described(spark, sf):
+    stored = _index(spark, sf)[0].join(_icons(spark, sf).select("icon_id"), "icon_id", "left_semi")
+    hits = retrieval.retrieve(_queries(spark, sf).select("qid", "embedding"), stored, probes=None)
+    classes = _vectors(spark, sf).select(F.col("label").alias("idx")).distinct().withColumn("label", F.concat(F.lit("class "), F.col("idx")))
+    return retrieval.described(hits, classes, "owner/icons", COMMIT).select("icon_id", "category", "pack", "name", "label", "aux_label", "url")
+
+
+@query("""WITH q AS (SELECT vec_id, embedding, (list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE / 127.0::DOUBLE)::FLOAT AS scale FROM embeddings)
+  SELECT vec_id, scale, list_aggregate(c, 'sum')::BIGINT AS code_sum, list_max(c)::INTEGER AS code_max, array_to_string(c, ',') AS codes FROM (
+    SELECT vec_id, scale, list_transform(embedding, lambda x: greatest(least(round_even((x::DOUBLE / scale::DOUBLE)::FLOAT::DOUBLE, 0), 127), -127)::INTEGER) AS c FROM q)""")
+def quantize_int8(spark, sf):
+    q = _vectors(spark, sf).select(F.col("icon_id").alias("vec_id"), vectors.quantize(F.col("embedding")).alias("q")).select("vec_id", "q.codes", "q.scale")
+    total = F.aggregate("codes", F.lit(0).cast("long"), lambda s, x: s + x)
+    return q.select("vec_id", "scale", total.alias("code_sum"), F.array_max("codes").cast("int").alias("code_max"), F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"))
+
+
+@query(f"WITH {_Q} SELECT vec_id, round(list_dot_product(codes::DOUBLE[], embedding::DOUBLE[]) * scale::DOUBLE, 6) AS self_score FROM coded")
+def dequantized_dot(spark, sf):
+    q = _vectors(spark, sf).withColumn("q", vectors.quantize(F.col("embedding")))
+    return q.select(F.col("icon_id").alias("vec_id"), F.round(vectors.scaled_dot(F.col("q.codes"), F.col("q.scale"), F.col("embedding")), 6).alias("self_score"))
+
+
+@query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm,
+  abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 0.001 AS unit FROM embeddings""")
+def l2_norm_check(spark, sf):
+    return _vectors(spark, sf).select(F.col("icon_id").alias("vec_id"), F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), vectors.is_unit(F.col("embedding")).alias("unit"))
+
+
+@query("""SELECT vec_id, i AS axis, round(x / n, 6) AS x FROM (
+  SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n, unnest(range(64))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)""")
+def l2_normalize(spark, sf):
+    return _vectors(spark, sf).select(F.col("icon_id").alias("vec_id"), F.posexplode(vectors.normalize(F.col("embedding"))).alias("axis", "x")).withColumn("x", F.round("x", 6))
+
+
+def _seeds(spark, sf, k: int = 8) -> DataFrame:
+    """The first vectors as centroids: a stated set."""
+    return _vectors(spark, sf).where(F.col("icon_id") < k).select(F.col("icon_id").cast("int").alias("cluster"), F.col("embedding").alias("c"))
+
+
+_ASSIGN = f"""assigned AS (SELECT id, v, cluster, similarity FROM (SELECT e.vec_id AS id, e.embedding AS v, s.vec_id::INTEGER AS cluster, {_DOT % ('e.embedding', 's.embedding')} AS similarity,
+  row_number() OVER (PARTITION BY e.vec_id ORDER BY {_DOT % ('e.embedding', 's.embedding')} DESC, s.vec_id) AS rn FROM embeddings e, embeddings s WHERE s.vec_id < 8) WHERE rn = 1)"""
+
+
+@query(f"WITH {_ASSIGN} SELECT id, cluster, round(similarity, 6) AS similarity FROM assigned")
+def kmeans_assign(spark, sf):
+    items = _vectors(spark, sf).select(F.col("icon_id").alias("id"), F.col("embedding").alias("v"))
+    return clustering.assign(items, _seeds(spark, sf)).select("id", "cluster", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH {_ASSIGN}, sums AS (SELECT cluster, axis, sum(x) AS x FROM (SELECT cluster, unnest(range(64))::INTEGER AS axis, unnest(v)::DOUBLE AS x FROM assigned) GROUP BY ALL),
+  norms AS (SELECT cluster, sqrt(sum(x * x)) AS n FROM sums GROUP BY cluster)
+  SELECT cluster, axis, round(x / n, 6) AS x FROM sums JOIN norms USING (cluster)""")
+def kmeans_lloyd_step(spark, sf):
+    items = _vectors(spark, sf).select(F.col("icon_id").alias("id"), F.col("embedding").alias("v"))
+    seeds = _seeds(spark, sf)
+    out = clustering.lloyd_step(clustering.assign(items, seeds), seeds)
+    return out.select("cluster", F.posexplode("c").alias("axis", "x")).withColumn("x", F.round("x", 6))
+
+
+@query()
+def index_build(spark, sf):
+    items = _vectors(spark, sf).select("icon_id", F.lit("a/b.svg").alias("path"), F.lit(1).alias("duplicates"), F.col("label").alias("aux_class"), "embedding")
+    stored, centers = clustering.build_index(items, k=16)
+    return centers.select("shard", "count", F.size("codes").alias("dim"))
+
+
+def _logits(spark, sf) -> DataFrame:
+    """Rows of ten logits: the products with the first vector of each label."""
+    firsts = _vectors(spark, sf).groupBy("label").agg(F.min_by("embedding", "icon_id").alias("e"))
+    table = firsts.agg(F.array_sort(F.collect_list(F.struct("label", "e"))).alias("cs"))
+    rows = _vectors(spark, sf).join(F.broadcast(table), F.lit(True))  # one row of ten vectors
+    return rows.select(F.col("icon_id").alias("id"), "label", F.transform("cs", lambda c: 8 * vectors.dot(F.col("embedding"), c["e"])).alias("logits"))
+
+
+_LOGITS = f"""firsts AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label),
+  l AS (SELECT v.vec_id AS id, v.label, f.label AS class_index, 8 * {_DOT % ('v.embedding', 'f.e')} AS logit FROM embeddings v, firsts f),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY logit DESC, class_index) AS rank, exp(logit - max(logit) OVER (PARTITION BY id)) AS power FROM l),
+  p AS (SELECT *, power / sum(power) OVER (PARTITION BY id) AS probability FROM r)"""
+
+
+@query(f"WITH {_LOGITS} SELECT id, rank, class_index, round(probability, 6) AS probability FROM p WHERE rank <= 5")
+def softmax_topk(spark, sf):
+    rows = _logits(spark, sf).select("id", F.posexplode(vectors.top_predictions(F.col("logits"))).alias("pos", "p"))
+    return rows.select("id", (F.col("pos") + 1).alias("rank"), "p.class_index", F.round("p.probability", 6).alias("probability"))
+
+
+# --- evaluation
+
+
+@query(f"WITH {_LOGITS}, s AS (SELECT id, max((rank = 1 AND class_index = label)::INT) AS hit, max((rank <= 5 AND class_index = label)::INT) AS top, max(CASE WHEN class_index = label THEN ln(probability) END) AS logp FROM p GROUP BY id) SELECT count(*) AS n, round(avg(hit), 6) AS accuracy, round(avg(top), 6) AS top_k, round(-avg(logp), 6) AS loss FROM s")
+def accuracy_report(spark, sf):
+    out = metrics.accuracy_report(_logits(spark, sf))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "top_k", "loss")])
+
+
+def _all_labels(spark) -> DataFrame:
+    return spark.range(12).select(F.col("id").cast("int").alias("label"))
+
+
+@query(f"WITH {_LOGITS}, s AS (SELECT label, count(*) AS n, avg((class_index = label)::INT) AS accuracy FROM p WHERE rank = 1 GROUP BY label) SELECT d.label::INTEGER AS label, coalesce(n, 0) AS n, round(coalesce(accuracy, 0.0), 6) AS accuracy FROM range(12) d(label) LEFT JOIN s USING (label)")
+def per_class_accuracy(spark, sf):
+    return metrics.per_class_accuracy(_logits(spark, sf), _all_labels(spark)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {_LOGITS}, s AS (SELECT label, avg((class_index = label)::INT) AS accuracy FROM p WHERE rank = 1 GROUP BY label) SELECT round(avg(accuracy), 6) AS mean, (avg(accuracy) >= 0.5 AND count_if(accuracy < 0.9) = 0) AS passed, array_to_string(list_sort(list(label) FILTER (accuracy < 0.9)), ',') AS offenders FROM s")
+def gate_offenders(spark, sf):
+    rows = _logits(spark, sf)
+    out = metrics.gate(metrics.per_class_accuracy(rows, rows.select("label").distinct()), 0.9, 0.5)
+    return out.select(F.round("mean", 6).alias("mean"), "passed", F.array_join(F.transform("offenders", lambda x: x.cast("string")), ",").alias("offenders"))
+
+
+_NEAR = f"""near AS (SELECT q.vec_id AS qid, q.label, (q.label = v.label) AS label_match,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT % ('q.embedding', 'v.embedding')} DESC, v.vec_id) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0)"""
+
+
+def _near(spark, sf):
+    queries = _queries(spark, sf).withColumnRenamed("embedding", "v")
+    items = _vectors(spark, sf).where(F.col("icon_id") % 50 != 0).select(F.col("icon_id").alias("item_id"), "label", F.col("embedding").alias("v"))
+    return metrics.nearest_first(queries, items, 10), queries
+
+
+@query(f"WITH {_NEAR}, b AS (SELECT qid, min(CASE WHEN label_match THEN rank END) AS best FROM near GROUP BY qid) SELECT round(avg((coalesce(best, 99999999) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(best, 99999999) <= 5)::INT), 6) AS recall_5, round(avg((coalesce(best, 99999999) <= 10)::INT), 6) AS recall_10 FROM b")
+def recall_at_k(spark, sf):
+    hits, queries = _near(spark, sf)
+    return metrics.recall_at(hits, queries).select(*[F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in (1, 5, 10)])
+
+
+@query(f"WITH {_NEAR}, b AS (SELECT qid, any_value(label) AS label, coalesce(min(CASE WHEN label_match THEN rank END) <= 10, false)::INT AS hit FROM near GROUP BY qid) SELECT label, round(avg(hit), 6) AS recall FROM b GROUP BY label")
+def per_class_recall(spark, sf):
+    return metrics.per_class_recall(*_near(spark, sf)).withColumn("recall", F.round("recall", 6))
+
+
+@query("SELECT max(abs(c_acctbal - round(c_acctbal, 1))) < 0.0501 AS close, count_if(abs(c_acctbal - round(c_acctbal, 1)) > 0.02) AS offenders FROM customer")
+def parity_check(spark, sf):
+    customer = _read(spark, sf, "customer")
+    rounded = customer.select("c_custkey", F.round("c_acctbal", 1).alias("c_acctbal"))
+    return metrics.parity(customer, rounded, "c_custkey", "c_acctbal", 0.02).select((F.col("max_difference") < 0.0501).alias("close"), "offenders")
+
+
+@query("SELECT d.label::INTEGER AS label, coalesce(n, 0) AS n, coalesce(n, 0) < 45 AS sparse FROM range(12) d(label) LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)")
+def sparse_classes(spark, sf):
+    return metrics.sparse_classes(_vectors(spark, sf), _all_labels(spark), 45)
+
+
+# --- lexical
+
+
+@query("""SELECT doc_id, t.n AS n_tokens, array_to_string(t.l, ' ') AS tokens FROM (
+  SELECT doc_id, text, list_filter(regexp_split_to_array(lower(strip_accents(replace(text, 'ß', ' '))), '[^a-z]+'), lambda x: x <> '') AS a FROM documents) d,
+  LATERAL (SELECT len(list_distinct(a)) AS n, list_transform(list_sort(list_transform(list_distinct(a), lambda x: {'p': list_position(a, x), 't': x})), lambda s: s.t) AS l) t""")
+def tokenize(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@query(f"WITH {_ICONS} SELECT token, count(*) AS n, array_to_string(list(icon_id ORDER BY icon_id), ',') AS icon_ids FROM (SELECT DISTINCT icon_id, unnest(tokens) AS token FROM icons) GROUP BY token")
+def inverted_index(spark, sf):
+    return lexical.inverted_index(_icons(spark, sf)).select("token", F.size("icon_ids").cast("long").alias("n"), F.array_join(F.transform("icon_ids", lambda x: x.cast("string")), ",").alias("icon_ids"))
+
+
+@query(f"WITH {_ICONS} SELECT count(*) AS icon_count, count(DISTINCT category) AS category_count, count(DISTINCT (category, pack)) AS pack_count, (SELECT count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM icons)) AS token_count FROM icons")
+def corpus_counts(spark, sf):
+    return lexical.corpus_counts(_icons(spark, sf))
+
+
+@query("SELECT p_brand, row_number() OVER (ORDER BY first, p_brand) - 1 AS id FROM (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY p_brand)")
+def dictionary_build(spark, sf):
+    return lexical.dictionary(_read(spark, sf, "part"), "p_brand", "p_partkey")
+
+
+_PHRASES = [("red ring", 0, "red ring"), ("red ring", 1, "ring"), ("red ring", 2, "hot"), ("gizmo", 0, "gizmo"), ("gizmo", 1, "small gear"), ("nothing", 0, "???"), ("nothing", 1, "unheard")]
+_PH = "ph(class, phrase_index, tokens) AS (VALUES " + ", ".join(f"('{c}', {i}, {[t for t in p.split() if t.isalpha()]}::VARCHAR[])" for c, i, p in _PHRASES) + ")"
+_MATCH = "m AS (SELECT p.class, p.phrase_index, p.tokens AS wanted, i.* FROM ph p JOIN icons i ON len(p.tokens) > 0 AND list_has_all(i.tokens, p.tokens))"
+
+
+def _phrases(spark) -> DataFrame:
+    return spark.createDataFrame(_PHRASES, "class string, phrase_index int, phrase string").select("class", "phrase_index", text.tokenize(F.col("phrase")).alias("tokens"))
+
+
+@query(f"WITH {_ICONS}, {_PH}, {_MATCH} SELECT class, phrase_index::INTEGER AS phrase_index, icon_id FROM m")
+def phrase_match(spark, sf):
+    return lexical.match_phrases(_phrases(spark), lexical.postings(_icons(spark, sf)))
+
+
+@query(f"""WITH {_ICONS}, {_PH}, {_MATCH}, b AS (SELECT class, icon_id, max(CASE WHEN phrase_index = 0 THEN 100 ELSE 50 + greatest(0, 40 - 10 * phrase_index) END + 10 * len(wanted) + CASE WHEN tokens = wanted THEN 20 ELSE 0 END) AS relevance FROM m GROUP BY ALL),
+  s AS (SELECT b.class, b.icon_id, relevance + CASE WHEN (b.class = 'red ring' AND category = 'Brand#2') OR (b.class = 'gizmo' AND category = 'Brand#5') THEN 30 ELSE 0 END + CASE category WHEN 'Brand#3' THEN -15 WHEN 'Brand#4' THEN -40 ELSE 0 END AS score
+    FROM b JOIN icons i USING (icon_id) WHERE NOT (b.class = 'gizmo' AND list_contains(i.tokens, 'blue')))
+  SELECT class, rank::INTEGER AS rank, icon_id, score::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY score DESC, icon_id) AS rank FROM s) WHERE rank <= 12""")
+def candidate_score_topk(spark, sf):
+    liked = spark.createDataFrame([("red ring", "Brand#2"), ("gizmo", "Brand#5")], "class string, category string")
+    points = spark.createDataFrame([("Brand#3", -15), ("Brand#4", -40)], "category string, points int")
+    banned = spark.createDataFrame([("gizmo", "blue")], "class string, token string")
+    return lexical.score_candidates(_phrases(spark), _icons(spark, sf), liked, points, banned)
+
+
+@query("SELECT n_nationkey AS icon_id, n_regionkey AS pack_id, r_name || '/' || 'REGION ' || r_regionkey || '/' || n_name || '.svg' AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+def dictionary_decode(spark, sf):
+    region = _read(spark, sf, "region")
+    packs = region.select(F.col("r_regionkey").alias("pack_id"), F.col("r_regionkey").alias("category_id"), F.concat(F.lit("REGION "), F.col("r_regionkey")).alias("pack"))
+    categories = region.select(F.col("r_regionkey").alias("category_id"), F.col("r_name").alias("name"))
+    icons = _read(spark, sf, "nation").select(F.col("n_nationkey").alias("icon_id"), F.col("n_regionkey").alias("pack_id"), F.concat("n_name", F.lit(".svg")).alias("filename"))
+    return lexical.icon_paths(icons, packs, categories)
+
+
+@query(f"WITH {_ICONS} SELECT icon_id, category, pack, icon_id || '-' || replace(filename, ' ', '-') AS name, filename AS label, true AS confined FROM icons")
+def path_parts(spark, sf):
+    icons = _icons(spark, sf).select("icon_id", "path", text.path_parts(F.col("path")).alias("p"))
+    return icons.select("icon_id", "p.category", "p.pack", "p.name", text.display_label(F.col("p.name")).alias("label"), text.confined_path(F.col("path")).alias("confined"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*/?([^?#]*)', 1) || CASE page_id % 3 WHEN 0 THEN '.svg' WHEN 1 THEN '/../x.svg' ELSE '.SVG' END AS path FROM pages)
+  SELECT page_id, path, (ends_with(path, '.svg') AND NOT contains(path, '\') AND len(string_split(path, '/')) >= 2 AND len(list_filter(string_split(path, '/'), lambda s: s IN ('', '.', '..'))) = 0) AS confined FROM p""")
+def confined_path(spark, sf):
+    tail = F.when(F.col("page_id") % 3 == 0, F.lit(".svg")).when(F.col("page_id") % 3 == 1, F.lit("/../x.svg")).otherwise(F.lit(".SVG"))
+    path = F.concat(F.regexp_extract("url", r"://[^/?#]*/?([^?#]*)", 1), tail)
+    return _read(spark, sf, "pages").select("page_id", path.alias("path"), text.confined_path(path).alias("confined"))
+
+
+@query(f"""SELECT page_id, 'https://cdn.jsdelivr.net/gh/owner/icons@{COMMIT}/' || replace(replace(replace(replace(replace(replace(replace(url_encode(url), '%2F', '/'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'), '%7E', '~') AS url FROM pages""")
+def canonical_url(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", text.canonical_url(F.lit("owner/icons"), F.lit(COMMIT), F.col("url")).alias("url"))
+
+
+@query("SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn <= 3")
+def first_n_per_pack(spark, sf):
+    return lexical.first_per_pack(_read(spark, sf, "part"), 3, "p_brand", "p_partkey").select("p_brand", "p_partkey")
+
+
+@query("SELECT DISTINCT l_partkey AS icon_id FROM lineitem WHERE l_linenumber <= 2")
+def candidate_union(spark, sf):
+    lists = _read(spark, sf, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("candidate_ids"))
+    return lexical.candidate_union(lists)
+
+
+@query("""SELECT page_id AS seq, string_split(path, '/')[1] AS category, string_split(path, '/')[2] AS pack, string_split(path, '/')[3] AS filename FROM (
+  SELECT page_id, 'pages/' || (page_id % 7) || '/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.SVG' ELSE '.png' END AS path FROM pages) WHERE lower(path) LIKE '%.svg'""")
+def tree_listing(spark, sf):
+    path = F.concat_ws("/", F.lit("pages"), (F.col("page_id") % 7).cast("string"), F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, F.lit(".SVG")).otherwise(F.lit(".png"))))
+    return lexical.icons_of_tree(_read(spark, sf, "pages").select(F.col("page_id").alias("seq"), path.alias("path"))).select("seq", "category", "pack", "filename")
+
+
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM (SELECT o_orderkey, (o_totalprice * 10)::BIGINT AS b FROM orders)")
+def format_bytes(spark, sf):
+    return _read(spark, sf, "orders").select("o_orderkey", text.format_bytes(F.round(F.col("o_totalprice") * 10).cast("long")).alias("size"))
+
+
+# --- deduplication
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS representative, count(*) AS duplicates FROM documents GROUP BY 1")
+def content_dedup(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("d"))
+    return dedup.by_digest(docs, "d", "doc_id")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS representative FROM documents")
+def content_members(spark, sf):
+    return dedup.members(_read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("d")), "d", "doc_id")
+
+
+@query(r"SELECT sha256(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS digest, min(doc_id) AS representative, count(*)::BIGINT AS duplicates FROM documents GROUP BY 1")
+def two_level_dedup(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("d"), F.sha2(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), 256).alias("e"))
+    return dedup.two_level(docs, "d", "e", "doc_id")
+
+
+@query("SELECT d.status::INTEGER AS status, coalesce(n, 0) AS n FROM range(4) d(status) LEFT JOIN (SELECT CASE WHEN n_chars < 100 THEN 2 WHEN n_chars > 10000 THEN 3 ELSE 0 END AS status, count(*) AS n FROM documents GROUP BY 1) USING (status)")
+def status_histogram(spark, sf):
+    status = F.when(F.col("n_chars") < 100, F.lit(raster.EMPTY)).when(F.col("n_chars") > 10000, F.lit(raster.OUT_OF_BAND)).otherwise(F.lit(raster.OK))
+    every = spark.range(4).select(F.col("id").cast("int").alias("status"))
+    return dedup.histogram(_read(spark, sf, "documents").select(status.alias("status")), "status", every)
+
+
+@query()
+def table_fingerprint(spark, sf):
+    return dedup.table_fingerprint(_read(spark, sf, "nation"), "n_nationkey", "n_name", "n_regionkey")
+
+
+# --- datasets
+
+
+@query("SELECT d.role AS split, coalesce(n, 0) AS count, coalesce(lo, 0) AS min_length, coalesce(hi, 0) AS max_length FROM (VALUES ('user'), ('assistant'), ('nobody')) d(role) LEFT JOIN (SELECT role, count(*) AS n, min(length(text)) AS lo, max(length(text)) AS hi FROM conversations GROUP BY role) USING (role)")
+def split_profile(spark, sf):
+    turns = _read(spark, sf, "conversations").select(F.col("role").alias("split"), F.length("text").cast("long").alias("length"))
+    return dataset.split_profile(turns, spark.createDataFrame([("user",), ("assistant",), ("nobody",)], "split string"))
+
+
+@query("SELECT conv_id, array_to_string(list(DISTINCT role ORDER BY role), ',') AS role FROM conversations GROUP BY conv_id")
+def distinct_values(spark, sf):
+    return dataset.distinct_values(_read(spark, sf, "conversations"), "conv_id", "role").select("conv_id", F.array_join("role", ",").alias("role"))
+
+
+@query("SELECT label, vec_id, draw FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY sha256('17:' || label || ':' || vec_id), vec_id) AS draw FROM embeddings) WHERE draw <= 20")
+def stratified_sample(spark, sf):
+    rows = _read(spark, sf, "embeddings").select("vec_id", "label")
+    return dataset.stratified_sample(rows, ["label"], "vec_id", 20, 17).select("label", "vec_id", "draw")
+
+
+@query("SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY sha256('5:' || quality || ':' || doc_id), doc_id) <= least(100, count(*) OVER (PARTITION BY quality) - 2))::INTEGER AS split FROM labels")
+def holdout_split(spark, sf):
+    return dataset.holdout(_read(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id", 100, 5)
+
+
+@query("SELECT vec_id, CASE label WHEN 2 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS label FROM embeddings WHERE label IN (2, 5, 7)")
+def class_remap(spark, sf):
+    mapping = spark.createDataFrame([(2, 0), (5, 1), (7, 2)], "old int, new int")
+    return dataset.remap_classes(_read(spark, sf, "embeddings").select("vec_id", "label"), mapping)
+
+
+@query("SELECT role AS split, count(*) AS count, 300::INTEGER AS expected FROM conversations GROUP BY role HAVING count(*) <> 300")
+def wrong_splits(spark, sf):
+    counts = _read(spark, sf, "conversations").groupBy(F.col("role").alias("split")).agg(F.count("*").alias("count"))
+    roles = {"user": 300, "assistant": 300, "system": 300}
+    return dataset.wrong_splits(counts, roles)
+
+
+@query("SELECT p_brand, count(*) AS available FROM part GROUP BY p_brand HAVING count(*) < 80")
+def short_strata(spark, sf):
+    return dataset.short_strata(_read(spark, sf, "part"), ["p_brand"], 80)
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM part) SELECT p_partkey, (((p_partkey + 1) * 7 - 1) // n)::INTEGER AS part FROM part, n")
+def contiguous_parts(spark, sf):
+    part = _read(spark, sf, "part")
+    total = part.agg(F.count("*").alias("n"))
+    return part.join(F.broadcast(total)).select("p_partkey", dataset.contiguous_part(F.col("p_partkey"), F.col("n"), 7).alias("part"))
+
+
+@query("SELECT n_name AS name, sha256(n_name || ':' || n_regionkey) AS fingerprint FROM nation WHERE n_regionkey % 2 = 1")
+def stale_artifacts(spark, sf):
+    nation = _read(spark, sf, "nation")
+    now = nation.select(F.col("n_name").alias("name"), F.sha2(F.concat_ws(":", "n_name", "n_regionkey"), 256).alias("fingerprint"))
+    cached = nation.select(F.col("n_name").alias("name"), F.sha2(F.concat_ws(":", "n_name", F.col("n_regionkey") + F.col("n_regionkey") % 2), 256).alias("fingerprint"))
+    return dataset.stale(now, cached)
+
+
+# --- strokes
+
+
+def _strokes(spark, sf) -> DataFrame:
+    return _read(spark, sf, "events").select(F.col("user_id").alias("drawing_id"), F.col("event_id").alias("seq"), F.col("value").alias("dx"), (F.col("event_id") % 10).cast("double").alias("dy"), (F.col("event_type") == "purchase").cast("int").alias("pen"))
+
+
+_STROKES = """s AS (SELECT user_id AS drawing_id, event_id AS seq, value AS dx, (event_id % 10)::DOUBLE AS dy, (event_type = 'purchase')::INTEGER AS pen FROM events),
+  p AS (SELECT drawing_id, seq, sum(dx) OVER w AS x, sum(dy) OVER w AS y, coalesce(sum(pen) OVER (PARTITION BY drawing_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS polyline
+    FROM s WINDOW w AS (PARTITION BY drawing_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"WITH {_STROKES} SELECT drawing_id, seq, round(x, 4) AS x, round(y, 4) AS y, polyline FROM p")
+def stroke_prefix_sum(spark, sf):
+    return strokes.decode_stroke3(_strokes(spark, sf)).withColumn("x", F.round("x", 4)).withColumn("y", F.round("y", 4))
+
+
+@query(f"WITH {_STROKES} SELECT drawing_id, round(min(x), 4) AS left, round(min(y), 4) AS top, round(max(x), 4) AS right, round(max(y), 4) AS bottom FROM p GROUP BY drawing_id")
+def bbox(spark, sf):
+    box = strokes.bounding_box(strokes.decode_stroke3(_strokes(spark, sf)), "drawing_id")
+    return box.select("drawing_id", *[F.round(c, 4).alias(c) for c in ("left", "top", "right", "bottom")])
+
+
+@query(f"""WITH {_STROKES}, b AS (SELECT *, min(x) OVER w AS lx, min(y) OVER w AS ly, max(x) OVER w - min(x) OVER w AS wide, max(y) OVER w - min(y) OVER w AS high FROM p WINDOW w AS (PARTITION BY drawing_id)),
+  s2 AS (SELECT *, coalesce(least(CASE WHEN wide > 0 THEN 53.5::DOUBLE / wide END, CASE WHEN high > 0 THEN 53.5::DOUBLE / high END), 1.0) AS scale FROM b)
+  SELECT drawing_id, seq, round((x - lx) * scale + (64 - wide * scale) / 2, 4) AS nx, round((y - ly) * scale + (64 - high * scale) / 2, 4) AS ny FROM s2""")
+def normalize_square(spark, sf):
+    out = strokes.normalize_square(strokes.decode_stroke3(_strokes(spark, sf)), "drawing_id")
+    return out.select("drawing_id", "seq", F.round("nx", 4).alias("nx"), F.round("ny", 4).alias("ny"))
+
+
+@query("""SELECT user_id AS drawing_id, CASE WHEN max(abs(value)) > 32767 THEN 'not a 16-bit number' WHEN arg_max(event_type, event_id) <> 'purchase' THEN 'no final lift' END AS problem FROM events GROUP BY user_id""")
+def stroke_validate(spark, sf):
+    rows = _strokes(spark, sf).groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("seq", "dx", "dy", "pen"))).alias("s"))
+    return rows.select("drawing_id", strokes.stroke3_problem(F.col("s")).alias("problem"))
+
+
+@query()
+def stroke_rasters(spark, sf):
+    lines = strokes.polylines(strokes.decode_stroke3(_strokes(spark, sf)))
+    return lines.select("drawing_id", F.sha2(raster.rasterize_polylines(F.col("polylines")), 256).alias("digest"))
+
+
+_SVGS = [
+    ("square", '<svg><path d="M 10 10 H 30 V 20 L 10 20 Z"/></svg>'),
+    ("relative", '<svg><path d="m 5 5 l 10 0 10 0"/></svg>'),
+    ("nested", '<svg><g transform="translate(10 20)"><path d="M0 0 L5 0" transform="scale(2)"/></g></svg>'),
+    ("ring", '<svg><circle cx="50" cy="50" r="25" fill="none" stroke="black"/></svg>'),
+    ("hidden", '<svg><g visibility="hidden"><path d="M0 0 L10 0"/></g></svg>'),
+    ("broken", '<svg><path d="M0 0 X10 10"/></svg>'),
+]
+
+
+@query()
+def svg_polylines(spark, sf):
+    rows = spark.createDataFrame(_SVGS, "id string, svg string")
+    return rows.select("id", F.to_json(raster.polylines_of_svg(F.col("svg"))).alias("polylines"))
+
+
+@query()
+def svg_rasters(spark, sf):
+    rows = spark.createDataFrame(_SVGS, "id string, svg string").select("id", raster.rasterize_svg(F.col("svg")).alias("r"))
+    return rows.select("id", F.col("r.status").cast("int").alias("status"), F.sha2("r.bitmap", 256).alias("digest"))
+
+
+@query()
+def encoder_hook(spark, sf):
+    bitmaps = strokes.polylines(strokes.decode_stroke3(_strokes(spark, sf))).select(F.col("drawing_id").alias("id"), raster.rasterize_polylines(F.col("polylines")).alias("bitmap"))
+
+    def blocks(images):
+        """A stand-in encoder: the mean ink of 8 x 8 blocks at length 1."""
+        import numpy as np
+
+        v = images.reshape(-1, 8, 8, 8, 8).mean(axis=(2, 4)).reshape(len(images), 64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), v[:, :10]
+
+    return encoder.encode(bitmaps, blocks).select("id", F.round(vectors.norm(F.col("embedding")), 3).alias("norm"))
+
+
+# --- curation and suggestions
+
+
+def _manifest(spark, sf) -> DataFrame:
+    return _read(spark, sf, "documents").select(F.col("source").alias("class"), F.col("doc_id").alias("candidate_id"), "lang")
+
+
+def _decisions(spark, sf) -> DataFrame:
+    verdict = F.when(F.col("toxic") == 1, F.lit(curation.REJECTED)).when(F.col("quality") == 1, F.lit(curation.ACCEPTED))
+    marks = _read(spark, sf, "labels").select(F.col("doc_id").alias("candidate_id"), verdict.alias("decision")).where("decision is not null")
+    return marks.join(_manifest(spark, sf).select("class", "candidate_id"), "candidate_id")
+
+
+def _reviewed(spark, sf) -> DataFrame:
+    return _manifest(spark, sf).select("class").distinct().where(F.col("class").endswith("1"))
+
+
+_DECIDED = """decided AS (SELECT d.source AS class, l.doc_id AS candidate_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' END AS decision FROM labels l JOIN documents d USING (doc_id) WHERE toxic = 1 OR quality = 1)"""
+
+
+@query(f"WITH {_DECIDED} SELECT (SELECT count(DISTINCT source) FROM documents) AS class_count, (SELECT count(DISTINCT source) FROM documents WHERE source LIKE '%1') AS reviewed_count, count_if(decision = 'accepted') AS accepted_count, count_if(decision = 'rejected') AS rejected_count FROM decided")
+def curation_stats(spark, sf):
+    return curation.stats(_manifest(spark, sf), _decisions(spark, sf), _reviewed(spark, sf))
+
+
+@query(f"WITH {_DECIDED} SELECT m.class, m.candidates, coalesce(d.decided, 0) AS decided, floor(coalesce(d.decided, 0) * 100 / m.candidates + 0.5)::BIGINT AS percent FROM (SELECT source AS class, count(*) AS candidates FROM documents GROUP BY source) m LEFT JOIN (SELECT class, count(*) AS decided FROM decided GROUP BY class) d USING (class)")
+def curation_progress(spark, sf):
+    return curation.progress(_manifest(spark, sf), _decisions(spark, sf))
+
+
+@query(f"WITH {_DECIDED}, a AS (SELECT class, candidate_id FROM decided WHERE decision = 'accepted') SELECT * FROM a UNION ALL SELECT DISTINCT source, NULL FROM documents WHERE source LIKE '%1' AND source NOT IN (SELECT class FROM a)")
+def curated_export(spark, sf):
+    return curation.curated_export(_manifest(spark, sf), _decisions(spark, sf), _reviewed(spark, sf))
+
+
+@query("SELECT doc_id AS candidate_id, 'src0' AS class FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0')")
+def curation_orphans(spark, sf):
+    marks = _read(spark, sf, "labels").select(F.lit("src0").alias("class"), F.col("doc_id").alias("candidate_id"))
+    return curation.orphans(marks, _manifest(spark, sf)).select("candidate_id", "class")
+
+
+@query("SELECT user_id::VARCHAR AS class, (event_id % 7) AS candidate_id, arg_max(event_type, event_id) AS decision FROM events GROUP BY 1, 2 HAVING arg_max(event_type, event_id) <> 'error'")
+def lww_fold(spark, sf):
+    kind = F.nullif("event_type", F.lit("error"))
+    log = _read(spark, sf, "events").select(F.col("user_id").cast("string").alias("class"), (F.col("event_id") % 7).alias("candidate_id"), kind.alias("decision"), F.col("event_id").alias("seq"))
+    return curation.fold_decisions(log)
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS label, c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer),
+  p(qid, pos, label) AS (VALUES (1, 0, 'BUILDING'), (1, 1, 'MACHINERY'), (1, 2, 'BUILDING'), (2, 0, 'HOUSEHOLD')),
+  f AS (SELECT qid, label, min(pos) AS pos FROM p GROUP BY ALL)
+  SELECT qid, id, label, place FROM (SELECT f.qid, c.id, f.label, row_number() OVER (PARTITION BY f.qid ORDER BY c.rank, f.pos, c.id) AS place FROM f JOIN c USING (label)) WHERE place <= 25""")
+def interleave(spark, sf):
+    order = W.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    rows = _read(spark, sf, "customer").select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("id"), F.row_number().over(order).alias("rank"))
+    guesses = spark.createDataFrame([(1, 0, "BUILDING"), (1, 1, "MACHINERY"), (1, 2, "BUILDING"), (2, 0, "HOUSEHOLD")], "qid int, pos int, label string")
+    return curation.interleave(guesses, rows, limit=25)
+
+
+@query("SELECT class FROM (SELECT source AS class, list(DISTINCT lang) AS a FROM documents GROUP BY source) WHERE class NOT LIKE '%1' AND (contains(lower(class), 'c1') OR len(list_filter(a, lambda x: contains(lower(x), 'c1'))) > 0)")
+def class_filter(spark, sf):
+    classes = _manifest(spark, sf).groupBy("class").agg(F.collect_set("lang").alias("aliases"))
+    return curation.class_filter(classes, classes, _reviewed(spark, sf), "mvp", "pending", "C1").select("class")
+
+
+@query("SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def neighbours(spark, sf):
+    return curation.neighbours(_read(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_orderkey", "o_orderkey", "o_custkey")
+
+
+@query(r"SELECT path, count(*) AS urls FROM (SELECT DISTINCT regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, url FROM pages) GROUP BY path HAVING count(*) > 1")
+def url_conflicts(spark, sf):
+    rows = _read(spark, sf, "pages").select(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1).alias("path"), "url")
+    return curation.conflicting_urls(rows)
+
+
+@query("SELECT DISTINCT label, problem FROM (SELECT c_mktsegment AS label, 'unknown label' AS problem FROM customer WHERE c_mktsegment NOT IN ('BUILDING') UNION ALL SELECT c_mktsegment, 'probability' FROM customer WHERE c_acctbal / 10000 NOT BETWEEN 0 AND 1)")
+def unknown_labels(spark, sf):
+    rows = _read(spark, sf, "customer").select(F.col("c_mktsegment").alias("label"), (F.col("c_acctbal") / 10000).alias("probability"))
+    return curation.unknown_labels(rows, spark.createDataFrame([("BUILDING", 0, 1)], "label string, rank int, id int")).distinct()
+
+
+@query("SELECT DISTINCT * FROM (SELECT l_orderkey::VARCHAR AS class, 'repeated id' AS problem FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT o_orderkey::VARCHAR, 'no candidates' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT l_orderkey::VARCHAR, 'unknown class' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))")
+def ref_integrity(spark, sf):
+    rows = _read(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("class"), F.col("l_linenumber").alias("id"))
+    return curation.manifest_problems(rows, _read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("class")))
+
+
+# --- extensions
+
+
+@query("""SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, (lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 10 MINUTE)::INT AS fresh FROM events)) GROUP BY user_id, g""")
+def debounce_sessions(spark, sf):
+    return folds.debounced(_read(spark, sf, "events"), "user_id", "ts", "10 minutes")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def newest_result(spark, sf):
+    return folds.newest(_read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
