@@ -42,7 +42,7 @@ from .kernels import Words, blocks, grams, mix
 
 SHINGLE = 5
 COLLECTIONS, WIDTH = 16, 2
-LEADERS = 4
+LEADERS = 3
 BLOCK_ITEMS = 400_000
 #: A pair goes on to confirmation if so many of the 32 minhashes agree; at 0.75, 24 do on average.
 LEAST_AGREEING = 12
@@ -333,16 +333,16 @@ def components(links: DataFrame) -> DataFrame:
     labels of their ends. Links within a label vanish, so each round has fewer; none are left when the labels are
     the components.
     """
-    edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while True:
-        near = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near"))
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near"))
         far = near.select(F.col("a").alias("near"), F.col("near").alias("far"))
         hop = stored(near.join(far, "near").select(F.col("a").alias("node"), "far"))
         step = hop.select(F.col("node").alias("label"), "far")
         labels = stored(hop.withColumnRenamed("far", "label") if labels is None else labels.join(step, "label", "left").select("node", F.coalesce("far", "label").alias("label")))
         at, to = hop.select(F.col("node").alias("a"), F.col("far").alias("x")), hop.select(F.col("node").alias("b"), F.col("far").alias("y"))
-        edges = stored(edges.join(at, "a").join(to, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        edges = stored(edges.join(at, "a").join(to, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if edges.isEmpty():
             return labels
 

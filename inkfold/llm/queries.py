@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, host_rules, kneser_ney, mixing, near_dup, pii_surrogates, sharding, substring_dedup, toxicity, url_filter
 from .common import read, stored
+from .sql import SQL  # noqa: F401
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
 }
-
-SQL: dict[str, str] = {
-    "op2_mixing": mixing.SQL,
-}
