@@ -86,3 +86,113 @@ def substring_dedup(docs, window=50):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def base_failed(text):
+    n, _, _, _, repeats = host_base(text)
+    return n < 10 or 100 * repeats > 20 * n
+
+
+def jump(key, shards):
+    """Jump consistent hashing as published."""
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def mix(docs, budget=1.5, epochs=2.0, weights=(5, 2, 1), seed=1):
+    """doc_id -> copies, for (doc_id, source, text): clamps and reshares until nobody is above."""
+    sizes = defaultdict(int)
+    for _, s, t in docs:
+        sizes[s] += len(words(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, free, target = budget * sum(sizes.values()), set(order), {}
+    while True:
+        level = left / sum(weight[s] for s in free) if free else 0
+        over = {s for s in free if epochs * sizes[s] <= level * weight[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = epochs * sizes[s]
+            left -= target[s]
+        free -= over
+    target |= {s: level * weight[s] for s in free}
+    out = {}
+    for s in order:
+        ratio = target[s] / sizes[s] if sizes[s] else 0
+        whole = int(ratio)
+        quota, so_far = target[s] - whole * sizes[s], 0
+        mine = sorted((int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16), i, len(words(t))) for i, x, t in docs if x == s)
+        for _, i, n in mine:
+            so_far += n
+            out[i] = whole + (so_far - n / 2 <= quota and quota > 0)
+    return out
+
+
+def host_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return lower_ascii(host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def rule(host, path, rules):
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if not fits:
+        return None, None
+    longest = max(f[0] for f in fits)
+    return min(f[1:] for f in fits if f[0] == longest)
+
+
+def url_model(urls, order=4, keep=0.95):
+    """(host, path) -> (score, threshold) of the URLs without a ruling, for (host, path, ruling)."""
+    import math
+    import zlib
+
+    urls = sorted(set(urls), key=str)
+    held = lambda u: zlib.crc32(f"{u[0]}\x00{u[1]}".encode()) % 5 == 0
+
+    def runs(u):
+        s = "\x02" * order + u[0] + u[1] + "\x03"
+        return [s[i : i + order + 1] for i in range(len(s) - order)]
+
+    counts = {k: [Counter() for _ in range(order + 1)] for k in ("allow", "block")}
+    for u in urls:
+        if u[2] and not held(u):
+            for r in runs(u):
+                for k in range(order + 1):
+                    counts[u[2]][k][r[order - k :]] += 1
+    contexts = {}
+    for kind, tables in counts.items():
+        for k, t in enumerate(tables):
+            for g, n in t.items():
+                c = contexts.setdefault((kind, k, g[:-1]), [0, 0])
+                c[0] += n
+                c[1] += 1
+
+    def p(kind, run):
+        out = 1 / 256
+        for k in range(order + 1):
+            g = run[order - k :]
+            n, t = contexts.get((kind, k, g[:-1]), (0, 0))
+            if n + t:
+                out = (counts[kind][k][g] + t * out) / (n + t)
+        return out
+
+    scores = {}
+    for u in urls:
+        if not u[2] or held(u):
+            r = runs(u)
+            scores[u] = round(sum(math.log(p("allow", x)) - math.log(p("block", x)) for x in r) / len(r), 6)
+
+    def quantile(kind, q):
+        v = sorted(s for u, s in scores.items() if u[2] == kind)
+        return v[max(0, math.ceil(q * len(v)) - 1)]
+
+    threshold = (quantile("allow", 1 - keep) + quantile("block", keep)) / 2
+    return {u[:2]: (s, threshold) for u, s in scores.items() if not u[2]}
