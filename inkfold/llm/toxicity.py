@@ -3,9 +3,9 @@
 Fit. A bounded sample of labelled documents (``PER_CLASS`` of each label, by a hash of doc_id) is reduced to hashed
 word sets on the executors, and a sparse logistic model is fitted on the driver: proximal gradient steps select few
 words, a second fit on those sets their weights. Counterfactuals: in each labelled text that names a group, the
-identity term is swapped for the others of its kind, and the squared change of the score is penalised, so that the
-model can't learn from a mention alone which group is named. The penalty also pulls the weights of identity terms
-of a kind towards each other directly, for terms the sample has too rarely.
+identity term is swapped for the others of its kind and left out, and the squared change of the score is penalised,
+so that the model can't learn from a mention alone, nor which group is named. Terms that the sample has rarely or
+never are penalised as well.
 
 Score. The weights (``2^FEATURE_BITS`` floats, a fixed size) go to the executors; every whole text is scored in one
 pass without a shuffle.
@@ -49,19 +49,24 @@ _BREAK[65:91] = False
 _BREAK[97:123] = False
 
 
+def _hashed(w: Words) -> np.ndarray:
+    """A row of features for the words and one for each length of prefix."""
+    shift = np.uint64(64 - FEATURE_BITS)
+    return np.stack([w.hashes >> shift, *(mix(w.prefixes(n) + np.uint64(n)) >> shift for n in PREFIXES)]).astype(np.int32)
+
+
 def word_sets(texts: list) -> Iterator[np.ndarray]:
     """The sorted set of hashed words and prefixes of each text."""
     for _, raw in blocks(texts):
         w = Words(raw, lower=True, breaks=_BREAK)
-        shift = np.uint64(64 - FEATURE_BITS)
-        f = np.stack([w.hashes >> shift, *(mix(w.prefixes(n) + np.uint64(n)) >> shift for n in PREFIXES)]).astype(np.int32)
+        f = _hashed(w)
         for lo, hi in zip(w.first[:-1], w.first[1:]):
             yield np.unique(f[:, lo:hi])
 
 
-def _feature(word: str) -> int:
-    """The feature of a whole word."""
-    return int(Words([word.encode()], lower=True, breaks=_BREAK).hashes[0] >> np.uint64(64 - FEATURE_BITS))
+def _features(word: str) -> list[int]:
+    """The features of one word: itself, then its prefixes."""
+    return [int(f) for f in _hashed(Words([word.encode()], lower=True, breaks=_BREAK))[:, 0]]
 
 
 class Model:
@@ -91,7 +96,8 @@ class _Sparse:
 def fit(sets: list[np.ndarray], labels: np.ndarray, l1: float = 1e-3, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 200) -> Model:
     """Fit the model to word sets and labels 0 and 1 (both must occur)."""
     seen, columns = np.unique(np.concatenate(sets), return_counts=True)
-    terms = {k: np.array([_feature(t) for t in v]) for k, v in IDENTITY.items()}
+    # a swap changes the word and its prefixes alike
+    terms = {(k, i): np.array([_features(t)[i] for t in v]) for k, v in IDENTITY.items() for i in range(1 + len(PREFIXES))}
     used = np.union1d(seen[columns >= 3], np.concatenate(list(terms.values())))
     place = lambda s: np.searchsorted(used, s[np.isin(s, used)])
     kinds = {k: np.searchsorted(used, np.unique(v)) for k, v in terms.items()}
@@ -99,14 +105,17 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, l1: float = 1e-3, l2: float
     y = labels.astype(np.float64)
     # each swap of a term in a labelled text changes its score by the difference of two weights
     swaps: dict[tuple[int, int], float] = {}
+    bare: dict[int, float] = {}  # and leaving the term out, by its weight
     for k in kinds.values():
         inside = np.bincount(np.concatenate([r[np.isin(r, k)] for r in rows] or [k[:0]]), minlength=len(used))[k]
         for i, at in enumerate(k):
+            bare[at] = inside[i] / len(rows) + 1e-3
             for other in k:
                 if other != at:
                     swaps[at, other] = inside[i] / len(rows) / (len(k) - 1) + 1e-3
     left, right = np.array([a for a, _ in swaps]), np.array([b for _, b in swaps])
     rate = np.array(list(swaps.values())) * counterfactual
+    alone = np.bincount(list(bare), list(bare.values()), len(used)) * counterfactual
     balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
 
     def run(active: np.ndarray, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
@@ -114,7 +123,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, l1: float = 1e-3, l2: float
         # steps scaled by each column's curvature bound
         size = np.maximum(np.bincount(x.row, minlength=len(rows)), 1)
         bound = 0.25 * np.bincount(x.index, weights=(balance * size)[x.row], minlength=len(used)) + l2 + 1e-6
-        bound += 4 * (np.bincount(left, rate, len(used)) + np.bincount(right, rate, len(used)))
+        bound += 2 * alone + 4 * (np.bincount(left, rate, len(used)) + np.bincount(right, rate, len(used)))
         w = z = np.zeros(len(used))
         b = c = 0.0
         t = 1.0
@@ -123,6 +132,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, l1: float = 1e-3, l2: float
             r = balance * (p - y)
             g = x.back(r) + l2 * z
             d = rate * (z[left] - z[right])
+            g += 2 * alone * z
             g += 2 * (np.bincount(left, d, len(used)) - np.bincount(right, d, len(used)))
             w1 = z - g / bound
             w1 = np.sign(w1) * np.maximum(np.abs(w1) - l1 / bound, 0) * active
