@@ -378,9 +378,9 @@ def tree_listing(spark, sf):
     return lexical.icons_of_tree(_read(spark, sf, "pages").select(F.col("page_id").alias("seq"), path.alias("path"))).select("seq", "category", "pack", "filename")
 
 
-@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM (SELECT o_orderkey, (o_totalprice * 10)::BIGINT AS b FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM (SELECT o_orderkey, floor(o_totalprice * 10)::BIGINT AS b FROM orders)")
 def format_bytes(spark, sf):
-    return _read(spark, sf, "orders").select("o_orderkey", text.format_bytes(F.round(F.col("o_totalprice") * 10).cast("long")).alias("size"))
+    return _read(spark, sf, "orders").select("o_orderkey", text.format_bytes(F.floor(F.col("o_totalprice") * 10)).alias("size"))
 
 
 # --- deduplication
@@ -645,7 +645,7 @@ def ref_integrity(spark, sf):
 
 @query("""SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, (lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 10 MINUTE)::INT AS fresh FROM events)) GROUP BY user_id, g""")
+    SELECT *, (lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 10 MINUTE)::INT AS fresh FROM events)) GROUP BY user_id, g""")
 def debounce_sessions(spark, sf):
     return folds.debounced(_read(spark, sf, "events"), "user_id", "ts", "10 minutes")
 

@@ -68,7 +68,7 @@ def candidate_rows(document: DataFrame) -> DataFrame:
 
 
 def read_blobs(spark: SparkSession, path: str, pattern: str = "*.svg", most: int = 512 * 1024) -> DataFrame:
-    """(path, digest, content, accepted) of files below a folder; empty and oversized files are not accepted."""
+    """(path, digest, content, accepted) of files below a folder; empty files have no row, oversized ones are not accepted."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return df.select("path", F.sha2("content", 256).alias("digest"), F.when(F.col("length").between(1, most), F.col("content")).alias("content"), F.col("length").between(1, most).alias("accepted"))
 
@@ -144,7 +144,7 @@ def read_npy_bitmaps(spark: SparkSession, path: str, size: int = 64) -> DataFram
     return files.mapInPandas(rows, "path string, row long, bitmap binary")
 
 
-@F.pandas_udf("array<tinyint>")
+@F.pandas_udf(T.ArrayType(T.ByteType()))
 def int8_codes(blob: pd.Series) -> pd.Series:
     """Bytes (decoded from base64 if need be) as signed numbers."""
     return blob.map(lambda b: np.frombuffer(b, np.int8).tolist() if b is not None else None)

@@ -9,7 +9,7 @@ from ..operators.curation import fold_decisions
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str, late: str | None = None) -> DataFrame:
-    """(key, started, ended, events): runs of events closer than the gap; the same for batch and stream.
+    """(key, started, ended, events): runs of events no further apart than the gap; the same for batch and stream.
 
     A stream needs ``late``, the watermark after which a session is closed.
     """
