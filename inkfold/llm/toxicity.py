@@ -99,15 +99,20 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, l1: float = 1e-3, l2: float
     # a swap changes the word and its prefixes alike
     terms = {(k, i): np.array([_features(t)[i] for t in v]) for k, v in IDENTITY.items() for i in range(1 + len(PREFIXES))}
     used = np.union1d(seen[columns >= 3], np.concatenate(list(terms.values())))
-    place = lambda s: np.searchsorted(used, s[np.isin(s, used)])
+
+    def place(s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(used, s), len(used) - 1)
+        return at[used[at] == s]
+
     kinds = {k: np.searchsorted(used, np.unique(v)) for k, v in terms.items()}
     rows = [place(s) for s in sets]
     y = labels.astype(np.float64)
+    times = np.bincount(np.concatenate(rows), minlength=len(used))
     # each swap of a term in a labelled text changes its score by the difference of two weights
     swaps: dict[tuple[int, int], float] = {}
     bare: dict[int, float] = {}  # and leaving the term out, by its weight
     for k in kinds.values():
-        inside = np.bincount(np.concatenate([r[np.isin(r, k)] for r in rows] or [k[:0]]), minlength=len(used))[k]
+        inside = times[k]
         for i, at in enumerate(k):
             bare[at] = inside[i] / len(rows) + 1e-3
             for other in k:
