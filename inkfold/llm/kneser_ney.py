@@ -1,7 +1,7 @@
 """Quality by an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-1. Texts are dealt into packs of about 8 MB by a hash of doc_id (one exchange, used by both passes) together with
-   the labels that say which are trusted. A pack sends each distinct run of ``ORDER`` characters once, with its
+1. Texts are dealt into packs of about 8 MB by a hash of doc_id, compressed by pack, together with the labels that
+   say which are trusted. A pack sends each distinct run of ``ORDER`` characters once, with its
    count in trusted text: what is gathered follows the size of the corpus, and the copies of a hot text meet
    within their packs.
 2. Runs are summed into the model's tables, one row per distinct run, and joined by their suffixes and contexts,
@@ -22,6 +22,8 @@ table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,6 +101,30 @@ def run_logs(counts: DataFrame) -> DataFrame:
     return out.select("run", F.log("p").alias("logp"))
 
 
+_KINDS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch by pack, compressed: texts of a pack take a third of their room on their way."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        pack = batch.column("pack").to_numpy()
+        order = np.argsort(pack, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], pack[order][1:] != pack[order][:-1], [True]))) if len(pack) else []
+        rows, bodies = batch.select(_KINDS.names), []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_batch(rows.take(pa.array(order[lo:hi])))
+            bodies.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(pack[order[edges[:-1]]] if len(edges) else [], pa.int32()), pa.array(bodies, pa.binary())], names=["pack", "body"])
+
+
+def _unfolded(table: pa.Table) -> pa.Table:
+    parts = [pa.ipc.open_stream(b).read_all() for b in table.column("body").to_pylist()]
+    return pa.concat_tables([p.cast(_KINDS) for p in parts]) if parts else _KINDS.empty_table()
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, trusted and perplexity of every row of ``docs``; ``trusted`` has the doc_ids of trusted text."""
     spark = docs.sparkSession
@@ -107,10 +133,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     packs = max(2 * n, size // PACK_BYTES)
     # texts of a doc_id must meet its label, rows without one can go anywhere
     pack = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(packs)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").withColumn("pack", pack).repartition(n, "pack")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").withColumn("pack", pack)
+    texts = texts.mapInArrow(_folded, "pack int, body binary").repartition(n, "pack")
     marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int")).repartition(n, "pack")
 
     def count(key: tuple, table: pa.Table, labels: pa.Table) -> pa.Table:
+        table = _unfolded(table)
         good = np.isin(table.column("doc_id").fill_null(-1).to_numpy(), labels.column("doc_id").to_numpy()) & ~np.array(table.column("doc_id").is_null())
         whole, times = np.empty(0, np.int64), np.empty(0, np.int64)
         texts = table.column("text").to_pylist()
@@ -123,6 +151,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return pa.table([pa.array(np.full(len(whole), key[0].as_py(), np.int32)), pa.array(whole, pa.int64()), pa.array(times, pa.int64())], names=["pack", "run", "n"])
 
     def score(key: tuple, table: pa.Table, logs: pa.Table) -> pa.Table:
+        table = _unfolded(table)
         known, at = logs.column("run").to_numpy(), logs.column("logp").to_numpy()
         order = np.argsort(known)
         known, at = known[order], at[order]
