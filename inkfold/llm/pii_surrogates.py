@@ -74,22 +74,23 @@ def canonical(e: Column, kind: Column) -> Column:
     return F.when(kind == "ip", e).otherwise(F.regexp_replace(F.lower(e), r"[^\p{L}\p{N}]+", ""))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _number(stream: Column, i: Column) -> Column:
-    """A number below 65536 for place ``i``, from a hash of the stream."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", stream, i.cast("string")).cast("binary")), 1, 4), 16, 10).cast("int")
+    """A number below 65536 for place ``i``, from a stream of 128 hexadecimal digits (read again from its start if short)."""
+    return F.conv(F.substring(stream, F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _shift(c: Column, by: Column) -> Column:
+def _shift(c: Column, by: Column, hexadecimal: Column) -> Column:
+    """The character ``by`` places on in its alphabet; others stay."""
     out = c
     for letters in ALPHABETS:
-        at = F.instr(F.lit(letters), c) - 1
-        out = F.when((c != "") & (at >= 0), F.substring(F.lit(letters), F.pmod(at + by, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
-    return out
-
-
-def _shift_hex(c: Column, by: Column) -> Column:
-    letters = F.lit("0123456789abcdef")
-    return F.substring(letters, F.pmod(F.instr(letters, c) - 1 + by, F.lit(16)) + 1, F.lit(1))
+        out = F.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), F.pmod(F.instr(F.lit(letters), c) - 1 + by, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
+    of_hex = F.lit("0123456789abcdef")
+    return F.when(hexadecimal, F.substring(of_hex, F.pmod(F.instr(of_hex, c) - 1 + by, F.lit(16)) + 1, F.lit(1))).otherwise(out)
 
 
 def _shift_octet(c: Column, by: Column) -> Column:
@@ -101,30 +102,28 @@ def _shift_octet(c: Column, by: Column) -> Column:
 def _walk(units: Column, tweak: Column, key: str, shift) -> Column:
     """The Feistel walk over an array of characters or octets: each half moves by a hash of the other."""
     cut = F.greatest(F.floor(F.size(units) / 2).cast("int"), F.lit(1))
-    left, right = F.slice(units, F.lit(1), cut), F.slice(units, cut + 1, F.size(units))
-    state = F.struct(left.alias("l"), right.alias("r"))
+    start = F.struct(F.slice(units, F.lit(1), cut).alias("l"), F.slice(units, cut + 1, F.size(units)).alias("r"))
+
+    def moved(half: Column, other: Column, turn: Column, side: str) -> Column:
+        stream = F.sha2(F.concat_ws(":", F.lit(key), tweak.cast("string"), turn.cast("string"), F.lit(side), F.array_join(other, ".")).cast("binary"), 512)
+        return _let(stream, lambda h: F.transform(half, lambda c, k: _let(_number(h, k), lambda by: shift(c, by))))
 
     def turn(s: Column, i: Column) -> Column:
-        by_right = F.md5(F.concat_ws("\x00", F.lit(key), tweak.cast("string"), i.cast("string"), F.lit("l"), F.array_join(s["r"], ".")).cast("binary"))
-        l = F.transform(s["l"], lambda c, k: shift(c, _number(by_right, k)))
-        by_left = F.md5(F.concat_ws("\x00", F.lit(key), tweak.cast("string"), i.cast("string"), F.lit("r"), F.array_join(l, ".")).cast("binary"))
-        return F.struct(l.alias("l"), F.transform(s["r"], lambda c, k: shift(c, _number(by_left, k))).alias("r"))
+        return _let(moved(s["l"], s["r"], i, "l"), lambda l: F.struct(l.alias("l"), moved(s["r"], l, i, "r").alias("r")))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, turn)
-    return F.concat(done["l"], done["r"])
+    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn), lambda s: F.concat(s["l"], s["r"]))
 
 
 def _dressed(e: Column, letters: Column) -> Column:
     """The characters of ``letters`` in the places of the letters and digits of ``e``, in its case."""
-    chars = F.split(e, "")
 
     def step(s: Column, c: Column) -> Column:
-        mine = c.rlike(r"^[\p{L}\p{N}]$")
-        new = F.element_at(letters, F.least(s["i"] + 1, F.greatest(F.size(letters), F.lit(1))))
-        put = F.when(mine, F.when(c.rlike(r"^\p{Lu}$"), F.upper(new)).otherwise(new)).otherwise(c)
-        return F.struct(F.concat(s["out"], put).alias("out"), F.when(mine, s["i"] + 1).otherwise(s["i"]).alias("i"))
+        new = F.element_at(s["left"], 1)
+        put = F.when(c.rlike(r"^\p{Lu}$"), F.upper(new)).otherwise(new)
+        used = F.struct(F.concat(s["out"], put).alias("out"), F.slice(s["left"], F.lit(2), F.size(s["left"])).alias("left"))
+        return F.when(c.rlike(r"^[\p{L}\p{N}]$"), used).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["left"].alias("left")))
 
-    return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step)["out"]
+    return F.aggregate(F.split(e, ""), F.struct(F.lit("").alias("out"), letters.alias("left")), step)["out"]
 
 
 def _pick(choices: Column):
@@ -153,15 +152,24 @@ def _name(e: Column, tweak: Column, key: str) -> Column:
 
 def surrogate(e: Column, kind: Column, tweak: Column, key: str) -> Column:
     """The surrogate of an entity: a function of the key, the tweak and what equal entities share."""
-    octets = F.array_join(_walk(F.split(e, r"\."), tweak, key, _shift_octet), ".")
 
-    def plain(x: Column, shift=_shift) -> Column:
-        return _dressed(x, _walk(F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), ""), tweak, key, shift))
+    def plain(x: Column) -> Column:
+        bare = F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), "")
+        return _dressed(x, _let(bare, lambda units: _walk(units, tweak, key, lambda c, by: _shift(c, by, kind == "secret"))))
+
+    # what stays: the country code and the top-level domain
+    code = F.when(kind == "phone", F.regexp_extract(e, r"^\+\d{1,3}(?=[ .\-(])", 0)).otherwise(F.lit(""))
+    domain = F.when(kind == "email", F.regexp_extract(e, r"\.[A-Za-z]+$", 0)).otherwise(F.lit(""))
+    parts = F.struct(code.alias("code"), domain.alias("domain"))
+    core = lambda p: F.substring(e, F.length(p["code"]) + 1, F.length(e) - F.length(p["code"]) - F.length(p["domain"]))
+    other = _let(parts, lambda p: F.concat(p["code"], _let(core(p), plain), p["domain"]))
+    octets = F.array_join(_let(F.split(e, r"\."), lambda units: _walk(units, tweak, key, _shift_octet)), ".")
+    return F.when(kind == "ip", octets).when(kind == "name", _name(e, tweak, key)).otherwise(other)
+
 
-    # what stays: the top-level domain, the country code
-    email = F.concat(plain(F.regexp_extract(e, r"^(.*)\.[A-Za-z]+$", 1)), F.regexp_extract(e, r"\.[A-Za-z]+$", 0))
-    phone = F.concat(F.regexp_extract(e, r"^\+\d{1,3}(?=[ .\-(])", 0), plain(F.regexp_replace(e, r"^\+\d{1,3}(?=[ .\-(])", "")))
-    return F.when(kind == "ip", octets).when(kind == "email", email).when(kind == "phone", phone).when(kind == "name", _name(e, tweak, key)).when(kind == "secret", plain(e, _shift_hex)).otherwise(plain(e))
+def _replaced(key: str):
+    """The first surrogate of an entity whose type isn't known yet."""
+    return lambda e: _let(entity_type(e), lambda kind: surrogate(e, kind, F.lit(0), key))
 
 
 def _rebuilt(text: Column, new: Column) -> Column:
@@ -206,7 +214,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     marked = docs.select(*others, "text", F.coalesce(ents, F.array().cast("array<string>")).alias("pii ents"))
     kinds = F.transform("pii ents", entity_type)
     typed = marked.withColumn("n_entities", F.size("pii ents").cast("long")).withColumn("entity_types", F.array_sort(F.array_distinct(kinds)))
-    first = F.transform("pii ents", lambda e: surrogate(e, entity_type(e), F.lit(0), key))
+    first = F.transform("pii ents", _replaced(key))
     new_text = F.when(F.size("pii ents") > 0, _rebuilt(F.col("text"), first)).otherwise(F.col("text"))
     if again.isEmpty():
         return typed.withColumn("text", new_text).drop("pii ents").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_types")], "n_entities", "entity_types")
@@ -218,6 +226,6 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     fixes = each.select(F.col("pii row").alias("x row"), F.struct("at", surrogate(F.col("e"), F.col("kind"), F.col("tweak"), key).alias("s")).alias("x"))
     fixes = fixes.groupBy("x row").agg(F.map_from_entries(F.collect_list("x")).alias("pii fixes"))
     joined = numbered.join(fixes, F.col("pii row") == F.col("x row"), "left")
-    fixed = F.transform("pii ents", lambda e, i: F.coalesce(F.try_element_at("pii fixes", i), surrogate(e, entity_type(e), F.lit(0), key)))
+    fixed = F.transform("pii ents", lambda e, i: F.coalesce(F.try_element_at("pii fixes", i), _replaced(key)(e)))
     joined = joined.withColumn("text", F.when(F.size("pii ents") > 0, _rebuilt(F.col("text"), fixed)).otherwise(F.col("text")))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_types")], "n_entities", "entity_types")
