@@ -51,53 +51,76 @@ def _shape(token: Column) -> Column:
     return F.when(token < ":", F.lit("<number>")).when(token.startswith(_NAME), F.lit("<name>")).when(token.startswith(_UNIT), F.lit("<unit>")).otherwise(token)
 
 
-def windows(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
-    """(keys, place, hash, slots) of each template window of the given lengths; slots is null where there are none."""
-    split = rows.select(*keys, _tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
-    split = split.where(F.size("tokens") > 0)
-    split = split.select(*keys, "tokens", F.transform("tokens", lambda t: F.xxhash64(_shape(t))).alias("shapes"), F.exists("tokens", _slotted).alias("slotted"))
+def _split(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, _tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
 
-    def of(n: int) -> Column:
-        def one(i: Column) -> Column:
-            filled = F.filter(F.slice("tokens", i, n), _slotted)
-            return F.struct((i - 1).alias("place"), F.xxhash64(F.lit(n), F.slice("shapes", i, n)).alias("hash"), F.when(F.col("slotted") & (F.size(filled) > 0), filled).alias("slots"))
 
-        return F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), one))
+def _doubled(step: int):
+    return lambda h, i: F.xxhash64(h, F.get(f"h{step}", i + step))
 
-    found = [of(n) for n in lengths]
-    every = F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())) if len(found) > 1 else found[0]
-    return split.select(*keys, F.explode(every).alias("w")).select(*keys, "w.place", "w.hash", "w.slots")
 
+def windows(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, place, hash) of each run of ``n`` template tokens.
 
-def item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
-    """Windows of the items and the lengths that occur: at most ``window`` different ones."""
-    sized = benchmark.select("item_id", "text").withColumn("n", F.size(_tokens(F.coalesce(F.col("text"), F.lit(""))))).where("n > 0")
-    lengths = sorted(r[0] for r in sized.select(F.least("n", F.lit(window)).alias("n")).distinct().collect())
-    parts = [windows(sized.where(F.least("n", F.lit(window)) == n), ["item_id"], [n]) for n in lengths]
-    out = parts[0] if parts else None
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, lengths
+    Hashes of 2, 4, 8... shapes are made of two of the level below, and a window of two overlapping ones, so its
+    cost doesn't grow with its length.
+    """
+    split = _split(rows, keys).where(F.size("tokens") >= n).select(*keys, F.transform("tokens", lambda t: F.xxhash64(_shape(t))).alias("h1"))
+    half = 1 << (n.bit_length() - 1)
+    for step in (1 << k for k in range(n.bit_length() - 1)):
+        split = split.withColumn(f"h{2 * step}", F.transform(f"h{step}", _doubled(step)))
+    starts = F.slice(f"h{half}", F.lit(1), F.size(f"h{half}") - (n - 1))
+    found = F.transform(starts, lambda h, i: F.xxhash64(F.lit(n), h, F.get(f"h{half}", i + (n - half))))
+    return split.select(*keys, F.posexplode(found).alias("place", "hash"))
+
+
+def with_slots(hits: DataFrame, rows: DataFrame, keys: list[str], place: str, length: str, name: str) -> DataFrame:
+    """``hits`` with the values in the slots of their windows; an empty array where a window has none."""
+    texts = rows.join(small(stored(hits.select(*[F.col(k).alias(f"k_{k}") for k in keys]).distinct())), _same(keys, "", "k_"), "left_semi")
+    split = _split(texts, keys).dropDuplicates(keys).select(*[F.col(k).alias(f"s_{k}") for k in keys], "tokens")
+    joined = hits.join(split, _same(keys, "", "s_")).withColumn(name, F.filter(F.slice("tokens", F.col(place) + 1, F.col(length)), _slotted))
+    return joined.drop("tokens", *[f"s_{k}" for k in keys])
+
+
+def _same(keys: list[str], left: str, right: str) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{left}{k}").eqNullSafe(F.col(f"{right}{k}"))
+    return out
+
+
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame | None:
+    """(item_id, item_place, hash, length, item_slots) of the items; None if there are none."""
+    items = benchmark.select("item_id", text_key().alias("item_th"), "text")
+    sized = items.withColumn("n", F.size(_tokens(F.coalesce(F.col("text"), F.lit(""))))).where("n > 0").withColumn("n", F.least("n", F.lit(window)))
+    out = None
+    for n in sorted(r[0] for r in sized.select("n").distinct().collect()):  # at most ``window`` lengths
+        part = windows(sized.where(F.col("n") == n), ["item_id", "item_th"], n).withColumn("length", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return None
+    return with_slots(out, items, ["item_id", "item_th"], "place", "length", "item_slots").withColumnRenamed("place", "item_place").drop("item_th")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, th, item_id, coverage) for every contaminated text and item."""
-    items, lengths = item_windows(benchmark, window)
+    items = item_windows(benchmark, window)
     rows = docs.select("doc_id", text_key().alias("th"), "text")
     if items is None:
         return rows.limit(0).select("doc_id", "th", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"))
-    items = stored(items.select("item_id", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots")))
+    items = stored(items)
     wanted = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
-    hits = windows(rows, ["doc_id", "th"], lengths).join(small(items, MOST_BROADCAST), "hash")
-    hits = stored(hits.withColumn("diagonal", F.col("place") - F.col("item_place")).select("doc_id", "th", "item_id", "diagonal", "item_place", "item_slots", "slots"))
+    hits = None
+    for n in sorted(r[0] for r in items.select("length").distinct().collect()):
+        part = windows(rows, ["doc_id", "th"], n).join(small(items.where(F.col("length") == n), MOST_BROADCAST), "hash")
+        hits = part if hits is None else hits.unionByName(part)
+    hits = stored(hits.withColumn("diagonal", F.col("place") - F.col("item_place")).drop("hash"))
     where = ["doc_id", "th", "item_id", "diagonal"]
-    pairs = hits.where(F.col("slots").isNotNull()).select(*where, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
+    # each value of the item must stand for one value of the text
+    slotted = with_slots(hits.where(F.size("item_slots") > 0), rows, ["doc_id", "th"], "place", "length", "slots")
+    pairs = slotted.select(*where, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
     broken = pairs.groupBy(*where, F.col("p.item_slots").alias("v")).agg(F.min("p.slots").alias("lo"), F.max("p.slots").alias("hi")).where("lo <> hi").select(*where).distinct()
-    broken = broken.select(*[F.col(c).alias(f"b_{c}") for c in where])
-    same = F.lit(True)
-    for c in where:
-        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
-    sound = hits.join(broken, same, "left_anti")
+    sound = hits.join(broken.select(*[F.col(c).alias(f"b_{c}") for c in where]), _same(where, "", "b_"), "left_anti")
     share = sound.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("item_place").alias("n")).join(small(wanted, MOST_BROADCAST), "item_id")
     return share.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "th", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"))
 
