@@ -8,7 +8,8 @@ need 480. Two documents meet if two collections agree; at a similarity of 0.75 t
 Candidates. Equal sets are one class, and only one row per class is banded. Each Arrow batch sorts its own keys
 first. A key with more than ``LEADERS`` rows there proposes its rows only to the most central ones (those that
 agree best with the consensus of the rows' minhashes), and passes only these on, so a group of copies of any size
-reaches the shuffle as a few rows per batch. After the shuffle the same happens once more for each key.
+reaches the shuffle as a few rows per batch. After the shuffle the same happens once more for each key; rows of a
+key that a batch has cut say so (``CUT``), and its pairs count as a crowd's however few of its rows arrive.
 
 Confirmation. Each class is first compared with its best candidate, then only those pairs whose ends are still in
 different components: a component needs a spanning tree, not all its links. Every link is confirmed on full sets.
@@ -46,6 +47,8 @@ LEADERS = 3
 BLOCK_ITEMS = 400_000
 #: A pair goes on to confirmation if so many of the 32 minhashes agree; at 0.75, 24 do on average.
 LEAST_AGREEING = 12
+#: The bit of a score, of 32 at most, that says that a batch kept rows of the key back.
+CUT = np.uint8(0x80)
 
 _rng = np.random.Generator(np.random.PCG64(11))
 _A = _rng.integers(0, 2**63, COLLECTIONS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,11 +102,12 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text").mapInArrow(rows, SIGNED)
 
 
-def _led(keys: np.ndarray, nodes: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _led(keys: np.ndarray, nodes: np.ndarray, score: np.ndarray, most: int, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows that share a key -> pairs of rows (left, right), which of them come from crowded keys, and which rows to pass on.
 
     Keys with up to ``most`` + 1 rows give all their pairs; others pair each row with the ``most`` first ones by
-    (score, node) and pass only these on. Rows are positions in the arrays.
+    (score, node) and pass only these on. A key with a row marked in ``cut`` is crowded whatever its size here. Rows
+    are positions in the arrays.
     """
     order = np.lexsort((nodes, -score.astype(np.int16), keys))
     k = keys[order]
@@ -112,12 +116,15 @@ def _led(keys: np.ndarray, nodes: np.ndarray, score: np.ndarray, most: int) -> t
     group = np.cumsum(new) - 1
     rank = np.arange(len(k)) - start[group] if len(k) else np.empty(0, int)
     size = np.diff(np.concatenate((start, [len(k)])))
+    crowded = size > most + 1
+    if cut is not None and len(k):
+        crowded |= np.logical_or.reduceat(cut[order], start)
     left, right, crowd = [], [], []
     for step in range(most):  # each row with the step-th of its key
         at = np.flatnonzero(rank > step)
         left.append(order[at])
         right.append(order[start[group[at]] + step])
-        crowd.append(size[group[at]] > most + 1)
+        crowd.append(crowded[group[at]])
     keep = np.zeros(len(k), dtype=bool)
     keep[order[(rank < most) | (size[group] <= most + 1)]] = True
     return np.concatenate(left), np.concatenate(right), np.concatenate(crowd), keep
@@ -177,6 +184,7 @@ def candidates(classes: DataFrame, buckets: int, most: int = LEADERS) -> DataFra
                 row = np.repeat(np.arange(len(nodes), dtype=np.int32), len(_I))
                 score = _agreement(sigs, keys, row, most)
                 left, right, crowd, keep = _led(keys, nodes[row], score, most)
+                score[np.concatenate((left[crowd], right[crowd]))] |= CUT
                 # the pairs of other keys meet again after the shuffle
                 a, b, _ = _distinct(row[left[crowd]], row[right[crowd]], crowd[crowd])
                 bucket = (keys[keep] >> np.uint64(40)) % np.uint64(buckets)
@@ -197,7 +205,7 @@ def candidates(classes: DataFrame, buckets: int, most: int = LEADERS) -> DataFra
     def meet(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
         keys, nodes, score = read("keys", np.uint32), read("nodes", np.int64), read("scores", np.uint8)
-        left, right, crowd, _ = _led(keys, nodes, score, most)
+        left, right, crowd, _ = _led(keys, nodes, score & ~CUT, most, score >= CUT)
         a, b = read("a", np.int64), read("b", np.int64)
         a, b, crowd = _distinct(np.concatenate((nodes[left], a)), np.concatenate((nodes[right], b)), np.concatenate((crowd, np.ones(len(a), bool))))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(crowd, pa.bool_())], names=["a", "b", "crowd"])

@@ -105,6 +105,24 @@ def test_crowds_lose_no_link(spark):
     assert got == expected and links > 1000
 
 
+def test_a_key_cut_in_one_batch_is_a_crowd_wherever_its_rows_meet(spark):
+    """Five rows of a key in one batch, of which three go on, and one row in another: four arrive."""
+    sigs = np.arange(6 * 32, dtype=np.uint32).reshape(6, 32)
+    sigs[:, :4] = 7
+    rows = [(i + 1, s.tobytes()) for i, s in enumerate(sigs)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 5)
+    try:
+        pairs = common.stored(near_dup.candidates(spark.createDataFrame(rows, "f1 long, sig binary").coalesce(1), 4).withColumn("agree", F.lit(4)))
+    finally:
+        spark.conf.set(size, before)
+    ends = [(r.a, r.b, r.crowd) for r in pairs.collect() if r.b == 6]
+    assert len(ends) == 3 and all(crowd for *_, crowd in ends)
+    alone = spark.createDataFrame([], "node long, label long")
+    assert {r.f1 for r in near_dup.rest_nodes(pairs, alone).collect()} == {1, 2, 3, 4, 5, 6}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in near_dup.components(edges).collect()}
