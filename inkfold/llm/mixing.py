@@ -7,7 +7,8 @@ sources are a prefix, so one window over the small table of sources finds the fi
 Sample. A source whose target is r times its size is taken floor(r) times whole; for the rest of r its documents
 stand in the order of a seeded hash and are taken from the front until their words reach the rest (the document
 on the edge is in if its middle is). Hash buckets are summed first: whole buckets are decided by those sums, and
-only the one bucket of each source on the edge is ordered row by row, so no task ever sorts a whole source.
+only the bucket of each source on the edge is ordered row by row (where the rest ends with a bucket, also those that
+follow as far as no words lie between), so no task ever sorts a whole source.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 take no
 words; null doc_ids share one hash and are ordered by size; repeated rows are interchangeable; an empty table
@@ -58,22 +59,24 @@ def mix(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, weights:
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), budget, max_epochs, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(ratio)).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
-    # the bucket of each source in which the quota runs out, and the words before it
+    # the buckets of each source in which the quota runs out, and the words before them
     in_order = W.partitionBy("source").orderBy("mix bucket").rowsBetween(W.unboundedPreceding, -1)
     edges = sums.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
     edges = edges.join(targets.select(F.col("source").alias("of"), "quota"), F.col("source").eqNullSafe(F.col("of")))
-    edges = edges.where((F.col("before") < F.col("quota")) & (F.col("before") + F.col("words") > F.col("quota")))
-    edges = edges.select(F.col("of").alias("edge of"), F.col("mix bucket").alias("edge"), "before")
+    edges = edges.where((F.col("quota") > 0) & (F.col("before") <= F.col("quota")) & (F.col("before") + F.col("words") >= F.col("quota")))
+    edges = edges.groupBy(F.col("of").alias("edge of")).agg(F.min("mix bucket").alias("edge"), F.max("mix bucket").alias("last edge"), F.min("before").alias("before"))
     plan = targets.join(edges, F.col("source").eqNullSafe(F.col("edge of")), "left").drop("edge of")
     # without an edge the quota is nothing or the whole source
-    plan = stored(plan.withColumn("edge", F.coalesce("edge", F.when(F.col("quota") > 0, F.lit(BUCKETS)).otherwise(F.lit(-1)))).withColumnRenamed("source", "mix of"))
+    plan = plan.withColumn("edge", F.coalesce("edge", F.when(F.col("quota") > 0, F.lit(BUCKETS)).otherwise(F.lit(-1))))
+    plan = stored(plan.withColumn("last edge", F.coalesce("last edge", "edge")).withColumnRenamed("source", "mix of"))
     planned = drawn.join(small(plan), F.col("source").eqNullSafe(F.col("mix of"))).drop("mix of")
-    clear = planned.where(F.col("mix bucket") != F.col("edge")).withColumn("copies", F.col("whole") + (F.col("mix bucket") < F.col("edge")).cast("long"))
+    on_edge = F.col("mix bucket").between(F.col("edge"), F.col("last edge"))
+    clear = planned.where(~on_edge).withColumn("copies", F.col("whole") + (F.col("mix bucket") < F.col("edge")).cast("long"))
     row = W.partitionBy("source").orderBy("mix draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(row) - F.col("size") / 2
-    close = planned.where(F.col("mix bucket") == F.col("edge")).withColumn("copies", F.col("whole") + (middle <= F.col("quota")).cast("long"))
+    close = planned.where(on_edge).withColumn("copies", F.col("whole") + (middle <= F.col("quota")).cast("long"))
     out = clear.unionByName(close).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("mix draw", "mix bucket", "whole", "quota", "edge", "before")
+    return out.drop("mix draw", "mix bucket", "whole", "quota", "edge", "last edge", "before")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

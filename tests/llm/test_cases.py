@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,20 @@ def test_water_filling_equals_the_loop(spark):
         assert got == expected
 
 
+def test_a_quota_that_ends_with_a_bucket(spark):
+    """Ten documents of ten words in one source: the rest is five of them, whatever bucket they lie in."""
+    for n, empty in ((2, 0), (10, 0), (10, 30)):
+        docs = [(i, "a", " ".join(["w"] * 10)) for i in range(n)] + [(100 + i, "a", "") for i in range(empty)]
+        df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+        rows = mixing.mix(df).collect()
+        assert {r.doc_id: r.copies for r in rows} == brute.mix(docs)
+        con = duckdb.connect()
+        con.execute("create table documents (doc_id bigint, source varchar, text varchar)")
+        con.executemany("insert into documents values (?, ?, ?)", docs)
+        assert {r.doc_id: r.taken for r in rows} == {r[0]: r[4] for r in con.execute(mixing.SQL).fetchall()}
+        assert sum(r.taken for r in rows) == 15 * n
+
+
 def test_sharding_cases(docs, none):
     rows = sharding.assign_shards(docs, 3).collect()
     assert len(rows) == len(ROWS) and {r.law for r in rows} == {"key"}
