@@ -2,6 +2,9 @@
 
 1. Texts become tokens; numbers, names (capitalised words inside a sentence) and units after a number become typed
    placeholders, the rest is lower-cased. A re-parameterised question keeps its template.
+   Words that only their case or what stands before them makes a name or unit keep their plain form beside it: windows
+   with such words are hashed a second time with the words themselves, on both sides, so a copy of an item is found
+   whatever its case and line breaks.
 2. Windows of ``WINDOW`` template tokens are hashed and joined with the hashed windows of the benchmark. The
    benchmark's windows are broadcast below a checked number, so the windows of the corpus are never shuffled; above
    it the join shuffles.
@@ -36,15 +39,26 @@ _NAME, _UNIT = "", ""
 def _tokens(text: Column) -> Column:
     """Words and numbers in order, in lower case; names and units carry a mark in front."""
     units = "|".join(sorted((u for u in UNITS if u.isalpha()), key=len, reverse=True))
-    marked = F.translate(text, _NAME + _UNIT, "")
+    # no-break spaces become spaces; a run of blanks within a line is one
+    marked = F.translate(text, "\u00a0\u2007\u202f" + _NAME + _UNIT, "   ")
+    marked = F.regexp_replace(marked, r"[^\S\n]{2,}|[^\S\n ]", " ")
     marked = F.regexp_replace(marked, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", _NAME)
     marked = F.regexp_replace(marked, rf"(?<=[0-9]) ?(?=(?i:{units})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
     return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_NAME}{_UNIT}]?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
 
+def _marked(token: Column) -> Column:
+    return token.startswith(_NAME) | token.startswith(_UNIT)
+
+
+def _word(token: Column) -> Column:
+    """The token without its mark."""
+    return F.translate(token, _NAME + _UNIT, "")
+
+
 def _slotted(token: Column) -> Column:
     # of all tokens only numbers start below the colon
-    return (token < ":") | token.startswith(_NAME) | token.startswith(_UNIT)
+    return (token < ":") | _marked(token)
 
 
 def _shape(token: Column) -> Column:
@@ -55,31 +69,44 @@ def _split(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, _tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
 
 
-def _doubled(step: int):
-    return lambda h, i: F.xxhash64(h, F.get(f"h{step}", i + step))
+def _plain(token: Column) -> Column:
+    return F.when(token < ":", F.lit("<number>")).otherwise(_word(token))
+
+
+def _doubled(level: str, step: int):
+    return lambda h, i: F.xxhash64(h, F.get(level, i + step))
 
 
 def windows(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, place, hash) of each run of ``n`` template tokens.
+    """(keys, place, hash) of each run of ``n`` template tokens, and again with plain words where a run has names or units.
 
     Hashes of 2, 4, 8... shapes are made of two of the level below, and a window of two overlapping ones, so its
     cost doesn't grow with its length.
     """
-    split = _split(rows, keys).where(F.size("tokens") >= n).select(*keys, F.transform("tokens", lambda t: F.xxhash64(_shape(t))).alias("h1"))
+    split = _split(rows, keys).where(F.size("tokens") >= n)
+    plain = F.when(F.exists("tokens", _marked), F.transform("tokens", lambda t: F.xxhash64(_plain(t))))
+    split = split.select(*keys, F.transform("tokens", lambda t: F.xxhash64(_shape(t))).alias("h1"), plain.alias("p1"))
     half = 1 << (n.bit_length() - 1)
     for step in (1 << k for k in range(n.bit_length() - 1)):
-        split = split.withColumn(f"h{2 * step}", F.transform(f"h{step}", _doubled(step)))
-    starts = F.slice(f"h{half}", F.lit(1), F.size(f"h{half}") - (n - 1))
-    found = F.transform(starts, lambda h, i: F.xxhash64(F.lit(n), h, F.get(f"h{half}", i + (n - half))))
-    return split.select(*keys, F.posexplode(found).alias("place", "hash"))
+        split = split.withColumns({f"{x}{2 * step}": F.transform(f"{x}{step}", _doubled(f"{x}{step}", step)) for x in "hp"})
+
+    def found(level: str) -> Column:
+        starts = F.slice(level, F.lit(1), F.size(level) - (n - 1))
+        return F.transform(starts, lambda h, i: F.xxhash64(F.lit(n), h, F.get(level, i + (n - half))))
+
+    split = split.select(*keys, found(f"h{half}").alias("typed"), F.when(F.col("p1").isNotNull(), found(f"p{half}")).alias("plain"))
+    # a window without names and units has one hash
+    other = F.transform("plain", lambda h, i: F.when(h != F.get("typed", i), h))
+    both = F.when(F.col("plain").isNull(), F.col("typed")).otherwise(F.concat("typed", other))
+    each = split.select(*keys, F.size("typed").alias("n_typed"), F.posexplode(both).alias("at", "hash")).where(F.col("hash").isNotNull())
+    return each.select(*keys, (F.col("at") % F.col("n_typed")).alias("place"), "hash")
 
 
-def with_slots(hits: DataFrame, rows: DataFrame, keys: list[str], place: str, length: str, name: str) -> DataFrame:
-    """``hits`` with the values in the slots of their windows; an empty array where a window has none."""
+def with_slots(hits: DataFrame, rows: DataFrame, keys: list[str], name: str, slots: Column) -> DataFrame:
+    """``hits`` with ``slots``, made of the ``tokens`` of their rows."""
     texts = rows.join(small(stored(hits.select(*[F.col(k).alias(f"k_{k}") for k in keys]).distinct())), _same(keys, "", "k_"), "left_semi")
     split = _split(texts, keys).dropDuplicates(keys).select(*[F.col(k).alias(f"s_{k}") for k in keys], "tokens")
-    joined = hits.join(split, _same(keys, "", "s_")).withColumn(name, F.filter(F.slice("tokens", F.col(place) + 1, F.col(length)), _slotted))
-    return joined.drop("tokens", *[f"s_{k}" for k in keys])
+    return hits.join(split, _same(keys, "", "s_")).withColumn(name, slots).drop("tokens", *[f"s_{k}" for k in keys])
 
 
 def _same(keys: list[str], left: str, right: str) -> Column:
@@ -90,7 +117,10 @@ def _same(keys: list[str], left: str, right: str) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame | None:
-    """(item_id, item_place, hash, length, item_slots) of the items; None if there are none."""
+    """(item_id, item_place, hash, length, item_slots) of the items; None if there are none.
+
+    A slot is its place in the window and its value.
+    """
     items = benchmark.select("item_id", text_key().alias("item_th"), "text")
     sized = items.withColumn("n", F.size(_tokens(F.coalesce(F.col("text"), F.lit(""))))).where("n > 0").withColumn("n", F.least("n", F.lit(window)))
     out = None
@@ -99,7 +129,8 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame | None:
         out = part if out is None else out.unionByName(part)
     if out is None:
         return None
-    return with_slots(out, items, ["item_id", "item_th"], "place", "length", "item_slots").withColumnRenamed("place", "item_place").drop("item_th")
+    slot = F.transform(F.slice("tokens", F.col("place") + 1, F.col("length")), lambda t, i: F.when(_slotted(t), F.struct(i.alias("at"), t.alias("value"))))
+    return with_slots(out, items, ["item_id", "item_th"], "item_slots", F.filter(slot, lambda x: x.isNotNull())).withColumnRenamed("place", "item_place").drop("item_th")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -117,9 +148,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     hits = stored(hits.withColumn("diagonal", F.col("place") - F.col("item_place")).drop("hash"))
     where = ["doc_id", "th", "item_id", "diagonal"]
     # each value of the item must stand for one value of the text
-    slotted = with_slots(hits.where(F.size("item_slots") > 0), rows, ["doc_id", "th"], "place", "length", "slots")
-    pairs = slotted.select(*where, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
-    broken = pairs.groupBy(*where, F.col("p.item_slots").alias("v")).agg(F.min("p.slots").alias("lo"), F.max("p.slots").alias("hi")).where("lo <> hi").select(*where).distinct()
+    values = F.transform("item_slots", lambda x: F.struct(x["value"].alias("of"), _word(F.get("tokens", F.col("place") + x["at"])).alias("value")))
+    slotted = with_slots(hits.where(F.size("item_slots") > 0), rows, ["doc_id", "th"], "slots", values)
+    pairs = slotted.select(*where, F.explode("slots").alias("p"))
+    broken = pairs.groupBy(*where, F.col("p.of").alias("v")).agg(F.min("p.value").alias("lo"), F.max("p.value").alias("hi")).where("lo <> hi").select(*where).distinct()
     sound = hits.join(broken.select(*[F.col(c).alias(f"b_{c}") for c in where]), _same(where, "", "b_"), "left_anti")
     share = sound.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("item_place").alias("n")).join(small(wanted, MOST_BROADCAST), "item_id")
     return share.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "th", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"))

@@ -256,6 +256,17 @@ def test_decontamination_cases(spark, docs, none):
     assert not any(r.contaminated for r in decontamination.contaminated(texts, bench.where("false")).collect())
 
 
+def test_copies_of_an_item_with_names_in_any_case_and_spacing(spark):
+    item = "Which year did Marie Curie win the Nobel Prize in Physics with Pierre Curie at 5 km from Paris"
+    other = item.replace("Marie", "Lise").replace("Pierre", "Jean").replace("Curie", "Meitner").replace("Paris", "Vienna")
+    texts = [item.lower(), item.upper(), item.replace(" ", "\n"), item.replace(" ", "  "), item.replace(" ", "\u00a0"), item.title(), f"{BASE}. {item.upper()} {BASE}", other, other.replace(" ", "  ")]
+    texts += [other.lower(), other.replace("Jean Meitner", "Jean Hahn"), item.lower().replace("pierre curie", "pierre hahn").replace("prize", "medal")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.coverage) for r in decontamination.contaminated(rows, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {i: got[i] for i in range(9)} == {i: (True, 1.0) for i in range(9)}
+    assert not any(got[i][0] for i in range(9, 12))
+
+
 def test_surrogate_cases(spark, docs, none):
     key = "k"
     rows = [
