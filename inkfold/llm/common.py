@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,19 +41,91 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+class _Scopes(threading.local):
+    """The paths that this thread's open settled() calls have written, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
+
+
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _keep(spark: SparkSession, path: str) -> None:
+    """The table goes with the settled() call around it, or else when the driver's Python exits."""
+    if _scopes.open:
+        _scopes.open[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it again: a cut of the lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession)
+    _keep(df.sparkSession, path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The table that ``make`` returns, stored; the tables that were stored on the way to it are removed."""
+    path = _new_path(spark)
+    _scopes.open.append([])
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        for inner in _scopes.open.pop():
+            _remove(spark, inner)
+    _keep(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def name(column: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def carried(docs: DataFrame, new: list[str]) -> list[Column]:
     """The columns of ``docs`` that no new column replaces; new columns win where names clash."""
     taken = {n.lower() for n in new}
-    return [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    return [name(c) for c in docs.columns if c.lower() not in taken]
+
+
+class Sealed:
+    """A table whose columns have names of our own, "in 0" and so on, so that no name of the caller's meets one of ours."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.df = docs.select(*[name(c).alias(f"in {i}") for i, c in enumerate(self.names)])
+
+    def __getitem__(self, column: str) -> Column:
+        return F.col(f"in {[c.lower() for c in self.names].index(column.lower())}")
+
+    def back(self, new: tuple | list = ()) -> list[Column]:
+        """The columns under their old names, without those that ``new`` ones replace."""
+        taken = {n.lower() for n in new}
+        return [F.col(f"in {i}").alias(c) for i, c in enumerate(self.names) if c.lower() not in taken]
+
+
+def with_key(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """``left`` (a stored table) with the columns of ``right``, which has each key once; nulls where it lacks one.
+
+    Keys that hold more than a quarter of a partition's share of the rows go by broadcast: there can be no more of them
+    than four times the partitions. Rows with a null key match nothing and need no exchange. The rest is shuffled.
+    """
+    limit = max(100, left.count() // (4 * partitions(left.sparkSession)))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
+    hot = left.where(whole).groupBy(*on).agg(F.count("*").alias("rows of key")).where(F.col("rows of key") > limit).select(*on)
+    hot = stored(hot.join(right, on, "left"))
+    added = [c for c in right.columns if c not in on]
+    empty = left.where(~whole).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in added])
+    rest = left.where(whole).join(F.broadcast(hot.select(*on)), on, "left_anti").join(right, on, "left")
+    return rest.unionByName(left.join(F.broadcast(hot), on)).unionByName(empty).select(*left.columns, *added)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, host_rules, kneser_ney, mixing, near_dup, pii_surrogates, sharding, substring_dedup, toxicity, url_filter
-from .common import read, stored
+from .common import read, settled, stored
 from .sql import SQL  # noqa: F401
 
 
@@ -70,7 +70,7 @@ URL_RULES = [
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return settled(lambda: url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES), spark)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

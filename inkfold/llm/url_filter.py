@@ -3,32 +3,38 @@
 Rules. A rule fits its host and all subdomains where the path starts with the rule's; the longest rule wins (of
 equally long ones the first in code point order).
 
-Models. The URLs that rules accept and those they reject train one smoothed Markov model of variable order each:
-Witten-Bell interpolation from order ``ORDER`` down to equal chances, so a context that was never seen hands over
-to the next shorter one. The tables have a row per distinct character run, not per URL; they are summed before the
-shuffle, and the distinct runs of all URLs are scored once and joined back to (URL, run) rows.
+Models. The URLs that rules accept and those they reject train one smoothed Markov model of variable order each, on
+whole URLs (scheme, query string and fragment included): Witten-Bell interpolation from order ``ORDER`` down to equal
+chances, so a context that was never seen hands over to the next shorter one. The tables have a row per distinct
+character run, not per URL, and are summed before the shuffle.
+
+Scores. Equal URLs are scored once. The distinct runs of the URLs to be judged get their gain (the difference of the
+two log-likelihoods); up to ``MOST_RUNS`` of them are broadcast, so that a URL's runs are looked up and averaged where
+they are cut and only its sum leaves the task. Beyond that the runs go by shuffle, hot ones by broadcast.
 
 Verdict. The difference of the log-likelihoods by character must reach a threshold that is calibrated on a fifth of
 the ruled URLs, which train nothing: the middle between the level that keeps ``keep`` of the accepted ones and the
 level that stops ``keep`` of the rejected ones. Without accepted or rejected URLs to learn from, the rest is allowed.
 
-Cases: a null URL or one without ``://`` has empty host and path, fits no rule and is judged by the models like any
-other; repeated rows are judged alike; a null page_id is judged; an empty table gives an empty result; extra
-columns are not read.
+Cases: a null URL or one without ``://`` has empty host and path, fits no rule and is judged by the models (a null one
+like an empty one); repeated rows are judged alike; a null page_id is judged; an empty table gives an empty result;
+very long URLs are cut into characters once; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import stored, with_key
 
 ORDER = 4
 #: The alphabet that the lowest order spreads over.
 ALPHABET = 256.0
-#: Held out for the calibration, by CRC of host and path.
+#: Held out for the calibration, by CRC of the URL.
 HELD_OUT = 5
+#: Up to so many distinct runs (a few characters and a number each) are broadcast.
+MOST_RUNS = 200_000
 START, END = "\x02", "\x03"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -37,12 +43,12 @@ Rule = tuple[str, str, str]
 
 
 def with_host(pages: DataFrame) -> DataFrame:
-    """page_id, host and path of each URL."""
+    """page_id, url (null as empty), host and path of each URL."""
     after = F.when(F.contains(F.col("url"), F.lit("://")), F.expr("substring(url, instr(url, '://') + 3)"))
-    split = pages.select("page_id", after.alias("rest"))
+    split = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), after.alias("rest"))
     host = F.translate(F.regexp_extract("rest", r"^[^/?#]*", 0), _UPPER, _UPPER.lower())
     path = F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1)
-    return split.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    return split.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
 
 
 def ruled(urls: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -55,12 +61,11 @@ def ruled(urls: DataFrame, rules: list[Rule]) -> DataFrame:
     return urls.withColumn("rule", rule).withColumn("ruling", verdict)
 
 
-def _runs(urls: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, run, times): each character of host and path with the ORDER before it."""
-    padded = F.concat(F.lit(START * ORDER), "host", "path", F.lit(END))
-    marked = urls.select(*keys, padded.alias("s"))
-    at = F.explode(F.sequence(F.lit(1), F.length("s") - ORDER))
-    return marked.select(*keys, "s", at.alias("i")).select(*keys, F.col("s").substr(F.col("i"), F.lit(ORDER + 1)).alias("run")).groupBy(*keys, "run").agg(F.count("*").alias("times"))
+def _each_run(urls: DataFrame, *keys: str) -> DataFrame:
+    """(keys, run): each character of a URL with the ORDER before it, a row for each."""
+    chars = F.concat(F.array_repeat(F.lit(START), ORDER), F.filter(F.split("url", ""), lambda c: c != ""), F.array(F.lit(END)))
+    runs = F.transform(F.sequence(F.lit(0), F.size("chars") - ORDER - 1), lambda i: F.concat(*[F.get("chars", i + k) for k in range(ORDER + 1)]))
+    return urls.select(*keys, chars.alias("chars")).select(*keys, F.explode(runs).alias("run"))
 
 
 def run_scores(trained: DataFrame, runs: DataFrame) -> DataFrame:
@@ -87,26 +92,38 @@ def run_scores(trained: DataFrame, runs: DataFrame) -> DataFrame:
     return out.select("run", (F.log("allow") - F.log("block")).alias("gain"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], keep: float = 0.95) -> DataFrame:
+def _scored(texts: DataFrame, gains: DataFrame, most: int) -> DataFrame:
+    """(u1, u2, ruling, score): the mean gain of each URL's characters."""
+    rows = _each_run(texts, "u1", "u2", "ruling")
+    if gains.limit(most + 1).count() <= most:
+        looked_up = rows.join(F.broadcast(gains), "run")
+    else:
+        looked_up = with_key(stored(rows), gains, ["run"])
+    return looked_up.groupBy("u1", "u2", "ruling").agg(F.round(F.avg("gain"), 6).alias("score"))
+
+
+def judge(pages: DataFrame, rules: list[Rule], keep: float = 0.95, most_runs: int = MOST_RUNS) -> DataFrame:
     """page_id, host, path, rule, verdict and, for URLs without a rule, the score and the threshold."""
-    urls = stored(ruled(with_host(pages), rules))
-    # equal URLs are scored once
-    held = F.crc32(F.concat("host", F.lit("\x00"), "path").cast("binary")) % HELD_OUT == 0
-    texts = urls.select("host", "path", "ruling").distinct().withColumn("held", held & F.col("ruling").isNotNull())
-    judged = texts.where(F.col("ruling").isNull() | F.col("held"))
-    rows = stored(_runs(judged, ["host", "path", "ruling"]))
-    trained = stored(_runs(texts.where(F.col("ruling").isNotNull() & ~F.col("held")), ["ruling"]))
-    kinds = {r[0] for r in trained.select("ruling").distinct().collect()}
+    # two hashes of 64 bits stand for a URL
+    prints = {"u1": F.xxhash64("url"), "u2": F.xxhash64(F.lit(7), "url")}
+    urls = stored(ruled(with_host(pages), rules).withColumns(prints))
+    held = (F.crc32(F.col("url").cast("binary")) % HELD_OUT == 0) & F.col("ruling").isNotNull()
+    texts = stored(urls.groupBy("u1", "u2").agg(F.first("url").alias("url"), F.first("ruling").alias("ruling")).withColumn("held", held))
+    trained = _each_run(texts.where(F.col("ruling").isNotNull() & ~F.col("held")), "ruling")
+    trained = stored(trained.groupBy("ruling", "run").agg(F.count("*").alias("times")))
+    kinds = {r[0] for r in trained.select("ruling").distinct().collect()}  # two at most
     if kinds >= {"allow", "block"}:
-        gains = stored(run_scores(trained, rows.select("run").distinct()))
-        by_url = rows.join(small(gains), "run").groupBy("host", "path", "ruling").agg((F.sum(F.col("gain") * F.col("times")) / F.sum("times")).alias("score"))
-        by_url = stored(by_url.withColumn("score", F.round("score", 6)))
+        judged = texts.where(F.col("ruling").isNull() | F.col("held"))
+        gains = stored(run_scores(trained, _each_run(judged).distinct()))
+        by_url = stored(_scored(judged, gains, most_runs))
         low = F.percentile_approx(F.when(F.col("ruling") == "allow", F.col("score")), 1 - keep, 10000)
         high = F.percentile_approx(F.when(F.col("ruling") == "block", F.col("score")), keep, 10000)
         level = by_url.agg(F.coalesce((low + high) / 2, low, high, F.lit(0.0)).alias("threshold"))
-        scores = by_url.where(F.col("ruling").isNull()).select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "score").join(F.broadcast(level))
+        scores = by_url.where(F.col("ruling").isNull()).select("u1", "u2", "score").join(F.broadcast(level))  # one row
     else:
-        scores = judged.limit(0).select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"))
-    out = urls.join(scores, (F.col("host") == F.col("s_host")) & (F.col("path") == F.col("s_path")) & F.col("ruling").isNull(), "left")
+        scores = texts.limit(0).select("u1", "u2", F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"))
+    # ruled URLs ask for no score
+    asked = urls.withColumns({u: F.when(F.col("ruling").isNull(), F.col(u)) for u in prints})
+    out = with_key(stored(asked.drop("url")), scores, list(prints))
     model = F.when(F.col("score") < F.col("threshold"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruling", model).alias("verdict"), "score", "threshold")

@@ -1,7 +1,9 @@
 """Plain Python versions of the operators, as slow as they are simple."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,23 +152,20 @@ def rule(host, path, rules):
 
 
 def url_model(urls, order=4, keep=0.95):
-    """(host, path) -> (score, threshold) of the URLs without a ruling, for (host, path, ruling)."""
-    import math
-    import zlib
-
+    """url -> (score, threshold) of the URLs without a ruling, for (url, ruling)."""
     urls = sorted(set(urls), key=str)
-    held = lambda u: zlib.crc32(f"{u[0]}\x00{u[1]}".encode()) % 5 == 0
+    held = lambda u: zlib.crc32(u[0].encode()) % 5 == 0
 
     def runs(u):
-        s = "\x02" * order + u[0] + u[1] + "\x03"
+        s = "\x02" * order + u[0] + "\x03"
         return [s[i : i + order + 1] for i in range(len(s) - order)]
 
     counts = {k: [Counter() for _ in range(order + 1)] for k in ("allow", "block")}
     for u in urls:
-        if u[2] and not held(u):
+        if u[1] and not held(u):
             for r in runs(u):
                 for k in range(order + 1):
-                    counts[u[2]][k][r[order - k :]] += 1
+                    counts[u[1]][k][r[order - k :]] += 1
     contexts = {}
     for kind, tables in counts.items():
         for k, t in enumerate(tables):
@@ -186,13 +185,13 @@ def url_model(urls, order=4, keep=0.95):
 
     scores = {}
     for u in urls:
-        if not u[2] or held(u):
+        if not u[1] or held(u):
             r = runs(u)
             scores[u] = round(sum(math.log(p("allow", x)) - math.log(p("block", x)) for x in r) / len(r), 6)
 
     def quantile(kind, q):
-        v = sorted(s for u, s in scores.items() if u[2] == kind)
+        v = sorted(s for u, s in scores.items() if u[1] == kind)
         return v[max(0, math.ceil(q * len(v)) - 1)]
 
     threshold = (quantile("allow", 1 - keep) + quantile("block", keep)) / 2
-    return {u[:2]: (s, threshold) for u, s in scores.items() if not u[2]}
+    return {u[0]: (s, threshold) for u, s in scores.items() if not u[1]}

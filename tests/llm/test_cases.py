@@ -357,6 +357,45 @@ def test_url_cases(spark):
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
 
 
+def test_hot_runs_and_urls_go_another_way(spark):
+    """The shuffle beyond the broadcast's bound gives the same scores, with one URL in a third of all rows."""
+    from inkfold.llm.queries import URL_RULES
+
+    r = random.Random(8)
+    rows = [(i, f"http://{r.choice('abc')}.{r.choice(['com/en', 'org/es', 'net/de', 'io/x'])}/{sentence(r.random(), 2).replace(' ', '-')}?q={r.randint(0, 9)}") for i in range(600)]
+    rows += [(1000 + i, "ftp://same.io/y#z") for i in range(400)] + [(2000 + i, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = [sorted(map(str, url_filter.judge(df, URL_RULES, most_runs=n).collect())) for n in (0, 10**6)]
+    assert got[0] == got[1]
+    judged = url_filter.judge(df, URL_RULES).collect()
+    urls = dict(rows)
+    expected = brute.url_model([(urls[x.page_id] or "", x.verdict if x.rule else None) for x in judged])
+    for x in judged:
+        if x.rule is None:
+            assert abs(x.score - expected[urls[x.page_id] or ""][0]) < 2e-6 and x.verdict == ("block" if x.score < x.threshold else "allow")
+
+
+def test_joins_by_key_keep_every_row(spark):
+    rows = [(7, i) for i in range(500)] + [(None, i) for i in range(300)] + [(i, i) for i in range(50)]
+    left = common.stored(spark.createDataFrame(rows, "k long, v long"))
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(0, 40)], "k long, w string")
+    got = Counter(map(tuple, common.with_key(left, right, ["k"]).collect()))
+    assert got == Counter((k, v, f"r{k}" if k is not None and k < 40 else None) for k, v in rows)
+
+
+def test_settled_removes_what_was_stored_inside(spark):
+    inside = []
+
+    def make():
+        inside.append(common.stored(spark.range(5)))
+        return inside[0].where("id > 1")
+
+    out = common.settled(make, spark)
+    assert out.count() == 3
+    with pytest.raises(Exception):
+        inside[0].count()
+
+
 def test_small_and_stored(spark):
     df = spark.range(10)
     assert "broadcast" in common.small(df, 10)._jdf.queryExecution().toString().lower() and common.stored(df).count() == 10

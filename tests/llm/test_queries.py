@@ -114,11 +114,11 @@ def test_url_rules_and_models(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         if rule:
             assert r.verdict == verdict
-        ruled.append((host, path, verdict))
+        ruled.append((urls[r.page_id] or "", verdict))
     expected = brute.url_model(ruled)
     for r in rows:
         if r.rule is None:
-            score, threshold = expected[r.host, r.path]
+            score, threshold = expected[urls[r.page_id] or ""]
             assert math.isclose(r.score, score, abs_tol=2e-6) and math.isclose(r.threshold, threshold, abs_tol=2e-6)
             assert r.verdict == ("block" if r.score < r.threshold else "allow")
 
