@@ -5,7 +5,7 @@ all its words). ``COLLECTIONS`` small collections of ``WIDTH`` minhashes each ar
 collections is the key of one table: 16 collections give 120 tables from 32 minhashes, where plain banding would
 need 480. Two documents meet if two collections agree; at a similarity of 0.75 that fails once in 25,000.
 
-Candidates. Equal sets are one class, and only one row per class is banded. Each Arrow batch sorts its own keys
+Candidates. Equal sets (by two fingerprints of 64 bits) are one class, and only one row per class is banded. Each Arrow batch sorts its own keys
 first. A key with more than ``LEADERS`` rows there proposes its rows only to the most central ones (those that
 agree best with the consensus of the rows' minhashes), and passes only these on, so a group of copies of any size
 reaches the shuffle as a few rows per batch. After the shuffle the same happens once more for each key; rows of a
@@ -35,10 +35,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, sliced, small, stored, text_key
+from .common import Sealed, partitions, settled, sliced, small, stored, text_key, with_key
 from .kernels import Words, blocks, grams, mix
 
 SHINGLE = 5
@@ -339,28 +338,49 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round every node takes the smallest node around it, and that one's, as its label, and links move to the
     labels of their ends. Links within a label vanish, so each round has fewer; none are left when the labels are
-    the components.
+    the components. The rounds' steps are then joined from the last to the first, so that only the last join has all
+    nodes; labels that many nodes share go by broadcast.
     """
     edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while True:
+    hops = []
+    while not hops or not edges.isEmpty():
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near"))
         far = near.select(F.col("a").alias("near"), F.col("near").alias("far"))
-        hop = stored(near.join(far, "near").select(F.col("a").alias("node"), "far"))
-        step = hop.select(F.col("node").alias("label"), "far")
-        labels = stored(hop.withColumnRenamed("far", "label") if labels is None else labels.join(step, "label", "left").select("node", F.coalesce("far", "label").alias("label")))
-        at, to = hop.select(F.col("node").alias("a"), F.col("far").alias("x")), hop.select(F.col("node").alias("b"), F.col("far").alias("y"))
+        hops.append(stored(near.join(far, "near").select(F.col("a").alias("node"), F.col("far").alias("label"))))
+        at, to = hops[-1].select(F.col("node").alias("a"), F.col("label").alias("x")), hops[-1].select(F.col("node").alias("b"), F.col("label").alias("y"))
         edges = stored(edges.join(at, "a").join(to, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if edges.isEmpty():
-            return labels
+    labels = hops.pop()
+    for hop in reversed(hops):
+        on = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = stored(with_key(hop, on, ["label"]).select("node", F.coalesce("last", "label").alias("label")))
+    return labels
+
+
+def told_apart(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``marked``, with f1 a number of the set alone, and its classes, a row for each different set.
+
+    Sets are the same if both fingerprints agree, 128 bits. Where sets with another f2 share their f1, all but the one
+    with the smallest f2 take another f1.
+    """
+
+    def classes() -> DataFrame:
+        nodes = marked.where(F.col("doc_id").isNotNull() & F.col("f1").isNotNull())
+        return stored(nodes.groupBy("f1").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("f2").alias("f2"), F.max("f2").alias("last_f2")))
+
+    found = classes()
+    shared = small(stored(found.where("f2 <> last_f2").select(F.col("f1").alias("s_f1"), F.col("f2").alias("s_f2"))))
+    if not shared.isEmpty():
+        other = F.when(F.col("f2") != F.col("s_f2"), F.xxhash64("f1", "f2")).otherwise(F.col("f1"))
+        marked = stored(marked.join(shared, F.col("f1") == F.col("s_f1"), "left").withColumn("f1", other).drop("s_f1", "s_f2"))
+        found = classes()
+    return marked, found.drop("f2", "last_f2")
 
 
 def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), n_shingles, component_id, kept."""
     buckets = buckets or max(32, 2 * partitions(docs.sparkSession))
-    marked = stored(signed(docs))
+    marked, classes = told_apart(stored(signed(docs)))
     nodes = marked.where(F.col("doc_id").isNotNull() & F.col("f1").isNotNull())
-    classes = stored(nodes.groupBy("f1").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     proposed = stored(_agreeing(candidates(classes, buckets), classes))
     alike = proposed.where(F.col("agree") >= LEAST_AGREEING)
     ends = alike.select(F.col("a").alias("f1")).union(alike.select("b")).distinct()
@@ -386,24 +406,29 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     labels = components(links.unionByName(shared.distinct()))
 
     lowest = labels.join(classes.select(F.col("f1").alias("node"), F.col("rep.doc_id").alias("rep_id")), "node").groupBy("label").agg(F.min("rep_id").alias("component_id"))
-    linked = labels.join(lowest, "label").select(F.col("node").alias("f1"), "component_id")
+    linked = with_key(labels, lowest, ["label"]).select(F.col("node").alias("f1"), "component_id")
     by_class = classes.select("f1", F.col("rep.doc_id").alias("rep_id")).join(linked, "f1", "left").select("f1", F.coalesce("component_id", "rep_id").alias("component_id"))
-    out = marked.select("doc_id", "th", "n_shingles", "f1").join(by_class, "f1", "left")
+    # the copies of a text share their class: a large group goes by broadcast
+    out = with_key(marked.select("doc_id", "th", "n_shingles", "f1"), stored(by_class), ["f1"])
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "th", "n_shingles", own_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component; rows without doc_id stay."""
-    judged = near_duplicates(docs)
-    stays = judged.where(F.col("doc_id").isNotNull() & F.col("kept")).groupBy(F.col("doc_id").alias("s_id")).agg(F.min("th").alias("s_th"), F.count("*").alias("n"))
-    gone = judged.where(F.col("doc_id").isNotNull()).select("doc_id", "th").distinct()
-    gone = stored(gone.join(stays, (F.col("doc_id") == F.col("s_id")) & F.col("th").eqNullSafe(F.col("s_th")), "left_anti").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")))
-    left = docs.join(gone, (docs["doc_id"].cast("long") == F.col("g_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("g_th")), "left_anti")
+    judged = settled(lambda: near_duplicates(docs.select("doc_id", "text")), docs.sparkSession).where(F.col("doc_id").isNotNull())
+    stays = judged.where("kept").groupBy(F.col("doc_id").alias("s_id")).agg(F.min("th").alias("s_th"), F.count("*").alias("n"))
+    pairs = judged.select("doc_id", "th").distinct()
+    gone = stored(pairs.join(stays, (F.col("doc_id") == F.col("s_id")) & F.col("th").eqNullSafe(F.col("s_th")), "left_anti").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")))
+    sealed = Sealed(docs)
+    keyed = sealed.df.withColumns({"id": sealed["doc_id"].cast("long"), "th": F.xxhash64(sealed["text"])})
+    left = keyed.join(gone, (F.col("id") == F.col("g_id")) & F.col("th").eqNullSafe(F.col("g_th")), "left_anti")
     again = small(stored(stays.where("n > 1").select("s_id")))
     if again.isEmpty():
-        return left
-    # repeated rows of a document that stays: the first is enough
-    repeats = left.join(again, left["doc_id"].cast("long") == F.col("s_id"), "left_semi")
-    first = repeats.withColumn("near rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col("near rank") == 1).drop("near rank")
-    return left.join(again, left["doc_id"].cast("long").eqNullSafe(F.col("s_id")), "left_anti").unionByName(first)
+        return left.select(*sealed.back())
+    # repeated rows of a document that stays: one is enough
+    names = sealed.df.columns
+    repeats = left.join(again, F.col("id") == F.col("s_id"), "left_semi")
+    comparable = [c for c, kind in sealed.df.dtypes if "map<" not in kind and kind != "variant"]
+    one = repeats.groupBy("id").agg(F.min_by(F.struct(*names), F.xxhash64(*comparable)).alias("row")).select("row.*")
+    return left.join(again, F.col("id").eqNullSafe(F.col("s_id")), "left_anti").select(*names).unionByName(one).select(*sealed.back())
