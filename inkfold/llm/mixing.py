@@ -6,25 +6,26 @@ sources are a prefix, so one window over the small table of sources finds the fi
 
 Sample. A source whose target is r times its size is taken floor(r) times whole; for the rest of r its documents
 stand in the order of a seeded hash and are taken from the front until their words reach the rest (the document
-on the edge is in if its middle is). Hash buckets are summed first: whole buckets are decided by those sums, and
-only the bucket of each source on the edge is ordered row by row (where the rest ends with a bucket, also those that
-follow as far as no words lie between), so no task ever sorts a whole source.
+on the edge is in if its middle is). Hash buckets are summed first, four million of them and then parts of a thousand:
+whole buckets are decided by those sums, and only the bucket of each source on the edge is ordered row by row (where
+the rest ends with a bucket, also those that follow as far as no words lie between), so no task ever sorts a source.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 take no
-words; null doc_ids share one hash and are ordered by size; repeated rows are interchangeable; an empty table
+words; a row without doc_id is drawn by its text; repeated rows are interchangeable; an empty table
 gives an empty result; result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import carried, small, stored, word_count
+from .common import Sealed, small, stored, word_count
 
 WEIGHTS = (5, 2, 1)
-BUCKETS = 8192
+#: Buckets of the draw, and parts that hold as many of them each.
+BUCKETS, PARTS = 1 << 22, 1 << 12
 NEW = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -43,51 +44,65 @@ def source_targets(sizes: DataFrame, budget: float, max_epochs: float, weights:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def _draw(seed: int):
-    """A seeded number below 2^32 for each doc_id."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+def _draw(seed: int, key: Column, text: Column) -> Column:
+    """A seeded number below 2^32 for each key, or for each text where there is no key."""
+    named = F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), named).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _edges(sums: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(e_source, edge, last_edge, before): the buckets of each source in which its quota runs out, and the words before them.
+
+    ``sums``: source, at (the bucket), words, start (the words before all buckets listed); ``quotas``: source, quota.
+    """
+    in_order = W.partitionBy("source").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    placed = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(in_order), F.lit(0)))
+    placed = placed.join(quotas.select(F.col("source").alias("e_source"), "quota"), F.col("source").eqNullSafe(F.col("e_source")))
+    placed = placed.where((F.col("quota") > 0) & (F.col("before") <= F.col("quota")) & (F.col("before") + F.col("words") >= F.col("quota")))
+    return placed.groupBy("e_source").agg(F.min("at").alias("edge"), F.max("at").alias("last_edge"), F.min("before").alias("before"))
 
 
 def mix(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, weights: tuple = WEIGHTS, seed: int = 1) -> DataFrame:
     """``docs`` with size, source_size, target, copies (how often the mix has the document) and taken (its words there)."""
-    wanted = docs.select(*carried(docs, NEW))
-    bucket = F.floor(F.col("mix draw") / (2**32 // BUCKETS))
-    drawn = wanted.withColumn("size", word_count()).withColumn("mix draw", _draw(seed)).withColumn("mix bucket", bucket)
-    slim = docs.select("source", "doc_id", "text").withColumn("size", word_count()).withColumn("mix draw", _draw(seed)).withColumn("mix bucket", bucket)
-    sums = stored(slim.groupBy("source", "mix bucket").agg(F.sum("size").alias("words")))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), budget, max_epochs, weights)
+    sealed = Sealed(docs)
+    drawn = sealed.df.withColumns({"of": sealed["source"], "id": sealed["doc_id"], "size": word_count(sealed["text"]), "draw": _draw(seed, sealed["doc_id"], sealed["text"])})
+    drawn = drawn.withColumn("bucket", F.floor(F.col("draw") / (2**32 // BUCKETS)))
+    fine = stored(drawn.groupBy(F.col("of").alias("source"), "bucket").agg(F.sum("size").alias("words")))
+    part = F.floor(F.col("bucket") / (BUCKETS // PARTS))
+    coarse = stored(fine.groupBy("source", part.alias("at")).agg(F.sum("words").alias("words")).withColumn("start", F.lit(0).cast("long")))
+    targets = source_targets(coarse.groupBy("source").agg(F.sum("words").alias("source_size")), budget, max_epochs, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(ratio)).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
-    # the buckets of each source in which the quota runs out, and the words before them
-    in_order = W.partitionBy("source").orderBy("mix bucket").rowsBetween(W.unboundedPreceding, -1)
-    edges = sums.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
-    edges = edges.join(targets.select(F.col("source").alias("of"), "quota"), F.col("source").eqNullSafe(F.col("of")))
-    edges = edges.where((F.col("quota") > 0) & (F.col("before") <= F.col("quota")) & (F.col("before") + F.col("words") >= F.col("quota")))
-    edges = edges.groupBy(F.col("of").alias("edge of")).agg(F.min("mix bucket").alias("edge"), F.max("mix bucket").alias("last edge"), F.min("before").alias("before"))
-    plan = targets.join(edges, F.col("source").eqNullSafe(F.col("edge of")), "left").drop("edge of")
+    targets = stored(targets)
+    # first by parts, then by the buckets of the part on the edge
+    parts = small(stored(_edges(coarse, targets)))
+    inside = fine.join(parts, F.col("source").eqNullSafe(F.col("e_source")) & part.between(F.col("edge"), F.col("last_edge")))
+    edges = _edges(inside.select("source", F.col("bucket").alias("at"), "words", F.col("before").alias("start")), targets)
+    plan = targets.join(edges, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
     # without an edge the quota is nothing or the whole source
     plan = plan.withColumn("edge", F.coalesce("edge", F.when(F.col("quota") > 0, F.lit(BUCKETS)).otherwise(F.lit(-1))))
-    plan = stored(plan.withColumn("last edge", F.coalesce("last edge", "edge")).withColumnRenamed("source", "mix of"))
-    planned = drawn.join(small(plan), F.col("source").eqNullSafe(F.col("mix of"))).drop("mix of")
-    on_edge = F.col("mix bucket").between(F.col("edge"), F.col("last edge"))
-    clear = planned.where(~on_edge).withColumn("copies", F.col("whole") + (F.col("mix bucket") < F.col("edge")).cast("long"))
-    row = W.partitionBy("source").orderBy("mix draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    plan = stored(plan.withColumn("last_edge", F.coalesce("last_edge", "edge")))
+    planned = drawn.join(small(plan), F.col("of").eqNullSafe(F.col("source")))
+    on_edge = F.col("bucket").between(F.col("edge"), F.col("last_edge"))
+    clear = planned.where(~on_edge).withColumn("copies", F.col("whole") + (F.col("bucket") < F.col("edge")).cast("long"))
+    row = W.partitionBy("of").orderBy("draw", "id", "size").rowsBetween(W.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(row) - F.col("size") / 2
     close = planned.where(on_edge).withColumn("copies", F.col("whole") + (middle <= F.col("quota")).cast("long"))
     out = clear.unionByName(close).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("mix draw", "mix bucket", "whole", "quota", "edge", "last edge", "before")
+    return out.select(*sealed.back(NEW), *NEW)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row of the mix as often as the mix has it."""
-    return mixed.where(F.col("copies") > 0).withColumn("mix copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("mix copy")
+    sealed = Sealed(mixed)
+    times = F.sequence(F.lit(1), sealed["copies"].cast("int"))
+    return sealed.df.where(sealed["copies"] > 0).withColumn("copy", F.explode(times)).select(*sealed.back())
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS draw
+         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))), 1, 8) AS BIGINT) AS draw
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM s),
