@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import carried, small, stored
+from .common import Sealed, small, stored
 
 NEW = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 #: The generator's multiplier.
@@ -51,28 +51,19 @@ def jump(key: Column, shards: int) -> Column:
 
 def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard (the shard under one more)."""
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    sealed = Sealed(docs)
+    raw = F.coalesce(sealed["text"], F.lit("")).cast("binary")
     ranges = max(1, min(65536, docs.count() // (shards * RANGE_ROWS) + 4))
-    kept = docs.select(*carried(docs, NEW))
-    hashed = kept.withColumn("size", F.octet_length(raw).cast("long") + 1).withColumn("text_crc32", F.crc32(raw))
-    hashed = hashed.withColumn("shard key", key_hash(F.col("doc_id")))
-    hashed = hashed.withColumn("shard", jump(F.col("shard key"), shards)).withColumn("grown_shard", jump(F.col("shard key"), shards + 1))
-    order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")).cast("binary"))
-    hashed = hashed.withColumn("shard order", order)
-    hashed = hashed.withColumn("shard range", F.floor(F.conv(F.substring("shard order", 1, 4), 16, 10).cast("long") * ranges / 65536).cast("int"))
-    counts = hashed.groupBy("shard", "shard range").agg(F.count("*").alias("rows"))
-    before = W.partitionBy("shard").orderBy("shard range").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(F.col("shard").alias("of shard"), F.col("shard range").alias("of range"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    in_range = W.partitionBy("shard", "shard range").orderBy("shard order", "doc_id", "size")
+    hashed = sealed.df.withColumns({"id": sealed["doc_id"], "size": F.octet_length(raw).cast("long") + 1, "text_crc32": F.crc32(raw), "key": key_hash(sealed["doc_id"])})
+    hashed = hashed.withColumns({"shard": jump(F.col("key"), shards), "grown_shard": jump(F.col("key"), shards + 1)})
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")).cast("binary"))
+    hashed = hashed.withColumn("order", order)
+    hashed = hashed.withColumn("range", F.floor(F.conv(F.substring("order", 1, 4), 16, 10).cast("long") * ranges / 65536).cast("int"))
+    counts = hashed.groupBy("shard", "range").agg(F.count("*").alias("rows"))
+    before = W.partitionBy("shard").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(F.col("shard").alias("s_shard"), F.col("range").alias("s_range"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    in_range = W.partitionBy("shard", "range").orderBy("order", "id", "size")
     placed = hashed.withColumn("slot", F.row_number().over(in_range).cast("long") - 1)
-    placed = placed.join(small(stored(starts)), (F.col("shard") == F.col("of shard")) & (F.col("shard range") == F.col("of range")))
+    placed = placed.join(small(stored(starts)), (F.col("shard") == F.col("s_shard")) & (F.col("range") == F.col("s_range")))
     placed = placed.withColumn("slot", F.col("slot") + F.col("start")).withColumn("law", F.lit("key"))
-    return placed.drop("shard key", "shard order", "shard range", "of shard", "of range", "start")
-
-
-def _unrolled(shards: int) -> str:
-    """The walk of jump() in SQL, one step below the other."""
-    sql = f"SELECT *, h AS k0, 0::BIGINT AS a0, false AS e0 FROM h"
-    for i in range(1, shards + 1):
-        sql = f"SELECT *, CASE WHEN e{i - 1} OR j{i} >= {shards} THEN a{i - 1} ELSE j{i} END AS a{i}, (e{i - 1} OR j{i} >= {shards}) AS e{i} FROM (SELECT *, CAST(floor((a{i - 1} + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k{i} // 8589934592)::DOUBLE + 1))) AS BIGINT) AS j{i} FROM (SELECT *, (k{i - 1} * {MULTIPLIER}::HUGEINT + 1) % {_WRAP}::HUGEINT AS k{i} FROM ({sql})))"
-    return f"SELECT key, a{shards}::INTEGER AS shard FROM ({sql})"
+    return placed.select(*sealed.back(NEW), *NEW)
