@@ -26,8 +26,10 @@ b AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_t
     - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (rn)),
 f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM b),
-h AS (SELECT source, count(*) AS n, count_if(base_failed) AS f, count_if(base_failed) / count(*)::DOUBLE AS rate FROM f WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT m, CASE WHEN v > 1e-12 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 10.0 END AS s FROM (SELECT avg(rate) AS m, var_pop(rate) AS v FROM h))
+h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS f FROM f WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT count(*)::DOUBLE AS k, sum(n) AS n, sum(n * n) AS nn, sum(f) AS f, sum(f * f / n) AS ff FROM h),
+u AS (SELECT *, f / n AS m, n - nn / n - (k - 1) AS room FROM t),
+p AS (SELECT m, CASE WHEN room > 1e-9::DOUBLE AND m * (1 - m) > 0 THEN 1 / least(greatest(((ff - f * f / n) / (m * (1 - m)) - (k - 1)) / room, 1e-6::DOUBLE), 0.999::DOUBLE) - 1 ELSE 10.0::DOUBLE END AS s FROM u)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce((SELECT (h.f + p.m * p.s) / (h.n + p.s) FROM h, p WHERE h.source = f.source), 0) <= 0.5 AS kept FROM f
 """

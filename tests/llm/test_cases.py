@@ -15,7 +15,12 @@ from inkfold.llm import common, decontamination, host_rules, kernels, kneser_ney
 from . import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ["kept", "size", "shard", "Slot", "pack", "f1", "th", "host", "bucket", "copies", "label", "score", "n", "Item_Id"]
+#: Every name that an operator uses inside, and those of its results.
+EXTRA = """kept size shard Slot pack f1 th host bucket copies label score n Item_Id id start s_shard s_range range order key rows before whole quota edge last_edge
+    of draw words e_source target taken source_size middle copy f_id f_th g_id g_th s_id s_th near again row rn n_words base_failed host_docs host_failed host_rate n_entities
+    entity_types x_row fixes ents e kind c tweak made s at place hash tokens h1 p1 typed plain item_place item_slots diagonal coverage u1 u2 run held ruling gain
+    tokens_of f2 sig rep times body lang_ component_id th_ rank weight cap level water""".split()
+EXTRA += ["in 0", "rows of key", "in", "pii ents", "near rank"]
 
 
 def sentence(seed, n):
