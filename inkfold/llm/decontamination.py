@@ -6,14 +6,16 @@
    with such words are hashed a second time with the words themselves, on both sides, so a copy of an item is found
    whatever its case and line breaks.
 2. Windows of ``WINDOW`` template tokens are hashed and joined with the hashed windows of the benchmark. The
-   benchmark's windows are broadcast below a checked number, so the windows of the corpus are never shuffled; above
-   it the join shuffles.
+   benchmark's hashes are broadcast up to ``MOST_HASHES``, so the windows of the corpus are never shuffled; beyond
+   that the join shuffles. A window of placeholders alone is no template, as any eight numbers would fill it: such a
+   window of an item is found by its values.
 3. Matches of one item lie on diagonals (place in the text minus place in the item). On each diagonal the slots
    must be filled consistently: each value of the item stands for one value of the text. Others are dropped.
 4. A document is contaminated if one item has at least ``coverage`` of its windows in it.
 
 Items with fewer than ``WINDOW`` tokens are one window of their own length. A shape window without slots, or with
-equal values in its slots, is an exact copy up to case and punctuation.
+equal values in its slots, is an exact copy up to case and punctuation. All lengths come from one pass over the texts,
+and the patterns need time and stack in proportion to a text, whatever it holds.
 
 Cases: null texts and texts without tokens match nothing; a null doc_id is judged like any other; rows that share
 doc_id and text are judged alike; an empty benchmark or table finds nothing; items that are null or have no tokens
@@ -25,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, text_key
+from .common import Sealed, settled, small, stored, text_key
 
 WINDOW = 8
 COVERAGE = 0.5
-MOST_BROADCAST = 500_000
+#: Up to so many distinct hashes of the benchmark's windows, 8 bytes each, are broadcast.
+MOST_HASHES = 2_000_000
 #: Unit words that count as units after a number.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t oz lb ml cl l s ms sec min h hr hrs hours minutes seconds days weeks months years km/h mph kmh m/s % percent dollars euros cents usd eur gbp meters metres miles grams liters litres degrees".split()
 
@@ -44,7 +47,7 @@ def _tokens(text: Column) -> Column:
     marked = F.regexp_replace(marked, r"[^\S\n]{2,}|[^\S\n ]", " ")
     marked = F.regexp_replace(marked, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", _NAME)
     marked = F.regexp_replace(marked, rf"(?<=[0-9]) ?(?=(?i:{units})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_NAME}{_UNIT}]?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_NAME}{_UNIT}]?[\p{{L}}\p{{M}}]+|[0-9]++(?:[.,][0-9]++)*+"), F.lit(0))
 
 
 def _marked(token: Column) -> Column:
@@ -77,29 +80,41 @@ def _doubled(level: str, step: int):
     return lambda h, i: F.xxhash64(h, F.get(level, i + step))
 
 
-def windows(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, place, hash) of each run of ``n`` template tokens, and again with plain words where a run has names or units.
+def windows(rows: DataFrame, keys: list[str], lengths: list[int], exact: bool) -> DataFrame:
+    """(keys, length, kind, place, hash) of each run of template tokens of the given lengths.
 
-    Hashes of 2, 4, 8... shapes are made of two of the level below, and a window of two overlapping ones, so its
-    cost doesn't grow with its length.
+    Kind 0 has the template, kind 1 has plain words in it where a run has names or units, and kind 2, if ``exact``
+    asks for it, all tokens as they are. Hashes of 2, 4, 8... tokens are made of two of the level below, and a window
+    of two overlapping ones, so its cost doesn't grow with its length.
     """
-    split = _split(rows, keys).where(F.size("tokens") >= n)
-    plain = F.when(F.exists("tokens", _marked), F.transform("tokens", lambda t: F.xxhash64(_plain(t))))
-    split = split.select(*keys, F.transform("tokens", lambda t: F.xxhash64(_shape(t))).alias("h1"), plain.alias("p1"))
-    half = 1 << (n.bit_length() - 1)
-    for step in (1 << k for k in range(n.bit_length() - 1)):
-        split = split.withColumns({f"{x}{2 * step}": F.transform(f"{x}{step}", _doubled(f"{x}{step}", step)) for x in "hp"})
-
-    def found(level: str) -> Column:
-        starts = F.slice(level, F.lit(1), F.size(level) - (n - 1))
-        return F.transform(starts, lambda h, i: F.xxhash64(F.lit(n), h, F.get(level, i + (n - half))))
-
-    split = split.select(*keys, found(f"h{half}").alias("typed"), F.when(F.col("p1").isNotNull(), found(f"p{half}")).alias("plain"))
-    # a window without names and units has one hash
-    other = F.transform("plain", lambda h, i: F.when(h != F.get("typed", i), h))
-    both = F.when(F.col("plain").isNull(), F.col("typed")).otherwise(F.concat("typed", other))
-    each = split.select(*keys, F.size("typed").alias("n_typed"), F.posexplode(both).alias("at", "hash")).where(F.col("hash").isNotNull())
-    return each.select(*keys, (F.col("at") % F.col("n_typed")).alias("place"), "hash")
+    split = _split(rows, keys).where(F.size("tokens") >= min(lengths))
+    named = F.exists("tokens", _marked)
+    first = {"h1": F.transform("tokens", lambda t: F.xxhash64(_shape(t))), "p1": F.when(named, F.transform("tokens", lambda t: F.xxhash64(_plain(t))))}
+    if exact:
+        first["e1"] = F.transform("tokens", lambda t: F.xxhash64(F.lit("="), _word(t)))
+    split = split.select(*keys, *[c.alias(n) for n, c in first.items()])
+    kinds = [n[0] for n in first]
+    for step in (1 << k for k in range(max(lengths).bit_length() - 1)):
+        split = split.withColumns({f"{x}{2 * step}": F.transform(f"{x}{step}", _doubled(f"{x}{step}", step)) for x in kinds})
+
+    def found(kind: str, n: int) -> Column:
+        half = 1 << (n.bit_length() - 1)
+        starts = F.slice(f"{kind}{half}", F.lit(1), F.greatest(F.size(f"{kind}{half}") - (n - 1), F.lit(0)))
+        return starts if n == half else F.transform(starts, lambda h, i: F.xxhash64(F.lit(n), h, F.get(f"{kind}{half}", i + (n - half))))
+
+    split = split.select(*keys, *[F.when(F.col(f"{x}1").isNotNull(), found(x, n)).alias(f"{x} {n}") for x in kinds for n in lengths])
+
+    def every(n: int) -> Column:
+        # a window without names and units has one hash
+        other = F.transform(f"p {n}", lambda h, i: F.when(h != F.get(f"h {n}", i), h))
+        if exact:
+            return F.concat(f"h {n}", F.coalesce(other, F.transform(f"h {n}", lambda h: F.lit(None).cast("long"))), f"e {n}")
+        return F.when(F.col(f"p {n}").isNull(), F.col(f"h {n}")).otherwise(F.concat(f"h {n}", other))
+
+    of_length = [F.struct(F.lit(n).alias("length"), F.size(f"h {n}").alias("n"), every(n).alias("hashes")) for n in lengths]
+    each = split.select(*keys, F.explode(F.array(*of_length)).alias("w"))
+    each = each.select(*keys, "w.length", "w.n", F.posexplode("w.hashes").alias("at", "hash")).where(F.col("hash").isNotNull())
+    return each.select(*keys, "length", F.floor(F.col("at") / F.col("n")).cast("int").alias("kind"), (F.col("at") % F.col("n")).alias("place"), "hash")
 
 
 def with_slots(hits: DataFrame, rows: DataFrame, keys: list[str], name: str, slots: Column) -> DataFrame:
@@ -117,20 +132,24 @@ def _same(keys: list[str], left: str, right: str) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame | None:
-    """(item_id, item_place, hash, length, item_slots) of the items; None if there are none.
+    """(item_id, item_place, kind, hash, length, item_slots) of the items; None if there are none.
 
-    A slot is its place in the window and its value.
+    A slot is its place in the window and its value. A window of placeholders alone has no template's hash but that of
+    its values, and needs no slots then.
     """
     items = benchmark.select("item_id", text_key().alias("item_th"), "text")
     sized = items.withColumn("n", F.size(_tokens(F.coalesce(F.col("text"), F.lit(""))))).where("n > 0").withColumn("n", F.least("n", F.lit(window)))
     out = None
     for n in sorted(r[0] for r in sized.select("n").distinct().collect()):  # at most ``window`` lengths
-        part = windows(sized.where(F.col("n") == n), ["item_id", "item_th"], n).withColumn("length", F.lit(n))
+        part = windows(sized.where(F.col("n") == n), ["item_id", "item_th"], [n], True)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return None
     slot = F.transform(F.slice("tokens", F.col("place") + 1, F.col("length")), lambda t, i: F.when(_slotted(t), F.struct(i.alias("at"), t.alias("value"))))
-    return with_slots(out, items, ["item_id", "item_th"], "item_slots", F.filter(slot, lambda x: x.isNotNull())).withColumnRenamed("place", "item_place").drop("item_th")
+    out = with_slots(out, items, ["item_id", "item_th"], "item_slots", F.filter(slot, lambda x: x.isNotNull())).withColumnRenamed("place", "item_place").drop("item_th")
+    bare, by_value = F.size("item_slots") == F.col("length"), F.col("kind") == 2
+    none = F.filter("item_slots", lambda x: F.lit(False))
+    return out.where(F.when(bare, F.col("kind") > 0).otherwise(~by_value)).withColumn("item_slots", F.when(by_value, none).otherwise(F.col("item_slots")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -141,11 +160,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
         return rows.limit(0).select("doc_id", "th", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"))
     items = stored(items)
     wanted = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
-    hits = None
-    for n in sorted(r[0] for r in items.select("length").distinct().collect()):
-        part = windows(rows, ["doc_id", "th"], n).join(small(items.where(F.col("length") == n), MOST_BROADCAST), "hash")
-        hits = part if hits is None else hits.unionByName(part)
-    hits = stored(hits.withColumn("diagonal", F.col("place") - F.col("item_place")).drop("hash"))
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    hashes = stored(items.select("hash").distinct())
+    of_docs = windows(rows, ["doc_id", "th"], lengths, not items.where("kind = 2").isEmpty())
+    hits = stored(of_docs.drop("length", "kind").join(small(hashes, MOST_HASHES), "hash", "left_semi"))
+    hits = stored(hits.join(small(items), "hash").withColumn("diagonal", F.col("place") - F.col("item_place")).drop("hash", "kind"))
     where = ["doc_id", "th", "item_id", "diagonal"]
     # each value of the item must stand for one value of the text
     values = F.transform("item_slots", lambda x: F.struct(x["value"].alias("of"), _word(F.get("tokens", F.col("place") + x["at"])).alias("value")))
@@ -153,7 +172,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     pairs = slotted.select(*where, F.explode("slots").alias("p"))
     broken = pairs.groupBy(*where, F.col("p.of").alias("v")).agg(F.min("p.value").alias("lo"), F.max("p.value").alias("hi")).where("lo <> hi").select(*where).distinct()
     sound = hits.join(broken.select(*[F.col(c).alias(f"b_{c}") for c in where]), _same(where, "", "b_"), "left_anti")
-    share = sound.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("item_place").alias("n")).join(small(wanted, MOST_BROADCAST), "item_id")
+    share = sound.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("item_place").alias("n")).join(small(stored(wanted)), "item_id")
     return share.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "th", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"))
 
 
@@ -168,5 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    found = stored(matches(docs, benchmark, window, coverage).select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).distinct())
-    return docs.join(small(found), docs["doc_id"].eqNullSafe(F.col("f_id")) & (F.xxhash64(docs["text"]) == F.col("f_th")), "left_anti")
+    found = settled(lambda: matches(docs, benchmark, window, coverage).select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).distinct(), docs.sparkSession)
+    sealed = Sealed(docs)
+    same = sealed["doc_id"].eqNullSafe(F.col("f_id")) & (F.xxhash64(sealed["text"]) == F.col("f_th"))
+    return sealed.df.join(small(found), same, "left_anti").select(*sealed.back())

@@ -13,7 +13,8 @@ from .sql import SQL  # noqa: F401
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    found = settled(lambda: near_dup.near_duplicates(read(spark, sf_dir, "documents")), spark)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +29,12 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    return decontamination.contaminated(docs.select("doc_id", "text"), benchmark)
+    return settled(lambda: decontamination.contaminated(docs.select("doc_id", "text"), benchmark), spark)
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return kneser_ney.judge(docs, read(spark, sf_dir, "labels"))
+    return settled(lambda: kneser_ney.judge(docs, read(spark, sf_dir, "labels")), spark)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

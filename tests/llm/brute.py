@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import regex
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -195,3 +197,61 @@ def url_model(urls, order=4, keep=0.95):
 
     threshold = (quantile("allow", 1 - keep) + quantile("block", keep)) / 2
     return {u[0]: (s, threshold) for u, s in scores.items() if not u[1]}
+
+
+UNITS = "mm|cm|dm|m|km|in|ft|yd|mi|mg|g|kg|t|oz|lb|ml|cl|l|s|ms|sec|min|h|hr|hrs|hours|minutes|seconds|days|weeks|months|years|kmh|mph|percent|dollars|euros|cents|usd|eur|gbp|meters|metres|miles|grams|liters|litres|degrees"
+
+
+def template(text):
+    """(kind of token, token) in order; the kind of a plain word is the word."""
+    text = regex.sub(r"[^\S\n]+", " ", (text or "").translate({0xA0: " ", 0x2007: " ", 0x202F: " "}))
+    out = []
+    for m in regex.finditer(r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*", text):
+        word, at = m[0], m.start()
+        if word[0] in "0123456789":
+            out.append(("<number>", word))
+        else:
+            # a word may begin right after a unit: "5 kmh" is one word, "5km" a number and a unit
+            name = regex.match(r"\p{Lu}\p{Ll}", word) and regex.search(r"[\p{L}\p{N},;] $", text[:at])
+            unit = regex.search(r"[0-9] ?$", text[:at]) and regex.fullmatch(f"(?i:{UNITS})", word) and not regex.match(r"\p{N}", text[m.end() :])
+            out.append(("<name>" if name else "<unit>" if unit else word.lower(), word.lower()))
+    return out
+
+
+def contaminated(docs, items, window=8, coverage=0.5):
+    """For (doc_id, text) and (item_id, text): the sorted (item_id, coverage) found in each text, in the order of the texts."""
+    out = []
+    items = [(i, template(t)) for i, t in items if template(t)]
+    plain = lambda t: t[0] if t[0] == "<number>" else t[1]
+    slot = lambda t: t[0] in ("<number>", "<name>", "<unit>")
+    for _, text in docs:
+        doc, found = template(text), []
+        places = defaultdict(list)
+        for n in {min(window, len(t)) for _, t in items}:
+            for p in range(len(doc) - n + 1):
+                w = doc[p : p + n]
+                typed, words = tuple(t[0] for t in w), tuple(map(plain, w))
+                for key in {("typed", typed), ("typed", words), ("exact", tuple(t[1] for t in w))}:
+                    places[key].append(p)
+        for i, item in items:
+            n = min(window, len(item))
+            hits, values = defaultdict(set), defaultdict(lambda: defaultdict(set))
+            for q in range(len(item) - n + 1):
+                w = item[q : q + n]
+                typed, words = tuple(t[0] for t in w), tuple(map(plain, w))
+                bare = all(map(slot, w))
+                keys = {("typed", words)} - {("typed", typed)} if bare else {("typed", typed), ("typed", words)}
+                for key in keys:
+                    for p in places[key]:
+                        hits[p - q].add(q)
+                        for k, t in enumerate(w):
+                            if slot(t):
+                                values[p - q][t[1] if t[0] == "<number>" else t].add(doc[p + k][1])
+                if bare:
+                    for p in places["exact", tuple(t[1] for t in w)]:
+                        hits[p - q].add(q)
+            sound = set().union(*(h for d, h in hits.items() if all(len(v) == 1 for v in values[d].values())))
+            if sound and len(sound) >= coverage * (len(item) - n + 1):
+                found.append((i, len(sound) / (len(item) - n + 1)))
+        out.append(sorted(found))
+    return out

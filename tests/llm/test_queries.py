@@ -71,13 +71,15 @@ def test_toxicity_held_out(spark):
     assert statistics.mean(pairs) > 0.8
 
 
-def test_decontamination_finds_planted_items(spark):
-    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    found = {r.doc_id: r.contaminated for r in queries.op4_decontamination(spark, SF).collect()}
-    for d in documents(spark):
-        if any(i in (d["text"] or "") for i in items):
-            assert found[d["doc_id"]]
-    assert sum(found.values()) < 0.2 * len(found)
+def test_decontamination_equals_brute(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = {r.doc_id: r for r in queries.op4_decontamination(spark, SF).collect()}
+    docs = [(d["doc_id"], d["text"]) for d in documents(spark)]
+    expected = brute.contaminated(docs, items)
+    for (i, _), found in zip(docs, expected):
+        assert (rows[i].contaminated, rows[i].n_items, rows[i].item_ids or []) == (bool(found), len(found), [x for x, _ in found])
+        assert math.isclose(rows[i].coverage, max((c for _, c in found), default=0.0))
+    assert 0 < sum(map(bool, expected)) < 0.2 * len(docs)
 
 
 def test_kneser_ney_tells_junk(spark):
