@@ -1,19 +1,23 @@
 """Surrogates for personal data; DataFrame functions only.
 
-Detection. One pattern finds e-mail addresses, IPv4 addresses, card and social-security numbers, phone numbers,
-long hexadecimal secrets and titled names. A text is cut at its matches, and put together again with the surrogates
-in their places, so the rest of the text never changes.
+Detection. One pattern finds e-mail addresses, IPv4 addresses, card and social-security numbers, phone numbers (with a
+country code, or as ten digits in three groups), long hexadecimal secrets and names after a title; names without a
+title are not told from other words. Its parts need time and stack in proportion to a text, whatever it holds; an
+e-mail address has at most 64 characters before its @ and 127 labels behind, and of more the last ones are taken. A
+text is cut at its matches, and put together again with the surrogates in their places, so the rest never changes.
 
 Surrogates. What identifies an entity is its letters (in lower case) and digits. Their sequence is encrypted by a
 keyed Feistel walk that keeps the class of every character (digit, Latin, Cyrillic or Greek letter; octets of an
 address keep their number of digits and stay below 256), which is a bijection on each format: different entities
 get different surrogates, equal ones the same in every document and every spelling, and case, separators, top-level
-domain and country code stay as they are. Names take a first name of the title's gender in the script of the
-original, and a family name of syllables that encode a keyed hash.
+domain and country code stay as they are. First and family names are replaced each by itself, so "Mr. John Smith" and
+"Mr. Smith" still share a family name: syllables of their script (Latin, Cyrillic or Greek; Latin for others) encode a
+keyed hash, and a first name ends as the title's gender has it. A name in capitals stays in capitals.
 
-Collision checks. The distinct entities are compared once: a surrogate that equals a real entity, or another name's
-surrogate, is drawn again with a tweak until none does. Those are few; only documents that hold one are joined with
-the table of redrawn entities.
+Collision checks. The distinct entities and name parts are compared once: a surrogate that equals a real entity, or
+another one's surrogate, is drawn again with a tweak until none does. Where real entities leave no room in their
+format, addresses may change their number of digits and e-mail addresses get longer from the ``WIDER``th draw on. Those
+are few; only documents that hold one are joined with the table of redrawn entities.
 
 Cases: a null text stays null, an empty text and texts without entities stay as they are; repeated rows get equal
 results; a null doc_id is treated like any other; an empty table gives an empty result; all columns of the input
@@ -25,35 +29,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, small, stored
+from .common import Sealed, small, stored
 
-NEW = ["text", "n_entities", "entity_types"]
+NEW = ["n_entities", "entity_types"]
+#: From this draw on a surrogate may leave its format's width; the last draw before giving up.
+WIDER, LAST = 4, 100
 
 #: Titles by the gender they say.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]}
-#: First names by script and gender.
-FIRST = {
-    ("latin", "f"): ["Ada", "Berta", "Clara", "Dora", "Elena", "Flora", "Greta", "Helena", "Irma", "Julia", "Klara", "Lena"],
-    ("latin", "m"): ["Adam", "Bruno", "Carlo", "David", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Karl", "Leon"],
-    ("cyrillic", "f"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя"],
-    ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Егор", "Иван"],
-}
-#: Syllables of family names.
-SYLLABLES = {"latin": "ba de fi go ku la me ni po ru sa te vi wo xa ze".split(), "cyrillic": "ба де фи го ку ла ме ни по ру са те ви во жа зе".split()}
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"]}
+#: Syllables of names by script.
+SYLLABLES = {"latin": "ba de fi go ku la me ni po ru sa te vi wo xa ze".split(), "cyrillic": "ба де фи го ку ла ме ни по ру са те ви во жа зе".split(), "greek": "βα δε φι γο κυ λα με νι πο ρυ σα τε θι ξο χα ζε".split()}
+#: How first names end by script and gender.
+ENDINGS = {"latin": {"f": "lia", "m": "rio"}, "cyrillic": {"f": "лия", "m": "рий"}, "greek": {"f": "λία", "m": "ριος"}}
 #: Letters that stay within their alphabet.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 
 _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\d\-])\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}(?![\d\-]*\d)",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "email": r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){0,126}\.[A-Za-z]{2,}",
+    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
+    "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9\-.(])(?:\([0-9]{3}\) ?|[0-9]{3}[\-.])[0-9]{3}[\-.][0-9]{4}(?![0-9\-])",
+    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+    "card": r"(?<![0-9\-])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{1,7}(?![0-9\-]*[0-9])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
 }
 PATTERN = "|".join(PATTERNS.values())
+#: What every text with an entity has: a quick look before the pattern.
+HINT = rf"@|[0-9][0-9. ()\-]{{5,}}|[0-9a-fA-F]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
 ROUNDS = 4
 
 
@@ -93,10 +97,13 @@ def _shift(c: Column, by: Column, hexadecimal: Column) -> Column:
     return F.when(hexadecimal, F.substring(of_hex, F.pmod(F.instr(of_hex, c) - 1 + by, F.lit(16)) + 1, F.lit(1))).otherwise(out)
 
 
-def _shift_octet(c: Column, by: Column) -> Column:
-    n = c.cast("int")
-    wide = F.when(n >= 100, F.pmod(n - 100 + by, F.lit(156)) + 100).when(n >= 10, F.pmod(n - 10 + by, F.lit(90)) + 10)
-    return F.coalesce(wide, F.pmod(n + by, F.lit(10))).cast("string")
+def _shift_octet(tweak: Column):
+    def shift(c: Column, by: Column) -> Column:
+        n = c.cast("int")
+        same = F.when(n >= 100, F.pmod(n - 100 + by, F.lit(156)) + 100).when(n >= 10, F.pmod(n - 10 + by, F.lit(90)) + 10).otherwise(F.pmod(n + by, F.lit(10)))
+        return F.when(tweak >= WIDER, F.pmod(n + by, F.lit(256))).otherwise(same).cast("string")
+
+    return shift
 
 
 def _walk(units: Column, tweak: Column, key: str, shift) -> Column:
@@ -126,50 +133,66 @@ def _dressed(e: Column, letters: Column) -> Column:
     return F.aggregate(F.split(e, ""), F.struct(F.lit("").alias("out"), letters.alias("left")), step)["out"]
 
 
-def _pick(choices: Column):
-    """The choice that a hexadecimal digit names."""
-    return lambda digit: F.element_at(choices, F.conv(digit, 16, 10).cast("int") + 1)
+def _syllables(digits: Column, script: str) -> Column:
+    """A syllable for each hexadecimal digit."""
+    choices = F.array(*map(F.lit, SYLLABLES[script]))
+    return F.array_join(F.transform(F.split(digits, ""), lambda d: F.element_at(choices, F.conv(d, 16, 10).cast("int") + 1)), "")
+
+
+def _title(e: Column) -> Column:
+    """The title of a name with what separates it, empty for other entities."""
+    return F.regexp_extract(e, rf"^(?:{_TITLE})\.? ", 0)
+
+
+def pieces(e: Column, kind: Column) -> Column:
+    """array<struct<kind, e>>: what gets a surrogate of its own; of a name its first and family name, else the whole."""
+    gender = F.when(F.regexp_replace(_title(e), r"\.? $", "").isin(TITLES["f"]), F.lit("first f")).otherwise(F.lit("first m"))
+    words = F.split(F.regexp_replace(e, rf"^(?:{_TITLE})\.? ", ""), " ")
+    named = lambda ws: F.transform(ws, lambda w, i: F.struct(F.when(i < F.size(ws) - 1, gender).otherwise(F.lit("family")).alias("kind"), w.alias("e")))
+    return F.when(kind == "name", _let(words, named)).otherwise(F.array(F.struct(kind.alias("kind"), e.alias("e"))))
 
 
-def _name(e: Column, tweak: Column, key: str) -> Column:
-    title = F.regexp_extract(e, rf"^(?:{_TITLE})\.? ", 0)
-    bare = F.regexp_replace(title, r"\.? $", "")
-    rest = F.regexp_replace(e, rf"^(?:{_TITLE})\.? ", "")
-    draw = F.md5(F.concat_ws("\x00", F.lit(key), tweak.cast("string"), F.lit("name"), F.lower(rest)).cast("binary"))
-    digits = F.split(F.substring(draw, 1, 8), "")
-    pick = F.conv(F.substring(draw, 9, 4), 16, 10).cast("int")
-    out = F.lit("")
-    for (script, gender), names in FIRST.items():
-        first = F.element_at(F.array(*map(F.lit, names)), F.pmod(pick, F.lit(len(names))) + 1)
-        syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        family = F.array_join(F.transform(digits, _pick(syllables)), "")
-        family = F.concat(F.upper(F.substring(family, 1, 1)), F.substring(family, 2, 64))
-        whole = F.when(F.contains(rest, F.lit(" ")), F.concat_ws(" ", first, family)).otherwise(family)
-        fits = rest.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic")
-        out = F.when(fits & bare.isin(TITLES[gender]), whole).otherwise(out)
-    return F.concat(title, out)
+def _name(part: Column, kind: Column, tweak: Column, key: str) -> Column:
+    """The surrogate of a first or family name."""
+    draw = F.md5(F.concat_ws("\x00", F.lit(key), tweak.cast("string"), kind, F.lower(part)).cast("binary"))
+    out = None
+    for script, name in (("cyrillic", "IsCyrillic"), ("greek", "IsGreek"), ("latin", None)):
+        first = lambda g: F.concat(_syllables(F.substring(draw, 1, 7), script), F.lit(ENDINGS[script][g]))  # noqa: E731, B023
+        made = F.when(kind == "first f", first("f")).when(kind == "first m", first("m")).otherwise(_syllables(F.substring(draw, 1, 8), script))
+        fits = part.rlike(rf"\p{{{name}}}") if name else F.lit(True)
+        out = F.when(fits, made) if out is None else out.when(fits, made)
+    return _let(out, lambda s: F.when(part == F.upper(part), F.upper(s)).otherwise(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 64))))
 
 
 def surrogate(e: Column, kind: Column, tweak: Column, key: str) -> Column:
-    """The surrogate of an entity: a function of the key, the tweak and what equal entities share."""
+    """The surrogate of a piece: a function of the key, the tweak and what equal pieces share."""
 
     def plain(x: Column) -> Column:
         bare = F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), "")
-        return _dressed(x, _let(bare, lambda units: _walk(units, tweak, key, lambda c, by: _shift(c, by, kind == "secret"))))
+        walked = lambda units: _walk(units, tweak, key, lambda c, by: _shift(c, by, kind == "secret"))
+        # a secret may be very long, but has one case and nothing else in it
+        secret = _let(F.array_join(_let(bare, walked), ""), lambda s: F.when(x == F.lower(x), s).otherwise(F.upper(s)))
+        return F.when(kind == "secret", secret).otherwise(_dressed(x, _let(bare, walked)))
 
     # what stays: the country code and the top-level domain
-    code = F.when(kind == "phone", F.regexp_extract(e, r"^\+\d{1,3}(?=[ .\-(])", 0)).otherwise(F.lit(""))
+    code = F.when(kind == "phone", F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)).otherwise(F.lit(""))
     domain = F.when(kind == "email", F.regexp_extract(e, r"\.[A-Za-z]+$", 0)).otherwise(F.lit(""))
     parts = F.struct(code.alias("code"), domain.alias("domain"))
     core = lambda p: F.substring(e, F.length(p["code"]) + 1, F.length(e) - F.length(p["code"]) - F.length(p["domain"]))
-    other = _let(parts, lambda p: F.concat(p["code"], _let(core(p), plain), p["domain"]))
-    octets = F.array_join(_let(F.split(e, r"\."), lambda units: _walk(units, tweak, key, _shift_octet)), ".")
-    return F.when(kind == "ip", octets).when(kind == "name", _name(e, tweak, key)).otherwise(other)
+    longer = F.when((kind == "email") & (tweak >= WIDER), _syllables(F.substring(F.md5(F.concat_ws("\x00", F.lit(key), tweak.cast("string"), F.lower(e)).cast("binary")), 1, 8), "latin")).otherwise(F.lit(""))
+    other = _let(parts, lambda p: F.concat(p["code"], longer, _let(core(p), plain), p["domain"]))
+    octets = F.array_join(_let(F.split(e, r"\."), lambda units: _walk(units, tweak, key, _shift_octet(tweak))), ".")
+    return F.when(kind == "ip", octets).when(kind.isin("first f", "first m", "family"), _name(e, kind, tweak, key)).otherwise(other)
 
 
 def _replaced(key: str):
     """The first surrogate of an entity whose type isn't known yet."""
-    return lambda e: _let(entity_type(e), lambda kind: surrogate(e, kind, F.lit(0), key))
+
+    def whole(e: Column, kind: Column) -> Column:
+        parts = F.transform(pieces(e, kind), lambda p: surrogate(p["e"], p["kind"], F.lit(0), key))
+        return F.when(kind == "name", F.concat(_title(e), F.array_join(parts, " "))).otherwise(surrogate(e, kind, F.lit(0), key))
+
+    return lambda e: _let(entity_type(e), lambda kind: whole(e, kind))
 
 
 def _rebuilt(text: Column, new: Column) -> Column:
@@ -178,16 +201,16 @@ def _rebuilt(text: Column, new: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(between, new, lambda b, n: F.array(b, F.coalesce(n, F.lit(""))))), "")
 
 
-def redrawn(found: DataFrame, key: str, most: int = 20) -> DataFrame:
-    """(entity key, tweak) of the entities whose first surrogate collides; empty where none does.
+def redrawn(found: DataFrame, key: str) -> DataFrame:
+    """(r_kind, r_c, tweak) of the pieces whose first surrogate collides; empty where none does.
 
-    ``found`` has the distinct (e, kind). Each round keeps the smallest entity on a surrogate that several share
-    and draws the others again; nobody may take the place of a real entity.
+    ``found`` has the distinct (e, kind). Each round keeps the smallest piece on a surrogate that several share
+    and draws the others again; nobody may take the place of a real one.
     """
     own = found.select("kind", "e", canonical(F.col("e"), F.col("kind")).alias("c"))
     own = stored(own.groupBy("kind", "c").agg(F.min("e").alias("e")).withColumn("tweak", F.lit(0)))
     real = own.select("kind", F.col("c").alias("s"))
-    for _ in range(most):
+    for _ in range(LAST):
         drawn = own.withColumn("made", surrogate(F.col("e"), F.col("kind"), F.col("tweak"), key))
         drawn = stored(drawn.withColumn("s", canonical(F.col("made"), F.col("kind"))))
         several = drawn.groupBy("kind", "s").agg(F.min("c").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "s", "first")
@@ -195,37 +218,44 @@ def redrawn(found: DataFrame, key: str, most: int = 20) -> DataFrame:
         taken = drawn.join(real, ["kind", "s"], "left_semi").select("kind", "c")
         bad = stored(late.union(taken).distinct())
         if bad.isEmpty():
-            break
+            return own.where("tweak > 0").select(F.col("kind").alias("r_kind"), F.col("c").alias("r_c"), "tweak")
         own = stored(own.join(bad.withColumn("again", F.lit(1)), ["kind", "c"], "left").select("kind", "c", "e", (F.col("tweak") + F.coalesce("again", F.lit(0))).alias("tweak")))
-    return own.where("tweak > 0").select(F.col("kind").alias("r_kind"), F.col("c").alias("r_c"), "tweak")
+    raise ValueError("some format of personal data has no room for surrogates")
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``, the number of entities found and their sorted types."""
     if not key:
         raise ValueError("a key is needed: surrogates without one can be guessed")
-    others = carried(docs, NEW)
+    sealed = Sealed(docs)
+    text = sealed["text"]
     # most texts hold no digit next to another, no @ and no title: they skip the pattern
-    may = F.col("text").rlike(rf"@|\d[\d. ()\-]{{5,}}|[0-9a-fA-F]{{32}}|(?:{_TITLE})\.? \p{{Lu}}")
-    found = docs.select(F.explode(F.array_distinct(F.when(may, entities(F.col("text"))))).alias("e"))
-    again = stored(redrawn(stored(found.distinct().withColumn("kind", entity_type(F.col("e")))), key))
-
-    ents = F.when(may, entities(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    marked = docs.select(*others, "text", F.coalesce(ents, F.array().cast("array<string>")).alias("pii ents"))
-    kinds = F.transform("pii ents", entity_type)
-    typed = marked.withColumn("n_entities", F.size("pii ents").cast("long")).withColumn("entity_types", F.array_sort(F.array_distinct(kinds)))
-    first = F.transform("pii ents", _replaced(key))
-    new_text = F.when(F.size("pii ents") > 0, _rebuilt(F.col("text"), first)).otherwise(F.col("text"))
+    ents = F.coalesce(F.when(text.rlike(HINT), entities(text)), F.array().cast("array<string>"))
+    found = sealed.df.select(F.explode(F.array_distinct(ents)).alias("e")).distinct()
+    found = found.select(F.explode(pieces(F.col("e"), entity_type(F.col("e")))).alias("p")).select("p.kind", "p.e").distinct()
+    again = stored(redrawn(stored(found), key))
+
+    marked = sealed.df.withColumn("ents", ents)
+    typed = marked.withColumn("n_entities", F.size("ents").cast("long")).withColumn("entity_types", F.array_sort(F.array_distinct(F.transform("ents", entity_type))))
+
+    def result(rows: DataFrame, new: Column) -> DataFrame:
+        made = F.when(F.size("ents") > 0, _rebuilt(text, new)).otherwise(text)
+        where = [c.lower() for c in docs.columns].index("text")
+        return rows.select(*[(made if c == f"in {where}" else F.col(c)).alias(c) for c in sealed.df.columns], *NEW).select(*sealed.back(NEW), *NEW)
+
     if again.isEmpty():
-        return typed.withColumn("text", new_text).drop("pii ents").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_types")], "n_entities", "entity_types")
-    # documents that hold a redrawn entity are put together from joined surrogates
-    numbered = typed.withColumn("pii row", F.monotonically_increasing_id())
-    numbered = stored(numbered.where(F.size("pii ents") > 0)).unionByName(typed.where(F.size("pii ents") == 0).withColumn("pii row", F.lit(-1).cast("long")))
-    each = numbered.where(F.size("pii ents") > 0).select("pii row", F.posexplode("pii ents").alias("at", "e")).withColumn("kind", entity_type(F.col("e")))
-    each = each.join(small(again), (F.col("kind") == F.col("r_kind")) & (canonical(F.col("e"), F.col("kind")) == F.col("r_c")))
-    fixes = each.select(F.col("pii row").alias("x row"), F.struct("at", surrogate(F.col("e"), F.col("kind"), F.col("tweak"), key).alias("s")).alias("x"))
-    fixes = fixes.groupBy("x row").agg(F.map_from_entries(F.collect_list("x")).alias("pii fixes"))
-    joined = numbered.join(fixes, F.col("pii row") == F.col("x row"), "left")
-    fixed = F.transform("pii ents", lambda e, i: F.coalesce(F.try_element_at("pii fixes", i), _replaced(key)(e)))
-    joined = joined.withColumn("text", F.when(F.size("pii ents") > 0, _rebuilt(F.col("text"), fixed)).otherwise(F.col("text")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_types")], "n_entities", "entity_types")
+        return result(typed, F.transform("ents", _replaced(key)))
+    # documents that hold a redrawn piece are put together from joined surrogates
+    some = stored(typed.where(F.size("ents") > 0).withColumn("row", F.monotonically_increasing_id()))
+    rows = some.unionByName(typed.where(F.size("ents") == 0).withColumn("row", F.lit(-1).cast("long")))
+    each = some.select("row", F.posexplode("ents").alias("at", "e")).withColumn("title", _title(F.col("e")))
+    each = each.select("row", "at", "title", F.posexplode(pieces(F.col("e"), entity_type(F.col("e")))).alias("k", "p")).select("row", "at", "title", "k", "p.kind", "p.e")
+    each = each.join(small(again), (F.col("kind") == F.col("r_kind")) & (canonical(F.col("e"), F.col("kind")) == F.col("r_c")), "left")
+    drawn = surrogate(F.col("e"), F.col("kind"), F.coalesce("tweak", F.lit(0)), key)
+    named = F.when(F.col("kind").isin("first f", "first m", "family"), F.col("title")).otherwise(F.lit(""))
+    each = each.select("row", "at", "tweak", named.alias("head"), F.struct("k", drawn.alias("s")).alias("made"))
+    whole = each.groupBy("row", "at").agg(F.max("tweak").alias("most"), F.first("head").alias("head"), F.array_sort(F.collect_list("made")).alias("parts")).where("most > 0")
+    whole = whole.select(F.col("row").alias("x_row"), F.struct("at", F.concat("head", F.array_join(F.transform("parts", lambda m: m["s"]), " ")).alias("s")).alias("x"))
+    fixes = whole.groupBy("x_row").agg(F.map_from_entries(F.collect_list("x")).alias("fixes"))
+    joined = rows.join(fixes, F.col("row") == F.col("x_row"), "left")
+    return result(joined, F.transform("ents", lambda e, i: F.coalesce(F.try_element_at("fixes", i), _replaced(key)(e))))

@@ -255,3 +255,92 @@ def contaminated(docs, items, window=8, coverage=0.5):
                 found.append((i, len(sound) / (len(item) - n + 1)))
         out.append(sorted(found))
     return out
+
+
+def surrogates(texts, key):
+    """The texts with surrogates for their entities, and the number of entities in each; draws again until no two meet."""
+    from inkfold.llm.pii_surrogates import ALPHABETS, ENDINGS, PATTERNS, SYLLABLES, TITLES, WIDER  # fixed values
+
+    pattern = regex.compile("|".join(PATTERNS.values()))
+    title = regex.compile("(?:%s)\\.? " % "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True)))
+    bare = lambda x: "".join(c for c in x.lower() if regex.match(r"[\p{L}\p{N}]", c))
+    canon = lambda kind, x: x if kind == "ip" else bare(x)
+    digest = lambda f, *parts: f("\x00".join(parts).encode()).hexdigest()
+
+    def kind_of(e):
+        return next((k for k in ("email", "ip", "phone", "ssn", "card", "secret") if regex.fullmatch(PATTERNS[k], e)), "name")
+
+    def pieces(e):
+        kind = kind_of(e)
+        if kind != "name":
+            return "", [(kind, e)]
+        head = title.match(e)[0]
+        first, *rest = e[len(head) :].split(" ")
+        gender = "first f" if regex.sub(r"\.? $", "", head) in TITLES["f"] else "first m"
+        return head, [(gender, first), ("family", rest[0])] if rest else [("family", first)]
+
+    def walk(units, tweak, shift):
+        cut = max(len(units) // 2, 1)
+        sides = {"l": units[:cut], "r": units[cut:]}
+        for turn in range(1, 5):
+            for side, other in (("l", "r"), ("r", "l")):
+                h = hashlib.sha512(":".join([key, str(tweak), str(turn), side, ".".join(sides[other])]).encode()).hexdigest()
+                sides[side] = [shift(c, int(h[k % 32 * 4 :][:4], 16)) for k, c in enumerate(sides[side])]
+        return sides["l"] + sides["r"]
+
+    def letter(kind):
+        def shift(c, by):
+            for a in ["0123456789abcdef"] if kind == "secret" else ALPHABETS:
+                if c in a:
+                    return a[(a.index(c) + by) % len(a)]
+            return c
+
+        return shift
+
+    def octet(tweak):
+        def shift(c, by):
+            low, high = (0, 256) if tweak >= WIDER else (100, 256) if int(c) >= 100 else (10, 100) if int(c) >= 10 else (0, 10)
+            return str((int(c) - low + by) % (high - low) + low)
+
+        return shift
+
+    def made(kind, e, tweak):
+        if kind == "ip":
+            return ".".join(walk(e.split("."), tweak, octet(tweak)))
+        if kind in ("first f", "first m", "family"):
+            script = "cyrillic" if regex.search(r"\p{IsCyrillic}", e) else "greek" if regex.search(r"\p{IsGreek}", e) else "latin"
+            h = digest(hashlib.md5, key, str(tweak), kind, e.lower())
+            out = "".join(SYLLABLES[script][int(d, 16)] for d in h[: 8 if kind == "family" else 7]) + ENDINGS[script].get(kind[-1] if kind != "family" else "", "")
+            return out.upper() if e == e.upper() else out[0].upper() + out[1:]
+        head = regex.match(r"\+[0-9]{1,3}(?=[ .\-(])", e) if kind == "phone" else None
+        tail = regex.search(r"\.[A-Za-z]+$", e) if kind == "email" else None
+        head, tail = head[0] if head else "", tail[0] if tail else ""
+        core = e[len(head) : len(e) - len(tail)]
+        new = iter(walk(list(bare(core)), tweak, letter(kind)))
+        core = "".join(c if not bare(c) else (n.upper() if c != c.lower() else n) for c in core for n in [next(new) if bare(c) else ""])
+        longer = "".join(SYLLABLES["latin"][int(d, 16)] for d in digest(hashlib.md5, key, str(tweak), e.lower())[:8]) if kind == "email" and tweak >= WIDER else ""
+        return head + longer + core + tail
+
+    known = {}
+    for t in texts:
+        for m in pattern.finditer(t or ""):
+            for kind, e in pieces(m[0])[1]:
+                at = kind, canon(kind, e)
+                known[at] = min(known.get(at, e), e)
+    tweaks = dict.fromkeys(known, 0)
+    while True:
+        drawn = {(k, c): (k, canon(k, made(k, known[k, c], n))) for (k, c), n in tweaks.items()}
+        first = {}
+        for at in sorted(drawn):
+            first.setdefault(drawn[at], at)
+        bad = [at for at, s in drawn.items() if first[s] != at or s in known]
+        if not bad:
+            break
+        for at in bad:
+            tweaks[at] += 1
+
+    def replaced(m):
+        head, parts = pieces(m[0])
+        return head + " ".join(made(k, e, tweaks[k, canon(k, e)]) for k, e in parts)
+
+    return [(None if t is None else pattern.sub(replaced, t), len(pattern.findall(t or ""))) for t in texts]

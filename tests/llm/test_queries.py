@@ -90,19 +90,11 @@ def test_kneser_ney_tells_junk(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.4
 
 
-def test_surrogates(spark):
+def test_surrogates_equal_brute(spark):
     texts = {d["doc_id"]: d["text"] for d in documents(spark)}
-    pattern = re.compile(r"[\w.+-]+@[\w.-]+|\d{16}|\d+\.\d+\.\d+\.\d+|\d{3}-\d{4}|[0-9a-f]{40}")
-    known: dict = {}
-    for r in queries.op3_pii_surrogates(spark, SF).collect():
-        before, after = pattern.findall(texts[r.doc_id] or ""), pattern.findall(r.text or "")
-        assert len(before) == len(after) and (bool(before) <= bool(r.n_entities))
-        for a, b in zip(before, after):
-            assert a != b and len(a) == len(b)
-            if "-" not in a:
-                assert known.setdefault(a, b) == b
-        assert pattern.sub("", re.sub(r"\(\d+\)", "", r.text)) == pattern.sub("", re.sub(r"\(\d+\)", "", texts[r.doc_id]))
-    assert len(set(known.values())) == len(known)
+    rows = queries.op3_pii_surrogates(spark, SF).collect()
+    expected = brute.surrogates([texts[r.doc_id] for r in rows], "a key of the deployment's own")
+    assert [(r.text, r.n_entities) for r in rows] == expected and sum(n > 0 for _, n in expected) > 5
 
 
 def test_url_rules_and_models(spark):
