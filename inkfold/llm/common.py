@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,3 +152,41 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def packed(rows: DataFrame, n: int) -> DataFrame:
+    """(pack, body) of ``rows``, which have a column ``pack``, dealt to ``n`` partitions by it.
+
+    A batch sends the rows of a pack as one compressed body, equal rows once and with their number in ``times``, so
+    copies of a row don't pile up where they meet.
+    """
+    names = [c for c in rows.columns if c != "pack"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).group_by(["pack", *names], use_threads=False).aggregate([([], "count_all")]).rename_columns({"count_all": "times"})
+            pack = table.column("pack").to_numpy()
+            order = np.argsort(pack, kind="stable")
+            edges = np.flatnonzero(np.concatenate(([True], pack[order][1:] != pack[order][:-1], [True]))) if len(pack) else []
+            bodies, table = [], table.select([*names, "times"])
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                    out.write_table(table.take(pa.array(order[lo:hi])))
+                bodies.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(pack[order[edges[:-1]]] if len(edges) else [], pa.int32()), pa.array(bodies, pa.binary())], names=["pack", "body"])
+
+    return rows.mapInArrow(fold, "pack int, body binary").repartition(n, "pack")
+
+
+def unpacked(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The rows of a pack's bodies with the given columns, and ``times``."""
+    schema = schema.append(pa.field("times", pa.int64()))
+    parts = [pa.ipc.open_stream(b).read_all().cast(schema) for b in table.column("body").to_pylist()]
+    return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
+def each_time(rows: DataFrame) -> DataFrame:
+    """Each row as often as its ``times`` says."""
+    return rows.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")

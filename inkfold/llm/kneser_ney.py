@@ -1,18 +1,21 @@
 """Quality by an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-1. Texts are dealt into packs of about 8 MB by a hash of doc_id, compressed by pack, together with the labels that
-   say which are trusted. A pack sends each distinct run of ``ORDER`` characters once, with its
-   count in trusted text: what is gathered follows the size of the corpus, and the copies of a hot text meet
-   within their packs.
+1. Texts are dealt into packs of about 8 MB by a hash of doc_id, compressed by pack and equal rows of a batch only
+   once, together with the labels that say which are trusted. A pack sends each distinct run of ``ORDER`` characters
+   once, with its count in trusted text: what is gathered follows the size of the corpus, and the copies of a hot text
+   meet within their packs.
 2. Runs are summed into the model's tables, one row per distinct run, and joined by their suffixes and contexts,
-   sharded by hash: highest order by counts, lower orders by the number of different continuations, three
-   discounts for each order from the counts of counts.
+   sharded by hash: highest order by counts, lower orders by the number of different continuations (those of a text's
+   start count like others), three discounts for each order from the counts of counts.
 3. The log-likelihood of each run goes back to the packs that asked for it, which give each document its
    perplexity.
-4. A document is rejected if its perplexity lies above the ``QUANTILE`` of the trusted documents of its language
-   (of all trusted documents where a language has none).
+4. One in ``CALIBRATES`` trusted documents, by the CRC of doc_id, trains nothing: these show what the model makes of good
+   text that it hasn't seen. A document is rejected if its perplexity lies above the ``QUANTILE`` of those of its
+   language. A language with fewer than ``FEW`` of them has the larger one of its own quantile and that of all; without
+   any such document the quantile of the trained ones counts.
 
-Characters are folded into 15 bits, so a run is one number; code points from 32,768 on share places.
+Characters are UTF-16 units of 16 bits, so a run of four is one number and none is lost: a character beyond the basic
+plane is two units. 0 stands before a text; a NUL in a text counts as U+FFFF, which is no character.
 
 Cases: null and empty texts have no perplexity (null) and are rejected; a null language has the threshold of all;
 without trusted text nothing is rejected but empty texts; a doc_id that occurs several times is trusted in all its
@@ -29,19 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small, stored
+from .common import each_time, packed, partitions, small, stored, unpacked, with_key
 
 ORDER = 4
-BITS = 15
+BITS = 16
 QUANTILE = 0.995
+#: One in so many trusted documents is held out for the thresholds; fewer than so many tell little of a quantile.
+CALIBRATES, FEW = 5, 200
 PACK_BYTES = 8 << 20
 _PART = 1 << 20
 
 
 def _codes(text: str) -> np.ndarray:
-    """The characters of a text as numbers from 2 on; 1 stands before the text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    return np.where(points < (1 << BITS) - 4, points, points % 4096 + (1 << BITS) - 4100) + 2
+    """The UTF-16 units of a text, none of them 0."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.uint64)
+    return np.where(units == 0, np.uint64(0xFFFF), units)
 
 
 def runs(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +54,13 @@ def runs(texts: list) -> tuple[np.ndarray, np.ndarray]:
     parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         if text:
-            c = np.concatenate((np.ones(ORDER - 1, np.int64), _codes(text)))
+            c = np.concatenate((np.zeros(ORDER - 1, np.uint64), _codes(text)))
             sizes[i] = len(c) - ORDER + 1
             out = c[: sizes[i]].copy()
             for k in range(1, ORDER):
-                out <<= BITS
+                out <<= np.uint64(BITS)
                 out |= c[k : k + sizes[i]]
-            parts.append(out)
+            parts.append(out.view(np.int64))
     return np.concatenate(parts) if parts else np.empty(0, np.int64), sizes
 
 
@@ -82,10 +87,13 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 def run_logs(counts: DataFrame) -> DataFrame:
     """(run, logp) for every run of ``counts`` (run, n); n is its count in trusted text and may be 0."""
-    mask = lambda k: (1 << (BITS * k)) - 1
+
+    def last(run: str, k: int):
+        return F.col(run) if k == ORDER else F.col(run).bitwiseAND((1 << (BITS * k)) - 1)
+
     seen = {ORDER: stored(counts.where("n > 0").select(F.col("run").alias("gram"), "n"))}
     for k in range(ORDER - 1, 0, -1):
-        longer = seen[k + 1].select((F.col("gram").bitwiseAND(mask(k))).alias("gram"))
+        longer = seen[k + 1].select(last("gram", k).alias("gram"))
         seen[k] = stored(longer.groupBy("gram").agg(F.count("*").alias("n")))
     letters = seen[1].count()
     out = counts.select("run", F.lit(1.0 / (letters + 1)).alias("p"))
@@ -93,8 +101,8 @@ def run_logs(counts: DataFrame) -> DataFrame:
         d = _discounts(seen[k])
         less = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         grams = seen[k].select("gram", F.greatest(F.col("n") - less, F.lit(0.0)).alias("kept"))
-        context = seen[k].select(F.shiftright("gram", BITS).alias("context"), "n", less.alias("less")).groupBy("context").agg(F.sum("n").alias("total"), F.sum("less").alias("spare"))
-        out = out.withColumn("gram", F.col("run").bitwiseAND(mask(k))).withColumn("context", F.shiftright(F.col("run").bitwiseAND(mask(k)), BITS))
+        context = seen[k].select(F.shiftrightunsigned("gram", BITS).alias("context"), "n", less.alias("less")).groupBy("context").agg(F.sum("n").alias("total"), F.sum("less").alias("spare"))
+        out = out.withColumn("gram", last("run", k)).withColumn("context", F.shiftrightunsigned(last("run", k), BITS))
         out = out.join(grams, "gram", "left").join(context, "context", "left")
         mixed = (F.coalesce("kept", F.lit(0.0)) + F.col("spare") * F.col("p")) / F.col("total")
         out = out.select("run", F.when(F.col("total").isNotNull(), mixed).otherwise(F.col("p")).alias("p"))
@@ -104,54 +112,32 @@ def run_logs(counts: DataFrame) -> DataFrame:
 _KINDS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each batch by pack, compressed: texts of a pack take a third of their room on their way."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    for batch in batches:
-        pack = batch.column("pack").to_numpy()
-        order = np.argsort(pack, kind="stable")
-        edges = np.flatnonzero(np.concatenate(([True], pack[order][1:] != pack[order][:-1], [True]))) if len(pack) else []
-        rows, bodies = batch.select(_KINDS.names), []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
-                out.write_batch(rows.take(pa.array(order[lo:hi])))
-            bodies.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(pack[order[edges[:-1]]] if len(edges) else [], pa.int32()), pa.array(bodies, pa.binary())], names=["pack", "body"])
-
-
-def _unfolded(table: pa.Table) -> pa.Table:
-    parts = [pa.ipc.open_stream(b).read_all() for b in table.column("body").to_pylist()]
-    return pa.concat_tables([p.cast(_KINDS) for p in parts]) if parts else _KINDS.empty_table()
-
-
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted and perplexity of every row of ``docs``; ``trusted`` has the doc_ids of trusted text."""
+    """doc_id, lang and perplexity of every row of ``docs``; ``trusted`` has the doc_ids of the text to train on."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark)
     packs = max(2 * n, size // PACK_BYTES)
     # texts of a doc_id must meet its label, rows without one can go anywhere
     pack = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(packs)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").withColumn("pack", pack)
-    texts = texts.mapInArrow(_folded, "pack int, body binary").repartition(n, "pack")
+    texts = packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").withColumn("pack", pack), n)
     marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int")).repartition(n, "pack")
 
     def count(key: tuple, table: pa.Table, labels: pa.Table) -> pa.Table:
-        table = _unfolded(table)
+        table = unpacked(table, _KINDS)
         good = np.isin(table.column("doc_id").fill_null(-1).to_numpy(), labels.column("doc_id").to_numpy()) & ~np.array(table.column("doc_id").is_null())
         whole, times = np.empty(0, np.int64), np.empty(0, np.int64)
-        texts = table.column("text").to_pylist()
+        texts, copies = table.column("text").to_pylist(), table.column("times").to_numpy()
         for s in _cut(texts):
             r, sizes = runs(texts[s])
-            weight = np.repeat(good[s].astype(np.int64), sizes)
+            weight = np.repeat(good[s] * copies[s], sizes)
             items, at = np.unique(np.concatenate((whole, r)), return_inverse=True)
             times = np.bincount(at, weights=np.concatenate((times, weight)), minlength=len(items)).astype(np.int64)
             whole = items
         return pa.table([pa.array(np.full(len(whole), key[0].as_py(), np.int32)), pa.array(whole, pa.int64()), pa.array(times, pa.int64())], names=["pack", "run", "n"])
 
     def score(key: tuple, table: pa.Table, logs: pa.Table) -> pa.Table:
-        table = _unfolded(table)
+        table = unpacked(table, _KINDS)
         known, at = logs.column("run").to_numpy(), logs.column("logp").to_numpy()
         order = np.argsort(known)
         known, at = known[order], at[order]
@@ -162,24 +148,25 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             ends = np.cumsum(sizes)
             mean = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
             out += [float(np.exp(-m)) if k else None for m, k in zip(mean, sizes)]
-        return pa.table([table.column("doc_id"), table.column("lang"), pa.array(out, pa.float64())], names=["doc_id", "lang", "perplexity"])
+        return pa.table([table.column("doc_id"), table.column("lang"), pa.array(out, pa.float64()), table.column("times")], names=["doc_id", "lang", "perplexity", "times"])
 
     asked = stored(texts.groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(count, "pack int, run long, n long"))
     logs = stored(run_logs(asked.groupBy("run").agg(F.sum("n").alias("n"))))
     answers = asked.select("pack", "run").join(logs, "run").select("pack", "run", "logp").repartition(n, "pack")
-    scored = texts.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(score, "doc_id long, lang string, perplexity double")
-    return scored.join(trusted.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct(), F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "lang", F.col("t_id").isNotNull().alias("trusted"), "perplexity")
+    scored = texts.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(score, "doc_id long, lang string, perplexity double, times long")
+    return each_time(scored)
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every row; labels with quality 1 mark trusted text."""
-    trusted = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    scored = stored(perplexities(docs, trusted))
-    known = scored.where("trusted and perplexity is not null")
-    level = F.percentile_approx("perplexity", quantile, 10000)
-    by_lang = known.where("lang is not null").groupBy(F.col("lang").alias("t_lang")).agg(level.alias("own"))
-    overall = known.agg(level.alias("overall"))
-    out = scored.join(small(stored(by_lang)), F.col("lang") == F.col("t_lang"), "left").join(F.broadcast(overall))
-    limit = F.coalesce("own", "overall")
+    trusted = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
+    trusted = stored(trusted.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % CALIBRATES == 0).alias("held")))
+    scored = stored(perplexities(docs, trusted.where("not held")))
+    known = with_key(scored.where("perplexity is not null"), trusted, ["doc_id"]).where("held is not null")
+    level = lambda held: F.percentile_approx(F.when(F.col("held") == held, F.col("perplexity")), quantile, 10000)
+    by_lang = known.where("lang is not null and held").groupBy(F.col("lang").alias("t_lang")).agg(level(True).alias("own"), F.count("*").alias("n"))
+    overall = known.agg(F.coalesce(level(True), level(False)).alias("overall"))
+    out = scored.join(small(stored(by_lang)), F.col("lang") == F.col("t_lang"), "left").join(F.broadcast(overall))  # one row
+    limit = F.when(F.col("n") >= FEW, F.col("own")).otherwise(F.greatest("own", "overall"))
     kept = F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.coalesce(limit, F.lit(float("inf"))))
     return out.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round(limit, 6).alias("threshold"), kept.alias("kept"))
