@@ -2,10 +2,10 @@
 
 Fit. A bounded sample of labelled documents (``PER_CLASS`` of each label, by a hash of doc_id) is reduced to hashed
 word sets on the executors, and a sparse logistic model is fitted on the driver: proximal gradient steps select few
-words, a second fit on those sets their weights. Counterfactuals: in each labelled text that names a group, the
-identity term is swapped for the others of its kind and left out, and the squared change of the score is penalised,
-so that the model can't learn from a mention alone, nor which group is named. Terms that the sample has rarely or
-never are penalised as well.
+words, a second fit on those sets their weights. Counterfactuals: each labelled text that names a group is built
+again ``SWAPS`` times with all its identity terms swapped for others of their kinds, and once without them, and the mean
+squared change of its score is penalised, so that the model can't learn from a mention alone, nor which group is named.
+Terms that the sample has rarely or never stand for a text of their own, with little weight.
 
 Score. The weights (``2^FEATURE_BITS`` floats, a fixed size) go to the executors; every whole text is scored in one
 pass without a shuffle.
@@ -32,6 +32,8 @@ FEATURE_BITS = 20
 PREFIXES = (6, 8)
 PER_CLASS = 3000
 THRESHOLD = 0.7
+#: Swapped versions of a text; the weight of a term's own text beside the mean over the sample's.
+SWAPS, RARE = 4, 1e-3
 
 #: Identity terms by kind; those of a kind are swapped for each other.
 IDENTITY = {
@@ -55,6 +57,42 @@ def _hashed(w: Words) -> np.ndarray:
     return np.stack([w.hashes >> shift, *(mix(w.prefixes(n) + np.uint64(n)) >> shift for n in PREFIXES)]).astype(np.int32)
 
 
+#: Hash of a term -> its kind and its place there.
+_TERMS = {int(Words([t.encode()], lower=True, breaks=_BREAK).hashes[0]): (k, i) for k, v in IDENTITY.items() for i, t in enumerate(v)}
+_TERM_HASHES = np.sort(np.fromiter(_TERMS, np.uint64, len(_TERMS)))
+_TERM_FEATURES = {k: _hashed(Words([" ".join(v).encode()], lower=True, breaks=_BREAK)) for k, v in IDENTITY.items()}
+
+#: What a change of a text adds to its set and takes from it.
+Change = tuple[np.ndarray, np.ndarray]
+
+
+def _changes(features: np.ndarray, hashes: np.ndarray, whole: np.ndarray) -> list[Change]:
+    """The changes of a text's set by swaps of its identity terms, and by leaving them out; none if it has no term."""
+    at = np.flatnonzero(np.isin(hashes, _TERM_HASHES))
+    if not len(at):
+        return []
+    versions = []
+    for turn in range(SWAPS):
+        swapped = features.copy()
+        for j in at:
+            kind, i = _TERMS[int(hashes[j])]
+            n = len(IDENTITY[kind])
+            swapped[:, j] = _TERM_FEATURES[kind][:, (i + 1 + turn * max(1, (n - 1) // SWAPS) % (n - 1)) % n]
+        versions.append(np.unique(swapped))
+    versions.append(np.unique(np.delete(features, at, axis=1)))
+    return [(np.setdiff1d(v, whole, True), np.setdiff1d(whole, v, True)) for v in versions]
+
+
+def sets_and_changes(texts: list) -> Iterator[tuple[np.ndarray, list[Change]]]:
+    """The sorted set of hashed words and prefixes of each text, and its changes."""
+    for _, raw in blocks(texts):
+        w = Words(raw, lower=True, breaks=_BREAK)
+        f = _hashed(w)
+        for lo, hi in zip(w.first[:-1], w.first[1:]):
+            whole = np.unique(f[:, lo:hi])
+            yield whole, _changes(f[:, lo:hi], w.hashes[lo:hi], whole)
+
+
 def word_sets(texts: list) -> Iterator[np.ndarray]:
     """The sorted set of hashed words and prefixes of each text."""
     for _, raw in blocks(texts):
@@ -64,63 +102,65 @@ def word_sets(texts: list) -> Iterator[np.ndarray]:
             yield np.unique(f[:, lo:hi])
 
 
-def _features(word: str) -> list[int]:
-    """The features of one word: itself, then its prefixes."""
-    return [int(f) for f in _hashed(Words([word.encode()], lower=True, breaks=_BREAK))[:, 0]]
-
-
 class Model:
     """Weights of hashed words and an intercept."""
 
     def __init__(self, weights: np.ndarray, intercept: float):
         self.weights, self.intercept = weights.astype(np.float32), float(intercept)
 
+    def logits(self, texts: list) -> np.ndarray:
+        return np.array([self.weights[s].sum(dtype=np.float64) for s in word_sets(texts)], dtype=np.float64) + self.intercept
+
     def scores(self, texts: list) -> np.ndarray:
-        z = np.array([self.weights[s].sum(dtype=np.float64) for s in word_sets(texts)], dtype=np.float64) + self.intercept
-        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-self.logits(texts)))
 
 
 class _Sparse:
-    def __init__(self, rows: list[np.ndarray], columns: int):
+    """Rows of columns, each with 1 or the row's ``values``."""
+
+    def __init__(self, rows: list[np.ndarray], columns: int, values: list[np.ndarray] | None = None):
         self.index = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.value = np.concatenate([np.empty(0), *values]) if values is not None else 1.0
         self.shape = (len(rows), columns)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.index], minlength=self.shape[0])
+        return np.bincount(self.row, weights=w[self.index] * self.value, minlength=self.shape[0])
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, weights=r[self.row], minlength=self.shape[1])
+        return np.bincount(self.index, weights=r[self.row] * self.value, minlength=self.shape[1])
+
+
+def weighted_changes(changes: list[list[Change]]) -> tuple[list[Change], np.ndarray]:
+    """All changes of the texts that have any, each text with the same share of 1; and each term's own text, left out."""
+    naming = [c for c in changes if c]
+    flat = [c for text in naming for c in text]
+    weight = [1 / len(naming) / len(text) for text in naming for _ in text]
+    none = np.empty(0, np.int32)
+    for features in _TERM_FEATURES.values():
+        flat += [(none, np.unique(column)) for column in features.T]
+        weight += [RARE] * features.shape[1]
+    return flat, np.array(weight)
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, l1: float = 1e-3, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 200) -> Model:
-    """Fit the model to word sets and labels 0 and 1 (both must occur)."""
+def fit(sets: list[np.ndarray], labels: np.ndarray, changes: list[list[Change]], l1: float = 1e-3, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 200) -> Model:
+    """Fit the model to word sets, labels 0 and 1 (both must occur) and the sets' counterfactual changes."""
     seen, columns = np.unique(np.concatenate(sets), return_counts=True)
-    # a swap changes the word and its prefixes alike
-    terms = {(k, i): np.array([_features(t)[i] for t in v]) for k, v in IDENTITY.items() for i in range(1 + len(PREFIXES))}
-    used = np.union1d(seen[columns >= 3], np.concatenate(list(terms.values())))
+    used = np.union1d(seen[columns >= 3], np.concatenate([f.ravel() for f in _TERM_FEATURES.values()]))
 
     def place(s: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(used, s), len(used) - 1)
         return at[used[at] == s]
 
-    kinds = {k: np.searchsorted(used, np.unique(v)) for k, v in terms.items()}
     rows = [place(s) for s in sets]
     y = labels.astype(np.float64)
-    times = np.bincount(np.concatenate(rows), minlength=len(used))
-    # each swap of a term in a labelled text changes its score by the difference of two weights
-    swaps: dict[tuple[int, int], float] = {}
-    bare: dict[int, float] = {}  # and leaving the term out, by its weight
-    for k in kinds.values():
-        inside = times[k]
-        for i, at in enumerate(k):
-            bare[at] = inside[i] / len(rows) + 1e-3
-            for other in k:
-                if other != at:
-                    swaps[at, other] = inside[i] / len(rows) / (len(k) - 1) + 1e-3
-    left, right = np.array([a for a, _ in swaps]), np.array([b for _, b in swaps])
-    rate = np.array(list(swaps.values())) * counterfactual
-    alone = np.bincount(list(bare), list(bare.values()), len(used)) * counterfactual
+    flat, rate = weighted_changes(changes)
+    flat, rate = [(place(a), place(g)) for a, g in flat], rate * counterfactual
+    change = _Sparse([np.concatenate(c) for c in flat], len(used), [np.repeat((1.0, -1.0), (len(a), len(g))) for a, g in flat])
+    # a row's curvature is at most that of its entries together
+    width = np.bincount(change.row, minlength=len(flat))
+    steep = 2 * np.bincount(change.index, weights=(rate * width)[change.row], minlength=len(used))
     balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
 
     def run(active: np.ndarray, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
@@ -128,7 +168,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, l1: float = 1e-3, l2: float
         # steps scaled by each column's curvature bound
         size = np.maximum(np.bincount(x.row, minlength=len(rows)), 1)
         bound = 0.25 * np.bincount(x.index, weights=(balance * size)[x.row], minlength=len(used)) + l2 + 1e-6
-        bound += 2 * alone + 4 * (np.bincount(left, rate, len(used)) + np.bincount(right, rate, len(used)))
+        bound += steep
         w = z = np.zeros(len(used))
         b = c = 0.0
         t = 1.0
@@ -136,9 +176,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, l1: float = 1e-3, l2: float
             p = 1 / (1 + np.exp(-np.clip(x.dot(z) + c, -500, 500)))
             r = balance * (p - y)
             g = x.back(r) + l2 * z
-            d = rate * (z[left] - z[right])
-            g += 2 * alone * z
-            g += 2 * (np.bincount(left, d, len(used)) - np.bincount(right, d, len(used)))
+            g += 2 * change.back(rate * change.dot(z))
             w1 = z - g / bound
             w1 = np.sign(w1) * np.maximum(np.abs(w1) - l1 / bound, 0) * active
             b1 = c - r.sum() * 4 / 2
@@ -167,16 +205,20 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> M
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            got = [s.tobytes() for s in word_sets(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.binary())], names=["toxic", "words"])
+            words, changes = [], []
+            for whole, changed in sets_and_changes(batch.column("text").to_pylist()):
+                words.append(whole.tobytes())
+                changes.append([{"added": a.tobytes(), "gone": g.tobytes()} for a, g in changed])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.binary()), pa.array(changes, pa.list_(pa.struct([("added", pa.binary()), ("gone", pa.binary())])))], names=["toxic", "words", "changes"])
 
-    rows = texts.mapInArrow(sets, "toxic int, words binary").collect()
+    rows = texts.mapInArrow(sets, "toxic int, words binary, changes array<struct<added: binary, gone: binary>>").collect()
     # the same rows in the same order whatever the partitions
-    rows = sorted((r["toxic"], bytes(r["words"])) for r in rows)
+    rows = sorted((r["toxic"], bytes(r["words"]), [(bytes(c["added"]), bytes(c["gone"])) for c in r["changes"]]) for r in rows)
     y = np.array([r[0] for r in rows], dtype=np.int64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << FEATURE_BITS), -700.0)
-    return fit([np.frombuffer(r[1], np.int32) for r in rows], y)
+        return Model(np.zeros(1 << FEATURE_BITS), -np.inf)
+    numbers = lambda raw: np.frombuffer(raw, np.int32)
+    return fit([numbers(r[1]) for r in rows], y, [[(numbers(a), numbers(g)) for a, g in r[2]] for r in rows])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

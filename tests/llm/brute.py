@@ -344,3 +344,62 @@ def surrogates(texts, key):
         return head + " ".join(made(k, e, tweaks[k, canon(k, e)]) for k, e in parts)
 
     return [(None if t is None else pattern.sub(replaced, t), len(pattern.findall(t or ""))) for t in texts]
+
+
+def kneser_ney(trained, asked, order=4):
+    """The perplexity of each asked text (None for an empty one), by UTF-16 unit, under a model of the trained ones."""
+
+    def units(text):
+        raw = text.encode("utf-16-le")
+        return [int.from_bytes(raw[i : i + 2], "little") or 0xFFFF for i in range(0, len(raw), 2)]
+
+    def grams(text):
+        u = [0] * (order - 1) + units(text)
+        return [tuple(u[i : i + order]) for i in range(len(u) - order + 1)] if text else []
+
+    tables = {order: Counter(g for t in trained for g in grams(t or ""))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    discounts, totals, spares = {}, {}, {}
+    for k, t in tables.items():
+        n = [sum(c == i for c in t.values()) for i in (1, 2, 3, 4)]
+        if n[0] and n[1]:
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3)]
+        else:
+            d = [0.5, 0.75, 0.9]
+        discounts[k] = lambda c, d=d: d[min(c, 3) - 1]
+        totals[k], spares[k] = Counter(), Counter()
+        for g, c in t.items():
+            totals[k][g[:-1]] += c
+            spares[k][g[:-1]] += discounts[k](c)
+
+    def p(g, k):
+        if k == 0:
+            return 1 / (len(tables[1]) + 1)
+        g = g[order - k :] if len(g) == order else g
+        low = p(g[1:], k - 1)
+        total = totals[k].get(g[:-1])
+        if not total:
+            return low
+        c = tables[k].get(g, 0)
+        return ((max(c - discounts[k](c), 0) if c else 0) + spares[k][g[:-1]] * low) / total
+
+    return [math.exp(-sum(math.log(p(g, order)) for g in grams(t)) / len(grams(t))) if t else None for t in asked]
+
+
+def swapped(text, identity, versions):
+    """The text with its identity terms swapped for others of their kinds, ``versions`` times, and once without them; nothing if it has none."""
+    known = {t: (v, i) for v in identity.values() for i, t in enumerate(v)}
+    cut = regex.split(r"([A-Za-z\x80-\U0010ffff]+)", text)
+    if not any(w.lower() in known for w in cut):
+        return []
+    out = []
+    for turn in range(versions):
+        new = list(cut)
+        for j, w in enumerate(cut):
+            if w.lower() in known:
+                v, i = known[w.lower()]
+                new[j] = v[(i + 1 + turn * max(1, (len(v) - 1) // versions) % (len(v) - 1)) % len(v)]
+        out.append("".join(new))
+    return [*out, "".join(w for w in cut if w.lower() not in known)]

@@ -364,12 +364,51 @@ def test_toxicity_cases(spark, docs, none):
     model = toxicity.learned(df, marks)
     scores = dict(zip("abcde", model.scores(["you vile thing", "hello women", "hello men", None, ""])))
     assert scores["a"] > 0.7 > scores["b"] and abs(scores["b"] - scores["c"]) < 0.1 and scores["d"] == scores["e"] < 0.5
-    free = toxicity.fit([s for s in toxicity.word_sets([t for _, t in rows])], np.array([y for _, y in labels]), counterfactual=0.0)
+    sets, changes = map(list, zip(*toxicity.sets_and_changes([t for _, t in rows])))
+    free = toxicity.fit(sets, np.array([y for _, y in labels]), changes, counterfactual=0.0)
     gap = lambda m: abs(float(np.diff(m.scores(["hello women", "hello men"]))[0]))
     assert gap(model) < gap(free) / 2
     assert toxicity.scored(docs, model).count() == len(ROWS) and toxicity.scored(none, model).count() == 0
     empty = toxicity.learned(df, marks.where("false"))
-    assert {x.score for x in toxicity.scored(docs, empty).collect()} <= {0.0} or max(x.score for x in toxicity.scored(docs, empty).collect()) < 1e-300
+    assert {x.score for x in toxicity.scored(docs, empty).collect()} == {0.0}
+
+
+def test_changes_are_those_of_swapped_sentences():
+    """The penalty equals the mean squared change of the score of sentences that are really written anew."""
+    r = np.random.Generator(np.random.PCG64(1))
+    model = toxicity.Model(r.normal(size=1 << toxicity.FEATURE_BITS), 0.3)
+    texts = ["the Women, and a gay man: women!", "no group here", "blind muslims saw american americana", "", "black black white"]
+    flat, weight = toxicity.weighted_changes([c for _, c in toxicity.sets_and_changes(texts)])
+    made = sum(w * float(model.weights[a].sum(dtype=np.float64) - model.weights[g].sum(dtype=np.float64)) ** 2 for (a, g), w in zip(flat, weight))
+    expected, naming = 0.0, 0
+    for t in texts:
+        versions = brute.swapped(t, toxicity.IDENTITY, toxicity.SWAPS)
+        if versions:
+            naming += 1
+            before, *after = model.logits([t, *versions])
+            expected += float(np.mean((np.array(after) - before) ** 2))
+    terms = [t for v in toxicity.IDENTITY.values() for t in v]
+    alone = toxicity.RARE * float(((model.logits(terms) - model.logits([""])[0]) ** 2).sum())
+    assert naming == 3 and abs(made - expected / naming - alone) < 1e-4 * made
+
+
+def test_kneser_ney_equals_brute(spark):
+    r = random.Random(5)
+    words = ["ab", "abc", "été", "😀x", "가나", "\U00020000龍", "x\x00y", "the", "then"]
+    rows = [(i, "en" if i % 3 else None, " ".join(r.choice(words) for _ in range(r.randint(0, 30)))) for i in range(60)] + [(None, "en", "the été"), (3, "en", "가나 가나")]
+    rows += [(61, "de", "ab abc")] * 5
+    trusted = [i for i in range(30)] + [61]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = Counter((x.doc_id, x.lang, x.perplexity and round(x.perplexity, 5)) for x in kneser_ney.perplexities(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect())
+    expected = brute.kneser_ney([t for i, _, t in rows if i in trusted], [t for *_, t in rows])
+    assert got == Counter((i, lang, p and round(p, 5)) for (i, lang, _), p in zip(rows, expected))
+
+
+def test_the_largest_doc_id_and_copies_of_a_row(spark):
+    top = 2**63 - 1
+    rows = [(top, f"a {BASE}"), (None, f"b {BASE}")] + [(4, f"c {BASE} d")] * 300 + [(3, BASE)] * 2
+    got = Counter((x.doc_id, x.n_words, x.n_removed, hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute.substring_dedup(rows)) and {k[0] for k in got} == {top, None, 4, 3}
 
 
 def test_kneser_ney_cases(spark, docs, none):
@@ -388,6 +427,7 @@ def test_kneser_ney_is_a_distribution(spark):
     r, _ = kneser_ney.runs([text])
     seen, n = np.unique(r, return_counts=True)
     letters = sorted({int(x) & ((1 << kneser_ney.BITS) - 1) for x in seen})
+    assert all(int(x) >= 0 for x in seen)
     context = int(seen[len(seen) // 2]) >> kneser_ney.BITS
     asked = {context << kneser_ney.BITS | c for c in [*letters, 9999]}
     counts = {int(x): int(k) for x, k in zip(seen, n)} | {x: 0 for x in asked if x not in set(map(int, seen))}
