@@ -14,6 +14,8 @@ from .svg import Limits, SvgError, svg_to_polylines
 
 #: The default canvas.
 SIZE, PADDING, STROKE_WIDTH, SUPERSAMPLE = 64, 4.0, 2.5, 4
+#: The share of ink that an icon may have.
+MIN_INK, MAX_INK = 0.01, 0.6
 #: The status of an icon.
 OK, UNREADABLE, EMPTY, OUT_OF_BAND = 0, 1, 2, 3
 
@@ -67,7 +69,7 @@ def ink_coverage(bitmap: bytes) -> float:
     return float(np.frombuffer(bitmap, np.uint8).mean() / 255)
 
 
-def raster_icon(text: str | None, min_ink: float = 0.005, max_ink: float = 0.75, limits: Limits | None = None) -> tuple[int, bytes | None]:
+def raster_icon(text: str | None, min_ink: float = MIN_INK, max_ink: float = MAX_INK, limits: Limits | None = None) -> tuple[int, bytes | None]:
     """(status, bitmap): the bitmap only where the status is OK."""
     try:
         lines = svg_to_polylines(text, limits)

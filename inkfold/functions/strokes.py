@@ -112,3 +112,14 @@ def stroke_element(points: Column, color: Column, width: Column) -> Column:
     data = F.concat(F.lit("M "), n(first["x"]), F.lit(" "), n(first["y"]), F.lit(" "), F.array_join(curves, " "), F.lit(" L "), n(last["x"]), F.lit(" "), n(last["y"]))
     path = F.concat(F.lit('<path d="'), data, F.lit('" fill="none" stroke="'), xml_escape(color), F.lit('" stroke-width="'), n(width), F.lit('" stroke-linecap="round" stroke-linejoin="round"/>'))
     return F.when(F.size(points) == 1, dot).when(F.size(points) > 1, path)
+
+
+#: The margin around a drawing on the stage, and the smallest box.
+BOX_MARGIN, LEAST_BOX = 12.0, 96.0
+
+
+def fitted_axis(low: Column, high: Column, stage: Column, margin: float = BOX_MARGIN, least: float = LEAST_BOX) -> Column:
+    """struct(start, size) of a drawing's box along one side of the stage: centred on it, but never over the edge."""
+    size = F.least(stage, F.greatest(high - low + 2 * margin, F.lit(least)))
+    start = F.greatest(F.lit(0.0), F.least(stage - size, (low + high) / 2 - size / 2))
+    return F.struct(start.alias("start"), size.alias("size"))

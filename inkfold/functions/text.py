@@ -133,3 +133,14 @@ def xml_escape(text: Column) -> Column:
 def short_number(x: Column) -> Column:
     """At most four decimals, without trailing zeros."""
     return F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", "")
+
+
+def folder_of(url: Column) -> Column:
+    """An address up to its last slash: the base of the files that lie beside it."""
+    return F.regexp_replace(url, "[^/]*$", "")
+
+
+def shard_urls(index_url: Column, shard: Column) -> Column:
+    """struct(codes, meta): the addresses of a shard's two files beside its index document."""
+    stem = F.concat(folder_of(index_url), F.lit("shard-"), shard.cast("string"))
+    return F.struct(F.concat(stem, F.lit(".bin")).alias("codes"), F.concat(stem, F.lit(".meta.json.gz")).alias("meta"))

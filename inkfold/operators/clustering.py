@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -45,6 +47,22 @@ def _closest(matrix: np.ndarray):
     return closest
 
 
+def _partial_sums(matrix: np.ndarray):
+    """For mapInArrow: the similarities and vectors of each cluster, summed over a partition by one matrix product per batch."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, likeness = np.zeros(matrix.shape), np.zeros(len(matrix))
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+            scores = v @ matrix.T
+            best = scores.argmax(axis=1)
+            likeness += np.bincount(best, scores[np.arange(len(best)), best], len(matrix))
+            np.add.at(sums, best, v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(matrix)), pa.int32()), pa.array(likeness), pa.array(list(sums), pa.list_(pa.float64()))], names=["cluster", "s", "x"])
+
+    return summed
+
+
 def fit(items: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
     """(cluster, c): unit centroids of ``items`` (id, v).
 
@@ -68,14 +86,16 @@ def fit(items: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed:
     centers, before = points[chosen], None
     dim = centers.shape[1]
     for _ in range(iterations):
-        found = items.select("v", _closest(centers)("v").alias("m")).select("m.cluster", "m.similarity", *[F.get("v", F.lit(i)).cast("double").alias(f"x{i}") for i in range(dim)])
-        # partial sums leave the tasks, one row per cluster reaches the driver
-        sums = found.groupBy("cluster").agg(F.sum("similarity").alias("s"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(dim)]).toPandas()
-        fresh = sums[[f"x{i}" for i in range(dim)]].to_numpy()
+        # each task sends one row per cluster, the driver gets one for each
+        sums = items.select("v").mapInArrow(_partial_sums(centers), "cluster int, s double, x array<double>").select("cluster", "s", F.posexplode("x").alias("axis", "x"))
+        rows = sums.groupBy("cluster", "axis").agg(F.sum("x").alias("x"), F.sum("s").alias("s")).collect()
+        fresh, total = np.zeros((k, dim)), 0.0
+        for r in sorted(rows):
+            fresh[r["cluster"], r["axis"]] = r["x"]
+            total += r["s"] if r["axis"] == 0 else 0.0
         size = np.linalg.norm(fresh, axis=1)
         good = size > 1e-12
-        centers[sums["cluster"].to_numpy()[good]] = fresh[good] / size[good, None]
-        total = float(sums["s"].sum())
+        centers[good] = fresh[good] / size[good, None]
         if before is not None and abs(total - before) <= 1e-9 * max(1.0, abs(before)):
             break
         before = total
@@ -104,7 +124,3 @@ def write_index(stored: DataFrame, centroids: DataFrame, path: str) -> None:
     stored.repartition("shard").sortWithinPartitions("shard", "icon_id").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/vectors")
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
 
-
-def first_of_each(items: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the first in order."""
-    return items.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(order))).where("rn = 1").drop("rn")

@@ -26,6 +26,34 @@ def decision_problem(candidate_id: Column, decision: Column) -> Column:
     return F.when(~F.coalesce(candidate_id.rlike(CANONICAL_ID), F.lit(False)), F.lit("id")).when(~F.coalesce(decision.isin(ACCEPTED, REJECTED), F.lit(False)), F.lit("decision"))
 
 
+#: The kind and version of a progress document.
+PROGRESS_KIND, PROGRESS_VERSION = "quickdraw-curation-progress", 1
+
+
+def state_problems(head: DataFrame, decisions: DataFrame, reviewed: DataFrame, manifest_head: DataFrame, manifest: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, candidate_id, problem): all that keeps a stored curation state from being restored; empty for a sound one.
+
+    ``head``: kind, version, commit, fingerprint, one row; ``decisions``: class, candidate_id (as written), decision;
+    ``reviewed``: class. ``manifest_head``: commit, fingerprint, one row; ``manifest``: class, candidate_id; ``classes``: class.
+    """
+    want = manifest_head.select(F.col("commit").alias("m_commit"), F.col("fingerprint").alias("m_print"))
+    checks = {
+        "version": ~F.col("version").eqNullSafe(F.lit(PROGRESS_VERSION)), "kind": ~F.col("kind").eqNullSafe(F.lit(PROGRESS_KIND)),
+        "commit": ~F.col("commit").eqNullSafe(F.col("m_commit")), "fingerprint": ~F.col("fingerprint").eqNullSafe(F.col("m_print")),
+    }
+    found = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
+    none = F.lit(None).cast("string")
+    of_head = head.join(F.broadcast(want)).select(none.alias("class"), none.alias("candidate_id"), F.explode(found).alias("problem"))  # one row
+    known = classes.select("class").distinct()
+    stray = decisions.join(known, "class", "left_anti").select("class", "candidate_id", F.lit("class").alias("problem"))
+    inside = decisions.join(known, "class", "left_semi").withColumn("problem", decision_problem(F.col("candidate_id"), F.col("decision")))
+    offered = manifest.select("class", F.col("candidate_id").cast("string").alias("candidate_id"))
+    unknown = inside.where(~F.col("problem").eqNullSafe(F.lit("id"))).join(offered, ["class", "candidate_id"], "left_anti").select("class", "candidate_id", F.lit("candidate").alias("problem"))
+    broken = inside.where("problem is not null").select("class", "candidate_id", "problem")
+    strange = reviewed.select("class").distinct().join(known, "class", "left_anti").select("class", none.alias("candidate_id"), F.lit("reviewed class").alias("problem"))
+    return of_head.unionByName(stray).unionByName(broken).unionByName(unknown).unionByName(strange)
+
+
 def stats(manifest: DataFrame, decisions: DataFrame, reviewed: DataFrame) -> DataFrame:
     """One row of counts: classes, reviewed classes, accepted and rejected candidates."""
     parts = [
@@ -90,6 +118,16 @@ def neighbours(listed: DataFrame, key: str, order: str, group: str) -> DataFrame
     return listed.withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
 
 
+def successor(listed: DataFrame, removed: DataFrame, key: str, order: str, group: str) -> DataFrame:
+    """(removed key, successor): the next row of the group that stays, or else the one before, null if none is left."""
+    gone = removed.select(key).distinct().withColumn("gone", F.lit(True))
+    rows = listed.select(group, key, order).join(gone, key, "left").withColumn("stays", F.when(F.col("gone").isNull(), F.col(key)))
+    w = W.partitionBy(group).orderBy(order)
+    after = F.first("stays", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    before = F.last("stays", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("successor", F.coalesce(after, before)).where("gone").select(key, "successor")
+
+
 def conflicting_urls(rows: DataFrame, path: str = "path", url: str = "url") -> DataFrame:
     """Paths with several addresses."""
     return rows.select(path, url).distinct().groupBy(path).agg(F.count("*").alias("urls")).where("urls > 1")

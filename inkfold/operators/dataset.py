@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,6 +64,44 @@ def contiguous_part(position: Column, total: Column, jobs: int) -> Column:
     return F.floor(((position + 1) * jobs - 1) / total).cast("int")
 
 
+def sample_seed(seed: int, class_index: Column, split: Column) -> Column:
+    """The seed of a class's draw in a split: the first eight bytes of a digest, the lowest first, as a decimal."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), class_index.cast("string"), split), 256)
+    turned = F.concat(*[F.substring(digest, 15 - 2 * i, 2) for i in range(8)])
+    return F.conv(turned, 16, 10).cast("decimal(20,0)")
+
+
+def same_commit(*sources: DataFrame) -> DataFrame:
+    """One row: how many commits the sources name (each has a column commit), and whether they all agree."""
+    named = reduce(DataFrame.unionByName, [s.select("commit") for s in sources]).select(F.coalesce("commit", F.lit("")).alias("commit")).distinct()
+    return named.agg(F.count("*").alias("commits")).select("commits", (F.col("commits") == 1).alias("agree"))
+
+
+def planned_icons(classes: DataFrame, candidates: DataFrame, digests: DataFrame) -> DataFrame:
+    """(class_index, class_name, icon_id, path, digest): every class with the stored blobs of its candidates.
+
+    ``classes``: class_index, class_name; ``candidates``: class_name, icon_id, path; ``digests``: icon_id, digest. A
+    class that the candidates don't know raises; a candidate without a digest is skipped.
+    """
+    known = candidates.select("class_name").distinct().withColumn("known", F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit("no candidates for class "), F.col("class_name")))
+    checked = classes.join(known, "class_name", "left").withColumn("class_index", F.when(F.col("known"), F.col("class_index")).otherwise(unknown)).drop("known")
+    # the left join keeps the check from being pruned with a class that has no partner
+    rows = checked.join(candidates, "class_name", "left").join(digests.where(F.col("digest").isNotNull()), "icon_id")
+    return rows.select("class_index", "class_name", "icon_id", "path", "digest")
+
+
+def untrusted(requested: DataFrame, trusted: DataFrame, key: str = "name") -> DataFrame:
+    """The requested archives for which there is no trusted digest; a run must not start while there are any."""
+    return requested.select(key).distinct().join(trusted.select(key), key, "left_anti")
+
+
+def class_coverage(classes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: the classes there are, and those with a candidate."""
+    have = candidates.select("class").distinct().withColumn("has", F.lit(1))
+    return classes.select("class").distinct().join(have, "class", "left").agg(F.count("*").alias("classes"), F.count("has").alias("covered"))
+
+
 def stale(requests: DataFrame, cached: DataFrame, key: str = "name") -> DataFrame:
     """Requests whose fingerprint isn't that of the cached artifact: these must be built again."""
     have = cached.select(F.col(key).alias("k"), F.col("fingerprint").alias("f"))

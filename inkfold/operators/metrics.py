@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .retrieval import paired
 
 
 def ranked(logits: str = "logits"):
@@ -65,9 +66,7 @@ def sparse_classes(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame
 
 def nearest_first(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(qid, item_id, rank, label_match) of a stated set of queries with labels against all labelled items."""
-    from .retrieval import bounded
-
-    pairs = items.select("item_id", F.col("label").alias("item_label"), F.col("v").alias("iv")).join(bounded(queries), F.lit(True))
+    pairs = paired(items.select("item_id", F.col("label").alias("item_label"), F.col("v").alias("iv")), queries, "qid")
     scored = pairs.select("qid", "item_id", vectors.dot(F.col("v"), F.col("iv")).alias("score"), (F.col("label") == F.col("item_label")).alias("label_match"))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "item_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,12 +20,22 @@ def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def paired(items: DataFrame, stated: DataFrame, key: str, most: int = MOST_BROADCAST) -> DataFrame:
+    """Every row of ``items`` with every row of a stated, smaller set, which is broadcast in blocks of about ``most`` rows.
+
+    ``items`` is read once for each block and never shuffled.
+    """
+    blocks = max(1, -(-stated.count() // most))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [items.join(F.broadcast(stated if blocks == 1 else stated.where(block == i)), F.lit(True)) for i in range(blocks)])
+
+
 def probe(queries: DataFrame, centroids: DataFrame, probes: int = PROBES) -> DataFrame:
     """(qid, shard, probe_score): the best shards of each query by score, then shard; empty shards use up a probe and go last.
 
     ``queries`` has qid and embedding, ``centroids`` shard, codes, scale and count: a small fixed table per index.
     """
-    scored = queries.select("qid", "embedding").join(bounded(centroids), F.lit(True))
+    scored = paired(queries.select("qid", "embedding"), centroids, "shard")
     scored = scored.withColumn("probe_score", vectors.scaled_dot(F.col("codes"), F.col("scale"), F.col("embedding")))
     best = W.partitionBy("qid").orderBy(F.desc("probe_score"), "shard")
     return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= probes).where(F.col("count") > 0).select("qid", "shard", "probe_score")
@@ -47,7 +59,7 @@ def top_k(scored: DataFrame, limit: int | None = LIMIT, key: str = "qid", item:
 
 def exhaustive(queries: DataFrame, items: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     """(qid, icon_id, score, rank) over all vectors; a stated set of queries, so it is the side that is broadcast."""
-    pairs = items.select("icon_id", F.col("embedding").alias("item")).join(bounded(queries.select("qid", "embedding")), F.lit(True))
+    pairs = paired(items.select("icon_id", F.col("embedding").alias("item")), queries.select("qid", "embedding"), "qid")
     return top_k(pairs.select("qid", "icon_id", vectors.dot(F.col("item"), F.col("embedding")).alias("score")), limit)
 
 
@@ -71,7 +83,7 @@ def retrieve(queries: DataFrame, vectors_by_shard: DataFrame, centroids: DataFra
     if limit is not None and limit < 1 or probes is not None and probes < 1 or not 0 <= lexical_weight <= 1:
         raise ValueError("limit and probes must be positive, the weight between 0 and 1")
     if probes is None or centroids is None:
-        pairs = vectors_by_shard.join(bounded(queries), F.lit(True))
+        pairs = paired(vectors_by_shard, queries, "qid")
     else:
         chosen = probe(queries, centroids, probes).select("qid", "shard").join(queries, "qid")
         pairs = vectors_by_shard.join(bounded(chosen), "shard")
@@ -87,6 +99,19 @@ def retrieve(queries: DataFrame, vectors_by_shard: DataFrame, centroids: DataFra
     return top_k(pairs.drop("codes", "scale", "embedding", "predictions"), limit)
 
 
+def scan_set(probed: DataFrame, resident: DataFrame) -> DataFrame:
+    """(qid, shard) to scan: the probed shards of each query, and all resident ones, which cost nothing to score."""
+    everywhere = paired(probed.select("qid").distinct(), resident.select("shard").distinct(), "shard")
+    return probed.select("qid", "shard").unionByName(everywhere.select("qid", "shard")).distinct()
+
+
+def payload_totals(shards: DataFrame, probes: int = PROBES) -> DataFrame:
+    """One row: the bytes of all shards (shard, bytes, meta_bytes), and of the largest ``probes``, the worst a query can ask for."""
+    sized = shards.select("shard", (F.col("bytes") + F.col("meta_bytes")).alias("payload"))
+    worst = sized.orderBy(F.desc("payload"), "shard").limit(probes).agg(F.coalesce(F.sum("payload"), F.lit(0)).alias("worst_probe"))
+    return sized.agg(F.count("*").alias("shards"), F.coalesce(F.sum("payload"), F.lit(0)).alias("payload")).join(F.broadcast(worst))  # one row
+
+
 def coverage(shards: DataFrame, resident: DataFrame) -> DataFrame:
     """One row: shards and vectors there are, and of those that are resident."""
     joined = shards.join(resident.select("shard", F.lit(1).alias("here")).distinct(), "shard", "left")

@@ -68,25 +68,37 @@ def vector_topk_exhaustive(spark, sf):
     return out.select("qid", "icon_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Of the ten shards of _index, so many hold nine of ten true neighbours: the labels hardly tell the vectors apart.
+_PROBES = 9
+
+
 def _index(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """An index by label: the shard's centroid is its first vector, the icon's path that of the part with its number."""
+    """An index by label: the shard's centroid is the mean direction of its vectors, the icon's path that of the part with its number."""
     icons = _icons(spark, sf).select("icon_id", "path")
     rows = _vectors(spark, sf).join(icons, "icon_id", "left").select(F.col("label").alias("shard"), "icon_id", F.coalesce("path", F.lit("Other/none/0-none.svg")).alias("path"), F.lit(1).alias("duplicates"), F.col("label").alias("aux_class"), vectors.quantize(F.col("embedding")).alias("q"), "embedding")
-    centers = rows.groupBy("shard").agg(F.min_by("embedding", "icon_id").alias("e"), F.count("*").alias("count")).withColumn("q", vectors.quantize(F.col("e")))
+    firsts = rows.groupBy("shard").agg(F.min_by("embedding", "icon_id").alias("c"), F.count("*").alias("count"))
+    means = clustering.lloyd_step(rows.select(F.col("shard").alias("cluster"), F.col("embedding").alias("v")), firsts.select(F.col("shard").alias("cluster"), "c"))
+    coded = means.select(F.col("cluster").alias("shard"), vectors.quantize(F.transform("c", lambda x: x.cast("float"))).alias("q"))
+    centers = coded.join(firsts.select("shard", "count"), "shard")
     return rows.select("shard", "icon_id", "path", "duplicates", "aux_class", "q.codes", "q.scale"), centers.select("shard", "q.codes", "q.scale", "count")
 
 
-_Q = """qz AS (SELECT vec_id, label, embedding, (list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE / 127.0::DOUBLE)::FLOAT AS scale FROM embeddings),
-  coded AS (SELECT vec_id, label, embedding, scale, list_transform(embedding, lambda x: greatest(least(round_even((x::DOUBLE / scale::DOUBLE)::FLOAT::DOUBLE, 0), 127), -127)::TINYINT) AS codes FROM qz),
-  centers AS (SELECT label AS shard, arg_min(codes, vec_id) AS codes, arg_min(scale, vec_id) AS scale, count(*) AS count FROM coded GROUP BY label),
+_CODES = "list_transform({0}, lambda x: greatest(least(round_even((x::DOUBLE / scale::DOUBLE)::FLOAT::DOUBLE, 0), 127), -127)::TINYINT) AS codes"
+_SCALE = "(list_max(list_transform({0}, lambda x: abs(x)))::DOUBLE / 127.0::DOUBLE)::FLOAT AS scale"
+_Q = f"""qz AS (SELECT vec_id, label, embedding, {_SCALE.format('embedding')} FROM embeddings),
+  coded AS (SELECT vec_id, label, embedding, scale, {_CODES.format('embedding')} FROM qz),
+  axes AS (SELECT label, axis, sum(x) AS x FROM (SELECT label, unnest(range(64)) AS axis, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL),
+  lens AS (SELECT label, sqrt(sum(x * x)) AS n FROM axes GROUP BY label),
+  means AS (SELECT label, list((x / n)::FLOAT ORDER BY axis) AS e FROM axes JOIN lens USING (label) GROUP BY label),
+  centers AS (SELECT label AS shard, {_CODES.format('e')}, scale, (SELECT count(*) FROM embeddings v WHERE v.label = m.label) AS count FROM (SELECT label, e, {_SCALE.format('e')} FROM means) m),
   probes AS (SELECT * FROM (SELECT q.vec_id AS qid, q.embedding, c.shard, list_dot_product(c.codes::DOUBLE[], q.embedding::DOUBLE[]) * c.scale::DOUBLE AS probe_score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(c.codes::DOUBLE[], q.embedding::DOUBLE[]) * c.scale::DOUBLE DESC, c.shard) AS rn
-    FROM embeddings q, centers c WHERE q.vec_id % 50 = 0) WHERE rn <= 3)"""
+    FROM embeddings q, centers c WHERE q.vec_id % 50 = 0) WHERE rn <= {_PROBES})"""
 
 
 @query(f"WITH {_Q} SELECT qid, shard, round(probe_score, 6) AS probe_score FROM probes")
 def ivf_probe(spark, sf):
-    out = retrieval.probe(_queries(spark, sf), _index(spark, sf)[1], 3)
+    out = retrieval.probe(_queries(spark, sf), _index(spark, sf)[1], _PROBES)
     return out.select("qid", "shard", F.round("probe_score", 6).alias("probe_score"))
 
 
@@ -96,7 +108,7 @@ def ivf_probe(spark, sf):
   FROM probes p JOIN coded v ON v.label = p.shard) WHERE rank <= 12""")
 def ivf_retrieve(spark, sf):
     stored, centers = _index(spark, sf)
-    out = retrieval.retrieve(_queries(spark, sf).select("qid", "embedding"), stored, centers, probes=3, lexical_weight=0.0)
+    out = retrieval.retrieve(_queries(spark, sf).select("qid", "embedding"), stored, centers, probes=_PROBES, lexical_weight=0.0)
     return out.select("qid", "icon_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -118,17 +130,37 @@ def vector_topk_hybrid(spark, sf):
     return out.select("qid", "icon_id", F.round("cosine", 6).alias("cosine"), "prior", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {_Q}, used AS (SELECT DISTINCT shard FROM probes)
+@query(f"""WITH {_Q}, used AS (SELECT DISTINCT shard FROM probes WHERE rn <= 3 AND qid < 100)
   SELECT count(*) AS shards, count(u.shard) AS resident_shards, sum(c.count)::BIGINT AS vectors, coalesce(sum(CASE WHEN u.shard IS NOT NULL THEN c.count END), 0)::BIGINT AS resident_vectors
   FROM centers c LEFT JOIN used u USING (shard)""")
 def ivf_coverage(spark, sf):
     centers = _index(spark, sf)[1]
-    return retrieval.coverage(centers, retrieval.probe(_queries(spark, sf), centers, 3))
+    return retrieval.coverage(centers, retrieval.probe(_queries(spark, sf).where("qid < 100"), centers, 3))
+
+
+@query(f"""WITH {_Q} SELECT qid, shard FROM probes WHERE rn <= 3 UNION SELECT q.vec_id, c.shard FROM embeddings q, centers c WHERE q.vec_id % 50 = 0 AND c.shard % 4 = 0""")
+def scan_set(spark, sf):
+    centers = _index(spark, sf)[1]
+    return retrieval.scan_set(retrieval.probe(_queries(spark, sf), centers, 3), centers.where("shard % 4 = 0"))
 
 
-@query("SELECT NULL::VARCHAR AS problem, 0::BIGINT AS rows WHERE false")
+@query("""WITH s AS (SELECT doc_id % 40 AS shard, sum(strlen(text) + 7)::BIGINT AS payload FROM documents GROUP BY 1)
+  SELECT count(*) AS shards, sum(payload)::BIGINT AS payload, (SELECT sum(payload)::BIGINT FROM (SELECT payload FROM s ORDER BY payload DESC, shard LIMIT 16)) AS worst_probe FROM s""")
+def payload_totals(spark, sf):
+    sizes = _read(spark, sf, "documents").groupBy((F.col("doc_id") % 40).alias("shard"))
+    return retrieval.payload_totals(sizes.agg(F.sum(F.octet_length("text")).alias("bytes"), (7 * F.count("*")).alias("meta_bytes")))
+
+
+@query("""SELECT problem, count(*) AS rows FROM (SELECT CASE WHEN vec_id % 11 = 1 THEN 'missing id' WHEN vec_id % 11 = 2 THEN 'dimension' WHEN vec_id % 11 = 3 THEN 'scale' WHEN vec_id % 11 = 4 OR label = 9 THEN 'class' WHEN vec_id % 11 = 5 THEN 'path' END AS problem FROM embeddings)
+  WHERE problem IS NOT NULL GROUP BY problem""")
 def index_problems(spark, sf):
-    return retrieval.validate_index(_index(spark, sf)[0], 64, 10)
+    """The index with one kind of damage in each of five residues, and one class too few."""
+    k = F.col("icon_id") % 11
+    broken = _index(spark, sf)[0].withColumns({
+        "codes": F.when(k == 2, F.slice("codes", 1, 63)).otherwise(F.col("codes")), "scale": F.when(k == 3, F.lit(0.0).cast("float")).otherwise(F.col("scale")),
+        "aux_class": F.when(k == 4, F.lit(-1)).otherwise(F.col("aux_class")), "path": F.when(k == 5, F.lit("../x.svg")).otherwise(F.col("path")), "icon_id": F.when(k != 1, F.col("icon_id")),
+    })
+    return retrieval.validate_index(broken, 64, 9)
 
 
 @query(f"""WITH {_Q}, {_ICONS} SELECT icon_id, category, pack, name, label, aux_label, url FROM (
@@ -365,9 +397,9 @@ def first_n_per_pack(spark, sf):
     return lexical.first_per_pack(_read(spark, sf, "part"), 3, "p_brand", "p_partkey").select("p_brand", "p_partkey")
 
 
-@query("SELECT DISTINCT l_partkey AS icon_id FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT DISTINCT l_partkey AS icon_id FROM lineitem")
 def candidate_union(spark, sf):
-    lists = _read(spark, sf, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("candidate_ids"))
+    lists = _read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("candidate_ids"))
     return lexical.candidate_union(lists)
 
 
@@ -410,7 +442,11 @@ def status_histogram(spark, sf):
     return dedup.histogram(_read(spark, sf, "documents").select(status.alias("status")), "status", every)
 
 
-@query()
+_PIECES = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)::VARCHAR AS p{k}" for k in range(8))
+
+
+@query(f"""WITH r AS (SELECT sha256('{{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}}') AS h FROM nation),
+  s AS (SELECT count(*) AS rows, {_PIECES} FROM r) SELECT rows, sha256(concat_ws(':', rows, {", ".join(f"p{k}" for k in range(8))})) AS fingerprint FROM s""")
 def table_fingerprint(spark, sf):
     return dedup.table_fingerprint(_read(spark, sf, "nation"), "n_nationkey", "n_name", "n_regionkey")
 
@@ -516,25 +552,34 @@ def stroke_rasters(spark, sf):
     return lines.select("drawing_id", F.sha2(raster.rasterize_polylines(F.col("polylines")), 256).alias("digest"))
 
 
-_SVGS = [
-    ("square", '<svg><path d="M 10 10 H 30 V 20 L 10 20 Z"/></svg>'),
-    ("relative", '<svg><path d="m 5 5 l 10 0 10 0"/></svg>'),
-    ("nested", '<svg><g transform="translate(10 20)"><path d="M0 0 L5 0" transform="scale(2)"/></g></svg>'),
-    ("ring", '<svg><circle cx="50" cy="50" r="25" fill="none" stroke="black"/></svg>'),
-    ("hidden", '<svg><g visibility="hidden"><path d="M0 0 L10 0"/></g></svg>'),
-    ("broken", '<svg><path d="M0 0 X10 10"/></svg>'),
-]
+def _svgs(spark, sf) -> DataFrame:
+    """A document for each part, of six kinds, with its number and size in the geometry."""
+    n, w = F.col("p_partkey"), F.col("p_size").cast("string")
+    kinds = [
+        F.concat(F.lit('<path d="M 10 10 H '), w, F.lit(" V 20 L 10 20 Z\"/>")), F.concat(F.lit('<path d="m 5 5 l '), w, F.lit(" 0 "), w, F.lit(' 0"/>')),
+        F.concat(F.lit('<g transform="translate('), w, F.lit(' 20)"><path d="M0 0 L5 0" transform="scale(2)"/></g>')), F.concat(F.lit('<circle cx="50" cy="50" r="'), w, F.lit('" fill="none" stroke="black"/>')),
+        F.concat(F.lit('<g visibility="hidden"><path d="M0 0 L'), w, F.lit(' 0"/></g>')), F.concat(F.lit('<path d="M0 0 X'), w, F.lit(' 10"/>')),
+    ]
+    body = F.element_at(F.array(*kinds), (n % 6 + 1).cast("int"))
+    return _read(spark, sf, "part").select(n.alias("id"), F.concat(F.lit("<svg>"), body, F.lit("</svg>")).alias("svg"))
 
 
-@query()
+def _points(*xy: str) -> str:
+    """A polyline as JSON in SQL."""
+    return " || ',' || ".join("""'{"x":' || (%s)::DOUBLE || ',"y":' || (%s)::DOUBLE || '}'""" % tuple(p.split(";")) for p in xy)
+
+
+@query(f"""SELECT p_partkey AS id, CASE p_partkey % 6
+  WHEN 0 THEN '[[' || {_points("10;10", "p_size;10", "p_size;20", "10;20", "10;10")} || ']]' WHEN 1 THEN '[[' || {_points("5;5", "5 + p_size;5", "5 + 2 * p_size;5")} || ']]'
+  WHEN 2 THEN '[[' || {_points("p_size;20", "p_size + 10;20")} || ']]' WHEN 4 THEN '[]' END AS polylines FROM part WHERE p_partkey % 6 <> 3""")
 def svg_polylines(spark, sf):
-    rows = spark.createDataFrame(_SVGS, "id string, svg string")
+    rows = _svgs(spark, sf).where("id % 6 <> 3")  # a circle's points are not for SQL
     return rows.select("id", F.to_json(raster.polylines_of_svg(F.col("svg"))).alias("polylines"))
 
 
 @query()
 def svg_rasters(spark, sf):
-    rows = spark.createDataFrame(_SVGS, "id string, svg string").select("id", raster.rasterize_svg(F.col("svg")).alias("r"))
+    rows = _svgs(spark, sf).select("id", raster.rasterize_svg(F.col("svg")).alias("r"))
     return rows.select("id", F.col("r.status").cast("int").alias("status"), F.sha2("r.bitmap", 256).alias("digest"))
 
 
@@ -640,6 +685,84 @@ def ref_integrity(spark, sf):
     return curation.manifest_problems(rows, _read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("class")))
 
 
+@query("""WITH n AS (SELECT o_custkey, o_orderkey, (o_orderkey % 3 = 0) AS gone FROM orders)
+  SELECT o_orderkey, coalesce((SELECT min(m.o_orderkey) FROM n m WHERE m.o_custkey = n.o_custkey AND NOT m.gone AND m.o_orderkey > n.o_orderkey),
+    (SELECT max(m.o_orderkey) FROM n m WHERE m.o_custkey = n.o_custkey AND NOT m.gone AND m.o_orderkey < n.o_orderkey)) AS successor FROM n WHERE gone""")
+def successor(spark, sf):
+    orders = _read(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    return curation.successor(orders, orders.where("o_orderkey % 3 = 0"), "o_orderkey", "o_orderkey", "o_custkey")
+
+
+@query(f"""WITH m AS (SELECT source AS class, doc_id::VARCHAR AS candidate_id FROM documents),
+  d AS (SELECT CASE WHEN doc_id % 17 = 0 THEN 'nowhere' ELSE source END AS class, CASE WHEN doc_id % 5 = 0 THEN '0' || doc_id WHEN doc_id % 7 = 0 THEN (-doc_id - 1)::VARCHAR ELSE doc_id::VARCHAR END AS candidate_id,
+    CASE WHEN doc_id % 3 = 0 THEN 'maybe' ELSE 'accepted' END AS decision FROM documents),
+  i AS (SELECT * FROM d WHERE class IN (SELECT class FROM m)),
+  p AS (SELECT *, CASE WHEN NOT regexp_full_match(candidate_id, '-?(0|[1-9][0-9]*)') THEN 'id' WHEN decision = 'maybe' THEN 'decision' END AS problem FROM i)
+  SELECT NULL AS class, NULL AS candidate_id, 'version' AS problem UNION ALL SELECT NULL, NULL, 'fingerprint' UNION ALL SELECT class, candidate_id, 'class' FROM d WHERE class NOT IN (SELECT class FROM m)
+  UNION ALL SELECT class, candidate_id, problem FROM p WHERE problem IS NOT NULL
+  UNION ALL SELECT class, candidate_id, 'candidate' FROM p WHERE problem IS DISTINCT FROM 'id' AND (class, candidate_id) NOT IN (SELECT class, candidate_id FROM m)
+  UNION ALL SELECT 'elsewhere', NULL, 'reviewed class'""")
+def state_problems(spark, sf):
+    """A state with a wrong version and fingerprint, and damage of each kind in its decisions."""
+    n = F.col("candidate_id")
+    manifest = _manifest(spark, sf).select("class", "candidate_id")
+    written = F.when(n % 5 == 0, F.concat(F.lit("0"), n.cast("string"))).when(n % 7 == 0, (-n - 1).cast("string")).otherwise(n.cast("string"))
+    decisions = manifest.select(F.when(n % 17 == 0, F.lit("nowhere")).otherwise(F.col("class")).alias("class"), written.alias("candidate_id"), F.when(n % 3 == 0, F.lit("maybe")).otherwise(F.lit(curation.ACCEPTED)).alias("decision"))
+    head = spark.createDataFrame([(curation.PROGRESS_KIND, 2, COMMIT, "old")], "kind string, version int, commit string, fingerprint string")
+    want = spark.createDataFrame([(COMMIT, "new")], "commit string, fingerprint string")
+    reviewed = _reviewed(spark, sf).union(spark.createDataFrame([("elsewhere",)], "class string"))
+    return curation.state_problems(head, decisions, reviewed, want, manifest, manifest.select("class"))
+
+
+@query("""SELECT l.label AS class_index, 'class ' || l.label AS class_name, p.p_partkey AS icon_id, p.p_name AS path, sha256(d.text) AS digest
+  FROM (SELECT DISTINCT label FROM embeddings) l JOIN part p ON p.p_partkey % 10 = l.label JOIN documents d ON d.doc_id = p.p_partkey WHERE d.doc_id % 3 <> 0""")
+def planned_icons(spark, sf):
+    classes = _vectors(spark, sf).select(F.col("label").alias("class_index"), F.concat(F.lit("class "), F.col("label")).alias("class_name")).distinct()
+    candidates = _read(spark, sf, "part").select(F.concat(F.lit("class "), F.col("p_partkey") % 10).alias("class_name"), F.col("p_partkey").alias("icon_id"), F.col("p_name").alias("path"))
+    digests = _read(spark, sf, "documents").select(F.col("doc_id").alias("icon_id"), F.when(F.col("doc_id") % 3 != 0, F.sha2("text", 256)).alias("digest"))
+    return dataset.planned_icons(classes, candidates, digests)
+
+
+@query("SELECT count(DISTINCT c) AS commits, count(DISTINCT c) = 1 AS agree FROM (SELECT n_regionkey AS c FROM nation WHERE n_regionkey < 2 UNION ALL SELECT r_regionkey FROM region WHERE r_regionkey < 2)")
+def same_commit(spark, sf):
+    commits = [_read(spark, sf, t).select(F.col(c).cast("string").alias("commit")).where("commit < '2'") for t, c in (("nation", "n_regionkey"), ("region", "r_regionkey"))]
+    return dataset.same_commit(*commits)
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation WHERE n_regionkey >= 3")
+def untrusted_archives(spark, sf):
+    nation = _read(spark, sf, "nation").select(F.col("n_name").alias("name"), "n_regionkey")
+    return dataset.untrusted(nation, nation.where("n_regionkey < 3"))
+
+
+@query("SELECT count(DISTINCT source) AS classes, count(DISTINCT CASE WHEN lang = 'de' THEN source END) AS covered FROM documents")
+def class_coverage(spark, sf):
+    manifest = _manifest(spark, sf)
+    return dataset.class_coverage(manifest, manifest.where("lang = 'de'"))
+
+
+_TURNED = " || ".join(f"substr(h, {15 - 2 * i}, 2)" for i in range(8))
+
+
+@query(f"SELECT vec_id, ('0x' || {_TURNED})::UBIGINT::DECIMAL(20, 0) AS seed FROM (SELECT vec_id, sha256('20260815:' || label || ':train') AS h FROM embeddings)")
+def sample_seed(spark, sf):
+    return _vectors(spark, sf).select(F.col("icon_id").alias("vec_id"), dataset.sample_seed(20260815, F.col("label"), F.lit("train")).alias("seed"))
+
+
+@query(f"""WITH {_STROKES}, b AS (SELECT drawing_id, min(x) AS low, max(x) AS high FROM p GROUP BY drawing_id), z AS (SELECT *, least(800.0::DOUBLE, greatest(high - low + 24, 96.0::DOUBLE)) AS size FROM b)
+  SELECT drawing_id, round(greatest(0.0::DOUBLE, least(800 - size, (low + high) / 2 - size / 2)), 4) AS start, round(size, 4) AS size FROM z""")
+def fitted_axis(spark, sf):
+    box = strokes.bounding_box(strokes.decode_stroke3(_strokes(spark, sf)), "drawing_id")
+    fit = strokes.fitted_axis(F.col("left"), F.col("right"), F.lit(800.0))
+    return box.select("drawing_id", fit.alias("f")).select("drawing_id", F.round("f.start", 4).alias("start"), F.round("f.size", 4).alias("size"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, '[^/]*$', '') || 'shard-' || (page_id % 256) || '.bin' AS codes, regexp_replace(url, '[^/]*$', '') || 'shard-' || (page_id % 256) || '.meta.json.gz' AS meta FROM pages")
+def shard_urls(spark, sf):
+    urls = text.shard_urls(F.col("url"), F.col("page_id") % 256)
+    return _read(spark, sf, "pages").select("page_id", urls.alias("u")).select("page_id", "u.codes", "u.meta")
+
+
 # --- extensions
 
 

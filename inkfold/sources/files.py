@@ -161,6 +161,27 @@ def pack_shard(codes: np.ndarray, scales: np.ndarray) -> bytes:
     return np.ascontiguousarray(codes, np.int8).tobytes() + np.ascontiguousarray(scales, "<f4").tobytes()
 
 
+def verified_shards(spark: SparkSession, folder: str, shards: DataFrame, dim: int) -> DataFrame:
+    """(shard, row, codes, scale) of the shard files beside an index document; a wrong size or digest raises.
+
+    ``shards``: shard, count, bytes, sha256.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
+    files = files.select(F.regexp_extract("path", r"shard-([0-9]+)\.bin$", 1).cast("int").alias("shard"), "length", "content")
+    rows = shards.select("shard", "count", "bytes", "sha256").join(files, "shard", "left")
+    wrong = F.when(F.col("content").isNull(), F.lit(" is missing")).when((F.col("length") != F.col("bytes")) | (F.col("bytes") != F.col("count") * (dim + 4)), F.lit(" has an unexpected size")).when(F.sha2("content", 256) != F.col("sha256"), F.lit(" has another digest"))
+    checked = F.when(wrong.isNull(), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("shard "), F.col("shard").cast("string"), wrong)))
+
+    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for shard, count, content in zip(part["shard"], part["count"], part["content"]):
+                codes, scales = unpack_shard(content, count, dim)
+                for lo in range(0, count, 1000):
+                    yield pd.DataFrame({"shard": shard, "row": range(lo, min(lo + 1000, count)), "codes": [c.tolist() for c in codes[lo : lo + 1000]], "scale": scales[lo : lo + 1000]})
+
+    return rows.select("shard", "count", checked.alias("content")).mapInPandas(unpack, "shard int, row long, codes array<tinyint>, scale float")
+
+
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vectors, centroids) as clustering.write_index wrote them."""
     return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centroids")
