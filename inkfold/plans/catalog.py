@@ -554,7 +554,7 @@ def stroke_rasters(spark, sf):
 
 def _svgs(spark, sf) -> DataFrame:
     """A document for each part, of six kinds, with its number and size in the geometry."""
-    n, w = F.col("p_partkey"), F.col("p_size").cast("string")
+    n, w = F.col("p_partkey"), (F.col("p_size") + 20).cast("string")
     kinds = [
         F.concat(F.lit('<path d="M 10 10 H '), w, F.lit(" V 20 L 10 20 Z\"/>")), F.concat(F.lit('<path d="m 5 5 l '), w, F.lit(" 0 "), w, F.lit(' 0"/>')),
         F.concat(F.lit('<g transform="translate('), w, F.lit(' 20)"><path d="M0 0 L5 0" transform="scale(2)"/></g>')), F.concat(F.lit('<circle cx="50" cy="50" r="'), w, F.lit('" fill="none" stroke="black"/>')),
@@ -570,8 +570,8 @@ def _points(*xy: str) -> str:
 
 
 @query(f"""SELECT p_partkey AS id, CASE p_partkey % 6
-  WHEN 0 THEN '[[' || {_points("10;10", "p_size;10", "p_size;20", "10;20", "10;10")} || ']]' WHEN 1 THEN '[[' || {_points("5;5", "5 + p_size;5", "5 + 2 * p_size;5")} || ']]'
-  WHEN 2 THEN '[[' || {_points("p_size;20", "p_size + 10;20")} || ']]' WHEN 4 THEN '[]' END AS polylines FROM part WHERE p_partkey % 6 <> 3""")
+  WHEN 0 THEN '[[' || {_points("10;10", "p_size + 20;10", "p_size + 20;20", "10;20", "10;10")} || ']]' WHEN 1 THEN '[[' || {_points("5;5", "25 + p_size;5", "45 + 2 * p_size;5")} || ']]'
+  WHEN 2 THEN '[[' || {_points("p_size + 20;20", "p_size + 30;20")} || ']]' WHEN 4 THEN '[]' END AS polylines FROM part WHERE p_partkey % 6 <> 3""")
 def svg_polylines(spark, sf):
     rows = _svgs(spark, sf).where("id % 6 <> 3")  # a circle's points are not for SQL
     return rows.select("id", F.to_json(raster.polylines_of_svg(F.col("svg"))).alias("polylines"))
