@@ -56,7 +56,7 @@ def _marked(token: Column) -> Column:
 
 def _word(token: Column) -> Column:
     """The token without its mark."""
-    return F.translate(token, _NAME + _UNIT, "")
+    return F.when(_marked(token), F.substring(token, 2, 2**31 - 1)).otherwise(token)
 
 
 def _slotted(token: Column) -> Column:
@@ -72,10 +72,6 @@ def _split(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, _tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
 
 
-def _plain(token: Column) -> Column:
-    return F.when(token < ":", F.lit("<number>")).otherwise(_word(token))
-
-
 def _doubled(level: str, step: int):
     return lambda h, i: F.xxhash64(h, F.get(level, i + step))
 
@@ -88,8 +84,10 @@ def windows(rows: DataFrame, keys: list[str], lengths: list[int], exact: bool) -
     of two overlapping ones, so its cost doesn't grow with its length.
     """
     split = _split(rows, keys).where(F.size("tokens") >= min(lengths))
-    named = F.exists("tokens", _marked)
-    first = {"h1": F.transform("tokens", lambda t: F.xxhash64(_shape(t))), "p1": F.when(named, F.transform("tokens", lambda t: F.xxhash64(_plain(t))))}
+    split = split.withColumn("h1", F.transform("tokens", lambda t: F.xxhash64(_shape(t))))
+    # most words have no mark and the same hash in both
+    words = F.transform("tokens", lambda t, i: F.when(_marked(t), F.xxhash64(_word(t))).otherwise(F.get("h1", i)))
+    first = {"h1": F.col("h1"), "p1": F.when(F.exists("tokens", _marked), words)}
     if exact:
         first["e1"] = F.transform("tokens", lambda t: F.xxhash64(F.lit("="), _word(t)))
     split = split.select(*keys, *[c.alias(n) for n, c in first.items()])
