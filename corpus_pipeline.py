@@ -2,18 +2,19 @@
 
 Each stage takes all rows its predecessor kept and returns the columns of documents; the last adds the shard.
 run() writes each stage as Parquet into the shared folder and rereads it, so a lost executor costs a stage's
-tasks and never an earlier stage.
+tasks and never an earlier stage; what a stage stores on its way goes with its end.
 
 Cases: the stages take those of their operators. A row without doc_id passes near-dedup and keeps its own text.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkfold.llm import decontamination, host_rules, mixing, near_dup, sharding
-from inkfold.llm.common import read, stored
+from inkfold.llm.common import read, settled
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +56,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    for _, stage in STAGES:
+        docs = settled(partial(stage, spark, docs, sf_dir), spark)
     return docs
