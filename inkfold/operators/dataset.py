@@ -83,11 +83,10 @@ def planned_icons(classes: DataFrame, candidates: DataFrame, digests: DataFrame)
     ``classes``: class_index, class_name; ``candidates``: class_name, icon_id, path; ``digests``: icon_id, digest. A
     class that the candidates don't know raises; a candidate without a digest is skipped.
     """
-    known = candidates.select("class_name").distinct().withColumn("known", F.lit(True))
-    unknown = F.raise_error(F.concat(F.lit("no candidates for class "), F.col("class_name")))
-    checked = classes.join(known, "class_name", "left").withColumn("class_index", F.when(F.col("known"), F.col("class_index")).otherwise(unknown)).drop("known")
-    # the left join keeps the check from being pruned with a class that has no partner
-    rows = checked.join(candidates, "class_name", "left").join(digests.where(F.col("digest").isNotNull()), "icon_id")
+    missing = classes.join(candidates, "class_name", "left_anti").limit(1).collect()
+    if missing:
+        raise ValueError(f"no candidates for class {missing[0]['class_name']}")
+    rows = classes.join(candidates, "class_name").join(digests.where(F.col("digest").isNotNull()), "icon_id")
     return rows.select("class_index", "class_name", "icon_id", "path", "digest")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,11 +7,11 @@ from inkfold.operators import clustering, retrieval
 from inkfold.sources import files
 
 DIM = 8
-CLASSES = [(0, "star"), (1, "sparkle"), (2, "truck")]
+CLASSES = [(0, "kettle"), (1, "teapot"), (2, "canoe")]
 ICONS = [
-    (0, 10, "Art, Design & Patterns/pack-a/332169-star.svg", 3, 0, [1.0]),
-    (0, 11, "Art, Design & Patterns/pack-a/332170-sparkle.svg", 1, 1, [0.94, 0.34]),
-    (1, 20, "Travel & Transportation/pack-b/900-truck.svg", 1, 2, [0.0, 1.0]),
+    (0, 41, "Home & Kitchen/brass/7-kettle.svg", 2, 0, [1.0]),
+    (0, 57, "Home & Kitchen/brass/8-teapot.svg", 1, 1, [0.8, 0.6]),
+    (1, 63, "Sports/boats/12-canoe.svg", 4, 2, [0.0, 1.0]),
 ]
 
 
@@ -38,53 +39,47 @@ def ids(df):
 
 def test_probed_and_warm(spark, index):
     q = query(spark, [1.0])
-    assert ids(retrieval.retrieve(q, *index, probes=1, lexical_weight=0)) == [10, 11]
-    assert ids(retrieval.retrieve(q, index[0], probes=None, lexical_weight=0)) == [10, 11, 20]
+    assert ids(retrieval.retrieve(q, *index, probes=1, lexical_weight=0)) == [41, 57]
+    assert ids(retrieval.retrieve(q, index[0], probes=None, lexical_weight=0)) == [41, 57, 63]
     cold = retrieval.coverage(index[1], retrieval.probe(q, index[1], 1).where("false")).first()
     assert tuple(cold) == (2, 0, 3, 0)
     assert tuple(retrieval.coverage(index[1], retrieval.probe(q, index[1], 2)).first()) == (2, 2, 3, 3)
 
 
 def test_lexical_lift(spark, index):
-    q = query(spark, [0.94, 0.34], [(1, "sparkle", 1.0)])
+    q = query(spark, [0.8, 0.6], [(1, "teapot", 1.0)])
     top = retrieval.retrieve(q, *index, lexical_weight=0.9).orderBy("rank").first()
-    assert (top.icon_id, top.prior, top.probability) == (11, 1.0, 1.0)
+    assert (top.icon_id, top.prior, top.probability) == (57, 1.0, 1.0)
 
 
 def test_empty_label_matches_every_icon_and_last_duplicate_wins(spark, index):
     rows = retrieval.retrieve(query(spark, [1.0], [(7, "", 0.5)]), index[0], probes=None).collect()
     assert {r.prior for r in rows} == {0.5}
     rows = retrieval.retrieve(query(spark, [1.0], [(0, "zzz", 0.9), (0, "zzz", 0.2)]), index[0], probes=None).collect()
-    assert {r.icon_id: r.prior for r in rows} == {10: 0.2, 11: 0.0, 20: 0.0}
+    assert {r.icon_id: r.prior for r in rows} == {41: 0.2, 57: 0.0, 63: 0.0}
 
 
 def test_described(spark, index):
     classes = spark.createDataFrame(CLASSES, "idx int, label string")
     hits = retrieval.retrieve(query(spark, [1.0]), *index, probes=1, lexical_weight=0)
     rows = retrieval.described(hits, classes, "owner/repo", "a" * 40).orderBy("rank").collect()
-    assert [(r.category, r.pack, r.name, r.label, r.aux_label) for r in rows][0] == ("Art, Design & Patterns", "pack-a", "332169-star", "star", "star")
-    assert rows[0].url == f"https://cdn.jsdelivr.net/gh/owner/repo@{'a' * 40}/Art%2C%20Design%20%26%20Patterns/pack-a/332169-star.svg"
+    assert [(r.category, r.pack, r.name, r.label, r.aux_label) for r in rows][0] == ("Home & Kitchen", "brass", "7-kettle", "kettle", "kettle")
+    assert rows[0].url == f"https://cdn.jsdelivr.net/gh/owner/repo@{'a' * 40}/Home%20%26%20Kitchen/brass/7-kettle.svg"
     with pytest.raises(Exception, match="malformed icon"):
-        retrieval.described(hits.withColumn("path", F.lit("../../etc/passwd.svg")), classes).collect()
+        retrieval.described(hits.withColumn("path", F.lit("Sports/../up.svg")), classes).collect()
 
 
 @pytest.mark.parametrize("weight", [0.0, 0.25, 1.0])
 def test_bounded_is_the_head_of_the_full_ranking(spark, weight):
-    state, rows = 7, []
-
-    def draw():
-        nonlocal state
-        state = (state * 1103515245 + 12345) % 2**31
-        return state / 2**31 - 0.5
-
-    for i in range(384):
-        rows.append((i // 64, i, f"c/p/{'star' if i % 5 == 0 else 'moon'}-{i}.svg", 1, i % 3, [draw() for _ in range(DIM)]))
+    rng = np.random.Generator(np.random.PCG64(31))
+    draw = lambda: [float(x) for x in rng.normal(size=DIM)]
+    rows = [(i % 5, 3 * i, f"tools/set/{('kettle', 'ladle', 'oar')[i % 3]}-{i}.svg", 1 + i % 2, i % 4, draw()) for i in range(250)]
     items = spark.createDataFrame(rows, "shard int, icon_id long, path string, duplicates int, aux_class int, v array<float>")
     items = items.withColumn("q", vectors.quantize(F.col("v"))).select("shard", "icon_id", "path", "duplicates", "aux_class", "q.codes", "q.scale")
-    q = query(spark, [draw() for _ in range(DIM)], [(0, "star", 0.7), (1, "moon", 0.2)])
+    q = query(spark, draw(), [(2, "ladle", 0.6), (3, "oar", 0.35)])
     full = [(r.icon_id, r.score) for r in retrieval.retrieve(q, items, probes=None, limit=None, lexical_weight=weight).orderBy("rank").collect()]
     head = [(r.icon_id, r.score) for r in retrieval.retrieve(q, items.repartition(7), probes=None, limit=12, lexical_weight=weight).orderBy("rank").collect()]
-    assert head == full[:12] and len(full) == 384
+    assert head == full[:12] and len(full) == 250
 
 
 def test_bad_arguments(spark, index):
@@ -94,7 +89,7 @@ def test_bad_arguments(spark, index):
 
 
 def test_index_problems(spark, index):
-    bad = index[0].withColumn("path", F.when(F.col("icon_id") == 20, F.lit("x.svg")).otherwise(F.col("path"))).withColumn("aux_class", F.when(F.col("icon_id") == 10, F.lit(9)).otherwise(F.col("aux_class")))
+    bad = index[0].withColumn("path", F.when(F.col("icon_id") == 63, F.lit("x.svg")).otherwise(F.col("path"))).withColumn("aux_class", F.when(F.col("icon_id") == 41, F.lit(9)).otherwise(F.col("aux_class")))
     assert {(r.problem, r.rows) for r in retrieval.validate_index(bad, DIM, 3).collect()} == {("path", 1), ("class", 1)}
 
 
@@ -130,3 +125,35 @@ def test_kmeans_invariants(spark):
     kept = {r.cluster: r.c for r in clustering.lloyd_step(one, lone).collect()}
     assert kept[1] == [0.0, 1.0] and abs(kept[0][0] - 0.9987523) < 1e-6
     assert clustering.fit(items.where("false")).count() == 0
+
+
+def test_pairs_in_blocks(spark, index):
+    stated = spark.range(50).select(F.col("id").alias("qid"))
+    for most in (7, 1000):
+        pairs = retrieval.paired(index[0].select("icon_id"), stated, "qid", most)
+        assert pairs.distinct().count() == pairs.count() == 150 and "CartesianProduct" not in pairs._jdf.queryExecution().toString()
+
+
+def test_shard_files_are_verified(spark, tmp_path):
+    import hashlib
+
+    blob = files.pack_shard(np.arange(6, dtype=np.int8).reshape(2, 3), np.array([0.5, 2.0], np.float32))
+    (tmp_path / "shard-4.bin").write_bytes(blob)
+    listed = lambda size, digest: spark.createDataFrame([(4, 2, size, digest)], "shard int, count int, bytes long, sha256 string")
+    good = hashlib.sha256(blob).hexdigest()
+    got = files.verified_shards(spark, str(tmp_path), listed(len(blob), good), 3).orderBy("row").collect()
+    assert [(r.row, list(r.codes), r.scale) for r in got] == [(0, [0, 1, 2], 0.5), (1, [3, 4, 5], 2.0)]
+    for bad, message in ((listed(len(blob), "0" * 64), "another digest"), (listed(9, good), "unexpected size"), (listed(len(blob), good).withColumn("shard", F.lit(5)), "missing")):
+        with pytest.raises(Exception, match=message):
+            files.verified_shards(spark, str(tmp_path), bad, 3).collect()
+
+
+def test_a_class_without_candidates_stops_the_plan(spark):
+    from inkfold.operators import dataset
+
+    classes = spark.createDataFrame([(0, "kettle"), (1, "canoe")], "class_index int, class_name string")
+    candidates = spark.createDataFrame([("kettle", 41, "a/b.svg"), ("kettle", 57, "a/c.svg")], "class_name string, icon_id long, path string")
+    digests = spark.createDataFrame([(41, "d"), (57, None)], "icon_id long, digest string")
+    assert [tuple(r) for r in dataset.planned_icons(classes.where("class_index = 0"), candidates, digests).collect()] == [(0, "kettle", 41, "a/b.svg", "d")]
+    with pytest.raises(Exception, match="no candidates for class canoe"):
+        dataset.planned_icons(classes, candidates, digests).collect()
