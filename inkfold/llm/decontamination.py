@@ -37,17 +37,19 @@ MOST_HASHES = 2_000_000
 UNITS = "mm cm dm m km in ft yd mi mg g kg t oz lb ml cl l s ms sec min h hr hrs hours minutes seconds days weeks months years km/h mph kmh m/s % percent dollars euros cents usd eur gbp meters metres miles grams liters litres degrees".split()
 
 _NAME, _UNIT = "", ""
+#: A blank within a line, no-break spaces among them.
+_BLANK = r"[\s\u00a0\u2007\u202f&&[^\n]]"
 
 
 def _tokens(text: Column) -> Column:
     """Words and numbers in order, in lower case; names and units carry a mark in front."""
     units = "|".join(sorted((u for u in UNITS if u.isalpha()), key=len, reverse=True))
-    # no-break spaces become spaces; a run of blanks within a line is one
-    marked = F.translate(text, "\u00a0\u2007\u202f" + _NAME + _UNIT, "   ")
-    marked = F.regexp_replace(marked, r"[^\S\n]{2,}|[^\S\n ]", " ")
-    marked = F.regexp_replace(marked, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", _NAME)
-    marked = F.regexp_replace(marked, rf"(?<=[0-9]) ?(?=(?i:{units})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_NAME}{_UNIT}]?[\p{{L}}\p{{M}}]+|[0-9]++(?:[.,][0-9]++)*+"), F.lit(0))
+    # texts with characters of the marks' own are rare
+    bare = F.when(text.contains(_NAME) | text.contains(_UNIT), F.translate(text, _NAME + _UNIT, "")).otherwise(text)
+    # a run of blanks within a line counts as one; its first blank is tried before what stands in front of it
+    marked = F.regexp_replace(bare, rf"{_BLANK}(?<=[\p{{L}}\p{{N}},;]{_BLANK}){_BLANK}*+(?=\p{{Lu}}\p{{Ll}})", f" {_NAME}")
+    marked = F.regexp_replace(marked, rf"(?<=[0-9]){_BLANK}*+(?=(?i:{units})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_NAME}{_UNIT}]?[\p{{L}}\p{{M}}]++|[0-9]++(?:[.,][0-9]++)*+"), F.lit(0))
 
 
 def _marked(token: Column) -> Column:
@@ -72,8 +74,8 @@ def _split(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, _tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
 
 
-def _doubled(level: str, step: int):
-    return lambda h, i: F.xxhash64(h, F.get(level, i + step))
+def _doubled(level: str, step: int) -> Column:
+    return F.zip_with(level, F.slice(level, F.lit(step + 1), F.size(level)), lambda h, other: F.xxhash64(h, other))
 
 
 def windows(rows: DataFrame, keys: list[str], lengths: list[int], exact: bool) -> DataFrame:
@@ -83,7 +85,8 @@ def windows(rows: DataFrame, keys: list[str], lengths: list[int], exact: bool) -
     asks for it, all tokens as they are. Hashes of 2, 4, 8... tokens are made of two of the level below, and a window
     of two overlapping ones, so its cost doesn't grow with its length.
     """
-    split = _split(rows, keys).where(F.size("tokens") >= min(lengths))
+    # a condition on the number of tokens would be pushed below them, and cut every text twice
+    split = _split(rows, keys)
     split = split.withColumn("h1", F.transform("tokens", lambda t: F.xxhash64(_shape(t))))
     # most words have no mark and the same hash in both
     words = F.transform("tokens", lambda t, i: F.when(_marked(t), F.xxhash64(_word(t))).otherwise(F.get("h1", i)))
@@ -93,7 +96,7 @@ def windows(rows: DataFrame, keys: list[str], lengths: list[int], exact: bool) -
     split = split.select(*keys, *[c.alias(n) for n, c in first.items()])
     kinds = [n[0] for n in first]
     for step in (1 << k for k in range(max(lengths).bit_length() - 1)):
-        split = split.withColumns({f"{x}{2 * step}": F.transform(f"{x}{step}", _doubled(f"{x}{step}", step)) for x in kinds})
+        split = split.withColumns({f"{x}{2 * step}": _doubled(f"{x}{step}", step) for x in kinds})
 
     def found(kind: str, n: int) -> Column:
         half = 1 << (n.bit_length() - 1)
