@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +85,17 @@ def raster_icon(text: str | None, min_ink: float = MIN_INK, max_ink: float = MAX
     return (OK, bitmap) if min_ink <= ink_coverage(bitmap) <= max_ink else (OUT_OF_BAND, None)
 
 
+@F.arrow_udf(T.DoubleType())
+def ink_share(bitmaps: pa.Array) -> pa.Array:
+    """ink_coverage() of each bitmap; null for null or without a pixel."""
+    return pa.array([ink_coverage(b) if b else None for b in bitmaps.to_pylist()], pa.float64())
+
+
+def band_status(share: Column, min_ink: float = MIN_INK, max_ink: float = MAX_INK) -> Column:
+    """The status of an icon by the share of its ink."""
+    return F.when(share.isNull(), F.lit(UNREADABLE)).when(share == 0, F.lit(EMPTY)).when(share.between(min_ink, max_ink), F.lit(OK)).otherwise(F.lit(OUT_OF_BAND))
+
+
 @F.pandas_udf(RASTER)
 def rasterize_svg(text: pd.Series) -> pd.DataFrame:
     """struct(status, bitmap) of each document; a bad one never touches its neighbours."""

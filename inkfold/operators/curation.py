@@ -142,6 +142,47 @@ def manifest_problems(candidates: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def locale_sorted(names: Column) -> Column:
-    """An array of names in the order of people: by letters first, then case."""
-    keyed = F.transform(names, lambda n: F.struct(F.lower(n).alias("k"), n.alias("n")))
+    """An array of names in the order of people: by letters first, then accents and case, as Unicode's collation has it."""
+    keyed = F.transform(names, lambda n: F.struct(F.collate(n, "UNICODE").alias("k"), n.alias("n")))
     return F.transform(F.array_sort(keyed), lambda s: s["n"])
+
+
+def rule_problems(rules: DataFrame, penalties: DataFrame, classes: DataFrame, categories: DataFrame) -> DataFrame:
+    """(subject, problem): rules of unknown classes, empty values, unknown categories, penalties that are no finite number.
+
+    ``rules``: kind ('alias', 'preferred', 'excluded'), class, value; ``penalties``: category, points; ``classes``: class;
+    ``categories``: category.
+    """
+    known = categories.select("category").distinct()
+    stray = rules.select("class").distinct().join(classes.select("class"), "class", "left_anti").select(F.col("class").alias("subject"), F.lit("unknown class").alias("problem"))
+    empty = rules.where(F.coalesce("value", F.lit("")) == "").select(F.col("class").alias("subject"), F.lit("empty value").alias("problem"))
+    liked = rules.where("kind = 'preferred' and value <> ''").select(F.col("value").alias("category"))
+    lost = liked.unionByName(penalties.select("category")).distinct().join(known, "category", "left_anti").select(F.col("category").alias("subject"), F.lit("unknown category").alias("problem"))
+    points = F.col("points").cast("double")
+    wild = penalties.where(points.isNull() | F.isnan(points) | (F.abs(points) == float("inf"))).select(F.col("category").alias("subject"), F.lit("penalty").alias("problem"))
+    return stray.unionByName(empty).unionByName(lost).unionByName(wild).distinct()
+
+
+#: The shape of a progress document.
+PROGRESS_DOCUMENT = """kind string, schemaVersion int, sourceCommit string, manifestFingerprint string,
+decisions map<string, map<string, string>>, reviewedClasses array<string>"""
+
+
+def progress_document(manifest_head: DataFrame, decisions: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """One row, the progress document of one curator: as large as what one person has decided.
+
+    ``manifest_head``: commit, fingerprint, one row; ``decisions``: class, candidate_id, decision; ``reviewed``: class.
+    """
+    of_class = decisions.groupBy("class").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("candidate_id").cast("string"), "decision")))).alias("d"))
+    made = of_class.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", F.map_entries("d").alias("e"))))).alias("m"))
+    made = made.select(F.transform_values("m", lambda _, e: F.map_from_entries(e)).alias("decisions"))
+    named = reviewed.select("class").distinct().agg(locale_sorted(F.collect_list("class")).alias("reviewedClasses"))
+    head = manifest_head.select(F.lit(PROGRESS_KIND).alias("kind"), F.lit(PROGRESS_VERSION).alias("schemaVersion"), F.col("commit").alias("sourceCommit"), F.col("fingerprint").alias("manifestFingerprint"))
+    return head.join(F.broadcast(made)).join(F.broadcast(named))  # one row each
+
+
+def progress_tables(document: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(head, decisions, reviewed) of progress documents, as state_problems takes them."""
+    head = document.select("kind", F.col("schemaVersion").alias("version"), F.col("sourceCommit").alias("commit"), F.col("manifestFingerprint").alias("fingerprint"))
+    rows = document.select(F.explode("decisions").alias("class", "d")).select("class", F.explode("d").alias("candidate_id", "decision"))
+    return head, rows, document.select(F.explode("reviewedClasses").alias("class")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -40,3 +41,12 @@ def table_fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
     pieces = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{k}") for k in range(8)]
     summed = rows.select(row_fingerprint(*columns).alias("h")).agg(F.count("*").alias("rows"), *pieces)
     return summed.select("rows", F.sha2(F.concat_ws(":", "rows", *[f"p{k}" for k in range(8)]), 256).alias("fingerprint"))
+
+
+def available(icons: DataFrame, digests: DataFrame, group: str) -> DataFrame:
+    """The icons whose blob is there, with its digest and their place (from 0) in the order of digest and id within ``group``.
+
+    ``digests``: icon_id, digest; a null digest marks an icon that the source doesn't have.
+    """
+    rows = icons.join(digests.where(F.col("digest").isNotNull()).select("icon_id", "digest"), "icon_id")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("digest", "icon_id")) - 1)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import raster, vectors
+
 BATCH = 512
 BLANK = b"\x00" * 4096
 #: Takes n x 64 x 64 numbers from 0 to 1, returns n embeddings and n rows of logits.
@@ -48,3 +50,13 @@ def encode(bitmaps: DataFrame, encoder: Encoder, key: str = "id", dim: int = 64)
                 yield pd.DataFrame({key: piece[key].to_numpy(), "embedding": list(embedding.astype(np.float32)), "logits": list(logits.astype(np.float32))})
 
     return drawn.mapInPandas(rows, f"{key} {bitmaps.schema[key].dataType.simpleString()}, embedding array<float>, logits array<float>")
+
+
+def embed_drawings(drawings: DataFrame, encoder: Encoder, key: str = "id", limit: int = 5) -> DataFrame:
+    """(key, embedding, predictions) of drawings (key, polylines; a key has one), the best ``limit`` classes first.
+
+    A drawing that can't be drawn or leaves no ink never reaches the encoder: its embedding is null, its predictions are empty.
+    """
+    bitmaps = drawings.select(key, raster.rasterize_polylines(F.col("polylines")).alias("bitmap"))
+    found = encode(bitmaps, encoder, key).select(key, "embedding", vectors.top_predictions(F.col("logits"), limit).alias("predictions"))
+    return drawings.select(key).join(found, key, "left").withColumn("predictions", F.coalesce("predictions", F.array().cast(found.schema["predictions"].dataType)))

@@ -64,9 +64,13 @@ def sparse_classes(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame
     return classes.join(counts, "label", "left").select("label", F.coalesce("c", F.lit(0)).alias("n")).withColumn("sparse", F.col("n") < least)
 
 
-def nearest_first(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(qid, item_id, rank, label_match) of a stated set of queries with labels against all labelled items."""
+def nearest_first(queries: DataFrame, items: DataFrame, k: int, own: bool = True) -> DataFrame:
+    """(qid, item_id, rank, label_match) of a stated set of queries with labels against all labelled items.
+
+    Where the queries are items themselves, ``own`` False leaves each one's own row out of its ranking.
+    """
     pairs = paired(items.select("item_id", F.col("label").alias("item_label"), F.col("v").alias("iv")), queries, "qid")
+    pairs = pairs if own else pairs.where(F.col("qid") != F.col("item_id"))
     scored = pairs.select("qid", "item_id", vectors.dot(F.col("v"), F.col("iv")).alias("score"), (F.col("label") == F.col("item_label")).alias("label_match"))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "item_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import raster, strokes, text, vectors
 from ..operators import clustering, curation, dataset, dedup, encoder, lexical, metrics, retrieval
+from ..sources import files
 from ..streaming import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,12 +132,12 @@ def vector_topk_hybrid(spark, sf):
     return out.select("qid", "icon_id", F.round("cosine", 6).alias("cosine"), "prior", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {_Q}, used AS (SELECT DISTINCT shard FROM probes WHERE rn <= 3 AND qid < 100)
+@query(f"""WITH {_Q}, used AS (SELECT DISTINCT shard FROM probes WHERE rn = 1)
   SELECT count(*) AS shards, count(u.shard) AS resident_shards, sum(c.count)::BIGINT AS vectors, coalesce(sum(CASE WHEN u.shard IS NOT NULL THEN c.count END), 0)::BIGINT AS resident_vectors
   FROM centers c LEFT JOIN used u USING (shard)""")
 def ivf_coverage(spark, sf):
     centers = _index(spark, sf)[1]
-    return retrieval.coverage(centers, retrieval.probe(_queries(spark, sf).where("qid < 100"), centers, 3))
+    return retrieval.coverage(centers, retrieval.probe(_queries(spark, sf), centers, 1))
 
 
 @query(f"""WITH {_Q} SELECT qid, shard FROM probes WHERE rn <= 3 UNION SELECT q.vec_id, c.shard FROM embeddings q, centers c WHERE q.vec_id % 50 = 0 AND c.shard % 4 = 0""")
@@ -281,13 +283,13 @@ def gate_offenders(spark, sf):
 
 _NEAR = f"""near AS (SELECT q.vec_id AS qid, q.label, (q.label = v.label) AS label_match,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT % ('q.embedding', 'v.embedding')} DESC, v.vec_id) AS rank
-  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0)"""
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)"""
 
 
 def _near(spark, sf):
     queries = _queries(spark, sf).withColumnRenamed("embedding", "v")
-    items = _vectors(spark, sf).where(F.col("icon_id") % 50 != 0).select(F.col("icon_id").alias("item_id"), "label", F.col("embedding").alias("v"))
-    return metrics.nearest_first(queries, items, 10), queries
+    items = _vectors(spark, sf).select(F.col("icon_id").alias("item_id"), "label", F.col("embedding").alias("v"))
+    return metrics.nearest_first(queries, items, 10, own=False), queries
 
 
 @query(f"WITH {_NEAR}, b AS (SELECT qid, min(CASE WHEN label_match THEN rank END) AS best FROM near GROUP BY qid) SELECT round(avg((coalesce(best, 99999999) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(best, 99999999) <= 5)::INT), 6) AS recall_5, round(avg((coalesce(best, 99999999) <= 10)::INT), 6) AS recall_10 FROM b")
@@ -415,6 +417,61 @@ def format_bytes(spark, sf):
     return _read(spark, sf, "orders").select("o_orderkey", text.format_bytes(F.floor(F.col("o_totalprice") * 10)).alias("size"))
 
 
+# --- fetched files, addresses, names
+
+
+@query("""WITH o AS (SELECT o_orderkey, 200 + (o_orderkey * 7) % 400 AS status, o_orderkey % 8 AS attempt, (o_orderkey % 4) / 4.0::DOUBLE AS jitter, CASE o_orderkey % 3 WHEN 0 THEN 'evil.example' ELSE 'cdn.jsdelivr.net' END AS host,
+    CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' Image/SVG+XML ; charset=utf-8' WHEN 2 THEN 'text/html' ELSE 'text/xml' END AS kind, CASE WHEN o_orderkey % 7 <> 0 THEN floor(o_totalprice)::BIGINT END AS size FROM orders)
+  SELECT o_orderkey, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status IN (404, 410) THEN 'missing' WHEN status IN (403, 408, 425, 429) OR status >= 500 THEN 'retry' ELSE 'failed' END AS outcome,
+    least(1000.0::DOUBLE * pow(2, attempt), 30000.0::DOUBLE) + jitter * 250 AS delay, host = 'cdn.jsdelivr.net' AND coalesce(kind LIKE '%mage/%' OR kind = 'text/xml', false) AND (size IS NULL OR size <= 200000) AS trusted FROM o""")
+def fetch_outcomes(spark, sf):
+    k = F.col("o_orderkey")
+    host = F.when(k % 3 == 0, F.lit("evil.example")).otherwise(F.lit("cdn.jsdelivr.net"))
+    kind = F.when(k % 5 == 1, F.lit(" Image/SVG+XML ; charset=utf-8")).when(k % 5 == 2, F.lit("text/html")).when(k % 5 > 2, F.lit("text/xml"))
+    size = F.when(k % 7 != 0, F.floor("o_totalprice"))
+    trusted = files.trusted_response(host, kind, size, 200_000)
+    return _read(spark, sf, "orders").select("o_orderkey", files.fetch_status(200 + (k * 7) % 400).alias("outcome"), files.retry_delay((k % 8).cast("double"), (k % 4) / 4).alias("delay"), trusted.alias("trusted"))
+
+
+_CDN = "https://cdn.jsdelivr.net/gh/owner/icons@"
+
+
+@query(f"""WITH p AS (SELECT page_id, 'a b/' || page_id || '+x.svg' AS path FROM pages), u AS (SELECT *, CASE page_id % 5 WHEN 0 THEN '{_CDN}{COMMIT}/a%20b/' || page_id || '%2Bx.svg' WHEN 1 THEN '{_CDN}{COMMIT}/a%20b/0-other.svg'
+    WHEN 2 THEN 'https://cdn.example/gh/owner/icons@{COMMIT}/a%20b/' || page_id || '%2Bx.svg' WHEN 3 THEN '{_CDN}0123/a%20b/' || page_id || '%2Bx.svg' ELSE '{_CDN}{COMMIT[::-1]}/a%20b/' || page_id || '+x.svg' END AS url FROM p)
+  SELECT page_id, url = '{_CDN}{COMMIT}/' || replace(url_encode(path), '%2F', '/') AS of_source, url_decode(replace(regexp_extract(url, '^https://cdn\\.jsdelivr\\.net/gh/[^/]+/[^/@]+@[0-9a-f]{{40}}/([^?#]+)$', 1), '+', '%2B')) = path AS pinned FROM u""")
+def approved_urls(spark, sf):
+    k, number = F.col("page_id"), F.col("page_id").cast("string")
+    path = F.concat(F.lit("a b/"), number, F.lit("+x.svg"))
+    at = lambda base, tail: F.concat(F.lit(f"{base}/a%20b/"), number, F.lit(tail))
+    url = F.when(k % 5 == 0, at(_CDN + COMMIT, "%2Bx.svg")).when(k % 5 == 1, F.lit(f"{_CDN}{COMMIT}/a%20b/0-other.svg")).when(k % 5 == 2, at(f"https://cdn.example/gh/owner/icons@{COMMIT}", "%2Bx.svg"))
+    url = url.when(k % 5 == 3, at(_CDN + "0123", "%2Bx.svg")).otherwise(at(_CDN + COMMIT[::-1], "+x.svg"))
+    return _read(spark, sf, "pages").select(k, text.approved_url(url, path, F.lit("owner/icons"), F.lit(COMMIT)).alias("of_source"), text.approved_url(url, path).alias("pinned"))
+
+
+@query(f"WITH {_ICONS} SELECT icon_id, category, digest, row_number() OVER (PARTITION BY category ORDER BY digest, icon_id) - 1 AS place FROM (SELECT icon_id, category, sha256(text) AS digest FROM icons JOIN documents ON doc_id = icon_id WHERE icon_id % 4 <> 0)")
+def available_icons(spark, sf):
+    digests = _read(spark, sf, "documents").select(F.col("doc_id").alias("icon_id"), F.when(F.col("doc_id") % 4 != 0, F.sha2("text", 256)).alias("digest"))
+    return dedup.available(_icons(spark, sf).select("icon_id", "category"), digests, "category")
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(lower(p_name), '[^a-z]+'), lambda t: t NOT IN ('', 'svg')), ' ') AS tokens FROM part")
+def tokenize_filename(spark, sf):
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit(".svg")).otherwise(F.lit(".SVG")))
+    return _read(spark, sf, "part").select("p_partkey", F.array_join(text.tokenize_filename(name), " ").alias("tokens"))
+
+
+@query("""SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM documents""")
+def xml_escape(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.md5(text.xml_escape(F.col("text")).cast("binary")).alias("escaped"))
+
+
+@query("""SELECT r, array_to_string(list(name ORDER BY name COLLATE de), '|') AS names FROM (SELECT n_regionkey AS r, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'The ' || n_name ELSE n_name END AS name FROM nation) GROUP BY r""")
+def reviewed_in_order(spark, sf):
+    name = F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("The "), F.col("n_name"))).otherwise(F.col("n_name"))
+    rows = _read(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r")).agg(F.collect_list(name).alias("n"))
+    return rows.select("r", F.array_join(curation.locale_sorted(F.col("n")), "|").alias("names"))
+
+
 # --- deduplication
 
 
@@ -546,6 +603,77 @@ def stroke_validate(spark, sf):
     return rows.select("drawing_id", strokes.stroke3_problem(F.col("s")).alias("problem"))
 
 
+_HEX = "('0x' || substr(h, 1 + 2 * i, 2))::INTEGER"
+
+
+@query(f"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN repeat('0', 64) ELSE sha256(text) END AS h FROM documents), s AS (SELECT doc_id, list_sum(list_transform(range(32), lambda i: {_HEX}))::DOUBLE / 32 / 255 AS share FROM b)
+  SELECT doc_id, round(share, 9) AS share, CASE WHEN share = 0 THEN 2 WHEN share BETWEEN 0.01 AND 0.6 THEN 0 ELSE 3 END AS status FROM s""")
+def ink_band(spark, sf):
+    """Bitmaps of 32 pixels: a text's digest, or none of it."""
+    bitmap = F.unhex(F.when(F.col("doc_id") % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2("text", 256)))
+    rows = _read(spark, sf, "documents").select("doc_id", raster.ink_share(bitmap).alias("share"))
+    return rows.select("doc_id", F.round("share", 9).alias("share"), raster.band_status(F.col("share")).alias("status"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(range(32), lambda i: ({_HEX} + 128) % 256 - 128), ',') AS codes FROM (SELECT doc_id, sha256(text) AS h FROM documents)""")
+def base64_codes(spark, sf):
+    blob = F.unbase64(F.base64(F.unhex(F.sha2("text", 256))))
+    return _read(spark, sf, "documents").select("doc_id", F.array_join(F.transform(files.int8_codes(blob), lambda c: c.cast("string")), ",").alias("codes"))
+
+
+def _drawn(spark, sf) -> DataFrame:
+    """A line through all points of each drawing."""
+    points = strokes.decode_stroke3(_strokes(spark, sf)).groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    return points.select("drawing_id", F.transform("p", lambda s: F.struct(s["x"].cast("double").alias("x"), s["y"].cast("double").alias("y"))).alias("p"))
+
+
+@query(f"""WITH {_STROKES}, f AS (SELECT drawing_id, list_reduce(list([x, y] ORDER BY seq), lambda a, p: CASE WHEN sqrt((p[1] - a[-2])**2 + (p[2] - a[-1])**2) >= 60 THEN a || p ELSE a END) AS a FROM p GROUP BY drawing_id)
+  SELECT drawing_id, (len(a) // 2)::INTEGER AS points, round(list_sum(a), 4) AS total FROM f""")
+def thin_points(spark, sf):
+    kept = _drawn(spark, sf).select("drawing_id", strokes.thin_points(F.col("p"), 60.0).alias("k"))
+    total = F.aggregate("k", F.lit(0.0), lambda s, p: s + p["x"] + p["y"])
+    return kept.select("drawing_id", F.size("k").alias("points"), F.round(total, 4).alias("total"))
+
+
+@query("""SELECT drawing_id, count(*) FILTER (b IS NULL OR b <> a)::INTEGER AS points FROM (SELECT user_id AS drawing_id, (floor(value / 40), event_id % 2) AS a, lag((floor(value / 40), event_id % 2)) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) GROUP BY drawing_id""")
+def without_repeats(spark, sf):
+    at = F.struct(F.col("event_id").alias("seq"), F.floor(F.col("value") / 40).alias("x"), (F.col("event_id") % 2).alias("y"))
+    rows = _read(spark, sf, "events").groupBy(F.col("user_id").alias("drawing_id")).agg(F.array_sort(F.collect_list(at)).alias("p"))
+    points = rows.select("drawing_id", F.transform("p", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("p"))
+    return points.select("drawing_id", F.size(strokes.without_repeats(F.col("p"))).alias("points"))
+
+
+@query("""WITH e AS (SELECT user_id AS drawing_id, event_type, event_id, value, (bool_and(event_id % 97 <> 0) OVER (PARTITION BY user_id)) AS whole FROM events)
+  SELECT drawing_id, event_type AS stroke, CASE WHEN whole THEN count(*) END AS points, CASE WHEN whole THEN round(sum(value + event_id % 10), 4) END AS total FROM e GROUP BY drawing_id, event_type, whole""")
+def quickdraw_strokes(spark, sf):
+    """A stroke for each type of event; a drawing whose coordinates don't all pair up is refused as a whole."""
+    y = F.when(F.col("event_id") % 97 != 0, (F.col("event_id") % 10).cast("double"))  # collect_list leaves nulls out
+    rows = _read(spark, sf, "events").groupBy(F.col("user_id").alias("drawing_id"), F.col("event_type").alias("stroke"))
+    rows = rows.agg(F.struct(F.collect_list("value").alias("x"), F.collect_list(y).alias("y")).alias("s"))
+    whole = rows.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("stroke", "s"))).alias("all"))
+    lines = whole.select("drawing_id", "all", strokes.quickdraw_polylines(F.transform("all", lambda a: a["s"])).alias("lines"))
+    each = lines.select("drawing_id", F.posexplode("all").alias("i", "a"), "lines").select("drawing_id", "a.stroke", F.get("lines", F.col("i")).alias("line"))
+    total = F.aggregate("line", F.lit(0.0), lambda s, p: s + p["x"] + p["y"])
+    return each.select("drawing_id", "stroke", F.when(F.col("line").isNotNull(), F.size("line").cast("long")).alias("points"), F.round(total, 4).alias("total"))
+
+
+def _number(x: str) -> str:
+    return f"regexp_replace(printf('%.4f', {x}), '\\.?0+$', '')"
+
+
+@query(f"""WITH l AS (SELECT user_id AS drawing_id, event_type AS stroke, list(event_id % 500 ORDER BY event_id) AS x, list((event_id * 7) % 300 ORDER BY event_id) AS y FROM events GROUP BY ALL),
+  e AS (SELECT drawing_id, stroke, CASE WHEN len(x) = 1 THEN '<circle cx="' || x[1] || '" cy="' || y[1] || '" r="1.25" fill="#1&amp;2"/>' ELSE '<path d="M ' || x[1] || ' ' || y[1] || ' '
+    || array_to_string(list_transform(range(1, len(x)), lambda i: 'Q ' || x[i] || ' ' || y[i] || ' ' || {_number("(x[i] + x[i + 1]) / 2.0::DOUBLE")} || ' ' || {_number("(y[i] + y[i + 1]) / 2.0::DOUBLE")}), ' ')
+    || ' L ' || x[-1] || ' ' || y[-1] || '" fill="none" stroke="#1&amp;2" stroke-width="2.5" stroke-linecap="round" stroke-linejoin="round"/>' END AS element FROM l)
+  SELECT drawing_id, '<svg xmlns="http://www.w3.org/2000/svg" width="500" height="300" viewBox="0 0 500 300">' || string_agg(element, '' ORDER BY stroke) || '</svg>' AS svg FROM e GROUP BY drawing_id""")
+def svg_export(spark, sf):
+    """A drawing of each user as one SVG document, a smoothed stroke for each type of event."""
+    at = F.struct(F.col("event_id").alias("seq"), (F.col("event_id") % 500).cast("double").alias("x"), (F.col("event_id") * 7 % 300).cast("double").alias("y"))
+    rows = _read(spark, sf, "events").groupBy(F.col("user_id").alias("drawing_id"), F.col("event_type").alias("seq")).agg(F.array_sort(F.collect_list(at)).alias("p"))
+    points = F.transform("p", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+    return files.svg_document(rows.select("drawing_id", "seq", strokes.stroke_element(points, F.lit("#1&2"), F.lit(2.5)).alias("element")), "drawing_id", 500, 300)
+
+
 @query()
 def stroke_rasters(spark, sf):
     lines = strokes.polylines(strokes.decode_stroke3(_strokes(spark, sf)))
@@ -564,17 +692,23 @@ def _svgs(spark, sf) -> DataFrame:
     return _read(spark, sf, "part").select(n.alias("id"), F.concat(F.lit("<svg>"), body, F.lit("</svg>")).alias("svg"))
 
 
-def _points(*xy: str) -> str:
-    """A polyline as JSON in SQL."""
-    return " || ',' || ".join("""'{"x":' || (%s)::DOUBLE || ',"y":' || (%s)::DOUBLE || '}'""" % tuple(p.split(";")) for p in xy)
+#: The circle's 24 steps: six for each quarter's cubic, turned by right angles.
+_CIRCLE = """c AS (SELECT list([x, y] ORDER BY turn, i) AS unit FROM (SELECT turn, i, CASE turn WHEN 0 THEN bx WHEN 1 THEN -by_ WHEN 2 THEN -bx ELSE by_ END AS x, CASE turn WHEN 0 THEN by_ WHEN 1 THEN bx WHEN 2 THEN -by_ ELSE -bx END AS y FROM (
+  SELECT turn, i, (1 - t)**3 + 3 * t * (1 - t)**2 + 3 * t * t * (1 - t) * k AS bx, 3 * t * (1 - t)**2 * k + 3 * t * t * (1 - t) + t**3 AS by_
+  FROM range(4) a(turn), (SELECT i, i / 6.0::DOUBLE AS t, 4.0::DOUBLE / 3 * tan(pi() / 8) AS k FROM range(1, 7) b(i)))))"""
 
 
-@query(f"""SELECT p_partkey AS id, CASE p_partkey % 6
-  WHEN 0 THEN '[[' || {_points("10;10", "p_size + 20;10", "p_size + 20;20", "10;20", "10;10")} || ']]' WHEN 1 THEN '[[' || {_points("5;5", "25 + p_size;5", "45 + 2 * p_size;5")} || ']]'
-  WHEN 2 THEN '[[' || {_points("p_size + 20;20", "p_size + 30;20")} || ']]' WHEN 4 THEN '[]' END AS polylines FROM part WHERE p_partkey % 6 <> 3""")
+@query(f"""WITH {_CIRCLE}, l AS (SELECT p_partkey AS id, CASE p_partkey % 6
+    WHEN 0 THEN [[10, 10], [p_size + 20, 10], [p_size + 20, 20], [10, 20], [10, 10]]::DOUBLE[][] WHEN 1 THEN [[5, 5], [25 + p_size, 5], [45 + 2 * p_size, 5]]::DOUBLE[][]
+    WHEN 2 THEN [[p_size + 20, 20], [p_size + 30, 20]]::DOUBLE[][] WHEN 3 THEN list_transform([[1, 0]::DOUBLE[]] || (SELECT unit FROM c), lambda u: [50 + (p_size + 20) * u[1], 50 + (p_size + 20) * u[2]]) END AS line FROM part)
+  SELECT id, true AS readable, 0 AS line, (n - 1)::INTEGER AS point, round(line[n][1], 4) + 0.0 AS x, round(line[n][2], 4) + 0.0 AS y FROM (SELECT id, line, unnest(range(1, len(line) + 1)) AS n FROM l WHERE line IS NOT NULL)
+  UNION ALL SELECT p_partkey, p_partkey % 6 = 4, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 6 IN (4, 5)""")
 def svg_polylines(spark, sf):
-    rows = _svgs(spark, sf).where("id % 6 <> 3")  # a circle's points are not for SQL
-    return rows.select("id", F.to_json(raster.polylines_of_svg(F.col("svg"))).alias("polylines"))
+    """The points of every document, and a row without one where nothing is drawn or the document can't be read."""
+    rows = _svgs(spark, sf).select("id", raster.polylines_of_svg(F.col("svg")).alias("p"))
+    lines = rows.select("id", F.col("p").isNotNull().alias("readable"), F.posexplode_outer("p").alias("line", "l"))
+    points = lines.select("id", "readable", "line", F.posexplode_outer("l").alias("point", "at"))
+    return points.select("id", "readable", "line", "point", *[(F.round(f"at.{c}", 4) + 0.0).alias(c) for c in "xy"])
 
 
 @query()
@@ -583,18 +717,25 @@ def svg_rasters(spark, sf):
     return rows.select("id", F.col("r.status").cast("int").alias("status"), F.sha2("r.bitmap", 256).alias("digest"))
 
 
+def block_encoder(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stand-in encoder: the mean ink of 8 x 8 blocks at length 1, the first ten of them for logits."""
+    v = images.reshape(-1, 8, 8, 8, 8).mean(axis=(2, 4)).reshape(len(images), 64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), v[:, :10]
+
+
 @query()
 def encoder_hook(spark, sf):
     bitmaps = strokes.polylines(strokes.decode_stroke3(_strokes(spark, sf))).select(F.col("drawing_id").alias("id"), raster.rasterize_polylines(F.col("polylines")).alias("bitmap"))
+    return encoder.encode(bitmaps, block_encoder).select("id", F.round(vectors.norm(F.col("embedding")), 3).alias("norm"))
 
-    def blocks(images):
-        """A stand-in encoder: the mean ink of 8 x 8 blocks at length 1."""
-        import numpy as np
 
-        v = images.reshape(-1, 8, 8, 8, 8).mean(axis=(2, 4)).reshape(len(images), 64)
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), v[:, :10]
-
-    return encoder.encode(bitmaps, blocks).select("id", F.round(vectors.norm(F.col("embedding")), 3).alias("norm"))
+@query()
+def drawing_predictions(spark, sf):
+    """Drawings to embeddings and ranked classes by a stand-in encoder; blank ones have neither."""
+    lines = strokes.polylines(strokes.decode_stroke3(_strokes(spark, sf)))
+    drawings = lines.select(F.col("drawing_id").alias("id"), F.when(F.col("drawing_id") % 9 != 0, F.col("polylines")).alias("polylines"))
+    out = encoder.embed_drawings(drawings, block_encoder)
+    return out.select("id", F.col("embedding").isNotNull().alias("embedded"), F.transform("predictions", lambda p: p["class_index"]).alias("classes"))
 
 
 # --- curation and suggestions
@@ -723,6 +864,27 @@ def planned_icons(spark, sf):
     return dataset.planned_icons(classes, candidates, digests)
 
 
+@query("""WITH c AS (SELECT DISTINCT source AS class FROM documents), r AS (SELECT CASE WHEN n_nationkey % 6 = 0 THEN 'nowhere' ELSE 'src' || (n_nationkey % 5) END AS class, CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE 'Brand#' || n_nationkey END AS value, CASE WHEN n_nationkey % 2 = 0 THEN 'preferred' ELSE 'alias' END AS kind FROM nation)
+  SELECT DISTINCT class AS subject, 'unknown class' AS problem FROM r WHERE class NOT IN (SELECT class FROM c) UNION SELECT class, 'empty value' FROM r WHERE value = ''
+  UNION SELECT value, 'unknown category' FROM r WHERE kind = 'preferred' AND value <> '' AND value NOT IN (SELECT p_brand FROM part) UNION SELECT 'Brand#x' || r_regionkey, 'unknown category' FROM region UNION SELECT 'Brand#x' || r_regionkey, 'penalty' FROM region WHERE r_regionkey < 3""")
+def rule_problems(spark, sf):
+    n, r = F.col("n_nationkey"), F.col("r_regionkey")
+    named = F.when(n % 6 == 0, F.lit("nowhere")).otherwise(F.concat(F.lit("src"), n % 5))
+    rules = _read(spark, sf, "nation").select(F.when(n % 2 == 0, F.lit("preferred")).otherwise(F.lit("alias")).alias("kind"), named.alias("class"), F.when(n % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("Brand#"), n)).alias("value"))
+    points = F.when(r == 0, F.lit(float("nan"))).when(r == 1, F.lit(float("-inf"))).when(r > 2, F.lit(-15.0))
+    penalties = _read(spark, sf, "region").select(F.concat(F.lit("Brand#x"), r).alias("category"), points.alias("points"))
+    return curation.rule_problems(rules, penalties, _manifest(spark, sf).select("class"), _read(spark, sf, "part").select(F.col("p_brand").alias("category")))
+
+
+@query(f"WITH {_DECIDED} SELECT class, candidate_id::VARCHAR AS candidate_id, decision, class LIKE '%1' AS reviewed FROM decided")
+def progress_round_trip(spark, sf):
+    """The decisions that come back out of the progress document, written as JSON."""
+    head = spark.createDataFrame([(COMMIT, "print")], "commit string, fingerprint string")
+    document = curation.progress_document(head, _decisions(spark, sf), _reviewed(spark, sf)).select(F.to_json(F.struct("*")).alias("j"))
+    _, rows, reviewed = curation.progress_tables(document.select(F.from_json("j", curation.PROGRESS_DOCUMENT).alias("d")).select("d.*"))
+    return rows.join(reviewed.withColumn("r", F.lit(True)), "class", "left").select("class", "candidate_id", "decision", F.coalesce("r", F.lit(False)).alias("reviewed"))
+
+
 @query("SELECT count(DISTINCT c) AS commits, count(DISTINCT c) = 1 AS agree FROM (SELECT n_regionkey AS c FROM nation WHERE n_regionkey < 2 UNION ALL SELECT r_regionkey FROM region WHERE r_regionkey < 2)")
 def same_commit(spark, sf):
     commits = [_read(spark, sf, t).select(F.col(c).cast("string").alias("commit")).where("commit < '2'") for t, c in (("nation", "n_regionkey"), ("region", "r_regionkey"))]

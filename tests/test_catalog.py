@@ -54,3 +54,20 @@ def test_fingerprint_ignores_row_order(spark):
     a = table_fingerprint(nation, "n_nationkey", "n_name").first()
     assert a == table_fingerprint(nation.orderBy("n_name", ascending=False).repartition(3), "n_nationkey", "n_name").first()
     assert a != table_fingerprint(nation.where("n_nationkey > 0"), "n_nationkey", "n_name").first()
+
+
+def test_drawings_to_ranked_classes(spark):
+    import numpy as np
+
+    from inkfold.functions import raster, strokes
+
+    lines = strokes.polylines(strokes.decode_stroke3(catalog._strokes(spark, SF))).collect()
+    got = {r.id: r for r in catalog.QUERIES["drawing_predictions"](spark, SF).collect()}
+    assert len(got) == len(lines)
+    for r in lines:
+        if r.drawing_id % 9 == 0:
+            assert not got[r.drawing_id].embedded and got[r.drawing_id].classes == []
+            continue
+        bitmap = raster.rasterize([[(p.x, p.y) for p in line] for line in r.polylines])
+        logits = catalog.block_encoder(np.frombuffer(bitmap, np.uint8).reshape(1, 64, 64) / 255.0)[1][0].astype(np.float32)
+        assert got[r.drawing_id].embedded and got[r.drawing_id].classes == sorted(range(10), key=lambda i: (-logits[i], i))[:5]

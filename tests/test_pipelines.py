@@ -162,3 +162,36 @@ def test_streams(spark, tmp_path):
     assert state == {("cat", 1): None, ("dog", 2): "accepted"}
     events = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (1, "2024-01-01 00:16:00")], "u int, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.events for r in folds.debounced(events, "u", "t", "10 minutes").collect()) == [1, 2]
+
+
+def test_progress_document_round_trip(spark, tmp_path):
+    manifest = spark.createDataFrame([("a", 1), ("a", 2), ("The b", 1)], "class string, candidate_id long")
+    head = spark.createDataFrame([("c" * 40, "print")], "commit string, fingerprint string")
+    decided = spark.createDataFrame([("a", 2, "accepted"), ("The b", 1, "rejected"), ("a", 1, "rejected")], "class string, candidate_id long, decision string")
+    reviewed = spark.createDataFrame([("The b",), ("a",)], "class string")
+    path = str(tmp_path / "progress")
+    curation.progress_document(head, decided, reviewed).coalesce(1).write.json(path)
+    document = spark.read.schema(curation.PROGRESS_DOCUMENT).json(path)
+    assert document.first().reviewedClasses == ["a", "The b"]  # as people sort
+    back = curation.progress_tables(document)
+    assert sorted(map(tuple, back[1].collect())) == [("The b", "1", "rejected"), ("a", "1", "rejected"), ("a", "2", "accepted")]
+    classes = manifest.select("class")
+    assert curation.state_problems(*back, head, manifest, classes).count() == 0
+    other = head.withColumn("commit", F.lit("d" * 40))
+    assert [r.problem for r in curation.state_problems(*back, other, manifest, classes).collect()] == ["commit"]
+    none = curation.progress_document(head, decided.limit(0), reviewed.limit(0))
+    assert [t.count() for t in curation.progress_tables(none)] == [1, 0, 0] and none.first().decisions == {}
+
+
+def test_rule_problems(spark):
+    rules = spark.createDataFrame([("alias", "a", "x"), ("preferred", "a", "Food"), ("preferred", "zz", "Fod"), ("excluded", "a", None)], "kind string, class string, value string")
+    penalties = spark.createDataFrame([("Food", 1.0), ("Fud", float("inf")), ("UI", None)], "category string, points double")
+    out = curation.rule_problems(rules, penalties, spark.createDataFrame([("a",)], "class string"), spark.createDataFrame([("Food",), ("UI",)], "category string"))
+    assert sorted(map(tuple, out.collect())) == [("Fod", "unknown category"), ("Fud", "penalty"), ("Fud", "unknown category"), ("UI", "penalty"), ("a", "empty value"), ("zz", "unknown class")]
+
+
+def test_only_blobs_that_are_there(spark):
+    icons = spark.createDataFrame([(1, "p"), (2, "p"), (3, "p"), (4, "q"), (5, "p")], "icon_id long, pack string")
+    digests = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b"), (9, "c")], "icon_id long, digest string")
+    out = dedup.available(icons, digests, "pack").select("icon_id", "digest", "place")
+    assert sorted(map(tuple, out.collect())) == [(1, "b", 1), (3, "a", 0), (4, "b", 0)]
