@@ -9,11 +9,14 @@ import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from inkfold.llm import queries
 
 from ..oracle import compare
 from . import brute
+from .test_cases import EXTRA, ROWS, SCHEMA
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,3 +138,28 @@ def test_pipeline_equals_its_stages(spark):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "decontamination", "mixing", "sharding"]
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through all stages; then no rows at all."""
+    rare = [(20, "x" * 200_000 + " and a word", "en", "a", 1), (21, None, "en", None, None), (2**62, " ".join(f"w{i}" for i in range(40)), None, None, None)]
+    docs = spark.createDataFrame(ROWS + rare, SCHEMA).withColumns({c: F.lit("clash") for c in EXTRA})
+    items = spark.createDataFrame([(1, "no document has these eight words of a benchmark question"), (2, None), (None, "")], "item_id long, text string")
+    docs.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "some" / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    assert {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} <= {c.lower() for c in out.columns}
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    rows = out.select("doc_id", "text", "source", "pii ents", "slot", "shard").collect()
+    texts = collections.defaultdict(set)
+    for i, t, *_ in ROWS + rare:
+        texts[i].add(t)
+    assert all(r.text in texts[r.doc_id] and r["pii ents"] == "clash" and 0 <= r.shard < 8 for r in rows)
+    # rejected: short texts, one of repeated words; near copies and repeated rows are one
+    good = [(i, t) for i, t, *_ in ROWS + rare if not brute.base_failed(t)]
+    assert {r.doc_id for r in rows} <= {i for i, _ in good} and not {1, 8, 20, 21} & {r.doc_id for r in rows}
+    copies = collections.Counter(r.doc_id for r in rows)
+    assert 0 < max(n for i, n in copies.items() if i is not None) <= 2
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(str(tmp_path / "some" / f"{name}.parquet")).where("false").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
