@@ -44,6 +44,8 @@ SHINGLE = 5
 COLLECTIONS, WIDTH = 16, 2
 LEADERS = 3
 BLOCK_ITEMS = 400_000
+#: Keys (of 13 bytes) that meet in one bucket; the number of buckets follows the classes.
+BUCKET_KEYS = 20_000_000
 #: A pair goes on to confirmation if so many of the 32 minhashes agree; at 0.75, 24 do on average.
 LEAST_AGREEING = 12
 #: The bit of a score, of 32 at most, that says that a batch kept rows of the key back.
@@ -378,8 +380,8 @@ def told_apart(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), n_shingles, component_id, kept."""
-    buckets = buckets or max(32, 2 * partitions(docs.sparkSession))
     marked, classes = told_apart(stored(signed(docs)))
+    buckets = buckets or max(32, 2 * partitions(docs.sparkSession), -(-classes.count() * len(_I) // BUCKET_KEYS))
     nodes = marked.where(F.col("doc_id").isNotNull() & F.col("f1").isNotNull())
     proposed = stored(_agreeing(candidates(classes, buckets), classes))
     alike = proposed.where(F.col("agree") >= LEAST_AGREEING)
