@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, kneser_ney, mixing, near_dup, pii_surrogates, sharding, substring_dedup, toxicity, url_filter
+from . import decontamination, host_rules, kneser_ney, merkle, mixing, near_dup, pii_surrogates, resampling, sharding, simhash, substring_dedup, toxicity, url_filter
 from .common import read, settled, stored
 from .sql import SQL  # noqa: F401
 
@@ -74,6 +74,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(lambda: url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES), spark)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = merkle.row_leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"text": lowered}, tampered)
+    found = settled(lambda: merkle.proofs(leaves), spark)
+    return found.withColumnRenamed("key", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = settled(lambda: simhash.near_duplicates(read(spark, sf_dir, "documents")), spark)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = settled(lambda: resampling.drawn(resampling.weighed(docs, benchmark)), spark)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_mixing": op2_mixing,
@@ -85,4 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle": op11_merkle,
+    "op12_simhash": op12_simhash,
+    "op13_resampling": op13_resampling,
 }

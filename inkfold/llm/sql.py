@@ -45,9 +45,60 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (rn)
 """
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The table of CRC-32 as a CTE, and the checksum of a text's UTF-8 bytes with it.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen({0})), lambda i: ('0x' || substr(hex({0}), (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295)"
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rn, doc_id, lang, {_LEAF.format(_FIELD.format('text'))} AS leaf,
+  CASE WHEN {_CRC.format('doc_id::VARCHAR')} % 3 = 0 THEN {_LEAF.format(_FIELD.format(_LOWER.format('text')))} END AS other FROM documents, crc),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+lv(lang, k, hs) AS (SELECT lang, 0, list(leaf ORDER BY p) FROM o GROUP BY lang
+  UNION ALL SELECT lang, k + 1, list_transform(range(0, len(hs), 8), lambda i: sha256(array_to_string(hs[i + 1:i + 8], ''))) FROM lv WHERE len(hs) > 1),
+sub AS (SELECT lang, k AS height, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM lv WHERE len(hs) = 1),
+up(k, hs) AS (SELECT 0, list(subroot ORDER BY g) FROM sub
+  UNION ALL SELECT k + 1, list_transform(range(0, len(hs), 8), lambda i: sha256(array_to_string(hs[i + 1:i + 8], ''))) FROM up WHERE len(hs) > 1),
+at AS (SELECT rn, k AS s, hs, (p // pow(8, k)::BIGINT) AS p FROM o JOIN lv ON o.lang IS NOT DISTINCT FROM lv.lang WHERE len(hs) > 1
+  UNION ALL SELECT rn, height + k, hs, (g // pow(8, k)::BIGINT) FROM o JOIN sub ON o.lang IS NOT DISTINCT FROM sub.lang, up WHERE len(hs) > 1),
+path AS (SELECT rn, s, p % 8 AS slot, hs[p - p % 8 + 1:p - p % 8 + 8] AS run FROM at),
+proof AS (SELECT rn, string_agg(array_to_string(run[1:slot], '') || array_to_string(run[slot + 2:8], ''), '' ORDER BY s) AS siblings FROM path GROUP BY rn),
+fold(rn, s, h) AS (SELECT rn, 0::BIGINT, coalesce(other, leaf) FROM o
+  UNION ALL SELECT f.rn, f.s + 1, sha256(array_to_string(run[1:slot], '') || h || array_to_string(run[slot + 2:8], '')) FROM fold f JOIN path USING (rn, s)),
+folded AS (SELECT rn, arg_max(h, s) AS folded_root FROM fold GROUP BY rn)
+SELECT doc_id, leaf, subroot, (SELECT hs[1] FROM up WHERE len(hs) = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root,
+  folded_root = (SELECT hs[1] FROM up WHERE len(hs) = 1) AS verified
+FROM o JOIN sub ON o.lang IS NOT DISTINCT FROM sub.lang JOIN folded USING (rn) LEFT JOIN proof USING (rn)
+"""
+
+_FEATURES = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+RESAMPLING = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rn, doc_id, {_FEATURES} AS w FROM documents),
+x AS (SELECT rn, unnest(w) AS word FROM d),
+y AS (SELECT unnest({_FEATURES}) AS word FROM benchmark),
+words AS (SELECT word, {_CRC.format('word')} % 10000 AS bucket FROM (SELECT word FROM x UNION SELECT word FROM y), crc),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN words USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM y JOIN words USING (word) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM x)::DOUBLE AS all_s, (SELECT count(*) FROM y)::DOUBLE AS all_t),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (all_s + 10000) / ((s::DOUBLE + 1) * (all_t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), total),
+sums AS (SELECT rn, sum(gain)::DOUBLE AS total FROM x JOIN words USING (word) JOIN gain USING (bucket) GROUP BY rn),
+scored AS (SELECT rn, doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) > 0 THEN floor(total / len(w))::BIGINT ELSE 0 END AS weight,
+  floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM d LEFT JOIN sums USING (rn)),
+ranked AS (SELECT *, weight + noise AS score, n_features >= 20 AS fit FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place FROM ranked)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * (SELECT count(*) FROM ranked WHERE fit) // 100 THEN place END AS rank FROM placed
+"""
+
 SQL = {
     "op1_near_dup": NEAR_DUP,
     "op2_mixing": mixing.SQL,
     "op7_host_rules": HOST_RULES,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op11_merkle": MERKLE,
+    "op13_resampling": RESAMPLING,
 }
