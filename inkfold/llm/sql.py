@@ -62,9 +62,9 @@ lv(lang, k, hs) AS (SELECT lang, 0, list(leaf ORDER BY p) FROM o GROUP BY lang
 sub AS (SELECT lang, k AS height, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM lv WHERE len(hs) = 1),
 up(k, hs) AS (SELECT 0, list(subroot ORDER BY g) FROM sub
   UNION ALL SELECT k + 1, list_transform(range(0, len(hs), 8), lambda i: sha256(array_to_string(hs[i + 1:i + 8], ''))) FROM up WHERE len(hs) > 1),
-at AS (SELECT rn, k AS s, hs, (p // pow(8, k)::BIGINT) AS p FROM o JOIN lv ON o.lang IS NOT DISTINCT FROM lv.lang WHERE len(hs) > 1
+steps AS (SELECT rn, k AS s, hs, (p // pow(8, k)::BIGINT) AS p FROM o JOIN lv ON o.lang IS NOT DISTINCT FROM lv.lang WHERE len(hs) > 1
   UNION ALL SELECT rn, height + k, hs, (g // pow(8, k)::BIGINT) FROM o JOIN sub ON o.lang IS NOT DISTINCT FROM sub.lang, up WHERE len(hs) > 1),
-path AS (SELECT rn, s, p % 8 AS slot, hs[p - p % 8 + 1:p - p % 8 + 8] AS run FROM at),
+path AS (SELECT rn, s, p % 8 AS slot, hs[p - p % 8 + 1:p - p % 8 + 8] AS run FROM steps),
 proof AS (SELECT rn, string_agg(array_to_string(run[1:slot], '') || array_to_string(run[slot + 2:8], ''), '' ORDER BY s) AS siblings FROM path GROUP BY rn),
 fold(rn, s, h) AS (SELECT rn, 0::BIGINT, coalesce(other, leaf) FROM o
   UNION ALL SELECT f.rn, f.s + 1, sha256(array_to_string(run[1:slot], '') || h || array_to_string(run[slot + 2:8], '')) FROM fold f JOIN path USING (rn, s)),
