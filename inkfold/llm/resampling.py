@@ -6,10 +6,10 @@ is the mean gain of its features, and the highest weights with Gumbel noise are
 
 Dictionary. A pack of a few MB of texts is cut into words once. It stores its texts as numbers of its own words, and each
 of its distinct words once with its count, so a frequent word is a row per pack and not one per occurrence, and no word
-has more than one row in the thousands that a pack sends. Distinct words get a number in the whole corpus. A run of words
-is a tuple of these numbers: a pack sends each distinct tuple once with its count. Each distinct tuple of the corpus is
-spelled out from the dictionary and hashed once; its bucket's gain is joined back to the packs that have it, where a
-text's gains are added up by position. Runs of one word skip nothing: their tuples have one number.
+has more than one row in the thousands that a pack sends. Where a word's rows meet it gets its number in the whole corpus.
+A run of words is a tuple of these numbers: a pack sends each distinct tuple once with its count. Each distinct tuple is
+spelled out from the dictionary and hashed once (a tuple of one number where the word got it, so the rows of single words
+are shuffled once); the gain of its bucket goes back to the packs that have it, where a text's gains are added up.
 
 The draw numbers the candidates by a range sort; no task sees all of them, and no text is shuffled or read twice.
 
@@ -26,9 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
@@ -37,7 +37,7 @@ from .kernels import sums
 
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, "2024", 20, 10
 #: Bytes of text in a pack, if no single text is longer.
-PACK = 8 << 20
+PACK = 16 << 20
 
 #: Bytes between words, once A-Z are lower-cased: all of ASCII but letters and digits.
 _BETWEEN = np.zeros(256, dtype=bool)
@@ -67,17 +67,27 @@ def packs(docs: DataFrame, side: int, size: int = PACK) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = TaskContext.get().partitionId() << 32
+        ids: list = []
+        texts: list[bytes] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            counts, words, numbers = cut(texts)
+            times = np.bincount(numbers, minlength=len(words))
+            body = pa.compress(numbers.astype("<i4").tobytes(), "zstd", asbytes=True)
+            values = (side, done, ids, counts.tolist(), body, words.to_pylist(), times.tolist())
+            return pa.RecordBatch.from_pylist([dict(zip(_PACK.names, values))], schema=_PACK)
+
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
-                counts, words, numbers = cut([t.as_py() or b"" for t in texts[lo:hi]])
-                times = np.bincount(numbers, minlength=len(words))
-                values = (side, done, ids[lo:hi].to_pylist(), counts.tolist(), numbers.astype("<i4").tobytes(), words.to_pylist(), times.tolist())
-                yield pa.RecordBatch.from_pylist([dict(zip(_PACK.names, values))], schema=_PACK)
-                lo, done = hi, done + 1
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                raw = text.as_py() or b""
+                if texts and held + len(raw) > size:
+                    yield packed()
+                    ids, texts, held, done = [], [], 0, done + 1
+                ids.append(i), texts.append(raw)
+                held += len(raw)
+        if texts:
+            yield packed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, PACKS)
 
@@ -92,7 +102,24 @@ def _tuples(numbers: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarra
 
 
 def _pack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(table.column("ids")[0].as_py(), "<i4"), np.array(table.column("lengths")[0].as_py(), np.int64)
+    lengths = np.array(table.column("lengths")[0].as_py(), np.int64)
+    return np.frombuffer(pa.decompress(table.column("ids")[0].as_py(), int(4 * lengths.sum()), "zstd"), "<i4"), lengths
+
+
+def _bucket(feature: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(feature), F.lit(buckets)).cast("int")
+
+
+def numbered_words(words: DataFrame, buckets: int) -> DataFrame:
+    """``words`` (side, pack, at, word, times) with the word's number in the corpus and its bucket; the word itself on one of its rows.
+
+    The rows of a word meet once, in a sorted stream: its first row gives the number and is the only one that is hashed.
+    """
+    same = W.partitionBy("word")
+    rows = words.withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(same))
+    first = F.col("row") == F.col("id")
+    rows = rows.withColumn("bucket", F.max(F.when(first, _bucket(F.col("word"), buckets))).over(same))
+    return rows.select("side", "pack", "at", "times", "id", "bucket", F.when(first, F.col("word")).alias("word"))
 
 
 def longer_runs(packed: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -140,19 +167,15 @@ def weighed(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCKE
     aim = packs(target.select(F.lit(None).cast("long").alias("doc_id"), name("text").alias("text")), 1, pack)
     packed = stored(raw.unionByName(aim))
     words = packed.select("side", "pack", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("side", "pack", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    dictionary = stored(words.select("word").distinct().withColumn("id", F.monotonically_increasing_id()))
-    ids = words.join(dictionary, "word").select("side", "pack", "at", "id", "times")
-    runs = stored(ids.select("side", "pack", "at", F.array("id").alias("tuple"), "times"))
+    runs = stored(numbered_words(words, buckets))
     if n > 1:
-        ids = runs.select("side", "pack", "at", F.col("tuple")[0].alias("id"))
-        runs = stored(runs.unionByName(longer_runs(packed, ids, n)))
+        longer = stored(longer_runs(packed, runs.select("side", "pack", "at", "id"), n))
+        tuples = spelled(longer.select("tuple").distinct(), runs.where("word is not null").select("id", "word"))
+        hashed = tuples.select("tuple", _bucket(F.col("feature").cast("binary"), buckets).alias("bucket"))
+        runs = stored(runs.select("side", "pack", "at", "times", "bucket").unionByName(longer.join(hashed, "tuple").select("side", "pack", "at", "times", "bucket")))
     of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("times"))), F.lit(0))
-    counted = stored(runs.groupBy("tuple").agg(of(0).alias("s"), of(1).alias("t")))
-    bucket = F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(buckets))
-    known = stored(counted.join(spelled(counted.select("tuple"), dictionary), "tuple").select("tuple", bucket.alias("bucket"), "s", "t"))
-    table = gains(known.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), buckets)
-    by_tuple = known.join(F.broadcast(table), "bucket").select("tuple", "gain")  # at most a row for each bucket
-    back = runs.where("side = 0").join(by_tuple, "tuple").select("pack", "at", "gain")
+    table = gains(runs.groupBy("bucket").agg(of(0).alias("s"), of(1).alias("t")), buckets)
+    back = runs.where("side = 0").join(F.broadcast(table), "bucket").select("pack", "at", F.col("gain").cast("int").alias("gain"))  # a row for each bucket
 
     def added(texts: pa.Table, found: pa.Table) -> pa.Table:
         numbers, lengths = _pack(texts)
