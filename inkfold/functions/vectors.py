@@ -18,18 +18,22 @@ def is_unit(v: Column, tolerance: float = 1e-3) -> Column:
     return F.abs(norm(v) - 1) <= tolerance
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once and not for every element that ``use`` compares it with."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalize(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return once(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def quantize(v: Column) -> Column:
     """struct(codes array<tinyint>, scale float): the largest magnitude becomes 127, in 32-bit steps, halves to even."""
     peak = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    scale = F.when(peak > 0, (peak / F.lit(127.0)).cast("float")).otherwise(F.lit(1.0).cast("float"))
-    codes = F.transform(v, lambda x: F.greatest(F.least(F.rint((x / scale).cast("float").cast("double")), F.lit(127.0)), F.lit(-127.0)).cast("tinyint"))
-    return F.struct(codes.alias("codes"), scale.alias("scale"))
+    step = F.when(peak > 0, (peak / F.lit(127.0)).cast("float")).otherwise(F.lit(1.0).cast("float"))
+    code = lambda x, scale: F.greatest(F.least(F.rint((x / scale).cast("float").cast("double")), F.lit(127.0)), F.lit(-127.0)).cast("tinyint")
+    return once(step, lambda scale: F.struct(F.transform(v, lambda x: code(x, scale)).alias("codes"), scale.alias("scale")))
 
 
 def scaled_dot(codes: Column, scale: Column, q: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .numbering import numbered
 
 #: The scoring rules.
 BASE_NAME, BASE_ALIAS, PER_TOKEN, ALIAS_START, ALIAS_STEP, EXACT, PREFERRED, PER_CLASS = 100, 50, 10, 40, 10, 20, 30, 12
@@ -32,9 +33,9 @@ def corpus_counts(icons: DataFrame) -> DataFrame:
 
 
 def dictionary(rows: DataFrame, value: str, seq: str) -> DataFrame:
-    """(value, id): ids from 0 in the order in which values first appear; the window has a row per value."""
+    """(value, id): ids from 0 in the order in which values first appear, by ranges, so no task has all values."""
     first = rows.groupBy(value).agg(F.min(seq).alias("first"))
-    return first.select(value, (F.row_number().over(W.orderBy("first", value)) - 1).alias("id"))
+    return numbered(first, ["first", value], "id").select(value, "id")
 
 
 def match_phrases(phrases: DataFrame, index: DataFrame) -> DataFrame:

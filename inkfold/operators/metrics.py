@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .retrieval import paired
+from . import blocked
+from .retrieval import top_k
 
 
 def ranked(logits: str = "logits"):
@@ -69,8 +69,7 @@ def nearest_first(queries: DataFrame, items: DataFrame, k: int, own: bool = True
 
     Where the queries are items themselves, ``own`` False leaves each one's own row out of its ranking.
     """
-    pairs = paired(items.select("item_id", F.col("label").alias("item_label"), F.col("v").alias("iv")), queries, "qid")
-    pairs = pairs if own else pairs.where(F.col("qid") != F.col("item_id"))
-    scored = pairs.select("qid", "item_id", vectors.dot(F.col("v"), F.col("iv")).alias("score"), (F.col("label") == F.col("item_label")).alias("label_match"))
-    order = W.partitionBy("qid").orderBy(F.desc("score"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    table = items.select("item_id", F.col("label").alias("item_label"), F.col("v").alias("embedding"))
+    near = blocked.top_k(queries.select("qid", F.col("v").alias("embedding")), table, k if own else k + 1, item="item_id")
+    near = top_k(near if own else near.where(F.col("qid") != F.col("item_id")), k, item="item_id")
+    return near.join(queries.select("qid", "label"), "qid").select("qid", "item_id", (F.col("label") == F.col("item_label")).alias("label_match"), "rank")

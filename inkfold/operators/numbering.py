@@ -37,13 +37,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read again; it goes when the driver's Python exits."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The table, written to the shared folder (with a folder for each value of ``by``) and read again; it goes when the driver's Python exits."""
     spark = df.sparkSession
     path = f"{_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.repartition(by).sortWithinPartitions(by).write.partitionBy(by) if by else df.write
+    out.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _dealt(rows: DataFrame, order: list[Column | str], store: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from . import blocked
+from .numbering import written
 
 LIMIT, PROBES, LEXICAL_WEIGHT = 12, 16, 0.25
 #: Up to so many rows a side goes to all executors.
@@ -35,10 +40,8 @@ def probe(queries: DataFrame, centroids: DataFrame, probes: int = PROBES) -> Dat
 
     ``queries`` has qid and embedding, ``centroids`` shard, codes, scale and count: a small fixed table per index.
     """
-    scored = paired(queries.select("qid", "embedding"), centroids, "shard")
-    scored = scored.withColumn("probe_score", vectors.scaled_dot(F.col("codes"), F.col("scale"), F.col("embedding")))
-    best = W.partitionBy("qid").orderBy(F.desc("probe_score"), "shard")
-    return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= probes).where(F.col("count") > 0).select("qid", "shard", "probe_score")
+    best = top_k(blocked.top_k(queries, centroids.select("shard", "codes", "scale", "count"), probes, item="shard"), probes, item="shard")
+    return best.where(F.col("count") > 0).select("qid", "shard", F.col("score").alias("probe_score"))
 
 
 def prior(predictions: Column, aux_class: Column, name_tokens: Column) -> Column:
@@ -58,9 +61,11 @@ def top_k(scored: DataFrame, limit: int | None = LIMIT, key: str = "qid", item:
 
 
 def exhaustive(queries: DataFrame, items: DataFrame, limit: int | None = LIMIT) -> DataFrame:
-    """(qid, icon_id, score, rank) over all vectors; a stated set of queries, so it is the side that is broadcast."""
+    """(qid, icon_id, score, rank) over all vectors, for a stated set of queries; all of them for no limit."""
+    if limit is not None:
+        return top_k(blocked.top_k(queries, items.select("icon_id", "embedding"), limit), limit).select("qid", "icon_id", "score", "rank")
     pairs = paired(items.select("icon_id", F.col("embedding").alias("item")), queries.select("qid", "embedding"), "qid")
-    return top_k(pairs.select("qid", "icon_id", vectors.dot(F.col("item"), F.col("embedding")).alias("score")), limit)
+    return top_k(pairs.select("qid", "icon_id", vectors.dot(F.col("item"), F.col("embedding")).alias("score")), None)
 
 
 def described(hits: DataFrame, classes: DataFrame, slug: str | None = None, commit: str | None = None) -> DataFrame:
@@ -82,21 +87,84 @@ def retrieve(queries: DataFrame, vectors_by_shard: DataFrame, centroids: DataFra
     """
     if limit is not None and limit < 1 or probes is not None and probes < 1 or not 0 <= lexical_weight <= 1:
         raise ValueError("limit and probes must be positive, the weight between 0 and 1")
-    if probes is None or centroids is None:
+    weight = lexical_weight if "predictions" in queries.columns else 0.0
+    chosen = None if probes is None or centroids is None else probe(queries, centroids, probes).select("qid", "shard")
+    if limit is None:
+        return _full_ranking(queries, vectors_by_shard, chosen, weight)
+    return top_k(_candidates(queries, vectors_by_shard, chosen, weight, limit), limit)
+
+
+def _candidates(queries: DataFrame, vectors_by_shard: DataFrame, chosen: DataFrame | None, weight: float, limit: int) -> DataFrame:
+    """Each task's best of every query, over the chosen (qid, shard) or over all shards; only chosen shards are read."""
+    items = vectors_by_shard if chosen is None else vectors_by_shard.join(bounded(chosen.select("shard").distinct()), "shard", "left_semi")
+    if weight > 0:
+        items = items.withColumn("name_tokens", text.tokenize(text.path_parts(F.col("path"))["name"]))
+    return blocked.top_k(queries, items, limit, weight, chosen=chosen).drop("name_tokens")
+
+
+def _full_ranking(queries: DataFrame, vectors_by_shard: DataFrame, chosen: DataFrame | None, weight: float) -> DataFrame:
+    """Every pair of a query and a vector of its shards, ranked: as many rows as there are pairs."""
+    if chosen is None:
         pairs = paired(vectors_by_shard, queries, "qid")
     else:
-        chosen = probe(queries, centroids, probes).select("qid", "shard").join(queries, "qid")
-        pairs = vectors_by_shard.join(bounded(chosen), "shard")
+        pairs = vectors_by_shard.join(bounded(chosen.join(queries, "qid")), "shard")
     pairs = pairs.withColumn("cosine", vectors.scaled_dot(F.col("codes"), F.col("scale"), F.col("embedding")))
-    if lexical_weight > 0 and "predictions" in queries.columns:
+    if weight > 0:
         lexical = prior(F.col("predictions"), F.col("aux_class"), text.tokenize(text.path_parts(F.col("path"))["name"]))
-        pairs = pairs.withColumn("prior", F.coalesce(lexical, F.lit(0.0)))
-        probability = F.coalesce(F.aggregate("predictions", F.lit(0.0), lambda p, x: F.when(x["class_index"] == F.col("aux_class"), x["probability"]).otherwise(p)), F.lit(0.0))
-        pairs = pairs.withColumn("probability", probability)
+        own = F.aggregate("predictions", F.lit(0.0), lambda p, x: F.when(x["class_index"] == F.col("aux_class"), x["probability"]).otherwise(p))
+        pairs = pairs.withColumn("prior", F.coalesce(lexical, F.lit(0.0))).withColumn("probability", F.coalesce(own, F.lit(0.0)))
     else:
         pairs = pairs.withColumn("prior", F.lit(0.0)).withColumn("probability", F.lit(0.0))
-    pairs = pairs.withColumn("score", hybrid_score(F.col("cosine"), F.col("prior"), lexical_weight if "predictions" in queries.columns else 0.0))
-    return top_k(pairs.drop("codes", "scale", "embedding", "predictions"), limit)
+    pairs = pairs.withColumn("score", hybrid_score(F.col("cosine"), F.col("prior"), weight))
+    return top_k(pairs.drop("codes", "scale", "embedding", "predictions"), None)
+
+
+def _reachable(centroids: DataFrame, weight: float):
+    """For mapInArrow over (qid, embedding, highest, cutoff): (qid, shard) of the shards that may hold a better vector.
+
+    No vector of a shard is closer to the query, by angle, than the centroid's angle less the shard's radius.
+    """
+    rows = [r for r in centroids.orderBy("shard").collect() if r["count"] > 0]  # the index's small fixed table
+    shards = np.array([r["shard"] for r in rows], np.int32)
+    directions = np.array([[c * r["scale"] for c in r["codes"]] for r in rows], np.float64)
+    lengths = np.linalg.norm(directions, axis=1) if rows else np.empty(0)
+    radius, shortest, longest = (np.array([r[c] for r in rows], np.float64) for c in ("radius", "shortest", "longest"))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not rows:
+                continue
+            q = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+            norm = np.linalg.norm(q, axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                angle = np.arccos(np.clip(np.nan_to_num(q @ directions.T / (norm[:, None] * lengths), nan=1.0), -1, 1))
+            cosine = np.cos(np.maximum(angle - radius - 1e-7, 0))
+            bound = norm[:, None] * np.where(cosine >= 0, longest, shortest) * cosine
+            highest, cutoff = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("highest", "cutoff"))
+            at, shard = np.nonzero((1 - weight) * bound + weight * highest[:, None] + 1e-6 * (1 + norm[:, None]) >= cutoff[:, None])
+            yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(at)), pa.array(shards[shard])], names=["qid", "shard"])
+
+    return reach
+
+
+def retrieve_exact(queries: DataFrame, vectors_by_shard: DataFrame, centroids: DataFrame, limit: int = LIMIT, probes: int = 1, lexical_weight: float = LEXICAL_WEIGHT) -> tuple[DataFrame, DataFrame]:
+    """The top-k that all shards together have, from the shards that can hold it; and (qid, shard), those that were read.
+
+    The first ``probes`` shards of a query give a score that its answer must reach; of the others only those are read whose
+    bound (see clustering.with_bounds) reaches it. The answer is exact for every query, however little that prunes.
+    """
+    if limit < 1 or probes < 1 or not 0 <= lexical_weight <= 1:
+        raise ValueError("limit and probes must be positive, the weight between 0 and 1")
+    weight = lexical_weight if "predictions" in queries.columns else 0.0
+    near = written(probe(queries, centroids, probes).select("qid", "shard"))
+    first = written(top_k(_candidates(queries, vectors_by_shard, near, weight, limit), limit).drop("rank"))
+    cutoff = first.groupBy("qid").agg(F.when(F.count("*") == limit, F.min("score")).alias("cutoff"))
+    highest = F.coalesce(F.array_max(F.transform("predictions", lambda x: x["probability"])), F.lit(0.0)) if weight > 0 else F.lit(0.0)
+    asked = queries.where(F.col("embedding").isNotNull()).join(cutoff, "qid", "left").select("qid", "embedding", F.greatest(highest, F.lit(0.0)).alias("highest"), F.coalesce("cutoff", F.lit(float("-inf"))).alias("cutoff"))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, shard int"
+    more = written(asked.mapInArrow(_reachable(centroids, weight), kinds).join(near, ["qid", "shard"], "left_anti"))
+    second = _candidates(queries, vectors_by_shard, more, weight, limit)
+    return top_k(first.unionByName(second.select(*first.columns)), limit), near.unionByName(more)
 
 
 def scan_set(probed: DataFrame, resident: DataFrame) -> DataFrame:

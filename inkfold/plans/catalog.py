@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import raster, strokes, text, vectors
-from ..operators import clustering, curation, dataset, dedup, encoder, lexical, metrics, retrieval
+from ..operators import clustering, curation, dataset, dedup, encoder, lexical, metrics, numbering, retrieval
 from ..sources import files
 from ..streaming import folds
 
@@ -114,6 +114,66 @@ def ivf_retrieve(spark, sf):
     return out.select("qid", "icon_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _stored_index(items: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The index that build_index makes, with its small table of centroids stored as well."""
+    icons = items.select("icon_id", F.lit("a/b.svg").alias("path"), F.lit(1).alias("duplicates"), F.lit(0).alias("aux_class"), "embedding")
+    stored, centers = clustering.build_index(icons, k=k, iterations=10)
+    return stored, numbering.written(centers)
+
+
+def _letters(spark, sf) -> DataFrame:
+    """A vector for each document: how often it has each letter, at length 1; documents without letters have none."""
+    count = lambda low, c: (F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double")
+    counts = vectors.once(F.lower(F.coalesce("text", F.lit(""))), lambda low: F.array(*[count(low, c) for c in _ALPHABET]))
+    rows = _read(spark, sf, "documents").select(F.col("doc_id").alias("icon_id"), counts.alias("n")).where(vectors.norm(F.col("n")) > 0)
+    # every pass of the fit reads it
+    return numbering.written(rows.select("icon_id", F.transform(vectors.normalize(F.col("n")), lambda x: x.cast("float")).alias("embedding")))
+
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+_LETTERS = f"""counted AS (SELECT doc_id AS vec_id, [{', '.join(f"(length(low) - length(replace(low, '{c}', '')))::DOUBLE" for c in _ALPHABET)}] AS n FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)),
+  embedded AS (SELECT vec_id, list_transform(n, lambda x: (x / sqrt(list_dot_product(n, n)))::FLOAT) AS embedding FROM counted WHERE list_dot_product(n, n) > 0)"""
+_EXACT = f"""qz AS (SELECT vec_id, embedding, {_SCALE.format('embedding')} FROM embedded), coded AS (SELECT vec_id, embedding, scale, {_CODES.format('embedding')} FROM qz)
+  SELECT qid, icon_id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS qid, v.vec_id AS icon_id, list_dot_product(v.codes::DOUBLE[], q.embedding::DOUBLE[]) * v.scale::DOUBLE AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(v.codes::DOUBLE[], q.embedding::DOUBLE[]) * v.scale::DOUBLE DESC, v.vec_id) AS rank FROM embedded q, coded v WHERE q.vec_id % 50 = 0) WHERE rank <= 12"""
+
+
+def _stated(items: DataFrame) -> DataFrame:
+    return items.where(F.col("icon_id") % 50 == 0).select(F.col("icon_id").alias("qid"), "embedding")
+
+
+@query(f"WITH embedded AS (SELECT vec_id, embedding FROM embeddings), {_EXACT}")
+def index_exact_embeddings(spark, sf):
+    """The exact answer through the built index: these vectors are spread evenly, so hardly any shard is left out."""
+    items = _vectors(spark, sf)
+    hits, _ = retrieval.retrieve_exact(_stated(items), *_stored_index(items, 16), probes=4)
+    return hits.select("qid", "icon_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_LETTERS}, {_EXACT}")
+def index_exact_letters(spark, sf):
+    items = _letters(spark, sf)
+    hits, _ = retrieval.retrieve_exact(_stated(items), *_stored_index(items, 48), probes=4)
+    return hits.select("qid", "icon_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def index_probed_letters(spark, sf):
+    """The approximate answer from a quarter of the shards."""
+    items = _letters(spark, sf)
+    hits = retrieval.retrieve(_stated(items), *_stored_index(items, 48), probes=12, lexical_weight=0.0)
+    return hits.select("qid", "icon_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def index_shards_read(spark, sf):
+    """How many of the shards each query had to read for its exact answer."""
+    items = _letters(spark, sf)
+    stored, centers = _stored_index(items, 48)
+    _, read = retrieval.retrieve_exact(_stated(items), stored, centers, probes=4)
+    return read.groupBy("qid").agg(F.count("*").alias("read")).join(F.broadcast(centers.where("count > 0").agg(F.count("*").alias("shards"))))  # one row
+
+
 def _predicted(spark, sf) -> DataFrame:
     """Queries with two predictions: their own label, and one whose label is a word of part names."""
     own = F.struct(F.col("label").alias("class_index"), F.lit("none").alias("label"), F.lit(0.6).alias("probability"))
