@@ -1,4 +1,4 @@
-"""SVG documents to polylines: one scan over the markup, matrices as 2x3 arrays, curves cut by their curvature."""
+"""SVG documents to polylines: one scan over the markup, matrices as 2x3 arrays, curves halved until they are flat."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ import numpy as np
 MAX_CHARACTERS = 512 * 1024
 MAX_ELEMENTS = MAX_SEGMENTS = MAX_VERTICES = 20_000
 FLATTEN_RESOLUTION = 256
+#: How often a cubic is halved at most, and the least tolerance.
+DEPTH, EPSILON = 16, 2.0**-52
 
 #: Elements that draw, and elements whose content is never drawn.
 SHAPES = {"circle", "ellipse", "line", "path", "polygon", "polyline", "rect"}
@@ -386,42 +388,112 @@ def contours(text: str, limits: Limits) -> list[Contour]:
     return out
 
 
-def svg_to_polylines(text: str, limits: Limits | None = None) -> list[list[tuple[float, float]]]:
-    """The polylines of a document; SvgError where it is malformed, refused or too large.
+def cut_cubics(p: np.ndarray, tolerance: np.ndarray, owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    """Chords of cubics (n, 4, 2) that stay within their tolerances: the cubic and the end of each chord, in order.
 
-    A cubic is cut into equal steps of its parameter, as many as its second differences need to stay within the
-    tolerance: the diagonal of the drawing over the resolution.
+    All cubics are halved together, level by level, until both inner points are close to the chord or DEPTH is reached.
+    An owner whose cubics need more than ``most`` chords is given up and returned.
     """
-    limits = limits or Limits()
-    if not isinstance(text, str):
-        raise SvgError("the source must be a string")
-    if len(text) > limits.characters:
-        raise SvgError("the source exceeds the maximum supported size")
-    drawn = contours(text, limits)
-    points = [p for c in drawn for p in (c.start, *(p for s in c.segments for p in s)) if math.isfinite(p.real) and math.isfinite(p.imag)]
-    if not points:
-        return []
-    xs, ys = [p.real for p in points], [p.imag for p in points]
-    tolerance = math.hypot(max(xs) - min(xs), max(ys) - min(ys)) / limits.resolution or 1e-9
-    out = []
-    for c in drawn:
-        line = [c.start]
+    index, place = np.arange(len(p)), np.zeros(len(p), np.int64)
+    done, lost = [], set()
+    for depth in range(DEPTH + 1):
+        chord = p[:, 3] - p[:, 0]
+        from_end = p[:, 1:3] - p[:, 3:]
+        away = np.abs(from_end[:, :, 0] * chord[:, None, 1] - from_end[:, :, 1] * chord[:, None, 0]).sum(axis=1)
+        flat = away**2 <= tolerance[index] ** 2 * (chord**2).sum(axis=1)
+        if depth == DEPTH:
+            flat[:] = True
+        done.append((index[flat], place[flat] << (DEPTH - depth), p[flat, 3]))
+        if flat.all():
+            break
+        p, index, place = p[~flat], index[~flat], place[~flat]
+        # each open cubic gives two chords at least
+        chords = np.bincount(owner[np.concatenate([index, index, *(d[0] for d in done)])])
+        over = np.flatnonzero(chords > most)
+        if len(over):
+            lost.update(over.tolist())
+            stays = ~np.isin(owner[index], over)
+            p, index, place = p[stays], index[stays], place[stays]
+        outer = (p[:, :-1] + p[:, 1:]) / 2
+        inner = (outer[:, :-1] + outer[:, 1:]) / 2
+        middle = (inner[:, :1] + inner[:, 1:]) / 2
+        first = np.concatenate((p[:, :1], outer[:, :1], inner[:, :1], middle), axis=1)
+        second = np.concatenate((middle, inner[:, 1:], outer[:, 2:], p[:, 3:]), axis=1)
+        p, index, place = np.concatenate((first, second)), np.concatenate((index, index)), np.concatenate((2 * place, 2 * place + 1))
+    index, place, ends = (np.concatenate([d[i] for d in done]) for i in range(3))
+    order = np.lexsort((place, index))
+    return index[order], ends[order], lost
+
+
+def _tolerance(drawn: list[Contour], resolution: int) -> float:
+    """The diagonal of all points, control points too, over the resolution; negative where there is no point."""
+    p = np.array([p for c in drawn for p in (c.start, *(p for s in c.segments for p in s))], complex)
+    p = p[np.isfinite(p.real) & np.isfinite(p.imag)]
+    return max(math.hypot(np.ptp(p.real), np.ptp(p.imag)) / resolution, EPSILON) if len(p) else -1.0
+
+
+def flattened(documents: list[list[Contour]], limits: Limits) -> list[list[np.ndarray] | SvgError]:
+    """The polylines, arrays (n, 2), of each document's outlines; an error for one that needs too many vertices."""
+    cubics, width, owner, contours_of = [], [], [], []
+    for number, drawn in enumerate(documents):
+        tolerance = _tolerance(drawn, limits.resolution)
+        for c in drawn if tolerance > 0 else ():
+            at = c.start
+            for s in c.segments:
+                if len(s) == 3:
+                    cubics.append((at, *s))
+                    width.append(tolerance)
+                    owner.append(len(contours_of))
+                at = s[-1]
+            contours_of.append((number, c))
+    p = np.array(cubics, complex).reshape(-1, 4)
+    with np.errstate(all="ignore"):
+        index, ends, lost = cut_cubics(np.stack((p.real, p.imag), axis=2), np.array(width), np.array(owner, np.int64), limits.vertices)
+    edge = np.searchsorted(index, np.arange(len(p) + 1))
+    out: list[list[np.ndarray] | SvgError] = [[] for _ in documents]
+    cubic = 0
+    for k, (number, c) in enumerate(contours_of):
+        parts = [np.array([[c.start.real, c.start.imag]])]
         for s in c.segments:
-            if len(s) == 1:
-                line.append(s[0])
+            if len(s) == 3:
+                parts.append(ends[edge[cubic] : edge[cubic + 1]])
+                cubic += 1
             else:
-                p = np.array([line[-1], *s])
-                bend = np.abs(p[2:] - 2 * p[1:-1] + p[:-2]).max()
-                n = max(1, min(1 << 16, math.ceil(math.sqrt(0.75 * bend / tolerance))) if math.isfinite(bend) else 1)
-                t = np.arange(1, n + 1) / n
-                cut = (1 - t) ** 3 * p[0] + 3 * t * (1 - t) ** 2 * p[1] + 3 * t * t * (1 - t) * p[2] + t**3 * p[3]
-                line.extend(cut[:-1].tolist())
-                line.append(s[-1])
-            if len(line) > limits.vertices:
-                raise SvgError("geometry exceeds the vertex budget")
+                parts.append(np.array([[s[0].real, s[0].imag]]))
+        line = np.concatenate(parts)
+        if k in lost or len(line) > limits.vertices:
+            out[number] = SvgError("geometry exceeds the vertex budget")
+        if isinstance(out[number], SvgError):
+            continue
         if c.closed:
-            line.append(c.start)
-        line = [p for i, p in enumerate(line) if i == 0 or p != line[i - 1]]
-        if len(line) > 1 and all(math.isfinite(p.real) and math.isfinite(p.imag) for p in line):
-            out.append([(p.real, p.imag) for p in line])
+            line = np.concatenate((line, parts[0]))
+        line = line[np.concatenate(([True], (line[1:] != line[:-1]).any(axis=1)))]
+        if len(line) > 1 and np.isfinite(line).all():
+            out[number].append(line)
     return out
+
+
+def outlines(texts: list, limits: Limits | None = None) -> list[list[np.ndarray] | SvgError]:
+    """The polylines of each document of a batch, or its error: a document that can't be read never touches its neighbours."""
+    limits = limits or Limits()
+    read: list[list[Contour]] = []
+    errors: dict[int, SvgError] = {}
+    for i, text in enumerate(texts):
+        read.append([])
+        try:
+            if not isinstance(text, str):
+                raise SvgError("the source must be a string")
+            if len(text) > limits.characters:
+                raise SvgError("the source exceeds the maximum supported size")
+            read[i] = contours(text, limits)
+        except SvgError as error:
+            errors[i] = error
+    return [errors.get(i, lines) for i, lines in enumerate(flattened(read, limits))]
+
+
+def svg_to_polylines(text: str, limits: Limits | None = None) -> list[list[tuple[float, float]]]:
+    """The polylines of a document; SvgError where it is malformed, refused or too large."""
+    (lines,) = outlines([text], limits)
+    if isinstance(lines, SvgError):
+        raise lines
+    return [[tuple(p) for p in line.tolist()] for line in lines]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -743,24 +743,36 @@ def stroke_rasters(spark, sf):
 def _svgs(spark, sf) -> DataFrame:
     """A document for each part, of six kinds, with its number and size in the geometry."""
     n, w = F.col("p_partkey"), (F.col("p_size") + 20).cast("string")
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    rest = lambda k: (n % k).cast("string")
     kinds = [
-        F.concat(F.lit('<path d="M 10 10 H '), w, F.lit(" V 20 L 10 20 Z\"/>")), F.concat(F.lit('<path d="m 5 5 l '), w, F.lit(" 0 "), w, F.lit(' 0"/>')),
-        F.concat(F.lit('<g transform="translate('), w, F.lit(' 20)"><path d="M0 0 L5 0" transform="scale(2)"/></g>')), F.concat(F.lit('<circle cx="50" cy="50" r="'), w, F.lit('" fill="none" stroke="black"/>')),
-        F.concat(F.lit('<g visibility="hidden"><path d="M0 0 L'), w, F.lit(' 0"/></g>')), F.concat(F.lit('<path d="M0 0 X'), w, F.lit(' 10"/>')),
+        said('<polygon points="0,0 ', w, ",3 ", rest(90), ",", w, '"/>'),
+        said('<path d="M', rest(30), " 2v", w, 'l-3.5 4h9z"/>'),
+        said('<g transform="matrix(0 1 -1 0 ', w, ' 0)"><polyline points="1 2 5 ', rest(13), ' 6 6" transform="translate(2,1)"/></g>'),
+        said('<path d="M0 0C0 ', w, " ", w, " ", w, " ", w, " 0S", (2 * (F.col("p_size") + 20)).cast("string"), " -", w, " ", (2 * (F.col("p_size") + 20)).cast("string"), ' 0"/>'),
+        said('<g opacity="0"><rect height="3" width="', w, '"/></g>'),
+        said('<path d="M1 1Q', w, '"/>'),
     ]
     body = F.element_at(F.array(*kinds), (n % 6 + 1).cast("int"))
     return _read(spark, sf, "part").select(n.alias("id"), F.concat(F.lit("<svg>"), body, F.lit("</svg>")).alias("svg"))
 
 
-#: The circle's 24 steps: six for each quarter's cubic, turned by right angles.
-_CIRCLE = """c AS (SELECT list([x, y] ORDER BY turn, i) AS unit FROM (SELECT turn, i, CASE turn WHEN 0 THEN bx WHEN 1 THEN -by_ WHEN 2 THEN -bx ELSE by_ END AS x, CASE turn WHEN 0 THEN by_ WHEN 1 THEN bx WHEN 2 THEN -by_ ELSE -bx END AS y FROM (
-  SELECT turn, i, (1 - t)**3 + 3 * t * (1 - t)**2 + 3 * t * t * (1 - t) * k AS bx, 3 * t * (1 - t)**2 * k + 3 * t * t * (1 - t) + t**3 AS by_
-  FROM range(4) a(turn), (SELECT i, i / 6.0::DOUBLE AS t, 4.0::DOUBLE / 3 * tan(pi() / 8) AS k FROM range(1, 7) b(i)))))"""
+#: Both cubics of the wave (kind 3), halved until they are flat; the second one's first inner point mirrors the one before.
+_WAVE = """wave(id, w, part, place, depth, x0, y0, x1, y1, x2, y2, x3, y3) AS (
+    SELECT p_partkey, p_size + 20.0::DOUBLE, part, 0::BIGINT, 0, part * (p_size + 20.0::DOUBLE), 0.0::DOUBLE, part * (p_size + 20.0::DOUBLE), sign * (p_size + 20.0::DOUBLE), (part + 1) * (p_size + 20.0::DOUBLE), sign * (p_size + 20.0::DOUBLE), (part + 1) * (p_size + 20.0::DOUBLE), 0.0::DOUBLE
+    FROM part, (VALUES (0, 1), (1, -1)) v(part, sign) WHERE p_partkey % 6 = 3
+    UNION ALL
+    SELECT id, w, part, 2 * place + side, depth + 1, CASE side WHEN 0 THEN x0 ELSE mx END, CASE side WHEN 0 THEN y0 ELSE my END, CASE side WHEN 0 THEN ax ELSE ex END, CASE side WHEN 0 THEN ay ELSE ey END,
+      CASE side WHEN 0 THEN dx ELSE cx END, CASE side WHEN 0 THEN dy ELSE cy END, CASE side WHEN 0 THEN mx ELSE x3 END, CASE side WHEN 0 THEN my ELSE y3 END
+    FROM (SELECT *, (dx + ex) / 2 AS mx, (dy + ey) / 2 AS my FROM (SELECT *, (ax + bx) / 2 AS dx, (ay + by_) / 2 AS dy, (bx + cx) / 2 AS ex, (by_ + cy) / 2 AS ey FROM (
+      SELECT *, (x0 + x1) / 2 AS ax, (y0 + y1) / 2 AS ay, (x1 + x2) / 2 AS bx, (y1 + y2) / 2 AS by_, (x2 + x3) / 2 AS cx, (y2 + y3) / 2 AS cy FROM wave
+      WHERE depth < 16 AND pow(abs((x1 - x3) * (y3 - y0) - (y1 - y3) * (x3 - x0)) + abs((x2 - x3) * (y3 - y0) - (y2 - y3) * (x3 - x0)), 2) > pow(w * sqrt(8.0::DOUBLE) / 256, 2) * (pow(x3 - x0, 2) + pow(y3 - y0, 2))))), (VALUES (0), (1)) s(side)),
+  chords AS (SELECT id, list([x3, y3] ORDER BY part, (place::DOUBLE) / pow(2, depth)) AS line FROM wave a WHERE NOT EXISTS (SELECT 1 FROM wave b WHERE b.id = a.id AND b.part = a.part AND b.depth = a.depth + 1 AND b.place = 2 * a.place) GROUP BY id)"""
 
 
-@query(f"""WITH {_CIRCLE}, l AS (SELECT p_partkey AS id, CASE p_partkey % 6
-    WHEN 0 THEN [[10, 10], [p_size + 20, 10], [p_size + 20, 20], [10, 20], [10, 10]]::DOUBLE[][] WHEN 1 THEN [[5, 5], [25 + p_size, 5], [45 + 2 * p_size, 5]]::DOUBLE[][]
-    WHEN 2 THEN [[p_size + 20, 20], [p_size + 30, 20]]::DOUBLE[][] WHEN 3 THEN list_transform([[1, 0]::DOUBLE[]] || (SELECT unit FROM c), lambda u: [50 + (p_size + 20) * u[1], 50 + (p_size + 20) * u[2]]) END AS line FROM part)
+@query(f"""WITH RECURSIVE {_WAVE}, p AS (SELECT p_partkey AS id, p_partkey % 6 AS kind, p_size + 20 AS w, p_partkey AS n FROM part), l AS (SELECT p.id, CASE kind
+    WHEN 0 THEN [[0, 0], [w, 3], [n % 90, w], [0, 0]]::DOUBLE[][] WHEN 1 THEN [[n % 30, 2], [n % 30, 2 + w], [n % 30 - 3.5, 6 + w], [n % 30 + 5.5, 6 + w], [n % 30, 2]]::DOUBLE[][]
+    WHEN 2 THEN [[w - 3, 3], [w - n % 13 - 1, 7], [w - 7, 8]]::DOUBLE[][] WHEN 3 THEN [[0, 0]::DOUBLE[]] || chords.line END AS line FROM p LEFT JOIN chords USING (id))
   SELECT id, true AS readable, 0 AS line, (n - 1)::INTEGER AS point, round(line[n][1], 4) + 0.0 AS x, round(line[n][2], 4) + 0.0 AS y FROM (SELECT id, line, unnest(range(1, len(line) + 1)) AS n FROM l WHERE line IS NOT NULL)
   UNION ALL SELECT p_partkey, p_partkey % 6 = 4, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 6 IN (4, 5)""")
 def svg_polylines(spark, sf):

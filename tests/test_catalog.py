@@ -1,7 +1,5 @@
 """Every query against its SQL at the smallest scale, and shape checks of those without."""
 
-import hashlib
-
 import pytest
 
 from inkfold.plans import catalog
@@ -27,8 +25,6 @@ def test_svg_queries(spark):
     assert len(rows) == spark.read.parquet(f"{SF}/part.parquet").count()
     for i, r in rows.items():
         assert r.status == {4: 2, 5: 1}.get(i % 6, r.status) and r.status in (0, 1, 2, 3) and (r.digest is not None) == (r.status == 0)
-    # any size of the same shape has the same picture
-    assert len({r.digest for i, r in rows.items() if i % 6 == 3}) == 1
 
 
 def test_probes_find_nine_of_ten_neighbours(spark):
@@ -38,13 +34,13 @@ def test_probes_find_nine_of_ten_neighbours(spark):
     assert len(found & true) >= 0.9 * len(true)
 
 
-def test_stroke_rasters_equal_the_plain_rasterizer(spark):
-    from inkfold.functions import raster, strokes
-
-    lines = strokes.polylines(strokes.decode_stroke3(catalog._strokes(spark, SF))).collect()
-    got = {r.drawing_id: r.digest for r in catalog.QUERIES["stroke_rasters"](spark, SF).collect()}
-    for r in lines[:20]:
-        assert got[r.drawing_id] == hashlib.sha256(raster.rasterize([[(p.x, p.y) for p in line] for line in r.polylines])).hexdigest()
+def test_a_quarter_of_the_shards_finds_nine_of_ten(spark):
+    sf = "/root/testdata/sf0.01"
+    found = {(r.qid, r.icon_id) for r in catalog.QUERIES["index_probed_letters"](spark, sf).collect()}
+    true = {(r.qid, r.icon_id) for r in catalog.QUERIES["index_exact_letters"](spark, sf).collect()}
+    assert len(found & true) >= 0.9 * len(true)
+    read = catalog.QUERIES["index_shards_read"](spark, sf).collect()
+    assert len(read) * 12 == len(true) and sum(r.read for r in read) < 0.5 * sum(r.shards for r in read)
 
 
 def test_fingerprint_ignores_row_order(spark):

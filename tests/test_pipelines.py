@@ -58,38 +58,60 @@ def test_split_profile_and_samples(spark):
     assert [r.split for r in dataset.wrong_splits(spark.createDataFrame([("train", 70000), ("test", 3)], "split string, count int")).collect()] == ["test"]
 
 
-MANIFEST = [("cat", 10), ("cat", 11), ("dog", 20)]
+#: Classes with the ids of their candidates.
+OFFERED = {"anchor": [401, 57, 12], "The bell": [77], "comb": [3, 909], "dune": [5]}
 
 
 def test_curation(spark):
-    manifest = spark.createDataFrame(MANIFEST, "class string, candidate_id long")
-    log = spark.createDataFrame([("cat", 10, "rejected", 1), ("cat", 10, "accepted", 2), ("cat", 11, "rejected", 3), ("dog", 20, "accepted", 4), ("dog", 20, None, 5)], "class string, candidate_id long, decision string, seq long")
-    decisions, reviewed = curation.fold_decisions(log), spark.createDataFrame([("cat",)], "class string")
-    assert {tuple(r) for r in decisions.collect()} == {("cat", 10, "accepted"), ("cat", 11, "rejected")}
-    assert tuple(curation.stats(manifest, decisions, reviewed).first()) == (2, 1, 1, 1)
-    assert {tuple(r) for r in curation.curated_export(manifest, decisions, reviewed).collect()} == {("cat", 10)}
-    bare = curation.curated_export(manifest, decisions.where("false"), reviewed).collect()
-    assert [tuple(r) for r in bare] == [("cat", None)]
-    accepted = spark.createDataFrame([("dog", 20, "accepted")], "class string, candidate_id long, decision string")
-    assert [tuple(r) for r in curation.curated_export(manifest, accepted, reviewed.where("false")).collect()] == [("dog", 20)]
-    stray = spark.createDataFrame([("cat", 99, "accepted"), ("cow", 10, "accepted")], "class string, candidate_id long, decision string")
-    assert curation.orphans(stray, manifest).count() == 2
-    bad = spark.createDataFrame([("01", "accepted"), ("1", "maybe"), ("-0", "accepted"), (None, "accepted"), ("7", "rejected")], "i string, d string")
-    assert [r.p for r in bad.select(curation.decision_problem(F.col("i"), F.col("d")).alias("p")).collect()] == ["id", "decision", None, "id", None]
-    assert curation.progress(manifest, decisions).where("class = 'cat'").first().percent == 100
-    names = spark.createDataFrame([(["pig", "The Eiffel Tower", "ant"],)], "n array<string>")
-    assert names.select(curation.locale_sorted(F.col("n")).alias("n")).first().n == ["ant", "pig", "The Eiffel Tower"]
-
-
-def test_interleave(spark):
-    candidates = spark.createDataFrame([("cat", 0, 1), ("cat", 1, 2), ("cat", 2, 5), ("dog", 0, 3), ("dog", 1, 4)], "label string, rank int, id int")
-    guesses = spark.createDataFrame([(1, 0, "cat", 0.8), (1, 1, "dog", 0.15), (1, 2, "cat", 0.01)], "qid int, pos int, label string, probability double")
-    ids = lambda **k: [r.id for r in curation.interleave(guesses, candidates, **k).orderBy("place").collect()]
-    assert ids(limit=4, per_class=2) == [1, 3, 2, 4] and ids() == [1, 3, 2, 4, 5]
-    shared = candidates.union(spark.createDataFrame([("dog", 2, 1)], "label string, rank int, id int"))
-    assert [r.id for r in curation.interleave(guesses, shared).orderBy("place").collect()] == [1, 3, 2, 4, 5]
-    odd = spark.createDataFrame([(1, 0, "cow", 0.5), (1, 1, "cat", float("nan"))], "qid int, pos int, label string, probability double")
-    assert {tuple(r) for r in curation.unknown_labels(odd, candidates).collect()} == {("cow", "unknown label"), ("cat", "probability")}
+    """A log in which people change their minds, against the same fold over dictionaries."""
+    manifest = spark.createDataFrame([(c, i) for c, ids in OFFERED.items() for i in ids], "class string, candidate_id long")
+    steps = [("comb", 3, "accepted"), ("anchor", 57, "rejected"), ("comb", 909, "rejected"), ("anchor", 57, "accepted"), ("comb", 3, None), ("The bell", 77, "accepted"), ("anchor", 12, "accepted"), ("anchor", 12, "rejected"), ("The bell", 77, "accepted")]
+    log = spark.createDataFrame([(*step, seq) for seq, step in enumerate(steps)], "class string, candidate_id long, decision string, seq long").repartition(3)
+    last = {(c, i): d for c, i, d in steps}
+    kept = {k: d for k, d in last.items() if d}
+    decisions, seen = curation.fold_decisions(log), ["The bell", "dune"]
+    reviewed = spark.createDataFrame([(c,) for c in seen], "class string")
+    assert {(r["class"], r.candidate_id): r.decision for r in decisions.collect()} == kept
+    count = lambda word: sum(d == word for d in kept.values())
+    assert tuple(curation.stats(manifest, decisions, reviewed).first()) == (len(OFFERED), len(seen), count("accepted"), count("rejected"))
+    # accepted ones of any class, and reviewed classes that have none
+    chosen = {(c, i) for (c, i), d in kept.items() if d == "accepted"}
+    expected = chosen | {(c, None) for c in seen if c not in {x for x, _ in chosen}}
+    assert {tuple(r) for r in curation.curated_export(manifest, decisions, reviewed).collect()} == expected == {("anchor", 57), ("The bell", 77), ("dune", None)}
+    stray = spark.createDataFrame([("dune", 6, "accepted"), ("ewer", 5, "rejected"), ("dune", 5, "rejected")], "class string, candidate_id long, decision string")
+    assert {(r["class"], r.candidate_id) for r in curation.orphans(stray, manifest).collect()} == {("dune", 6), ("ewer", 5)}
+    forms = {"12": None, "012": "id", "-3": None, "-0": None, "": "id", None: "id", "1e3": "id", " 4": "id"}
+    bad = spark.createDataFrame([(i, "rejected") for i in forms] + [("8", "perhaps"), ("8", None)], "i string, d string").select("i", "d", curation.decision_problem(F.col("i"), F.col("d")).alias("p")).collect()
+    assert {r.i: r.p for r in bad if r.d == "rejected"} == forms and {r.p for r in bad if r.d != "rejected"} == {"decision"}
+    percent = {r["class"]: r.percent for r in curation.progress(manifest, decisions).collect()}
+    assert percent["The bell"] == 100 and percent["dune"] == 0 and 0 < percent["anchor"] < 100
+    names = spark.createDataFrame([(["The zebra", "moth", "yak", "Ape"],)], "n array<string>")
+    assert names.select(curation.locale_sorted(F.col("n")).alias("n")).first().n == ["Ape", "moth", "The zebra", "yak"]
+
+
+def in_turns(guesses, ranked, limit=None, per_class=None):
+    """One from each guessed class in the order of the guesses, then the next of each, no id twice."""
+    lists = {label: ids[:per_class] for label, ids in ranked.items()}
+    out = [lists[g][turn] for turn in range(max(map(len, lists.values()))) for g in dict.fromkeys(guesses) if turn < len(lists[g])]
+    return list(dict.fromkeys(out))[:limit]
+
+
+@pytest.mark.parametrize(("limit", "per_class"), [(None, None), (5, None), (None, 2), (4, 3)])
+def test_interleave(spark, limit, per_class):
+    ranked = {"oak": [700, 31, 8, 650], "fern": [44], "moss": [90, 12, 71]}
+    candidates = spark.createDataFrame([(label, rank, i) for label, ids in ranked.items() for rank, i in enumerate(ids, 1)], "label string, rank int, id int")
+    guesses = [("moss", 0.52), ("oak", 0.31), ("fern", 0.09), ("oak", 0.02)]
+    asked = spark.createDataFrame([(1, pos, *g) for pos, g in enumerate(guesses)], "qid int, pos int, label string, probability double")
+    bounds = {k: v for k, v in (("limit", limit), ("per_class", per_class)) if v}
+    assert [r.id for r in curation.interleave(asked, candidates, **bounds).orderBy("place").collect()] == in_turns([g for g, _ in guesses], ranked, limit, per_class)
+
+
+def test_interleave_leaves_out_what_it_cannot_rank(spark):
+    candidates = spark.createDataFrame([("oak", 0, 700), ("oak", 1, 90), ("moss", 0, 90)], "label string, rank int, id int")
+    asked = spark.createDataFrame([(1, 0, "moss", 0.5), (1, 1, "oak", 0.4)], "qid int, pos int, label string, probability double")
+    assert [r.id for r in curation.interleave(asked, candidates).orderBy("place").collect()] == [90, 700]  # 90 comes once
+    odd = spark.createDataFrame([(2, 0, "lichen", 0.3), (2, 1, "oak", float("nan")), (2, 2, "moss", 0.1)], "qid int, pos int, label string, probability double")
+    assert {tuple(r) for r in curation.unknown_labels(odd, candidates).collect()} == {("lichen", "unknown label"), ("oak", "probability")}
 
 
 def test_dedup_chain(spark):
