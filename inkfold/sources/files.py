@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 
 from ..operators.curation import fold_decisions
 
-SPLITS = ("train", "valid", "test")
-STROKES = T.ArrayType(T.StructType([T.StructField("dx", T.ShortType()), T.StructField("dy", T.ShortType()), T.StructField("pen", T.ShortType())]))
-
 #: The shape of a candidate manifest.
 CANDIDATE_MANIFEST = """
 schemaVersion int, fingerprint string,
@@ -101,33 +98,6 @@ def trusted_response(host: Column, content_type: Column, size: Column, most: int
     return F.coalesce((host == cdn) & kind.isin("image/svg+xml", "text/plain", "application/xml", "text/xml") & (size.isNull() | (size <= most)), F.lit(False))
 
 
-def read_npz_strokes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, digest, split, drawing, strokes) of NPZ archives of int16 points and offsets.
-
-    An archive has the arrays ``<split>`` (n x 3) and ``<split>_offsets`` for each split. Archives are opened without
-    unpickling; one with object arrays or another shape raises.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest"), "content")
-
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, digest, content in zip(part["path"], part["digest"], part["content"]):
-                with np.load(io.BytesIO(content), allow_pickle=False) as archive:
-                    for split in SPLITS:
-                        points, offsets = archive[split], archive[f"{split}_offsets"]
-                        if points.dtype != np.int16 or points.ndim != 2 or points.shape[1] != 3:
-                            raise ValueError(f"{name}: {split} must hold rows of three 16-bit numbers")
-                        for lo in range(0, len(offsets) - 1, 1000):
-                            cuts = list(zip(offsets[lo : lo + 1000], offsets[lo + 1 : lo + 1001]))
-                            yield pd.DataFrame({
-                                "path": name, "digest": digest, "split": split, "drawing": range(lo, lo + len(cuts)),
-                                "strokes": [[{"dx": int(x), "dy": int(y), "pen": int(p)} for x, y, p in points[a:b]] for a, b in cuts],
-                            })
-
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("split", T.StringType()), T.StructField("drawing", T.LongType()), T.StructField("strokes", STROKES)])
-    return files.mapInPandas(rows, schema)
-
-
 def read_npy_bitmaps(spark: SparkSession, path: str, size: int = 64) -> DataFrame:
     """(path, row, bitmap) of NPY arrays of uint8 images."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -169,6 +139,9 @@ def verified_shards(spark: SparkSession, folder: str, shards: DataFrame, dim: in
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
     files = files.select(F.regexp_extract("path", r"shard-([0-9]+)\.bin$", 1).cast("int").alias("shard"), "length", "content")
     rows = shards.select("shard", "count", "bytes", "sha256").join(files, "shard", "left")
+    # Spark lists no empty files
+    empty = F.when(F.col("bytes") == 0, F.lit(b""))
+    rows = rows.withColumn("content", F.coalesce("content", empty)).withColumn("length", F.coalesce("length", F.octet_length("content").cast("long")))
     wrong = F.when(F.col("content").isNull(), F.lit(" is missing")).when((F.col("length") != F.col("bytes")) | (F.col("bytes") != F.col("count") * (dim + 4)), F.lit(" has an unexpected size")).when(F.sha2("content", 256) != F.col("sha256"), F.lit(" has another digest"))
     checked = F.when(wrong.isNull(), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("shard "), F.col("shard").cast("string"), wrong)))
 

@@ -144,13 +144,6 @@ def test_documents_lines_blobs_and_journal(spark, tmp_path):
 
 
 def test_arrays(spark, tmp_path):
-    points = np.array([[1, 2, 0], [3, 4, 1], [5, 6, 1]], dtype=np.int16)
-    np.savez(tmp_path / "cat.npz", **{k: v for s in files.SPLITS for k, v in ((s, points), (f"{s}_offsets", np.array([0, 2, 3])))})
-    rows = files.read_npz_strokes(spark, str(tmp_path / "cat.npz")).orderBy("split", "drawing").collect()
-    assert len(rows) == 6 and [tuple(p) for p in rows[0].strokes] == [(1, 2, 0), (3, 4, 1)] and len(rows[0].digest) == 64
-    np.savez(tmp_path / "bad.npz", train=np.array([{}], dtype=object))
-    with pytest.raises(Exception, match="allow_pickle|pickle"):
-        files.read_npz_strokes(spark, str(tmp_path / "bad.npz")).collect()
     images = np.arange(2 * 64 * 64, dtype=np.uint64).reshape(2, 64, 64).astype(np.uint8)
     np.save(tmp_path / "images.npy", images)
     assert [bytes(r.bitmap) for r in files.read_npy_bitmaps(spark, str(tmp_path / "images.npy")).orderBy("row").collect()] == [x.tobytes() for x in images]
