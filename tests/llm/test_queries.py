@@ -160,6 +160,26 @@ def test_pipeline_cases(spark, tmp_path):
     assert {r.doc_id for r in rows} <= {i for i, _ in good} and not {1, 8, 20, 21} & {r.doc_id for r in rows}
     copies = collections.Counter(r.doc_id for r in rows)
     assert 0 < max(n for i, n in copies.items() if i is not None) <= 2
+    # columns of any name come out as they went in, but for those that sharding adds
+    new = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    for c in [c for c in EXTRA if c.lower() not in new]:
+        assert {r[0] for r in out.select(F.col(f"`{c}`")).distinct().collect()} == {"clash"}, c
     for name in ("documents", "benchmark"):
         spark.read.parquet(str(tmp_path / "some" / f"{name}.parquet")).where("false").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    odd = ["meta.url", "kept", "taken", "n_words", "a`b", "TEXT_", "in 0", "shard"]
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.concat(F.lit(c), F.coalesce("source", F.lit("-"))) for c in odd})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "no document has these eight words of a benchmark question")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for step, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = spark.read.parquet(str(tmp_path / (f"{step - 1}" if step else "documents.parquet")))
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns or name == "sharding"
+        out.write.parquet(str(tmp_path / f"{step}"))
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert [c for c in rows.columns if c in odd] == odd and rows.count() > 2
+    for r in rows.collect():
+        assert all(r[c] == c + (r.source or "-") for c in odd[:-1]) and isinstance(r.shard, int)
