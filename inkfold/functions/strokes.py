@@ -18,6 +18,29 @@ def decode_stroke3(rows: DataFrame, key: str = "drawing_id", seq: str = "seq") -
     return rows.select(key, seq, F.sum("dx").over(so_far).alias("x"), F.sum("dy").over(so_far).alias("y"), F.sum("lifted").over(so_far).cast("int").alias("polyline"))
 
 
+#: Rows of a drawing that one task sums up by itself.
+BLOCK = 65_536
+
+
+def decode_long_stroke3(rows: DataFrame, key: str = "drawing_id", seq: str = "seq", block: int = BLOCK) -> DataFrame:
+    """decode_stroke3() of drawings of any length: blocks of ``block`` numbers of ``seq`` are summed up apart.
+
+    Sums run within a block, and the totals of the blocks before are added: a drawing sends one row per block to the
+    task that orders its blocks. ``seq`` is a whole number, so a block has at most ``block`` rows of a drawing.
+    """
+    cut = rows.withColumn("block", F.floor(F.col(seq) / block))
+    here = W.partitionBy(key, "block").orderBy(seq)
+    so_far = here.rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumn("lifted", F.coalesce(F.lag("pen").over(here), F.lit(0)))
+    local = local.select(key, seq, "block", *[F.sum(c).over(so_far).alias(c) for c in ("dx", "dy", "lifted")])
+    totals = cut.groupBy(key, "block").agg(F.sum("dx").alias("t_x"), F.sum("dy").alias("t_y"), F.sum("pen").alias("t_pen"))
+    before = W.partitionBy(key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}")
+    starts = totals.select(F.col(key).alias("s_key"), F.col("block").alias("s_block"), *[zero(c) for c in ("t_x", "t_y", "t_pen")])
+    whole = local.join(starts, (F.col(key) == F.col("s_key")) & (F.col("block") == F.col("s_block")))
+    return whole.select(key, seq, (F.col("dx") + F.col("before_t_x")).alias("x"), (F.col("dy") + F.col("before_t_y")).alias("y"), (F.col("lifted") + F.col("before_t_pen")).cast("int").alias("polyline"))
+
+
 def polylines(points: DataFrame, key: str = "drawing_id", seq: str = "seq") -> DataFrame:
     """Points of polylines to one array per drawing."""
     line = points.groupBy(key, "polyline").agg(F.array_sort(F.collect_list(F.struct(seq, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from .numbering import numbered
@@ -48,6 +51,37 @@ def match_phrases(phrases: DataFrame, index: DataFrame) -> DataFrame:
     return hits.groupBy("class", "phrase_index", "icon_id", "n").agg(F.count("*").alias("found")).where(F.col("found") == F.col("n")).select("class", "phrase_index", "icon_id")
 
 
+#: Ids that one bitmap of a posting list covers: Spark's bitmaps have 4 KB.
+BITMAP_IDS = 32_768
+
+
+def posting_bitmaps(icons: DataFrame) -> DataFrame:
+    """(token, bucket, bits): posting lists as bitmaps, one for each token and run of BITMAP_IDS ids (from 0 on).
+
+    A task folds its icons into one bitmap per token and bucket before the shuffle, so a token that most icons have
+    costs 4 KB a bucket instead of a row per icon.
+    """
+    rows = postings(icons)
+    return rows.groupBy("token", F.floor(F.col("icon_id") / BITMAP_IDS).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(F.col("icon_id"), F.lit(BITMAP_IDS))).alias("bits"))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _set_bits(bitmaps: pa.Array) -> pa.Array:
+    found = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) if b is not None else [] for b in bitmaps.to_pylist()]
+    return pa.array(found, pa.list_(pa.int32()))
+
+
+def match_bitmaps(phrases: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(class, phrase_index, icon_id), as match_phrases gives them, by the AND of the tokens' bitmaps in each bucket.
+
+    Only icons that have every token become rows again; the phrases are a stated set and meet the bitmaps by token.
+    """
+    wanted = phrases.select("class", "phrase_index", F.size(F.array_distinct("tokens")).alias("n"), F.explode(F.array_distinct("tokens")).alias("token"))
+    met = bitmaps.join(wanted, "token").groupBy("class", "phrase_index", "bucket", "n").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("found"))
+    whole = met.where((F.col("found") == F.col("n")) & (F.bitmap_count("bits") > 0))
+    return whole.select("class", "phrase_index", "bucket", F.explode(_set_bits("bits")).alias("bit")).select("class", "phrase_index", (F.col("bucket") * BITMAP_IDS + F.col("bit")).alias("icon_id"))
+
+
 def score_candidates(phrases: DataFrame, icons: DataFrame, preferred: DataFrame, penalties: DataFrame, excluded: DataFrame, limit: int = PER_CLASS) -> DataFrame:
     """(class, rank, icon_id, score): the best candidates of each class by (score descending, id).
 

@@ -91,10 +91,10 @@ def retrieve(queries: DataFrame, vectors_by_shard: DataFrame, centroids: DataFra
     chosen = None if probes is None or centroids is None else probe(queries, centroids, probes).select("qid", "shard")
     if limit is None:
         return _full_ranking(queries, vectors_by_shard, chosen, weight)
-    return top_k(_candidates(queries, vectors_by_shard, chosen, weight, limit), limit)
+    return top_k(candidates(queries, vectors_by_shard, chosen, weight, limit), limit)
 
 
-def _candidates(queries: DataFrame, vectors_by_shard: DataFrame, chosen: DataFrame | None, weight: float, limit: int) -> DataFrame:
+def candidates(queries: DataFrame, vectors_by_shard: DataFrame, chosen: DataFrame | None, weight: float, limit: int) -> DataFrame:
     """Each task's best of every query, over the chosen (qid, shard) or over all shards; only chosen shards are read."""
     items = vectors_by_shard if chosen is None else vectors_by_shard.join(bounded(chosen.select("shard").distinct()), "shard", "left_semi")
     if weight > 0:
@@ -157,13 +157,13 @@ def retrieve_exact(queries: DataFrame, vectors_by_shard: DataFrame, centroids: D
         raise ValueError("limit and probes must be positive, the weight between 0 and 1")
     weight = lexical_weight if "predictions" in queries.columns else 0.0
     near = written(probe(queries, centroids, probes).select("qid", "shard"))
-    first = written(top_k(_candidates(queries, vectors_by_shard, near, weight, limit), limit).drop("rank"))
+    first = written(top_k(candidates(queries, vectors_by_shard, near, weight, limit), limit).drop("rank"))
     cutoff = first.groupBy("qid").agg(F.when(F.count("*") == limit, F.min("score")).alias("cutoff"))
     highest = F.coalesce(F.array_max(F.transform("predictions", lambda x: x["probability"])), F.lit(0.0)) if weight > 0 else F.lit(0.0)
     asked = queries.where(F.col("embedding").isNotNull()).join(cutoff, "qid", "left").select("qid", "embedding", F.greatest(highest, F.lit(0.0)).alias("highest"), F.coalesce("cutoff", F.lit(float("-inf"))).alias("cutoff"))
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, shard int"
     more = written(asked.mapInArrow(_reachable(centroids, weight), kinds).join(near, ["qid", "shard"], "left_anti"))
-    second = _candidates(queries, vectors_by_shard, more, weight, limit)
+    second = candidates(queries, vectors_by_shard, more, weight, limit)
     return top_k(first.unionByName(second.select(*first.columns)), limit), near.unionByName(more)
 
 

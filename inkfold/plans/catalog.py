@@ -415,6 +415,11 @@ def phrase_match(spark, sf):
     return lexical.match_phrases(_phrases(spark), lexical.postings(_icons(spark, sf)))
 
 
+@query(f"WITH {_ICONS}, {_PH}, {_MATCH} SELECT class, phrase_index::INTEGER AS phrase_index, icon_id FROM m")
+def phrase_match_bitmaps(spark, sf):
+    return lexical.match_bitmaps(_phrases(spark), lexical.posting_bitmaps(_icons(spark, sf)))
+
+
 @query(f"""WITH {_ICONS}, {_PH}, {_MATCH}, b AS (SELECT class, icon_id, max(CASE WHEN phrase_index = 0 THEN 100 ELSE 50 + greatest(0, 40 - 10 * phrase_index) END + 10 * len(wanted) + CASE WHEN tokens = wanted THEN 20 ELSE 0 END) AS relevance FROM m GROUP BY ALL),
   s AS (SELECT b.class, b.icon_id, relevance + CASE WHEN (b.class = 'red ring' AND category = 'Brand#2') OR (b.class = 'gizmo' AND category = 'Brand#5') THEN 30 ELSE 0 END + CASE category WHEN 'Brand#3' THEN -15 WHEN 'Brand#4' THEN -40 ELSE 0 END AS score
     FROM b JOIN icons i USING (icon_id) WHERE NOT (b.class = 'gizmo' AND list_contains(i.tokens, 'blue')))
@@ -643,6 +648,13 @@ def stroke_prefix_sum(spark, sf):
     return strokes.decode_stroke3(_strokes(spark, sf)).withColumn("x", F.round("x", 4)).withColumn("y", F.round("y", 4))
 
 
+@query(f"WITH {_STROKES} SELECT drawing_id, seq, round(x, 4) AS x, round(y, 4) AS y, polyline FROM p")
+def stroke_prefix_sum_blocks(spark, sf):
+    """The same points, from blocks of 500 numbers: no task needs a whole drawing."""
+    out = strokes.decode_long_stroke3(_strokes(spark, sf), block=500)
+    return out.select("drawing_id", "seq", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "polyline")
+
+
 @query(f"WITH {_STROKES} SELECT drawing_id, round(min(x), 4) AS left, round(min(y), 4) AS top, round(max(x), 4) AS right, round(max(y), 4) AS bottom FROM p GROUP BY drawing_id")
 def bbox(spark, sf):
     box = strokes.bounding_box(strokes.decode_stroke3(_strokes(spark, sf)), "drawing_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import retrieval
 from ..operators.curation import fold_decisions
 
 
@@ -42,4 +43,30 @@ def fold_stream(log: DataFrame, state: str, checkpoint: str):
     return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
 
 
-__all__ = ["debounced", "fold_decisions", "fold_stream", "newest"]
+def warming_top_k(resident: DataFrame, queries: DataFrame, vectors_by_shard: DataFrame, state: str, checkpoint: str, limit: int = retrieval.LIMIT, lexical_weight: float = retrieval.LEXICAL_WEIGHT):
+    """A stream of shards (a column shard) that become resident: each query's best hits over all shards so far.
+
+    A version of the table ``hits`` per batch: the best of the version before and of the batch's shards, which alone are
+    read. At every step it is the answer of a batch query over the resident shards; a shard that comes again, and a batch
+    that is repeated, change nothing. ``shards`` has the resident ones.
+    """
+    weight = lexical_weight if "predictions" in queries.columns else 0.0
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.select("shard").distinct()
+        if number > 0:
+            seen = spark.read.parquet(f"{state}/shards/version={number - 1}")
+            fresh = fresh.join(seen, "shard", "left_anti")
+        every = fresh.unionByName(seen) if number > 0 else fresh
+        every.write.mode("overwrite").parquet(f"{state}/shards/version={number}")
+        items = vectors_by_shard.join(retrieval.bounded(fresh), "shard", "left_semi")
+        hits = retrieval.candidates(queries, items, None, weight, limit)
+        if number > 0:
+            hits = hits.unionByName(spark.read.parquet(f"{state}/hits/version={number - 1}").drop("rank"))
+        retrieval.top_k(hits, limit).write.mode("overwrite").parquet(f"{state}/hits/version={number}")
+
+    return resident.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+__all__ = ["debounced", "fold_decisions", "fold_stream", "newest", "warming_top_k"]
