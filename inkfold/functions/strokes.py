@@ -146,3 +146,20 @@ def fitted_axis(low: Column, high: Column, stage: Column, margin: float = BOX_MA
     size = F.least(stage, F.greatest(high - low + 2 * margin, F.lit(least)))
     start = F.greatest(F.lit(0.0), F.least(stage - size, (low + high) / 2 - size / 2))
     return F.struct(start.alias("start"), size.alias("size"))
+
+
+def scaled_stroke(points: Column, width: Column, across: Column, down: Column) -> Column:
+    """struct(points, width) of a stroke on a stage scaled by ``across`` and ``down``; its line grows with the root of the area."""
+    moved = F.transform(points, lambda p: F.struct((p["x"] * across).alias("x"), (p["y"] * down).alias("y")))
+    return F.struct(moved.alias("points"), (width * F.sqrt(across * down)).alias("width"))
+
+
+def scaled_box(x: Column, y: Column, width: Column, height: Column, across: Column, down: Column) -> Column:
+    """struct(x, y, width, height) of a placed icon on a scaled stage."""
+    return F.struct((x * across).alias("x"), (y * down).alias("y"), (width * across).alias("width"), (height * down).alias("height"))
+
+
+def stage_scale(before: Column, after: Column) -> Column:
+    """How much a side of the stage grows; a side that isn't a positive finite number raises."""
+    sound = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (c > 0) & (c.cast("double") < float("inf"))
+    return F.when(sound(before) & sound(after), after.cast("double") / before).otherwise(F.raise_error(F.lit("the sides of a stage must be positive and finite")).cast("double"))

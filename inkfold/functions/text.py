@@ -144,3 +144,8 @@ def shard_urls(index_url: Column, shard: Column) -> Column:
     """struct(codes, meta): the addresses of a shard's two files beside its index document."""
     stem = F.concat(folder_of(index_url), F.lit("shard-"), shard.cast("string"))
     return F.struct(F.concat(stem, F.lit(".bin")).alias("codes"), F.concat(stem, F.lit(".meta.json.gz")).alias("meta"))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Both maps as one; where they share a key the second one's value counts."""
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(second), k)), second)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import raster, vectors
@@ -17,6 +17,37 @@ BLANK = b"\x00" * 4096
 Encoder = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+#: The shape of a model's metadata; shapes mix words and numbers and are read as text.
+METADATA = """
+schemaVersion int, kind string, classes array<string>, rasterizer struct<size: int, padding: double, strokeWidth: double, supersample: int>,
+model struct<format: string, embeddingDim: int, input: struct<name: string, dtype: string, normalization: string, shape: array<string>>,
+  outputs: struct<embedding: struct<name: string, dtype: string, normalization: string, shape: array<string>>, logits: struct<name: string, dtype: string, shape: array<string>>>>
+"""
+
+
+def metadata_problem(m: Column) -> Column:
+    """The first rule that a model's metadata (a struct of METADATA) breaks, or null: what encode() relies on."""
+    raster, model = m["rasterizer"], m["model"]
+    into, embedding, logits = model["input"], model["outputs"]["embedding"], model["outputs"]["logits"]
+    size, text = raster["size"], lambda c: c.cast("string")
+    tensor = lambda t, *shape: t["name"].isNotNull() & (t["dtype"] == "float32") & (t["shape"] == F.array(F.lit("batch"), *shape))
+    room = (size > 0) & (raster["supersample"] > 0) & (raster["padding"] >= 0) & (raster["strokeWidth"] > 0) & (size - 2 * (raster["padding"] + raster["strokeWidth"] / 2) > 0)
+    rules = {
+        "kind": (m["schemaVersion"] == 1) & (m["kind"] == "sketch-embedder"),
+        "classes": (F.size(m["classes"]) >= 2) & (F.size(F.array_distinct(m["classes"])) == F.size(m["classes"])) & ~F.exists(m["classes"], lambda c: c.isNull() | (c == "")),
+        "rasterizer": room,
+        "format": model["format"] == "ONNX",
+        "dimension": model["embeddingDim"] >= 8,
+        "input": tensor(into, F.lit("1"), text(size), text(size)) & (into["normalization"] == "uint8 / 255"),
+        "embedding": tensor(embedding, text(model["embeddingDim"])) & (embedding["normalization"] == "L2"),
+        "logits": tensor(logits, text(F.size(m["classes"]))),
+    }
+    problem = F.lit(None).cast("string")
+    for what, holds in reversed(rules.items()):
+        problem = F.when(~F.coalesce(holds, F.lit(False)), F.lit(what)).otherwise(problem)
+    return problem
+
+
 def onnx_encoder(model: bytes) -> Encoder:
     """An encoder from an ONNX model with outputs embedding and logits; the session opens once per worker."""
     state: dict = {}

@@ -801,6 +801,42 @@ def svg_rasters(spark, sf):
     return rows.select("id", F.col("r.status").cast("int").alias("status"), F.sha2("r.bitmap", 256).alias("digest"))
 
 
+@query(f"""WITH {_STROKES} SELECT drawing_id, seq, round(x * 640.0::DOUBLE / 1000, 4) AS x, round(y * 450.0::DOUBLE / 800, 4) AS y, round(2.5::DOUBLE * sqrt(0.64::DOUBLE * 0.5625::DOUBLE), 6) AS width FROM p""")
+def scaled_scene(spark, sf):
+    """Every stroke's points after the stage went from 1000 x 800 to 640 x 450."""
+    across, down = (strokes.stage_scale(F.lit(a), F.lit(b)) for a, b in ((1000, 640), (800, 450)))
+    points = strokes.decode_stroke3(_strokes(spark, sf))
+    stroke = strokes.scaled_stroke(F.array(F.struct("x", "y")), F.lit(2.5), across, down)
+    rows = points.select("drawing_id", "seq", stroke.alias("s"))
+    return rows.select("drawing_id", "seq", F.round(F.col("s.points")[0]["x"], 4).alias("x"), F.round(F.col("s.points")[0]["y"], 4).alias("y"), F.round("s.width", 6).alias("width"))
+
+
+@query("""SELECT user_id, event_type, arg_max(round(value, 4), (event_id % 3, event_id)) AS value FROM (SELECT * FROM events WHERE event_id % 3 = 0 UNION ALL SELECT * FROM events WHERE event_id % 3 > 0) GROUP BY user_id, event_type""")
+def merged_maps(spark, sf):
+    """Three maps for each user, of the last value of each type among a third of the events; of equal keys the later map counts."""
+    last = _read(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 3).alias("third"), "event_type").agg(F.max_by("value", "event_id").alias("value"))
+    maps = last.groupBy("user_id").pivot("third", [0, 1, 2]).agg(F.map_from_entries(F.collect_list(F.struct("event_type", "value"))))
+    none = F.create_map().cast("map<string,double>")
+    first, second, third = (F.coalesce(F.col(str(i)), none) for i in range(3))
+    return maps.select("user_id", F.explode(text.merged(text.merged(first, second), third)).alias("event_type", "value")).withColumn("value", F.round("value", 4))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 10 WHEN 1 THEN 'kind' WHEN 2 THEN 'classes' WHEN 3 THEN 'rasterizer' WHEN 4 THEN 'format' WHEN 5 THEN 'dimension' WHEN 6 THEN 'input' WHEN 7 THEN 'embedding' WHEN 8 THEN 'logits' WHEN 9 THEN 'classes' END AS problem FROM customer""")
+def metadata_problems(spark, sf):
+    """The metadata of a model for each customer, with one kind of damage in each of nine residues."""
+    k, dim = F.col("c_custkey") % 10, F.when(F.col("c_custkey") % 10 == 5, F.lit("7")).otherwise((F.col("c_custkey") % 50 + 8).cast("string"))
+    pick = lambda bad, broken, good: F.when(k == bad, F.lit(broken)).otherwise(F.lit(good))
+    size = pick(3, "6", "64")
+    json = F.concat(
+        F.lit('{"schemaVersion":1,"kind":"'), pick(1, "classifier", "sketch-embedder"), F.lit('","classes":["'), F.col("c_name"), F.lit('","'), F.when(k == 2, F.col("c_name")).when(k == 9, F.lit("")).otherwise(F.lit("other")),
+        F.lit('"],"rasterizer":{"size":'), size, F.lit(',"padding":4,"strokeWidth":2.5,"supersample":4},"model":{"format":"'), pick(4, "TFLite", "ONNX"), F.lit('","embeddingDim":'), dim,
+        F.lit(',"input":{"name":"image","dtype":"float32","normalization":"'), pick(6, "none", "uint8 / 255"), F.lit('","shape":["batch",1,'), size, F.lit(","), size,
+        F.lit(']},"outputs":{"embedding":{"name":"embedding","dtype":"float32","normalization":"'), pick(7, "L1", "L2"), F.lit('","shape":["batch",'), dim, F.lit(']},"logits":{"name":"logits","dtype":"float32","shape":["batch",'), pick(8, "3", "2"), F.lit("]}}}}"),
+    )
+    rows = _read(spark, sf, "customer").select("c_custkey", F.from_json(json, encoder.METADATA).alias("m"))
+    return rows.select("c_custkey", encoder.metadata_problem(F.col("m")).alias("problem"))
+
+
 def block_encoder(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A stand-in encoder: the mean ink of 8 x 8 blocks at length 1, the first ten of them for logits."""
     v = images.reshape(-1, 8, 8, 8, 8).mean(axis=(2, 4)).reshape(len(images), 64)
@@ -969,9 +1005,9 @@ def progress_round_trip(spark, sf):
     return rows.join(reviewed.withColumn("r", F.lit(True)), "class", "left").select("class", "candidate_id", "decision", F.coalesce("r", F.lit(False)).alias("reviewed"))
 
 
-@query("SELECT count(DISTINCT c) AS commits, count(DISTINCT c) = 1 AS agree FROM (SELECT n_regionkey AS c FROM nation WHERE n_regionkey < 2 UNION ALL SELECT r_regionkey FROM region WHERE r_regionkey < 2)")
+@query("SELECT count(DISTINCT c) AS commits, count(DISTINCT c) = 1 AS agree FROM (SELECT n_regionkey AS c FROM nation UNION ALL SELECT r_regionkey FROM region)")
 def same_commit(spark, sf):
-    commits = [_read(spark, sf, t).select(F.col(c).cast("string").alias("commit")).where("commit < '2'") for t, c in (("nation", "n_regionkey"), ("region", "r_regionkey"))]
+    commits = [_read(spark, sf, t).select(F.col(c).cast("string").alias("commit")) for t, c in (("nation", "n_regionkey"), ("region", "r_regionkey"))]
     return dataset.same_commit(*commits)
 
 

@@ -157,3 +157,13 @@ def test_point_filters_and_svg_output(spark):
     assert out.d == '<circle cx="0" cy="0" r="1.5" fill="&quot;"/>'
     d2 = spark.range(1).select(strokes.segment_distance2(*map(F.lit, (5.0, 3.0, 0.0, 0.0, 10.0, 0.0))).alias("d")).first().d
     assert d2 == 9.0
+
+
+def test_a_scaled_stage(spark):
+    row = spark.createDataFrame([([(2.0, 3.0), (4.0, 0.0)], 3.0)], "p array<struct<x:double,y:double>>, w double")
+    across, down = strokes.stage_scale(F.lit(10), F.lit(40)), strokes.stage_scale(F.lit(8.0), F.lit(8.0))
+    out = row.select(strokes.scaled_stroke(F.col("p"), F.col("w"), across, down).alias("s"), strokes.scaled_box(*map(F.lit, (1.0, 2.0, 5.0, 6.0)), across, down).alias("b")).first()
+    assert [tuple(p) for p in out.s.points] == [(8, 3), (16, 0)] and out.s.width == 6 and tuple(out.b) == (4, 2, 20, 6)
+    for bad in (0, -1, float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="positive and finite"):
+            row.select(strokes.stage_scale(F.lit(10), F.lit(bad))).collect()
