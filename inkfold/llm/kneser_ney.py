@@ -10,9 +10,11 @@
 3. The log-likelihood of each run goes back to the packs that asked for it, which give each document its
    perplexity.
 4. One in ``CALIBRATES`` trusted documents, by the CRC of doc_id, trains nothing: these show what the model makes of good
-   text that it hasn't seen. A document is rejected if its perplexity lies above the ``QUANTILE`` of those of its
-   language. A language with fewer than ``FEW`` of them has the larger one of its own quantile and that of all; without
-   any such document the quantile of the trained ones counts.
+   text that it hasn't seen. A document is rejected if its perplexity lies above the ``QUANTILE`` of its language. That
+   is the language's own mean (of logarithms) and, on top of it, the quantile of what its documents differ from it; this
+   difference is drawn to that of all languages' documents from their own means, with the weight of ``PRIOR`` documents,
+   so a few documents say where a language lies and many how far it spreads. A language without any, and a null one, has
+   the quantile of all of them; where none is held out, that of the trained ones.
 
 Characters are UTF-16 units of 16 bits, so a run of four is one number and none is lost: a character beyond the basic
 plane is two units. 0 stands before a text; a NUL in a text counts as U+FFFF, which is no character.
@@ -37,8 +39,8 @@ from .common import each_time, packed, partitions, small, stored, unpacked, with
 ORDER = 4
 BITS = 16
 QUANTILE = 0.995
-#: One in so many trusted documents is held out for the thresholds; fewer than so many tell little of a quantile.
-CALIBRATES, FEW = 5, 200
+#: One in so many trusted documents is held out for the thresholds; the spread of all languages counts like so many.
+CALIBRATES, PRIOR = 5, 200
 PACK_BYTES = 8 << 20
 _PART = 1 << 20
 
@@ -162,11 +164,16 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     trusted = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
     trusted = stored(trusted.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % CALIBRATES == 0).alias("held")))
     scored = stored(perplexities(docs, trusted.where("not held")))
-    known = with_key(scored.where("perplexity is not null"), trusted, ["doc_id"]).where("held is not null")
-    level = lambda held: F.percentile_approx(F.when(F.col("held") == held, F.col("perplexity")), quantile, 10000)
-    by_lang = known.where("lang is not null and held").groupBy(F.col("lang").alias("t_lang")).agg(level(True).alias("own"), F.count("*").alias("n"))
-    overall = known.agg(F.coalesce(level(True), level(False)).alias("overall"))
-    out = scored.join(small(stored(by_lang)), F.col("lang") == F.col("t_lang"), "left").join(F.broadcast(overall))  # one row
-    limit = F.when(F.col("n") >= FEW, F.col("own")).otherwise(F.greatest("own", "overall"))
+    known = stored(with_key(scored.where("perplexity is not null"), trusted, ["doc_id"]).where("held is not null").select("lang", "held", "perplexity", F.ln("perplexity").alias("log")))
+    level = lambda c: F.percentile_approx(c, quantile, 10000)
+    overall = known.agg(F.coalesce(level(F.when(F.col("held"), F.col("perplexity"))), level(F.when(~F.col("held"), F.col("perplexity")))).alias("overall"))
+    held = known.where("held and lang is not null")
+    means = held.groupBy(F.col("lang").alias("t_lang")).agg(F.avg("log").alias("mean"))
+    apart = held.join(small(stored(means)), F.col("lang") == F.col("t_lang")).select("t_lang", "mean", (F.col("log") - F.col("mean")).alias("apart"))
+    by_lang = apart.groupBy("t_lang").agg(F.first("mean").alias("mean"), level("apart").alias("own"), F.count("*").alias("n"))
+    pooled = apart.agg(level("apart").alias("pooled"))
+    out = scored.join(small(stored(by_lang)), F.col("lang") == F.col("t_lang"), "left").join(F.broadcast(overall)).join(F.broadcast(pooled))  # one row each
+    spread = (F.col("n") * F.col("own") + PRIOR * F.col("pooled")) / (F.col("n") + PRIOR)
+    limit = F.coalesce(F.exp(F.col("mean") + spread), F.col("overall"))
     kept = F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.coalesce(limit, F.lit(float("inf"))))
     return out.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round(limit, 6).alias("threshold"), kept.alias("kept"))
