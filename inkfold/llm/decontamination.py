@@ -13,13 +13,15 @@
    must be filled consistently: each value of the item stands for one value of the text. Others are dropped.
 4. A document is contaminated if one item has at least ``coverage`` of its windows in it.
 
-Items with fewer than ``WINDOW`` tokens are one window of their own length. A shape window without slots, or with
-equal values in its slots, is an exact copy up to case and punctuation. All lengths come from one pass over the texts,
-and the patterns need time and stack in proportion to a text, whatever it holds.
+Items with fewer than ``WINDOW`` tokens are one window of their own length. So few words stand in many texts by chance:
+such an item is found only in a text that has no other tokens. A shape window without slots, or with equal values in its
+slots, is an exact copy up to case and punctuation. All lengths come from one pass over the texts, and the patterns need
+time and stack in proportion to a text, whatever it holds.
 
 Cases: null texts and texts without tokens match nothing; a null doc_id is judged like any other; rows that share
 doc_id and text are judged alike; an empty benchmark or table finds nothing; items that are null or have no tokens
-are skipped; extra columns are not read by contaminated(), and clean() returns all columns of its input.
+are skipped; an item is told by its item_id and text, so texts that share an id are judged one by one, and one without id
+counts like any other (all such as one in n_items, and none in item_ids); extra columns are not read by contaminated(), and clean() returns all columns of its input.
 """
 
 from __future__ import annotations
@@ -78,8 +80,9 @@ def _doubled(level: str, step: int) -> Column:
     return F.zip_with(level, F.slice(level, F.lit(step + 1), F.size(level)), lambda h, other: F.xxhash64(h, other))
 
 
-def windows(rows: DataFrame, keys: list[str], lengths: list[int], exact: bool) -> DataFrame:
-    """(keys, length, kind, place, hash) of each run of template tokens of the given lengths.
+def windows(rows: DataFrame, keys: list[str], lengths: list[int], exact: bool, window: int = WINDOW) -> DataFrame:
+    """(keys, length, kind, place, hash) of each run of template tokens of the given lengths; of those below ``window``
+    only where a run is the whole text.
 
     Kind 0 has the template, kind 1 has plain words in it where a run has names or units, and kind 2, if ``exact``
     asks for it, all tokens as they are. Hashes of 2, 4, 8... tokens are made of two of the level below, and a window
@@ -112,7 +115,8 @@ def windows(rows: DataFrame, keys: list[str], lengths: list[int], exact: bool) -
             return F.concat(f"h {n}", F.coalesce(other, F.transform(f"h {n}", lambda h: F.lit(None).cast("long"))), f"e {n}")
         return F.when(F.col(f"p {n}").isNull(), F.col(f"h {n}")).otherwise(F.concat(f"h {n}", other))
 
-    of_length = [F.struct(F.lit(n).alias("length"), F.size(f"h {n}").alias("n"), every(n).alias("hashes")) for n in lengths]
+    alone = lambda n: F.lit(True) if n >= window else F.size(f"h {n}") == 1
+    of_length = [F.struct(F.lit(n).alias("length"), F.size(f"h {n}").alias("n"), F.when(alone(n), every(n)).alias("hashes")) for n in lengths]
     each = split.select(*keys, F.explode(F.array(*of_length)).alias("w"))
     each = each.select(*keys, "w.length", "w.n", F.posexplode("w.hashes").alias("at", "hash")).where(F.col("hash").isNotNull())
     return each.select(*keys, "length", F.floor(F.col("at") / F.col("n")).cast("int").alias("kind"), (F.col("at") % F.col("n")).alias("place"), "hash")
@@ -133,7 +137,7 @@ def _same(keys: list[str], left: str, right: str) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame | None:
-    """(item_id, item_place, kind, hash, length, item_slots) of the items; None if there are none.
+    """(item_id, item_th, item_place, kind, hash, length, item_slots) of the items; None if there are none.
 
     A slot is its place in the window and its value. A window of placeholders alone has no template's hash but that of
     its values, and needs no slots then.
@@ -142,48 +146,49 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame | None:
     sized = items.withColumn("n", F.size(_tokens(F.coalesce(F.col("text"), F.lit(""))))).where("n > 0").withColumn("n", F.least("n", F.lit(window)))
     out = None
     for n in sorted(r[0] for r in sized.select("n").distinct().collect()):  # at most ``window`` lengths
-        part = windows(sized.where(F.col("n") == n), ["item_id", "item_th"], [n], True)
+        part = windows(sized.where(F.col("n") == n), ["item_id", "item_th"], [n], True, window)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return None
     slot = F.transform(F.slice("tokens", F.col("place") + 1, F.col("length")), lambda t, i: F.when(_slotted(t), F.struct(i.alias("at"), t.alias("value"))))
-    out = with_slots(out, items, ["item_id", "item_th"], "item_slots", F.filter(slot, lambda x: x.isNotNull())).withColumnRenamed("place", "item_place").drop("item_th")
+    out = with_slots(out, items, ["item_id", "item_th"], "item_slots", F.filter(slot, lambda x: x.isNotNull())).withColumnRenamed("place", "item_place")
     bare, by_value = F.size("item_slots") == F.col("length"), F.col("kind") == 2
     none = F.filter("item_slots", lambda x: F.lit(False))
     return out.where(F.when(bare, F.col("kind") > 0).otherwise(~by_value)).withColumn("item_slots", F.when(by_value, none).otherwise(F.col("item_slots")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, th, item_id, coverage) for every contaminated text and item."""
+    """(doc_id, th, item_id, item_th, coverage) for every contaminated text and item."""
     items = item_windows(benchmark, window)
     rows = docs.select("doc_id", text_key().alias("th"), "text")
     if items is None:
-        return rows.limit(0).select("doc_id", "th", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"))
+        return rows.limit(0).select("doc_id", "th", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("item_th"), F.lit(None).cast("double").alias("coverage"))
     items = stored(items)
-    wanted = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
+    wanted = items.groupBy(F.col("item_id").alias("w_item_id"), F.col("item_th").alias("w_item_th")).agg(F.countDistinct("item_place").alias("n_windows"))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
     hashes = stored(items.select("hash").distinct())
-    of_docs = windows(rows, ["doc_id", "th"], lengths, not items.where("kind = 2").isEmpty())
+    of_docs = windows(rows, ["doc_id", "th"], lengths, not items.where("kind = 2").isEmpty(), window)
     hits = stored(of_docs.drop("length", "kind").join(small(hashes, MOST_HASHES), "hash", "left_semi"))
     hits = stored(hits.join(small(items), "hash").withColumn("diagonal", F.col("place") - F.col("item_place")).drop("hash", "kind"))
-    where = ["doc_id", "th", "item_id", "diagonal"]
+    item = ["item_id", "item_th"]
+    where = ["doc_id", "th", *item, "diagonal"]
     # each value of the item must stand for one value of the text
     values = F.transform("item_slots", lambda x: F.struct(x["value"].alias("of"), _word(F.get("tokens", F.col("place") + x["at"])).alias("value")))
     slotted = with_slots(hits.where(F.size("item_slots") > 0), rows, ["doc_id", "th"], "slots", values)
     pairs = slotted.select(*where, F.explode("slots").alias("p"))
     broken = pairs.groupBy(*where, F.col("p.of").alias("v")).agg(F.min("p.value").alias("lo"), F.max("p.value").alias("hi")).where("lo <> hi").select(*where).distinct()
     sound = hits.join(broken.select(*[F.col(c).alias(f"b_{c}") for c in where]), _same(where, "", "b_"), "left_anti")
-    share = sound.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("item_place").alias("n")).join(small(stored(wanted)), "item_id")
-    return share.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "th", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"))
+    share = sound.groupBy("doc_id", "th", *item).agg(F.countDistinct("item_place").alias("n")).join(small(stored(wanted)), _same(item, "", "w_"))
+    return share.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "th", *item, (F.col("n") / F.col("n_windows")).alias("coverage"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids (sorted) and the best coverage."""
     found = matches(docs, benchmark, window, coverage)
-    by_doc = stored(found.groupBy(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")))
+    by_doc = stored(found.groupBy(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("item_id").isNull().cast("int")).alias("nameless"), F.max("coverage").alias("coverage")))
     rows = docs.select("doc_id", text_key().alias("th"))
     out = rows.join(small(by_doc), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).alias("n_items"), "item_ids", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids") + F.col("nameless"), F.lit(0)).alias("n_items"), "item_ids", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

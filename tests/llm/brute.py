@@ -228,7 +228,7 @@ def contaminated(docs, items, window=8, coverage=0.5):
         doc, found = template(text), []
         places = defaultdict(list)
         for n in {min(window, len(t)) for _, t in items}:
-            for p in range(len(doc) - n + 1):
+            for p in range(len(doc) - n + 1 if n == window or n == len(doc) else 0):
                 w = doc[p : p + n]
                 typed, words = tuple(t[0] for t in w), tuple(map(plain, w))
                 for key in {("typed", typed), ("typed", words), ("exact", tuple(t[1] for t in w))}:
@@ -403,3 +403,21 @@ def swapped(text, identity, versions):
                 new[j] = v[(i + 1 + turn * max(1, (len(v) - 1) // versions) % (len(v) - 1)) % len(v)]
         out.append("".join(new))
     return [*out, "".join(w for w in cut if w.lower() not in known)]
+
+
+def thresholds(rows, held, q, prior):
+    """(doc_id, lang, perplexity) -> the threshold of each language: its mean logarithm, and a spread drawn to that of all."""
+    level = lambda v: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    known = [(lang, p) for i, lang, p in rows if i in held and p is not None]
+    overall = level([p for _, p in known])
+    logs = defaultdict(list)
+    for lang, p in known:
+        if lang is not None:
+            logs[lang].append(math.log(p))
+    means = {lang: sum(v) / len(v) for lang, v in logs.items()}
+    pooled = level([x - means[lang] for lang, v in logs.items() for x in v])
+    out = {lang: overall for _, lang, _ in rows}
+    for lang, v in logs.items():
+        own = level([x - means[lang] for x in v])
+        out[lang] = math.exp(means[lang] + (len(v) * own + prior * pooled) / (len(v) + prior))
+    return out

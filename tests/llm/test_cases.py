@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -249,19 +250,28 @@ def test_decontamination_cases(spark, docs, none):
     bench = spark.createDataFrame([(7, QUESTION), (8, "tiny item"), (9, None), (10, "?!")], "item_id long, text string")
     rows = [
         (1, f"{BASE} {QUESTION.upper().lower()} {BASE}"), (2, "The train left Berlin at 3 with 17 men, and by 5 in the evening Maria saw 17 men in Berlin again"),
-        (3, "The train left Berlin at 3 with 17 men, and by 5 in the evening Maria saw 18 men in Bremen again"), (4, "The train left London at 7 with 42 men"), (5, "a TINY item here"), (6, None), (6, None), (None, QUESTION), (7, ""),
+        (3, "The train left Berlin at 3 with 17 men, and by 5 in the evening Maria saw 18 men in Bremen again"), (4, "The train left London at 7 with 42 men"), (5, "a TINY item here"), (6, None), (6, None), (None, QUESTION), (7, ""), (8, "TINY\n item!"),
     ]
     texts = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.contaminated, tuple(r.item_ids or ())) for r in decontamination.contaminated(texts, bench).collect()]
     expected = brute.contaminated(rows, [(7, QUESTION), (8, "tiny item"), (10, "?!")])
     assert Counter(got) == Counter((i, bool(f), tuple(x for x, _ in f)) for (i, _), f in zip(rows, expected))
-    assert Counter(got) == Counter({(1, True, (7,)): 1, (2, True, (7,)): 1, (3, False, ()): 1, (4, False, ()): 1, (5, True, (8,)): 1, (6, False, ()): 2, (None, True, (7,)): 1, (7, False, ()): 1})
-    assert Counter(r.doc_id for r in decontamination.clean(texts, bench).collect()) == Counter([3, 4, 6, 6, 7])
+    assert Counter(got) == Counter({(1, True, (7,)): 1, (2, True, (7,)): 1, (3, False, ()): 1, (4, False, ()): 1, (5, False, ()): 1, (6, False, ()): 2, (None, True, (7,)): 1, (7, False, ()): 1, (8, True, (8,)): 1})
+    assert Counter(r.doc_id for r in decontamination.clean(texts, bench).collect()) == Counter([3, 4, 5, 6, 6, 7])
     assert decontamination.contaminated(docs, bench).count() == len(ROWS) and decontamination.clean(docs, bench).columns == docs.columns
     assert decontamination.contaminated(none, bench).count() == 0
     assert not any(r.contaminated for r in decontamination.contaminated(texts, bench.where("false")).collect())
 
 
+def test_items_without_id_or_with_one_for_two_texts(spark):
+    """An item is its id and its text: null ids count, and a text under a shared id isn't measured by the other's windows."""
+    long = "a much longer text under the same number that shares nothing with the short one beside it and goes on for many words more"
+    bench = spark.createDataFrame([(None, QUESTION), (None, "one more nameless item with exactly nine words here"), (3, "a short text of just eight plain words"), (3, long), (4, "Paris"), (5, "What is it")], "item_id long, text string")
+    rows = [(1, f"{BASE} {QUESTION} {BASE}"), (2, "see: a short text of just eight plain words!"), (3, f"{long}. a short text of just eight plain words"), (4, "I saw Paris. What is it like"), (5, "paris"), (6, "what is it?"), (7, f"{QUESTION} one more nameless item with exactly nine words here")]
+    got = {r.doc_id: (r.contaminated, r.n_items, r.item_ids) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (True, 1, []), 2: (True, 1, [3]), 3: (True, 1, [3]), 4: (False, 0, None), 5: (True, 1, [4]), 6: (True, 1, [5]), 7: (True, 1, [])}
+
+
 def test_copies_of_an_item_with_names_in_any_case_and_spacing(spark):
     item = "Which year did Marie Curie win the Nobel Prize in Physics with Pierre Curie at 5 km from Paris"
     other = item.replace("Marie", "Lise").replace("Pierre", "Jean").replace("Curie", "Meitner").replace("Paris", "Vienna")
@@ -278,7 +288,7 @@ def test_numbers_alone_are_no_template(spark):
     r = random.Random(3)
     numbers = lambda n: " ".join(str(r.randint(0, 99)) for _ in range(n))
     item, short = numbers(12), "3 5 7"
-    rows = [(i, numbers(300)) for i in range(20)] + [(50, f"{numbers(50)} {item} {numbers(50)}"), (51, f"so {item.replace(' ', chr(10))}"), (52, "3 5 7 and"), (53, "Then Ann, Bob, Cid, Dan, Eve, Fay, Gus, Hal and 5 km")]
+    rows = [(i, numbers(300)) for i in range(20)] + [(50, f"{numbers(50)} {item} {numbers(50)}"), (51, f"so {item.replace(' ', chr(10))}"), (52, "(3) 5; 7"), (53, "Then Ann, Bob, Cid, Dan, Eve, Fay, Gus, Hal and 5 km")]
     bench = [(1, item), (2, short), (3, "to Ann, Bob, Cid, Dan, Eve, Fay, Gus, Hal")]
     got = {x.doc_id: (x.item_ids or [], x.coverage) for x in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     expected = brute.contaminated(rows, bench)
@@ -421,6 +431,27 @@ def test_kneser_ney_cases(spark, docs, none):
     assert all(r.kept == (r.perplexity is not None) for r in kneser_ney.judge(docs, marks.where("false")).collect())
 
 
+def test_kneser_ney_thresholds_equal_brute(spark):
+    """Thresholds of a large, a small, a single, an unlabelled and a null language, against the same rule over lists."""
+    r = random.Random(12)
+    letters = {"en": "abcdefgh", "de": "abcdxyzuvw", "fr": "mnop", "es": "qrst", None: "abcd"}
+    size = {"en": 260, "de": 40, "fr": 3, "es": 6, None: 8}
+    rows, i = [], 0
+    for lang, n in size.items():
+        for _ in range(n):
+            rows.append((i, lang, " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(2, 5))) for _ in range(r.randint(1, 12)))))
+            i += 1
+    trusted = [i for i, lang, _ in rows if lang != "es" and i % 7]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {x.doc_id: x for x in kneser_ney.judge(df, spark.createDataFrame([(i, 1) for i in trusted], "doc_id long, quality int"), quantile=0.9).collect()}
+    held = {i for i in trusted if zlib.crc32(str(i).encode()) % 5 == 0}
+    expected = brute.thresholds([(i, lang, got[i].perplexity) for i, lang, _ in rows], held, 0.9, kneser_ney.PRIOR)
+    assert {lang for i, lang, _ in rows if i in held} >= {"en", "de", None}
+    for i, lang, _ in rows:
+        assert abs(got[i].threshold - expected[lang]) < 1e-5 and got[i].kept == (got[i].perplexity <= got[i].threshold)
+    assert len({round(t, 4) for t in expected.values()}) >= 3
+
+
 def test_kneser_ney_is_a_distribution(spark):
     """The probabilities of all characters after a seen context sum to one, with the share of unseen ones."""
     text = "abracadabra abracadabra banana bandana cabana " * 3
