@@ -1,20 +1,23 @@
 """Surrogates for personal data; DataFrame functions only.
 
-Detection. One pattern finds e-mail addresses, IPv4 addresses, card and social-security numbers, phone numbers (with a
-country code, or as ten digits in three groups), long hexadecimal secrets and names after a title; names without a
-title are not told from other words. Its parts need time and stack in proportion to a text, whatever it holds; an
-e-mail address has at most 64 characters before its @ and 127 labels behind, and of more the last ones are taken. A
-text is cut at its matches, and put together again with the surrogates in their places, so the rest never changes.
+Detection. One pattern finds e-mail addresses, IPv4 and IPv6 addresses, card and social-security numbers, phone numbers
+(with a country code, or as ten digits in three groups), long hexadecimal secrets and names after one title or several: any
+number of capitalised parts up to six, with hyphens, apostrophes, initials and particles. A full name that has been found
+is looked for once more in its text, where it has no title; other names without one are not told from other words. The
+pattern's parts need time and stack in proportion to a text, whatever it holds; an e-mail address has at most 64 characters
+before its @ and 127 labels behind, and of more the last ones are taken. A text is cut at its matches, and put together
+again with the surrogates in their places, so the rest never changes.
 
 Surrogates. What identifies an entity is its letters (in lower case) and digits. Their sequence is encrypted by a
 keyed Feistel walk that keeps the class of every character (digit, Latin, Cyrillic or Greek letter; octets of an
 address keep their number of digits and stay below 256), which is a bijection on each format: different entities
 get different surrogates, equal ones the same in every document and every spelling, and case, separators, top-level
-domain and country code stay as they are. First and family names are replaced each by itself, so "Mr. John Smith" and
-"Mr. Smith" still share a family name: syllables of their script (Latin, Cyrillic or Greek; Latin for others) encode a
-keyed hash, and a first name ends as the title's gender has it. A name in capitals stays in capitals.
+domain and country code stay as they are. A card number whose last digit checks the others (Luhn) gets one that does. First
+and family names are replaced each by itself, so "Mr. John Smith" and "Mr. Smith" still share a family name: syllables of
+their script (Latin, Cyrillic or Greek; Latin for others) encode a keyed hash, and a first name ends as the titles' gender
+has it, if they have one. A name in capitals stays in capitals, an initial is another initial, and particles stay.
 
-Collision checks. The distinct entities and name parts are compared once: a surrogate that equals a real entity, or
+Collision checks. The distinct entities and name parts, but for initials, are compared once: a surrogate that equals a real entity, or
 another one's surrogate, is drawn again with a tweak until none does. Where real entities leave no room in their
 format, addresses may change their number of digits and e-mail addresses get longer from the ``WIDER``th draw on. Those
 are few; only documents that hold one are joined with the table of redrawn entities.
@@ -36,39 +39,65 @@ NEW = ["n_entities", "entity_types"]
 WIDER, LAST = 4, 100
 
 #: Titles by the gender they say.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"]}
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"], "n": ["Dr", "Prof"]}
+#: Words between the parts of a name that stay.
+PARTICLES = "von van der den de del della di da dos du la le zu zur bin ibn al".split()
 #: Syllables of names by script.
 SYLLABLES = {"latin": "ba de fi go ku la me ni po ru sa te vi wo xa ze".split(), "cyrillic": "ба де фи го ку ла ме ни по ру са те ви во жа зе".split(), "greek": "βα δε φι γο κυ λα με νι πο ρυ σα τε θι ξο χα ζε".split()}
 #: How first names end by script and gender.
-ENDINGS = {"latin": {"f": "lia", "m": "rio"}, "cyrillic": {"f": "лия", "m": "рий"}, "greek": {"f": "λία", "m": "ριος"}}
+ENDINGS = {"latin": {"f": "lia", "m": "rio", "n": "ren"}, "cyrillic": {"f": "лия", "m": "рий", "n": "рен"}, "greek": {"f": "λία", "m": "ριος", "n": "ρεν"}}
 #: Letters that stay within their alphabet.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 
 _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_WHITE = r"[\s  ]{1,8}+"
+#: One title or several, with what separates them from the name.
+_TITLES = rf"(?:{_TITLE})(?:\.?{_WHITE}(?:{_TITLE})(?![\p{{L}}\p{{M}}]))*+\.?{_WHITE}"
+#: A part of a name, and what stands between two of them: a blank within a line, after an initial with its point.
+_PART = r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*+(?:['’\-‐‑]\p{Lu}[\p{L}\p{M}]*+)*+"
+_GAP = rf"(?:(?<=[^\p{{L}}\p{{M}}]\p{{Lu}})\.)?[ \t  ]{{1,8}}+(?:(?:{'|'.join(PARTICLES)})[ \t  ]{{1,8}}+){{0,3}}+"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){0,126}\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9\-.(])(?:\([0-9]{3}\) ?|[0-9]{3}[\-.])[0-9]{3}[\-.][0-9]{4}(?![0-9\-])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}})(?![0-9A-Za-z:])",
+    "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9\-.(])(?:\([0-9]{3}\) ?|[0-9]{3}[\-.])[0-9]{3}[\-.][0-9]{4}(?![0-9\-])|(?<![0-9\-.(])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?![0-9\-]| [0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9\-])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{1,7}(?![0-9\-]*[0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
+    "name": rf"(?<![\p{{L}}\p{{M}}]){_TITLES}(?:(?:{'|'.join(PARTICLES)})[ \t]{{1,8}}+){{0,3}}+{_PART}(?:{_GAP}{_PART}){{0,5}}+",
 }
+KINDS = ["secret", "card", "ssn", "phone", "ipv6", "ip", "email"]
 PATTERN = "|".join(PATTERNS.values())
 #: What every text with an entity has: a quick look before the pattern.
-HINT = rf"@|[0-9][0-9. ()\-]{{5,}}|[0-9a-fA-F]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"@|[0-9][0-9. ()\-]{{5,}}|[0-9a-fA-F]{{32}}|{_HEX}:{_HEX}:|(?:{_TITLE})\.?{_WHITE}\p{{L}}"
 ROUNDS = 4
 
 
-def entities(text: Column) -> Column:
+def entities(text: Column, pattern: Column) -> Column:
     """The matches in order."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, pattern, F.lit(0))
+
+
+def with_known_names(ents: Column) -> Column:
+    """The pattern for a text with these entities: full names found in it are found without their titles as well."""
+    full = F.filter(F.array_distinct(F.transform(F.filter(ents, lambda e: _title(e) != ""), _untitled)), lambda n: n.rlike(rf"^{_PART}{_GAP}{_PART}"))
+    # a longer name is tried before one that it begins with
+    longest = F.transform(F.sort_array(F.transform(full, lambda n: F.struct(F.length(n).alias("n"), n.alias("name"))), asc=False), lambda s: F.concat(F.lit("\\Q"), s["name"], F.lit("\\E")))
+    more = F.concat(F.lit(rf"{PATTERN}|(?<![\p{{L}}\p{{M}}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    return F.when(F.size(full) > 0, more).otherwise(F.lit(PATTERN))
+
+
+def source(e: Column, ents: Column) -> Column:
+    """The entity that says what ``e`` is: for a name without a title the first one that has one, else itself."""
+    titled = F.filter(ents, lambda t: (_title(t) != "") & (_untitled(t) == e))
+    return F.when((_title(e) == "") & (F.size(titled) > 0), F.get(titled, F.lit(0))).otherwise(e)
 
 
 def entity_type(e: Column) -> Column:
     out = F.lit("name")
-    for kind in ["secret", "card", "ssn", "phone", "ip", "email"]:
+    for kind in KINDS:
         out = F.when(e.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
     return out
 
@@ -140,25 +169,50 @@ def _syllables(digits: Column, script: str) -> Column:
 
 
 def _title(e: Column) -> Column:
-    """The title of a name with what separates it, empty for other entities."""
-    return F.regexp_extract(e, rf"^(?:{_TITLE})\.? ", 0)
+    """The titles of a name with what separates them, empty for other entities."""
+    return F.regexp_extract(e, rf"^{_TITLES}", 0)
+
+
+def _untitled(e: Column) -> Column:
+    return F.regexp_replace(e, rf"^{_TITLES}", "")
+
+
+def _gender(e: Column) -> Column:
+    """f, m or n, by the first of a name's titles that says one."""
+    said = lambda g: F.regexp_instr(_title(e), F.lit(rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(TITLES[g])})(?![\p{{L}}\p{{M}}])"))
+    f, m = said("f"), said("m")
+    return F.when((f > 0) & ((m == 0) | (f < m)), F.lit("f")).when(m > 0, F.lit("m")).otherwise(F.lit("n"))
 
 
 def pieces(e: Column, kind: Column) -> Column:
-    """array<struct<kind, e>>: what gets a surrogate of its own; of a name its first and family name, else the whole."""
-    gender = F.when(F.regexp_replace(_title(e), r"\.? $", "").isin(TITLES["f"]), F.lit("first f")).otherwise(F.lit("first m"))
-    words = F.split(F.regexp_replace(e, rf"^(?:{_TITLE})\.? ", ""), " ")
-    named = lambda ws: F.transform(ws, lambda w, i: F.struct(F.when(i < F.size(ws) - 1, gender).otherwise(F.lit("family")).alias("kind"), w.alias("e")))
+    """array<struct<kind, e>>: what gets a surrogate of its own; of a name its first and family names, else the whole."""
+    words = F.regexp_extract_all(_untitled(e), F.lit(_PART), F.lit(0))
+    place = lambda w, i, ws: F.when(F.length(w) == 1, F.lit("initial")).when(i < F.size(ws) - 1, F.concat(F.lit("first "), _gender(e))).otherwise(F.lit("family"))
+    named = lambda ws: F.transform(ws, lambda w, i: F.struct(place(w, i, ws).alias("kind"), w.alias("e")))
     return F.when(kind == "name", _let(words, named)).otherwise(F.array(F.struct(kind.alias("kind"), e.alias("e"))))
 
 
+def _named(e: Column, parts: Column) -> Column:
+    """A name with other parts in the places of its own; titles, blanks and particles stay."""
+    return F.concat(_title(e), _rebuilt(_untitled(e), parts, F.lit(_PART)))
+
+
+def _luhn(digits: Column) -> Column:
+    """The sum of digits that is a multiple of ten where the last one checks the others."""
+    doubled = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+    each = F.transform(digits, lambda d, i: F.when(F.pmod(F.size(digits) - i, F.lit(2)) == 0, doubled(d.try_cast("int"))).otherwise(d.try_cast("int")))
+    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+
+
 def _name(part: Column, kind: Column, tweak: Column, key: str) -> Column:
     """The surrogate of a first or family name."""
     draw = F.md5(F.concat_ws("\x00", F.lit(key), tweak.cast("string"), kind, F.lower(part)).cast("binary"))
     out = None
     for script, name in (("cyrillic", "IsCyrillic"), ("greek", "IsGreek"), ("latin", None)):
         first = lambda g: F.concat(_syllables(F.substring(draw, 1, 7), script), F.lit(ENDINGS[script][g]))  # noqa: E731, B023
-        made = F.when(kind == "first f", first("f")).when(kind == "first m", first("m")).otherwise(_syllables(F.substring(draw, 1, 8), script))
+        made = _syllables(F.substring(draw, 1, 8), script)
+        for g in ENDINGS[script]:
+            made = F.when(kind == f"first {g}", first(g)).otherwise(made)
         fits = part.rlike(rf"\p{{{name}}}") if name else F.lit(True)
         out = F.when(fits, made) if out is None else out.when(fits, made)
     return _let(out, lambda s: F.when(part == F.upper(part), F.upper(s)).otherwise(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 64))))
@@ -169,7 +223,10 @@ def surrogate(e: Column, kind: Column, tweak: Column, key: str) -> Column:
 
     def plain(x: Column) -> Column:
         bare = F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), "")
-        walked = lambda units: _walk(units, tweak, key, lambda c, by: _shift(c, by, kind == "secret"))
+        free = lambda units: _walk(units, tweak, key, lambda c, by: _shift(c, by, kind.isin("secret", "ipv6")))
+        check = lambda units: F.concat(units, F.array(F.pmod(-_luhn(F.concat(units, F.array(F.lit("0")))), F.lit(10)).cast("string")))
+        checked = lambda units: _let(free(F.slice(units, F.lit(1), F.size(units) - 1)), check)
+        walked = lambda units: F.when((kind == "card") & (F.pmod(_luhn(units), F.lit(10)) == 0), checked(units)).otherwise(free(units))
         # a secret may be very long, but has one case and nothing else in it
         secret = _let(F.array_join(_let(bare, walked), ""), lambda s: F.when(x == F.lower(x), s).otherwise(F.upper(s)))
         return F.when(kind == "secret", secret).otherwise(_dressed(x, _let(bare, walked)))
@@ -182,22 +239,22 @@ def surrogate(e: Column, kind: Column, tweak: Column, key: str) -> Column:
     longer = F.when((kind == "email") & (tweak >= WIDER), _syllables(F.substring(F.md5(F.concat_ws("\x00", F.lit(key), tweak.cast("string"), F.lower(e)).cast("binary")), 1, 8), "latin")).otherwise(F.lit(""))
     other = _let(parts, lambda p: F.concat(p["code"], longer, _let(core(p), plain), p["domain"]))
     octets = F.array_join(_let(F.split(e, r"\."), lambda units: _walk(units, tweak, key, _shift_octet(tweak))), ".")
-    return F.when(kind == "ip", octets).when(kind.isin("first f", "first m", "family"), _name(e, kind, tweak, key)).otherwise(other)
+    return F.when(kind == "ip", octets).when(kind.startswith("first ") | (kind == "family"), _name(e, kind, tweak, key)).otherwise(other)
 
 
-def _replaced(key: str):
-    """The first surrogate of an entity whose type isn't known yet."""
+def _replaced(e: Column, said: Column, key: str) -> Column:
+    """The first surrogate of an entity whose type isn't known yet; ``said`` is its source()."""
 
-    def whole(e: Column, kind: Column) -> Column:
-        parts = F.transform(pieces(e, kind), lambda p: surrogate(p["e"], p["kind"], F.lit(0), key))
-        return F.when(kind == "name", F.concat(_title(e), F.array_join(parts, " "))).otherwise(surrogate(e, kind, F.lit(0), key))
+    def whole(kind: Column) -> Column:
+        parts = F.transform(pieces(said, kind), lambda p: surrogate(p["e"], p["kind"], F.lit(0), key))
+        return F.when(kind == "name", _named(e, parts)).otherwise(surrogate(e, kind, F.lit(0), key))
 
-    return lambda e: _let(entity_type(e), lambda kind: whole(e, kind))
+    return _let(entity_type(e), whole)
 
 
-def _rebuilt(text: Column, new: Column) -> Column:
-    """``text`` with its entities replaced by ``new`` in order."""
-    between = F.split(text, PATTERN, -1)
+def _rebuilt(text: Column, new: Column, pattern: Column) -> Column:
+    """``text`` with the matches of a pattern replaced by ``new`` in order."""
+    between = F.split(text, pattern, -1)
     return F.array_join(F.flatten(F.zip_with(between, new, lambda b, n: F.array(b, F.coalesce(n, F.lit(""))))), "")
 
 
@@ -230,32 +287,36 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     sealed = Sealed(docs)
     text = sealed["text"]
     # most texts hold no digit next to another, no @ and no title: they skip the pattern
-    ents = F.coalesce(F.when(text.rlike(HINT), entities(text)), F.array().cast("array<string>"))
-    found = sealed.df.select(F.explode(F.array_distinct(ents)).alias("e")).distinct()
-    found = found.select(F.explode(pieces(F.col("e"), entity_type(F.col("e")))).alias("p")).select("p.kind", "p.e").distinct()
+    none = F.array().cast("array<string>")
+    marked = sealed.df.withColumn("ents", F.coalesce(F.when(text.rlike(HINT), entities(text, F.lit(PATTERN))), none))
+    marked = marked.withColumn("pattern", F.when(F.exists("ents", lambda e: _title(e) != ""), with_known_names(F.col("ents"))).otherwise(F.lit(PATTERN)))
+    marked = marked.withColumn("ents", F.when(F.col("pattern") != PATTERN, entities(text, F.col("pattern"))).otherwise(F.col("ents")))
+    marked = marked.withColumn("said", F.transform("ents", lambda e: F.when(F.col("pattern") != PATTERN, source(e, F.col("ents"))).otherwise(e)))
+    found = marked.select(F.explode(F.array_distinct("said")).alias("e")).distinct()
+    found = found.select(F.explode(pieces(F.col("e"), entity_type(F.col("e")))).alias("p")).select("p.kind", "p.e").where("kind <> 'initial'").distinct()
     again = stored(redrawn(stored(found), key))
 
-    marked = sealed.df.withColumn("ents", ents)
     typed = marked.withColumn("n_entities", F.size("ents").cast("long")).withColumn("entity_types", F.array_sort(F.array_distinct(F.transform("ents", entity_type))))
 
     def result(rows: DataFrame, new: Column) -> DataFrame:
-        made = F.when(F.size("ents") > 0, _rebuilt(text, new)).otherwise(text)
+        made = F.when(F.size("ents") > 0, _rebuilt(text, new, F.col("pattern"))).otherwise(text)
         where = [c.lower() for c in docs.columns].index("text")
         return rows.select(*[(made if c == f"in {where}" else F.col(c)).alias(c) for c in sealed.df.columns], *NEW).select(*sealed.back(NEW), *NEW)
 
     if again.isEmpty():
-        return result(typed, F.transform("ents", _replaced(key)))
+        return result(typed, F.zip_with("ents", "said", lambda e, said: _replaced(e, said, key)))
     # documents that hold a redrawn piece are put together from joined surrogates
     some = stored(typed.where(F.size("ents") > 0).withColumn("row", F.monotonically_increasing_id()))
     rows = some.unionByName(typed.where(F.size("ents") == 0).withColumn("row", F.lit(-1).cast("long")))
-    each = some.select("row", F.posexplode("ents").alias("at", "e")).withColumn("title", _title(F.col("e")))
-    each = each.select("row", "at", "title", F.posexplode(pieces(F.col("e"), entity_type(F.col("e")))).alias("k", "p")).select("row", "at", "title", "k", "p.kind", "p.e")
+    each = some.select("row", F.posexplode(F.arrays_zip("ents", "said")).alias("at", "x")).select("row", "at", F.col("x.ents").alias("own"), F.col("x.said").alias("said"))
+    each = each.select("row", "at", "own", F.posexplode(pieces(F.col("said"), entity_type(F.col("said")))).alias("k", "p")).select("row", "at", "own", "k", "p.kind", "p.e")
     each = each.join(small(again), (F.col("kind") == F.col("r_kind")) & (canonical(F.col("e"), F.col("kind")) == F.col("r_c")), "left")
     drawn = surrogate(F.col("e"), F.col("kind"), F.coalesce("tweak", F.lit(0)), key)
-    named = F.when(F.col("kind").isin("first f", "first m", "family"), F.col("title")).otherwise(F.lit(""))
-    each = each.select("row", "at", "tweak", named.alias("head"), F.struct("k", drawn.alias("s")).alias("made"))
-    whole = each.groupBy("row", "at").agg(F.max("tweak").alias("most"), F.first("head").alias("head"), F.array_sort(F.collect_list("made")).alias("parts")).where("most > 0")
-    whole = whole.select(F.col("row").alias("x_row"), F.struct("at", F.concat("head", F.array_join(F.transform("parts", lambda m: m["s"]), " ")).alias("s")).alias("x"))
+    part = F.col("kind").startswith("first ") | F.col("kind").isin("family", "initial")
+    each = each.select("row", "at", "tweak", "own", part.alias("named"), F.struct("k", drawn.alias("s")).alias("made"))
+    whole = each.groupBy("row", "at").agg(F.max("tweak").alias("most"), F.first("own").alias("own"), F.first("named").alias("named"), F.array_sort(F.collect_list("made")).alias("parts")).where("most > 0")
+    new = F.when(F.col("named"), _named(F.col("own"), F.transform("parts", lambda m: m["s"]))).otherwise(F.col("parts")[0]["s"])
+    whole = whole.select(F.col("row").alias("x_row"), F.struct("at", new.alias("s")).alias("x"))
     fixes = whole.groupBy("x_row").agg(F.map_from_entries(F.collect_list("x")).alias("fixes"))
-    joined = rows.join(fixes, F.col("row") == F.col("x_row"), "left")
-    return result(joined, F.transform("ents", lambda e, i: F.coalesce(F.try_element_at("fixes", i), _replaced(key)(e))))
+    joined = rows.join(fixes, F.col("row") == F.col("x_row"), "left").withColumn("each", F.arrays_zip("ents", "said"))
+    return result(joined, F.transform("each", lambda x, i: F.coalesce(F.try_element_at("fixes", i), _replaced(x["ents"], x["said"], key))))

@@ -257,27 +257,46 @@ def contaminated(docs, items, window=8, coverage=0.5):
     return out
 
 
+def luhn(digits):
+    """Whether the last digit checks the others."""
+    return sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
 def surrogates(texts, key):
     """The texts with surrogates for their entities, and the number of entities in each; draws again until no two meet."""
-    from inkfold.llm.pii_surrogates import ALPHABETS, ENDINGS, PATTERNS, SYLLABLES, TITLES, WIDER  # fixed values
+    from inkfold.llm.pii_surrogates import _GAP, _PART, _TITLES, ALPHABETS, ENDINGS, PATTERNS, SYLLABLES, TITLES, WIDER  # fixed values
 
-    pattern = regex.compile("|".join(PATTERNS.values()))
-    title = regex.compile("(?:%s)\\.? " % "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True)))
+    found = "|".join(PATTERNS.values())
+    head_of = lambda e: (regex.match(_TITLES, e) or [""])[0]
     bare = lambda x: "".join(c for c in x.lower() if regex.match(r"[\p{L}\p{N}]", c))
     canon = lambda kind, x: x if kind == "ip" else bare(x)
     digest = lambda f, *parts: f("\x00".join(parts).encode()).hexdigest()
 
     def kind_of(e):
-        return next((k for k in ("email", "ip", "phone", "ssn", "card", "secret") if regex.fullmatch(PATTERNS[k], e)), "name")
+        return next((k for k in ("email", "ip", "ipv6", "phone", "ssn", "card", "secret") if regex.fullmatch(PATTERNS[k], e)), "name")
+
+    def entities(text):
+        """The matches with what says what they are: for a name without a title the first one with one."""
+        first = list(regex.finditer(found, text or ""))
+        full = {m[0][len(head_of(m[0])) :] for m in first if head_of(m[0])}
+        full = sorted((n for n in full if regex.match(_PART + _GAP + _PART, n)), key=lambda n: (-len(n), [-ord(c) for c in n]))
+        if not full:
+            return [(m, m[0]) for m in first]
+        again = rf"{found}|(?<![\p{{L}}\p{{M}}])(?:{'|'.join(map(regex.escape, full))})(?![\p{{L}}\p{{M}}])"
+        every = list(regex.finditer(again, text))
+        titled = {}
+        for m in every:
+            if head_of(m[0]):
+                titled.setdefault(m[0][len(head_of(m[0])) :], m[0])
+        return [(m, m[0] if head_of(m[0]) else titled.get(m[0], m[0])) for m in every]
 
     def pieces(e):
         kind = kind_of(e)
         if kind != "name":
-            return "", [(kind, e)]
-        head = title.match(e)[0]
-        first, *rest = e[len(head) :].split(" ")
-        gender = "first f" if regex.sub(r"\.? $", "", head) in TITLES["f"] else "first m"
-        return head, [(gender, first), ("family", rest[0])] if rest else [("family", first)]
+            return [(kind, e)]
+        said = [g for t in regex.findall(r"[\p{L}\p{M}]+", head_of(e)) for g in "fm" if t in TITLES[g]]
+        words = regex.findall(_PART, e[len(head_of(e)) :])
+        return [("initial" if len(w) == 1 else "first " + (said or ["n"])[0] if i < len(words) - 1 else "family", w) for i, w in enumerate(words)]
 
     def walk(units, tweak, shift):
         cut = max(len(units) // 2, 1)
@@ -290,7 +309,7 @@ def surrogates(texts, key):
 
     def letter(kind):
         def shift(c, by):
-            for a in ["0123456789abcdef"] if kind == "secret" else ALPHABETS:
+            for a in ["0123456789abcdef"] if kind in ("secret", "ipv6") else ALPHABETS:
                 if c in a:
                     return a[(a.index(c) + by) % len(a)]
             return c
@@ -307,26 +326,33 @@ def surrogates(texts, key):
     def made(kind, e, tweak):
         if kind == "ip":
             return ".".join(walk(e.split("."), tweak, octet(tweak)))
-        if kind in ("first f", "first m", "family"):
+        if kind.startswith("first ") or kind == "family":
             script = "cyrillic" if regex.search(r"\p{IsCyrillic}", e) else "greek" if regex.search(r"\p{IsGreek}", e) else "latin"
             h = digest(hashlib.md5, key, str(tweak), kind, e.lower())
-            out = "".join(SYLLABLES[script][int(d, 16)] for d in h[: 8 if kind == "family" else 7]) + ENDINGS[script].get(kind[-1] if kind != "family" else "", "")
+            out = "".join(SYLLABLES[script][int(d, 16)] for d in h[: 8 if kind == "family" else 7]) + (ENDINGS[script][kind[-1]] if kind != "family" else "")
             return out.upper() if e == e.upper() else out[0].upper() + out[1:]
         head = regex.match(r"\+[0-9]{1,3}(?=[ .\-(])", e) if kind == "phone" else None
         tail = regex.search(r"\.[A-Za-z]+$", e) if kind == "email" else None
         head, tail = head[0] if head else "", tail[0] if tail else ""
         core = e[len(head) : len(e) - len(tail)]
-        new = iter(walk(list(bare(core)), tweak, letter(kind)))
+        units = list(bare(core))
+        if kind == "card" and luhn(units):
+            units = walk(units[:-1], tweak, letter(kind))
+            units.append(next(d for d in "0123456789" if luhn([*units, d])))
+        else:
+            units = walk(units, tweak, letter(kind))
+        new = iter(units)
         core = "".join(c if not bare(c) else (n.upper() if c != c.lower() else n) for c in core for n in [next(new) if bare(c) else ""])
         longer = "".join(SYLLABLES["latin"][int(d, 16)] for d in digest(hashlib.md5, key, str(tweak), e.lower())[:8]) if kind == "email" and tweak >= WIDER else ""
         return head + longer + core + tail
 
     known = {}
     for t in texts:
-        for m in pattern.finditer(t or ""):
-            for kind, e in pieces(m[0])[1]:
-                at = kind, canon(kind, e)
-                known[at] = min(known.get(at, e), e)
+        for _, said in entities(t):
+            for kind, e in pieces(said):
+                if kind != "initial":
+                    at = kind, canon(kind, e)
+                    known[at] = min(known.get(at, e), e)
     tweaks = dict.fromkeys(known, 0)
     while True:
         drawn = {(k, c): (k, canon(k, made(k, known[k, c], n))) for (k, c), n in tweaks.items()}
@@ -339,11 +365,21 @@ def surrogates(texts, key):
         for at in bad:
             tweaks[at] += 1
 
-    def replaced(m):
-        head, parts = pieces(m[0])
-        return head + " ".join(made(k, e, tweaks[k, canon(k, e)]) for k, e in parts)
+    def replaced(e, said):
+        new = [made(k, x, tweaks.get((k, canon(k, x)), 0)) for k, x in pieces(said)]
+        if kind_of(e) != "name":
+            return new[0]
+        rest = iter(new)
+        return head_of(e) + regex.sub(_PART, lambda _: next(rest), e[len(head_of(e)) :])
 
-    return [(None if t is None else pattern.sub(replaced, t), len(pattern.findall(t or ""))) for t in texts]
+    out = []
+    for t in texts:
+        every, at, new = entities(t), 0, ""
+        for m, said in every:
+            new += t[at : m.start()] + replaced(m[0], said)
+            at = m.end()
+        out.append((None if t is None else new + t[at:], len(every)))
+    return out
 
 
 def kneser_ney(trained, asked, order=4):

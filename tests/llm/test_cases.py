@@ -351,6 +351,46 @@ def test_surrogate_cases(spark, docs, none):
         pii_surrogates.replace_entities(docs, "")
 
 
+#: Texts and the entities in them, written down before any pattern: what must go, piece by piece, and nothing else.
+FOUND = [
+    ("Mr. John Paul Smith met Mr. John Smith", ["John", "Paul", "Smith"]), ("Frau Dr. Müller kam", ["Müller"]), ("Mrs. Smith-Jones left", ["Smith-Jones"]), ("Mr. O'Brien and Mr. D’Angelo", ["O'Brien", "D’Angelo"]),
+    ("Mr.  John  Smith", ["John", "Smith"]), ("Herr\nWeber ging", ["Weber"]), ("Dr. Adams said", ["Adams"]), ("Mr. John Smith came. John Smith left.", ["John Smith"]), ("Prof. Dr. Anna Lindqvist", ["Anna", "Lindqvist"]),
+    ("Mr. J. Smith and Mr. J. R. Tolkien", ["Smith", "Tolkien"]), ("Herr Ludwig van Beethoven spielte", ["Ludwig", "Beethoven"]), ("Señora Ana de la Cruz llegó", ["Ana", "Cruz"]), ("Mme Élise Dupré-Łoś", ["Élise", "Dupré-Łoś"]), ("Mr. Smith's car", ["Smith"]),
+    ("Monsieur Jean-Luc Picard arrive", ["Jean-Luc", "Picard"]), ("Ms. Nu\u0301n\u0303ez won", ["Nu\u0301n\u0303ez"]), ("Miss Ann Mary Lou Baker-Hill sang", ["Ann", "Mary", "Lou", "Baker-Hill"]), ("Mr.\u00a0Tom\u00a0Ford", ["Tom", "Ford"]), ("Sra. García y Sr. Pérez", ["García", "Pérez"]),
+    ("Госпожа Анна Иванова-Петрова", ["Анна", "Иванова-Петрова"]), ("Κυρία Μαρία Δούκα", ["Μαρία", "Δούκα"]), ("mail a.b@c-d.example.org now", ["a.b@c-d.example"]), ("at 10.1.2.3 and 192.168.0.77", ["10.1.2.3", "192.168.0.77"]), ("see 2001:db8:0:0:8:800:200c:417a", ["2001:db8:0:0:8:800:200c:417a"]),
+    ("host fe80:0:1::42ab up", ["fe80:0:1::42ab"]), ("call 743 555 3824 today", ["743 555 3824"]), ("call (743) 555-3824", ["(743) 555-3824"]), ("call 743-555-3824", ["743-555-3824"]), ("call 743.555.3824", ["743.555.3824"]), ("ring +44 20 7946 0958", ["20 7946 0958"]),
+    ("ssn 078-05-1120", ["078-05-1120"]), ("card 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("card 5500-0000-0000-0004", ["5500-0000-0000-0004"]), ("key 0123456789abcdef0123456789abcdef", ["0123456789abcdef0123456789abcdef"]), ("Mr. Smith, Mrs. Smith and Dr. Smith", ["Smith"]),
+]
+#: Texts without personal data.
+KEPT = ["Mr. and so on", "the Dr. 5 way", "at 12:30:45 or a::b and std::vector", "1 200 300 4000 5", "versions 1.2.3 and 999.1.1.1", "John Smith has no title", "rows 4111 1111", "Misses Smart", "Srinagar is a town", "Mrs", "chapter 12-34-56"]
+
+
+def test_what_is_found_and_what_is_kept(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(FOUND)] + [(100 + i, t) for i, t in enumerate(KEPT)]
+    out = {r.doc_id: r for r in pii_surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "a key").collect()}
+    expected = dict(zip([i for i, _ in rows], brute.surrogates([t for _, t in rows], "a key")))
+    for i, (text, gone) in enumerate(FOUND):
+        assert all(x not in out[i].text for x in gone), (text, out[i].text)
+        # all around the entities stays: what is left of the text without them comes in the same order
+        rest = re.split("|".join(map(re.escape, sorted(gone, key=len, reverse=True))), text)
+        at = 0
+        for part in rest:
+            part = re.sub(r"\b[A-Z]\.", "", part) if "J." in text else part
+            for word in part.split():
+                assert word in out[i].text[at:], (text, out[i].text)
+                at = out[i].text.index(word, at) + len(word)
+        assert (out[i].text, out[i].n_entities) == expected[i]
+    assert [out[100 + i].text for i in range(len(KEPT))] == KEPT
+    # coreference: the same parts, with and without a title, have the same surrogates
+    a, b, c = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+ \w+) left\.", out[7].text).groups()
+    assert c == f"{a} {b}" and a.endswith("rio")
+    first, middle, family, again, same = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) met Mr\. (\w+) (\w+)", out[0].text).groups()
+    assert (first, family) == (again, same) and len({first, middle, family}) == 3
+    assert re.fullmatch(r"Mr\. [A-Z]\. \w+ and Mr\. [A-Z]\. [A-Z]\. \w+", out[9].text) and re.fullmatch(r"Herr \w+ van \w+ spielte", out[10].text)
+    for i in (31, 32):
+        assert brute.luhn(re.sub(r"\D", "", FOUND[i][0])) and brute.luhn(re.sub(r"\D", "", out[i].text))
+
+
 def test_surrogates_stay_distinct_under_collisions(spark):
     """All 100 addresses 1.1.0.0 to 1.1.9.9, whose space is so small that collisions must happen, and all of a@a.co to f@z.co, which leave no room."""
     rows = [(i, f"see 1.1.{i // 10}.{i % 10} now") for i in range(100)]
