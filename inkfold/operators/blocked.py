@@ -1,7 +1,7 @@
 """Top-k of a stated query set over all vectors as blocked matrix products.
 
 Vectors are packed into blocks inside their partitions and never shuffled. Queries are packed into blocks of about
-``BLOCK_QUERIES``, which are broadcast; beyond ``MOST_QUERIES`` the vectors are read once more for each further group.
+``BLOCK_QUERIES``, which are broadcast; beyond ``MOST_BYTES`` of them the vectors are read once more for each further group.
 Every pair of blocks is one matrix product of 32-bit floats. It only says which pairs can still enter a query's best
 ``k``: their products are taken again, axis by axis in 64 bits, so scores and ties are those of a plain sum. A task keeps
 the best ``k`` of each query and sends them once; the last merge is a window by query.
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import text
 
-BLOCK_ITEMS, BLOCK_QUERIES, MOST_QUERIES = 4096, 2048, 65_536
+BLOCK_ITEMS, BLOCK_QUERIES, MOST_BYTES = 4096, 2048, 32 << 20
 #: Queries of a block that are scored at once.
 SLICE = 256
 _KINDS = {T.FloatType(): np.float32, T.DoubleType(): np.float64, T.ByteType(): np.int8}
@@ -212,13 +212,13 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, weight: float = 0.0, ite
     ``queries``: qid, embedding and, for a weight above 0, predictions; ``items`` then has aux_class and name_tokens.
     ``chosen`` (qid, shard) restricts a query to some shards. The best of all tasks remain to be merged.
     """
-    count = queries.count()
+    count, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     packed = packed_queries(queries if weight > 0 else queries.select("qid", "embedding"), count)
     blocks = packed_items(items, item, k, weight == 0)
-    number, each = max(1, -(-count // BLOCK_QUERIES)), MOST_QUERIES // BLOCK_QUERIES
+    number, each = max(1, -(-count // BLOCK_QUERIES)), max(1, MOST_BYTES // (4 * max(dim, 1) * BLOCK_QUERIES))
     parts = []
     for lo in range(0, number, each):
-        part = F.broadcast(packed.where(F.col("block").between(lo, lo + each - 1)))  # at most MOST_QUERIES, give or take
+        part = F.broadcast(packed.where(F.col("block").between(lo, lo + each - 1)))  # their vectors have MOST_BYTES, give or take
         if chosen is None:
             pairs = blocks.withColumn("block", F.explode(F.sequence(F.lit(lo), F.lit(min(lo + each, number) - 1)))).withColumn("slots", F.lit(None).cast("array<int>"))
         else:

@@ -29,7 +29,7 @@ def plain_top(queries, items, k):
 def test_ties_blocks_and_groups_of_queries(spark, monkeypatch):
     """Over several blocks of vectors, with many equal ones, and queries in several groups of broadcast blocks."""
     monkeypatch.setattr(blocked, "BLOCK_QUERIES", 16)
-    monkeypatch.setattr(blocked, "MOST_QUERIES", 48)
+    monkeypatch.setattr(blocked, "MOST_BYTES", 3 * 16 * 6 * 4)
     rng = np.random.Generator(np.random.PCG64(1))
     items = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in rng.permutation(5000).tolist()]
     items += [(i, [2.0] * 6) for i in range(5000, 7000)]
