@@ -44,8 +44,9 @@ SHINGLE = 5
 COLLECTIONS, WIDTH = 16, 2
 LEADERS = 3
 BLOCK_ITEMS = 400_000
-#: Keys (of 13 bytes) that meet in one bucket; the number of buckets follows the classes.
-BUCKET_KEYS = 20_000_000
+#: Keys (of 13 bytes) that meet in one bucket, some 300 MB with what a task needs to pair them; the number of buckets
+#: follows the classes.
+BUCKET_KEYS = 4_000_000
 #: A pair goes on to confirmation if so many of the 32 minhashes agree; at 0.75, 24 do on average.
 LEAST_AGREEING = 12
 #: The bit of a score, of 32 at most, that says that a batch kept rows of the key back.
