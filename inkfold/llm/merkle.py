@@ -154,20 +154,21 @@ def _hash(text: str) -> str:
     return sha256(text.encode()).hexdigest()
 
 
-def _proved(leaves: pa.Table, preimages: pa.Table, height: int) -> pa.Table:
-    """A block's leaves with subroot, root, the hash of their siblings, and the root that ``other`` folds to."""
+def _folded(node: str, path: list[tuple[int, int, str]]) -> str:
+    """The hash that a node folds to: put into its slot of each preimage, upwards."""
+    for _, s, p in path:
+        node = _hash(p[: SLOT * s] + node + p[SLOT * (s + 1) :])
+    return node
+
+
+def _proved(leaves: pa.Table, preimages: pa.Table, height: int, root: str) -> pa.Table:
+    """A block's leaves with subroot, root, the hash of their siblings, and the root that ``other``, or else the leaf, folds to."""
     inside, above = _chains(preimages, height)
     above_text, out = _sibling_text(above), [[], [], [], []]
     top = [p for p in above if p[0] >= TOP]
     for place, own, other in zip(*(leaves.column(c).to_pylist() for c in ("place", "leaf", "other"))):
         path = _path(place, inside, [])
-        whole = path + above
-        root = _hash(whole[-1][2]) if whole else own
-        folded = root
-        if other is not None:
-            folded = other
-            for _, s, p in whole:
-                folded = _hash(p[: SLOT * s] + folded + p[SLOT * (s + 1) :])
+        folded = _folded(own if other is None else other, path + above)
         subroot = top[0][2][SLOT * top[0][1] : SLOT * (top[0][1] + 1)] if top else root
         for column, value in zip(out, (subroot, root, _hash(_sibling_text(path) + above_text), folded)):
             column.append(value)
@@ -178,12 +179,14 @@ def proofs(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
     """(key, leaf, subroot, root, proof_sha256, folded_root) of each of the leaves (group, key, leaf, other).
 
     ``other`` is a hash to put in the leaf's place, or null for the leaf itself: ``folded_root`` is the root that it
-    folds to with the siblings as they are. The key is a column of numbers.
+    folds to with the siblings as they are, recomputed for every row. ``root`` is the one that the climb ends at, not
+    one of a leaf's own path. The key is a column of numbers.
     """
     rows, trees = placed(leaves)
     largest, groups = trees.agg(F.coalesce(F.max("size"), F.lit(0)), F.count("*")).first()
     stages, subroots = climbed(rows.select("tree", "size", "place", F.col("leaf").alias("hash")), largest, height)
-    over, _ = climbed(subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(groups).cast("long").alias("size"), F.col("tree").alias("place"), "hash"), groups, height)
+    over, roots = climbed(subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(groups).cast("long").alias("size"), F.col("tree").alias("place"), "hash"), groups, height)
+    root = roots.agg(F.first("hash")).first()[0]
     # the blocks of the upper tree are met with no rows below: each of their feet is the last node of a tree
     none = over[0].limit(0)
     feet = lowered(over, none, height).groupBy("tree", "block").applyInArrow(lambda key, rows: _lowered(key, rows, height), PREIMAGES)
@@ -191,7 +194,7 @@ def proofs(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
     paths = lowered(stages, tops, height)
     feet = rows.withColumn("block", _block(F.col("place"), height))
     out = "key long, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
-    return feet.groupBy("tree", "block").cogroup(paths.groupBy("tree", "block")).applyInArrow(lambda leaves, preimages: _proved(leaves, preimages, height), out)
+    return feet.groupBy("tree", "block").cogroup(paths.groupBy("tree", "block")).applyInArrow(lambda leaves, preimages: _proved(leaves, preimages, height, root), out)
 
 
 def row_leaves(docs: DataFrame, fields: list[str], group: str, key: str, other: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:

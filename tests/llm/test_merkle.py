@@ -80,6 +80,24 @@ def test_many_groups(spark):
     assert ordered(merkle.proofs(df, 1).collect()) == ordered(plain_proofs(leaves))
 
 
+@pytest.mark.parametrize(("tree", "level", "place", "wrong"), [(0, 1, 1, set(range(9, 16))), (0, 2, 0, set(range(8, 20))), (1, merkle.TOP + merkle.HEIGHT + 1, 1, set(range(20, 30)))])
+def test_untampered_leaves_are_folded(spark, monkeypatch, tree, level, place, wrong):
+    """With the first slot of a stored preimage damaged, no leaf below the other slots folds to the root, though none is tampered with."""
+    whole = merkle.lowered
+
+    def damaged(stages, above, height):
+        hit = (F.col("tree") == tree) & (F.col("level") == level) & (F.col("place") == place)
+        return whole(stages, above, height).withColumn("preimage", F.when(hit, F.overlay("preimage", F.lit(h("damage")), F.lit(1))).otherwise(F.col("preimage")))
+
+    leaves = [("a" if i < 20 else "b", i, h(str(i)), None) for i in range(30)]
+    df = spark.createDataFrame(leaves, "group string, key long, leaf string, other string")
+    assert all(r.folded_root == r.root for r in merkle.proofs(df).collect())
+    monkeypatch.setattr(merkle, "lowered", damaged)
+    rows = merkle.proofs(df).collect()
+    assert {r.key for r in rows if r.folded_root != r.root} == wrong
+    assert {r.root for r in rows} == {x[3] for x in plain_proofs(leaves)}
+
+
 def test_merkle_cases(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("clash") for c in EXTRA + ["group", "key", "leaf", "tree", "place", "hash", "number at"]})
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
